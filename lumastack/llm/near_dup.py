@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
         near = pairs.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
         near = stored(near.mapInArrow(_agreeing(PLAUSIBLE), "a long, b long"))
         ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = stored(full.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, set binary").dropDuplicates(["id"]), at)
+        sets = stored(full.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, set binary").dropDuplicates(["id"]), at)
         joined = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return joined.mapInArrow(_linked(num, den), "a long, b long")
 
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     keys = ["bucket", "i", "j"]
     near = marked.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "id", "comp", "marks").mapInArrow(_plausible(PLAUSIBLE), "bucket long, id long").distinct()
     near = stored(near.join(groups, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")), paths[4])
-    rest = full.join(near.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, set binary").dropDuplicates(["id"])
+    rest = full.join(near.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, set binary").dropDuplicates(["id"])
     rest = stored(rest, paths[5])
     blocks = _with_blocks(near, block).join(rest, "id").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "id", "comp", "set")
     more = stored(blocks.mapInArrow(_block_links(num, den), "a long, b long"))
