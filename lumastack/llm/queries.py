@@ -4,22 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_rules import line_rules
 from .near_dup import near_duplicates
+from .records import record_digests
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as binary records in ascending doc_id order, and read back."""
+    return record_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules; lines that many texts of a source share are removed, and documents that they deplete rejected."""
+    docs = _table(spark, sf_dir, "documents")
+    return line_rules(docs.select("doc_id", "text", docs["source"].alias("host")))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups on distinct 4-word shingles, Jaccard at least 0.8."""
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, num=80, den=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_records": op2_token_records,
+    "op8_line_frequency": op8_line_frequency,
     "op9_superminhash": op9_superminhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_line_frequency": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        win AS (SELECT doc_id, i, hash(ws[i], ws[i+1], ws[i+2], ws[i+3], ws[i+4]) AS h
+                FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+        twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS c FROM win) WHERE c > 1),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
+        texts AS (SELECT DISTINCT host, t FROM d),
+        lines AS (SELECT host, t, regexp_replace(trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g') AS line,
+                         len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS nw
+                  FROM (SELECT host, t, unnest(string_split(t, chr(10))) AS l FROM texts) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+        sizes AS (SELECT host, count(*) AS n_texts FROM texts GROUP BY 1),
+        freq AS (SELECT l.host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM lines GROUP BY 1, 2) l JOIN sizes s ON s.host = l.host
+                 WHERE n > 5 AND 100 * n > 8 * n_texts),
+        cut AS (SELECT l.host, t, sum(nw) AS removed FROM lines l JOIN freq f ON f.host = l.host AND f.line = l.line GROUP BY 1, 2),
+        s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                     CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, w.host, t
+              FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND 100 * coalesce(removed, 0) <= 70 * n_words AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
+        FROM b LEFT JOIN cut ON cut.host = b.host AND cut.t = b.t
+    """,
+}
