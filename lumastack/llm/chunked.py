@@ -13,35 +13,36 @@ import numpy as np
 
 
 class ChunkEncoder:
-    """``encode`` maps strings to id lists; the result of ``encode_text`` is the ids' bytes in ``dtype``."""
+    """``encode`` maps strings to id sequences; the result of ``encode_texts`` is the ids' bytes in ``dtype``."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], dtype: str, limit: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], dtype: str, limit: int = 1_000_000) -> None:
         self.encode, self.dtype, self.limit = encode, np.dtype(dtype), limit
         self.cache: dict[str, bytes] = {}
         self.odd: set[str] = set()
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    def _bytes(self, strings: list[str]) -> list[bytes]:
+        return [np.asarray(x, self.dtype).tobytes() for x in self.encode(strings)] if strings else []
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
-        fresh: set[str] = set()
-        for p in parts:
-            fresh.update(p[1:])
+        get = self.cache.get
+        found = [list(map(get, p)) for p in parts]
+        fresh = {w for p, f in zip(parts, found, strict=True) if None in f[1:] for w, x in zip(p, f, strict=True) if x is None}
         if len(self.cache) + len(fresh) > self.limit:
             self.cache.clear()
             self.odd.clear()
-        new = [w for w in fresh if w not in self.cache]
-        for w, ids in zip(new, self.encode([" " + w for w in new]), strict=True):
-            self.cache[w] = self._bytes(ids)
-            if not w or w[0].isspace():
-                self.odd.add(w)
-        heads = self.encode([p[0] for p in parts])
+            fresh = {w for p in parts for w in p}
+        new = list(fresh)
+        self.cache.update(zip(new, self._bytes([" " + w for w in new]), strict=True))
+        self.odd.update(w for w in new if not w or w[0].isspace())
+        heads = self._bytes([p[0] for p in parts])
         out = []
-        for text, p, head in zip(texts, parts, heads, strict=True):
+        for text, p, f, head in zip(texts, parts, found, heads, strict=True):
             if self.odd and not self.odd.isdisjoint(p[1:]) and any((not b or b[0].isspace()) and (not a or a[-1].isspace()) for a, b in zip(p, p[1:], strict=False)):
-                out.append(self._bytes(self.encode([text])[0]))
-            else:
-                get = self.cache.__getitem__
-                out.append(self._bytes(head) + b"".join(map(get, p[1:])))
+                out.append(self._bytes([text])[0])
+                continue
+            ids = f[1:]
+            if None in ids:
+                ids = map(get, p[1:])
+            out.append(head + b"".join(ids))
         return out
