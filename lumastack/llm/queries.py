@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_fst import code_digests
 from .line_rules import line_rules
 from .near_dup import near_duplicates
 from .records import record_digests
@@ -21,6 +22,11 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the rank file's merges and decoded again."""
+    return code_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules; lines that many texts of a source share are removed, and documents that they deplete rejected."""
     docs = _table(spark, sf_dir, "documents")
@@ -34,6 +40,7 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
+    "op6_bpe_transducer": op6_bpe_transducer,
     "op8_line_frequency": op8_line_frequency,
     "op9_superminhash": op9_superminhash,
 }
