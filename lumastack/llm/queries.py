@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_fst import code_digests
 from .line_rules import line_rules
+from .mixing import mix, taken_words
 from .near_dup import near_duplicates
 from .records import record_digests
+from .sketch import fingerprints
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +24,21 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in the mix of all sources, weighted 1, 2, 3 in turn and capped at three times their size."""
+    return taken_words(mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by the rank file's merges and decoded again."""
     return code_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, compared with each other and with the next document's."""
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules; lines that many texts of a source share are removed, and documents that they deplete rejected."""
     docs = _table(spark, sf_dir, "documents")
@@ -40,7 +52,9 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
+    "op3_weighted_mix": op3_weighted_mix,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op7_scaled_sketch": op7_scaled_sketch,
     "op8_line_frequency": op8_line_frequency,
     "op9_superminhash": op9_superminhash,
 }
