@@ -11,6 +11,7 @@ from .bpe_fst import code_digests
 from .line_rules import line_rules
 from .mixing import mix, taken_words
 from .near_dup import near_duplicates
+from .quality_qda import quality_scores
 from .records import record_digests
 from .sketch import fingerprints
 
@@ -29,6 +30,11 @@ def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
+def op5_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by the rank file's merges and decoded again."""
     return code_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -53,6 +59,7 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op3_weighted_mix": op3_weighted_mix,
+    "op5_quadratic_discriminant": op5_quadratic_discriminant,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_scaled_sketch": op7_scaled_sketch,
     "op8_line_frequency": op8_line_frequency,
