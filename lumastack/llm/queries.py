@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_fst import code_digests
+from .html_tree import main_texts
 from .line_rules import line_rules
 from .mixing import mix, taken_words
 from .near_dup import near_duplicates
@@ -20,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as binary records in ascending doc_id order, and read back."""
     return record_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,6 +63,7 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_style_tree": op1_style_tree,
     "op2_token_records": op2_token_records,
     "op3_weighted_mix": op3_weighted_mix,
     "op5_quadratic_discriminant": op5_quadratic_discriminant,
