@@ -335,3 +335,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     # components of classes are least ids of representatives, which are the least ids of their classes
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stand for their group; of equal rows one stays, and all rows with a null id stay."""
+    kept = near_duplicates(docs, k=k, num=num, den=den).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null"))

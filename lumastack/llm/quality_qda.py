@@ -142,6 +142,22 @@ def _scored(model: Model) -> Callable:
     return task
 
 
+def _accepted(model: Model, threshold: float) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, offsets, data in text_slices(batch.column("text")):
+                good = np.round(model.score(statistics(offsets, data)), 9) >= threshold
+                yield batch.slice(row, len(good)).filter(pa.array(good))
+
+    return task
+
+
+def accepted(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, as they are."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_accepted(model, threshold), schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no fit may use: crc32 of the id as text is divisible by 5 (null ids too)."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))

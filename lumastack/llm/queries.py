@@ -12,9 +12,11 @@ from .html_tree import main_texts
 from .line_rules import line_rules
 from .mixing import mix, taken_words
 from .near_dup import near_duplicates
+from .pii import personal_data
 from .quality_qda import quality_scores
 from .records import record_digests
 from .sketch import fingerprints
+from .token_scan import counted
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,11 @@ def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
+def op4_semi_markov_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op5_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -62,18 +69,30 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, num=80, den=100)
 
 
+def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, from flat files of word ids."""
+    return counted(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_style_tree": op1_style_tree,
     "op2_token_records": op2_token_records,
     "op3_weighted_mix": op3_weighted_mix,
+    "op4_semi_markov_crf": op4_semi_markov_crf,
     "op5_quadratic_discriminant": op5_quadratic_discriminant,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_scaled_sketch": op7_scaled_sketch,
     "op8_line_frequency": op8_line_frequency,
     "op9_superminhash": op9_superminhash,
+    "op10_separator_scan": op10_separator_scan,
 }
 
 SQL: dict[str, str] = {
+    "op10_separator_scan": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents)
+        SELECT doc_id, row_number() OVER w - 1 AS ordinal, CAST(sum(n + 1) OVER w - n - 1 AS BIGINT) AS start, n AS n_tokens
+        FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, t ROWS UNBOUNDED PRECEDING)
+    """,
     "op8_line_frequency": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
