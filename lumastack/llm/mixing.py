@@ -213,10 +213,10 @@ def taken_words(m: Mix) -> DataFrame:
     spark = m.rows.sparkSession
     uses = m.slots.groupBy("source_no", "block", "limit").agg(F.count(F.lit(1)).alias("uses"))
     words = F.col("uses") * F.greatest(F.lit(0), F.least("hi", "limit") - F.col("lo"))
-    taken = m.parts.join(uses, ["source_no", "block"]).groupBy("row").agg(F.sum(words).alias("taken"))
+    taken = m.parts.join(uses.hint("merge"), ["source_no", "block"]).groupBy("row").agg(F.sum(words).alias("taken"))
     s = m.sources
     facts = spark.createDataFrame([(s.names[i], int(s.sizes[i]), float(s.targets[i])) for i in range(len(s.names))], "name string, source_size long, target double")
-    out = m.rows.select("row", "doc_id", "source", "size").join(taken, "row", "left")
+    out = m.rows.select("row", "doc_id", "source", "size").join(taken.hint("merge"), "row", "left")
     out = out.join(facts, out["source"].eqNullSafe(facts["name"]))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -240,9 +240,9 @@ def mixed_documents(m: Mix) -> DataFrame:
 
     ``m`` was planned with ``keep_text``. A row has the shard of its first block, ``pass`` and the document's columns.
     """
-    uses = m.parts.join(m.slots, ["source_no", "block"]).where("lo < limit")
+    uses = m.parts.join(m.slots.hint("merge"), ["source_no", "block"]).where("lo < limit")
     span = F.struct(F.col("from"), (F.col("from") + F.least("hi", "limit") - F.col("lo")).alias("to"))
     pieces = uses.groupBy("row", "pass").agg(F.min("shard").alias("shard"), F.collect_list(span).alias("spans"))
-    rows = m.rows.drop("shard", "pass", "spans").join(pieces, "row")
+    rows = m.rows.drop("shard", "pass", "spans").join(pieces.hint("merge"), "row")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_cut_texts, schema).drop("row", "size", "spans")
