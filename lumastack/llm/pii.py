@@ -8,7 +8,7 @@ programming over bounded segments picks boundaries and kinds jointly, so two num
 failing match are told apart. Segments of the best path that touch no base span are added; base spans always stay.
 
 The weights are trained here: the gold segmentation of a run is its base spans, on runs where no pattern dropped a match, of
-at most ``TRAIN_ROWS`` documents that contain a digit (a bounded sample, by hash of the id); gradient ascent on the
+about ``TRAIN_ROWS`` documents that contain a digit (a bounded sample, by hash of the id); gradient ascent on the
 conditional likelihood, with forward and backward sums over bounded segments. Without such documents a prior that asks for
 all features of a kind is used.
 
@@ -292,9 +292,12 @@ def _found(weights: np.ndarray) -> Callable:
 
 
 def trained(docs: DataFrame, *, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights from at most ``rows`` texts with a digit, those whose id and text hash lowest."""
-    found = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(rows)
-    parts = found.select("text").collect()
+    """Weights from about ``rows`` texts with a digit or an at sign: those whose hash of id and text lies below the share."""
+    found = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    n = found.count()
+    if n > rows:
+        found = found.where(F.col("h") < int(-(2**63) + 2**64 * (rows / n)))
+    parts = found.orderBy("h", "text").select("text").collect()
     return fit([r["text"] for r in parts])
 
 
