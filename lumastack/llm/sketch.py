@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import shared_dir, stored
+from .scratch import range_part, shared_dir, stored
 from .textops import span_hashes
 
 WIDTH, FRACTION = 12, 1 / 16
@@ -122,10 +122,8 @@ def fingerprints(docs: DataFrame, *, width: int = WIDTH, fraction: float = FRACT
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("own", F.xxhash64("text"))
-    cuts = rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("c") if n > 1 else F.array().cast("array<long>").alias("c"))
-    cuts = sorted(set(cuts.first()["c"] or []))
-    of = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0), lambda a, c: a + F.when(F.col("doc_id") >= c, 1).otherwise(0)) if cuts else F.lit(0)
-    placed = rows.withColumn("part", of)
+    part, count = range_part(rows, "doc_id", n)
+    placed = rows.withColumn("part", part)
     ids = stored(placed.select("part", "doc_id", "own"), shared_dir(spark))
     # the first row of each part that has rows: at most one for each part
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
@@ -143,6 +141,6 @@ def fingerprints(docs: DataFrame, *, width: int = WIDTH, fraction: float = FRACT
     back = F.element_at(F.create_map(*[F.lit(x) for p in parts for x in (p, before[p])]), F.col("part"))
     tails = heads_only.select(back.alias("part"), F.lit(True).alias("tail"), "h.doc_id", "h.text")
     both = placed.select("part", F.lit(False).alias("tail"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(tails)
-    dealt = both.repartitionById(max(n, len(cuts) + 1), "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = both.repartitionById(max(n, count), "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(_compared(width, fraction), schema)

@@ -8,7 +8,7 @@ before it and the last end id before it, which stitches the documents that cross
 
 Cases: null and empty texts are documents of no ids; an empty file or table has no documents; ids after the last end id
 are one document more, not ``closed``; repeated rows and ties in the id are documents of their own, in the order of their
-texts; null ids come first; other columns are ignored. Files are read whole by one task each, so writers bound them.
+token bytes; null ids come first; other columns are ignored. Files are read whole by one task each, so writers bound them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import exclusive_starts, removed, shared_dir, stored
+from .scratch import exclusive_starts, range_part, removed, shared_dir, stored
 from .textops import span_hashes, text_slices, word_spans
 
 BLOCK_IDS = 1 << 19
@@ -29,21 +29,25 @@ BLOCK_IDS = 1 << 19
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids 1 to 65535 of each word, by hash, as bytes."""
     for batch in batches:
-        for _, offsets, data in text_slices(batch.column("text")):
+        for row, offsets, data in text_slices(batch.column("text")):
             starts, ends, rows = word_spans(offsets, data)
             ids = (span_hashes(data, starts, ends) % np.uint64(65_535) + np.uint64(1)).astype("<u2").tobytes()
             cuts = (2 * np.searchsorted(rows, np.arange(len(offsets)))).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["value"])
+            values = pa.array([ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, len(values)) for c in ("part", "doc_id")), values], ["part", "doc_id", "value"])
 
 
 def write_flat(docs: DataFrame, out: str, *, files: int | None = None) -> None:
     """Write the words of ``docs`` (doc_id, text) as flat files of 2-byte ids in ascending doc_id order; the end id is 0.
 
-    Spark's committing text writer writes them, its line end being the end id.
+    Spark's committing text writer writes them, its line end being the end id. Ids are dealt out, not texts.
     """
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_worded, "value binary").select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\u0000\u0000").text(out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    part, count = range_part(rows, "doc_id", n)
+    ids = rows.withColumn("part", part).mapInArrow(_worded, "part int, doc_id long, value binary")
+    dealt = ids.repartitionById(max(n, count), "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "value")
+    dealt.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\u0000\u0000").text(out)
 
 
 def _searched(dtype: str, end_id: int, block: int) -> Callable:
