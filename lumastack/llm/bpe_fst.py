@@ -226,15 +226,20 @@ class StreamDecoder:
 _made: dict[str, tuple[Transducer, ChunkEncoder]] = {}
 
 
+def made(ranks_text: str, pattern: str, steps: int = STATES, chunks: int = 800_000) -> tuple[Transducer, ChunkEncoder]:
+    """A transducer and a chunk cache of bounded sizes."""
+    import regex
+
+    fst = Transducer(read_ranks(ranks_text), steps)
+    split = regex.compile(pattern).findall
+    return fst, ChunkEncoder(lambda texts: [[i for piece in split(x) for i in fst.encode(piece.encode())] for x in texts], "<u4", chunks)
+
+
 def encoder(ranks_text: str, pattern: str) -> tuple[Transducer, ChunkEncoder]:
-    """One transducer and chunk cache for each Python worker."""
+    """One large transducer and cache for each Python worker, kept between its tasks."""
     key = hashlib.blake2b((ranks_text + pattern).encode()).hexdigest()
     if key not in _made:
-        import regex
-
-        fst = Transducer(read_ranks(ranks_text))
-        split = regex.compile(pattern).findall
-        _made[key] = fst, ChunkEncoder(lambda texts: [[i for piece in split(x) for i in fst.encode(piece.encode())] for x in texts], "<u4", 800_000)
+        _made[key] = made(ranks_text, pattern)
     return _made[key]
 
 
@@ -266,8 +271,8 @@ def code_digests(docs: DataFrame, ranks: str, pattern: str, *, block: int = 4096
 
 def _encoded(ranks: str, pattern: str) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(ranks) as f:
-            _, chunks = encoder(f.read(), pattern)
+        with open(ranks) as f:  # small caches of this task's own: other jobs' tasks follow in the same worker
+            _, chunks = made(f.read(), pattern, 300_000, 200_000)
         for batch in batches:
             for row, texts in text_groups(batch):
                 ids = [np.frombuffer(x, "<u4") for x in chunks.encode_texts(texts)]
