@@ -114,17 +114,26 @@ def detect_highlights(samples: DataFrame, spheres: DataFrame, skipped: DataFrame
 def refine_highlights(samples: DataFrame, spheres: DataFrame, found: DataFrame, rounds: int = 6) -> DataFrame:
     """Highlights moved to gray-weighted barycentres in windows that halve down to 2% of the box; unlit ones stay."""
     keys = ["dataset", "sphere_id", "light_id"]
-    grays = disc_grays(samples, spheres)
     width = inner_rect(spheres).select("dataset", "sphere_id", (F.col("right") - F.col("left")).alias("w"))
-    now = found.join(F.broadcast(width), ["dataset", "sphere_id"]).withColumn("radius", F.ceil(F.col("w") / 2)).withColumn("live", F.col("threshold") > 0)
-    least = F.ceil(0.02 * F.col("w"))
-    for _ in range(rounds):
-        near = grays.join(now, keys).where("live and v >= threshold and abs(x - hx) <= radius and abs(y - hy) <= radius")
-        center = near.groupBy(*keys).agg(F.sum("v").alias("total"), (F.sum(F.col("x") * F.col("v")) / F.sum("v")).alias("mx"), (F.sum(F.col("y") * F.col("v")) / F.sum("v")).alias("my"))
-        now = now.join(center, keys, "left")
-        hit = F.col("live") & (F.coalesce(F.col("total"), F.lit(0)) > 0)
-        now = now.withColumns({"hx": F.when(hit, F.col("mx")).otherwise(F.col("hx")), "hy": F.when(hit, F.col("my")).otherwise(F.col("hy")), "live": hit & (F.col("radius") > least), "radius": F.ceil(F.col("radius") / 2)}).drop("total", "mx", "my")
-    return now.select(*keys, "hx", "hy", "threshold")
+    start = found.join(F.broadcast(width), ["dataset", "sphere_id"])
+    lit = disc_grays(samples, spheres).join(start.where("threshold > 0"), keys).where("v >= threshold").select(*keys, "x", "y", "v", "hx", "hy", "w", "threshold")
+
+    def refine(p: pd.DataFrame) -> pd.DataFrame:  # the bright pixels of one sphere's disc
+        hx, hy, w = float(p["hx"].iloc[0]), float(p["hy"].iloc[0]), float(p["w"].iloc[0])
+        radius, least = math.ceil(w / 2), math.ceil(0.02 * w)
+        x, y, v = (p[c].to_numpy(float) for c in ("x", "y", "v"))
+        for _ in range(rounds):
+            near = (np.abs(x - hx) <= radius) & (np.abs(y - hy) <= radius)
+            if v[near].sum() == 0:
+                break
+            hx, hy = np.average(x[near], weights=v[near]), np.average(y[near], weights=v[near])
+            if radius <= least:
+                break
+            radius = math.ceil(radius / 2)
+        return p[[*keys, "threshold"]].iloc[:1].assign(hx=hx, hy=hy)[[*keys, "hx", "hy", "threshold"]]
+
+    done = lit.groupBy(*keys).applyInPandas(refine, "dataset string, sphere_id int, light_id int, hx double, hy double, threshold int")
+    return done.unionByName(found.where("threshold = 0").select(*keys, "hx", "hy", "threshold"))
 
 
 def highlight_directions(highlights: DataFrame, spheres: DataFrame, *, width: int, height: int, focal_px: float = 0.0) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 CHANNELS = ("r", "g", "b")
 TAPS = [(-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)]  # fixed values: offset and weight of 16
 
@@ -60,7 +62,7 @@ def n_levels(width: int, height: int, side: int) -> int:
 def pyramid(raster: DataFrame, width: int, height: int, side: int, checkpoint: bool = False) -> DataFrame:
     """(dataset, level, x, y, r, g, b) of all levels, 0 the smallest; each level is a quarter of the next.
 
-    Levels are built one from another; with ``checkpoint`` each is cut off from the plans before it.
+    Levels are built one from another; with ``checkpoint`` each is stored in the shared folder.
     """
     sizes = level_sizes(width, height, side)
     now, out = raster.select("dataset", "x", "y", *CHANNELS), None
@@ -70,7 +72,7 @@ def pyramid(raster: DataFrame, width: int, height: int, side: int, checkpoint: b
         if level:
             now = downsample(now, *sizes[level])
             if checkpoint:
-                now = now.checkpoint()
+                now = stored(now)
     return out
 
 

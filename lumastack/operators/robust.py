@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import batched, gram, pinv, stacked
+from ..shared import removed, shared_dir, stored
 
 
 def _unit(n: np.ndarray, least: float = 1e-10) -> np.ndarray:
@@ -105,12 +106,12 @@ def _shrunk(m: np.ndarray, t: float) -> np.ndarray:
     return np.sign(m) * np.maximum(np.abs(m) - t, 0)
 
 
-def normals_rpca(pixels: DataFrame, lights: np.ndarray, *, rounds: int = 100, tol: float = 1e-6, rho: float = 1.5, every: int = 5) -> DataFrame:
+def normals_rpca(pixels: DataFrame, lights: np.ndarray, *, rounds: int = 100, tol: float = 1e-6, rho: float = 1.5) -> DataFrame:
     """Least squares on the low-rank part of the pixels x lights matrix (robust PCA, inexact augmented Lagrangian).
 
     A pixel's rows of the low-rank part, the sparse part and the multipliers stay beside it. Each round takes the lights x
     lights second-moment matrix of what is to be thresholded, whose eigenvectors give the singular vectors; only that matrix
-    reaches the driver. State is written to the checkpoint folder every few rounds. Datasets are solved together.
+    reaches the driver. State is written to the shared folder each round. Datasets are solved together.
     """
     spark = pixels.sparkSession
     n = len(lights)
@@ -124,11 +125,11 @@ def normals_rpca(pixels: DataFrame, lights: np.ndarray, *, rounds: int = 100, to
     top = state.select(F.array_max(F.transform("d", F.abs)).alias("m")).agg(F.max("m")).first()[0]
     scale = max(sigma, top / lam, 1e-12)
     state = state.select("dataset", "x", "y", "d", F.transform("d", lambda v: v * 0.0).alias("e"), F.transform("d", lambda v: v / scale).alias("m"))
-    if spark.sparkContext.getCheckpointDir() is not None:
-        state = state.checkpoint()
+    path = shared_dir(spark)
+    state = stored(state, path)
     schema = "dataset string, x int, y int, d array<double>, e array<double>, m array<double>"
-    for i in range(rounds):
-        mixed = state.select(F.zip_with(F.zip_with("d", "e", lambda a, b: a - b), "m", lambda a, b, mu=mu: a + b / mu).alias("t"))
+    for _ in range(rounds):
+        mixed = state.select(F.zip_with(F.zip_with("d", "e", lambda a, b: a - b), "m", lambda a, b: a + b / mu).alias("t"))  # noqa: B023
         _, _, t = gram(mixed, ["t"])
         values, vectors = np.linalg.eigh(t)
         s = np.sqrt(np.maximum(values, 0))
@@ -142,9 +143,10 @@ def normals_rpca(pixels: DataFrame, lights: np.ndarray, *, rounds: int = 100, to
                     e = _shrunk(d - a + m / mu, lam / mu)
                     yield pdf.assign(e=list(e), m=list(m + mu * (d - a - e)), a=list(a))
 
-        out = state.mapInPandas(step, schema + ", a array<double>")
-        if (i + 1) % every == 0 and spark.sparkContext.getCheckpointDir() is not None:
-            out = out.checkpoint()
+        new = shared_dir(spark)
+        out = stored(state.mapInPandas(step, schema + ", a array<double>"), new)
+        removed(spark, path)
+        path = new
         gap = F.aggregate(F.zip_with(F.zip_with("d", "a", lambda a, b: a - b), "e", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
         left = float(np.sqrt(out.agg(F.sum(gap)).first()[0]))
         state, mu = out.drop("a"), mu * rho

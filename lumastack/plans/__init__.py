@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core"]
+MODULES = ["core", "models", "surfaces"]
 
 
 def registered() -> tuple[dict, dict[str, str]]:

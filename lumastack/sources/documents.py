@@ -19,7 +19,7 @@ def parse_lp(texts: DataFrame, *, strict: bool = True) -> DataFrame:
     The first line is a count of 1 to 1000; each line's last three words are numbers, what precedes is the file name. A bad
     count, line, number or a direction shorter than 1e-4 is an error, or with ``strict=False`` drops the document or line.
     """
-    lines = F.filter(F.transform(F.split("text", r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = texts.select("dataset", lines.alias("lines")).withColumn("n", F.try_element_at("lines", F.lit(1)).try_cast("int"))
     good = F.coalesce((F.col("n") >= 1) & (F.col("n") <= 1000) & (F.size("lines") > F.col("n")), F.lit(False))
     if strict:
@@ -61,7 +61,8 @@ def domes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dome rows to (domes, lights); an unknown configuration counts as directional."""
     kind = F.when(F.col("lightConfiguration").isin("directional", "spherical", "lights3d"), F.col("lightConfiguration")).otherwise("directional")
     docs = docs.withColumn("lightConfiguration", kind)
-    lists = F.arrays_zip("directions", "positionsSphere", "positions3d")
+    vectors = "array<struct<x:double,y:double,z:double>>"
+    lists = F.arrays_zip(*(F.coalesce(c, F.array().cast(vectors)).alias(c) for c in ("directions", "positionsSphere", "positions3d")))
     rows = docs.select("dataset", "lightConfiguration", F.posexplode(lists).alias("light_id", "e"))
     position = F.when(F.col("lightConfiguration") == "spherical", F.col("e.positionsSphere")).when(F.col("lightConfiguration") == "lights3d", F.col("e.positions3d"))
     rows = rows.withColumn("p", position)
