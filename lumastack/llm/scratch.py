@@ -1,36 +1,12 @@
-"""Tables written to the folder that all executors share: they cut lineage and survive lost executors."""
+"""Prefix sums and ranges over tables of any size, and the shared folder of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..shared import removed, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under spark.checkpoint.dir; a local temporary folder only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lumastack-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that no later step reads."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["exclusive_starts", "prefix_of_parts", "range_part", "removed", "shared_dir", "stored"]
 
 
 def exclusive_starts(df: DataFrame, order: list[str], value: str, start: str, partitions: int | None = None) -> DataFrame:
