@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name under spark.checkpoint.dir; a local temporary folder only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lumastack-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="lumastack-"))
+        base = _local[0]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
