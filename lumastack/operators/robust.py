@@ -17,15 +17,17 @@ def _unit(n: np.ndarray, least: float = 1e-10) -> np.ndarray:
 
 
 def _weighted(lights: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The weighted least-squares solution of every row of v; singular ones are solved by a pseudoinverse."""
-    a = np.einsum("pn,ni,nj->pij", w, lights, lights)
-    b = np.einsum("pn,ni,pn->pi", w, lights, v)
-    bad = np.abs(np.linalg.det(a)) < 1e-12
+    """The weighted least-squares solution of every row of v, by orthogonal factors; singular ones by a pseudoinverse."""
+    root = np.sqrt(w)
+    q, r = np.linalg.qr(root[:, :, None] * lights[None])
+    b = np.einsum("pni,pn->pi", q, root * v)
+    size = np.abs(np.diagonal(r, axis1=1, axis2=2))
+    bad = size.min(axis=1) <= 1e-12 * np.maximum(size.max(axis=1), 1e-300)
     out = np.zeros_like(b)
     if (~bad).any():
-        out[~bad] = np.linalg.solve(a[~bad], b[~bad][..., None])[..., 0]
+        out[~bad] = np.linalg.solve(r[~bad], b[~bad][..., None])[..., 0]
     for i in np.flatnonzero(bad):
-        out[i] = np.linalg.pinv(a[i]) @ b[i]
+        out[i] = np.linalg.pinv(root[i][:, None] * lights) @ (root[i] * v[i])
     return out
 
 
@@ -79,23 +81,21 @@ def normals_l1(pixels: DataFrame, lights: np.ndarray, *, rounds: int = 1000, tol
     return batched(pixels, solve)
 
 
-def normals_sbl(pixels: DataFrame, lights: np.ndarray, *, fit: float = 1e-6, least: float = 1e-8, rounds: int = 1000, tol: float = 1e-8) -> DataFrame:
-    """Sparse Bayesian errors: each light's error has a variance of its own, learnt with the normal."""
+def normals_sbl(pixels: DataFrame, lights: np.ndarray, *, prior: float = 1.0, ridge: float = 1e-6, least: float = 1e-8, rounds: int = 1000, tol: float = 1e-8) -> DataFrame:
+    """Sparse Bayesian errors: each light's error has a variance of its own, its squared residual plus the posterior's share."""
+    eye = np.eye(3)
 
     def solve(v: np.ndarray) -> np.ndarray:
-        x = _weighted(lights, np.ones_like(v), v)
-        gamma = np.ones_like(v)
-        live = np.ones(len(v), bool)
+        x, variance, live = np.full((len(v), 3), 1000.0), np.ones_like(v), np.ones(len(v), bool)
         for _ in range(rounds):
             at = np.flatnonzero(live)
             if not len(at):
                 break
-            w = 1 / (gamma[at] + fit)
-            new = _weighted(lights, w, v[at])
-            res = v[at] - new @ lights.T
-            shrink = gamma[at] * w
-            gamma[at] = np.maximum((shrink * res) ** 2 + gamma[at] * (1 - shrink), least)
-            live[at] = np.linalg.norm(new - x[at], axis=1) > tol
+            moments = np.einsum("pn,ni,nj->pij", 1 / variance[at], lights, lights)
+            new = np.linalg.solve(moments + ridge * eye, np.einsum("pn,ni->pi", v[at] / variance[at], lights)[..., None])[..., 0]
+            posterior = np.einsum("ni,pij,nj->pn", lights, np.linalg.inv(moments + prior * eye), lights)
+            variance[at] = np.maximum((v[at] - new @ lights.T) ** 2 + posterior, least)
+            live[at] = np.linalg.norm(new - x[at], axis=1) >= tol
             x[at] = new
         return _unit(x)
 
