@@ -13,7 +13,7 @@ import numpy as np
 
 
 class ChunkEncoder:
-    """``encode`` maps strings to id sequences; the result of ``encode_texts`` is the ids' bytes in ``dtype``."""
+    """``encode`` maps strings to id sequences or their bytes; the result of ``encode_texts`` is the ids' bytes in ``dtype``."""
 
     def __init__(self, encode: Callable[[list[str]], list], dtype: str, limit: int = 1_000_000) -> None:
         self.encode, self.dtype, self.limit = encode, np.dtype(dtype), limit
@@ -21,7 +21,7 @@ class ChunkEncoder:
         self.odd: set[str] = set()
 
     def _bytes(self, strings: list[str]) -> list[bytes]:
-        return [np.asarray(x, self.dtype).tobytes() for x in self.encode(strings)] if strings else []
+        return [x if isinstance(x, bytes) else np.asarray(x, self.dtype).tobytes() for x in self.encode(strings)] if strings else []
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]

@@ -14,6 +14,7 @@ record, in the order of their texts; a null key is kept as null and sorts first;
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -51,16 +52,57 @@ def unframe(data: memoryview, at: int) -> tuple[memoryview, int]:
     return payload, at + 17 + n
 
 
-def _listed(tokenizer) -> Callable[[list[str]], list]:
-    """Encode many short strings, thousands in a call: each goes through the whole tokenizer as one given word."""
-
-    def encode(texts: list[str]) -> list:
-        out: list = []
-        for at in range(0, len(texts), 5000):
-            part = texts[at : at + 5000]
-            done = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, cuts = done.ids, np.searchsorted(np.array(done.word_ids), np.arange(len(part) + 1)).tolist()
-            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+_MARKED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+
+
+def _listed(tokenizer, width: str) -> Callable[[list[str]], list[bytes]]:
+    """Encode many short strings to the bytes of their ids.
+
+    A space and letters, and marks behind them, are what the split pattern takes as one or two pieces. Such letters go to the
+    library's model, thousands in a call, as words that are split already; marks and all else go through the whole tokenizer.
+    """
+    from tokenizers import Tokenizer
+
+    model = Tokenizer(tokenizer.model)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    # the byte-level alphabet: visible Latin-1 bytes stand for themselves, the others follow from U+0100 on
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    table = {b: chr(256 + i) for i, b in enumerate(hidden)}
+    space, size = table[32], np.dtype(width).itemsize
+    opens = np.zeros(max(vocabulary.values()) + 1, bool)
+    opens[[i for x, i in vocabulary.items() if x[0] == space]] = True
+    marks: dict[str, bytes] = {"": b""}
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, width).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out: list = [None] * len(texts)
+        words, of, tails, rest = [], [], [], []
+        for i, x in enumerate(texts):
+            word, tail = x[1:], ""
+            if x[:1] != " " or not word.isalpha():
+                m = _MARKED.fullmatch(word) if x[:1] == " " else None
+                if m is None or not m[1].isalpha():
+                    rest.append(i)
+                    continue
+                word, tail = m[1], m[2]
+            words.append(space + (word if word.isascii() else word.encode().decode("latin-1").translate(table)))
+            of.append(i)
+            tails.append(tail)
+        fresh = list(set(tails) - marks.keys())
+        if len(marks) + len(fresh) > 100_000:
+            marks.clear()
+            fresh = list(set(tails))
+        marks.update(zip(fresh, whole(fresh), strict=True))
+        for at in range(0, len(words), 5000):
+            ids = np.array(model.encode_batch_fast([words[at : at + 5000]], is_pretokenized=True, add_special_tokens=False)[0].ids)
+            cuts = (size * np.append(np.flatnonzero(opens[ids]), len(ids))).tolist()
+            data = ids.astype(width).tobytes()
+            for i, tail, a, b in zip(of[at : at + 5000], tails[at : at + 5000], cuts[:-1], cuts[1:], strict=True):
+                out[i] = data[a:b] + marks[tail]
+        for i, data in zip(rest, whole([texts[i] for i in rest]), strict=True):
+            out[i] = data
         return out
 
     return encode
@@ -76,7 +118,7 @@ def tokenizer_encoder(path: str, width: str) -> ChunkEncoder:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _encoders[path, width] = ChunkEncoder(_listed(t), width)
+        _encoders[path, width] = ChunkEncoder(_listed(t, width), width)
     return _encoders[path, width]
 
 
