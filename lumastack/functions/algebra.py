@@ -36,14 +36,14 @@ def matmul(columns: list[str], matrix: np.ndarray, shift: np.ndarray | None = No
     return apply(*columns)
 
 
-def gram(df: DataFrame, columns: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
-    """(n, sums, second moments) of the rows' lists end to end: one small matrix a partition, summed by Spark."""
+def gram(df: DataFrame, columns: list[str], shift: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """(n, sums, second moments) of the rows' lists end to end, less ``shift``: one small matrix a partition, summed by Spark."""
 
     def task(batches):
         n, total, second = 0, None, None
         for pdf in batches:
             if len(pdf):
-                v = np.hstack([stacked(pdf[c]) for c in columns])
+                v = np.hstack([stacked(pdf[c]) for c in columns]) - shift
                 n += len(v)
                 total = v.sum(axis=0) if total is None else total + v.sum(axis=0)
                 second = v.T @ v if second is None else second + v.T @ v

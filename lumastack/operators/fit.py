@@ -171,9 +171,10 @@ def sample_pixels(pixels: DataFrame, width: int, height: int, ram_mb: float, dim
 
 def covariance(pixels: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(mean, covariance / (n - 1)) of the rows' lists end to end."""
-    n, total, second = gram(pixels, columns)
+    shift = 127.5  # the middle of the values, so that little cancels
+    n, total, second = gram(pixels, columns, shift)
     mean = total / max(n, 1)
-    return mean, (second - n * np.outer(mean, mean)) / max(n - 1, 1)
+    return mean + shift, (second - n * np.outer(mean, mean)) / max(n - 1, 1)
 
 
 def pca_basis(pixels: DataFrame, n: int, columns: tuple[str, ...] = CHANNELS) -> tuple[np.ndarray, np.ndarray]:

@@ -160,7 +160,7 @@ def c15(spark, d):
     return C.sample_pixels(X.pixels(spark, d, "d"), w, h, 500, 48).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a12_covariance_trace", """WITH v AS (SELECT vec_id, unnest(embedding) AS e FROM embeddings), q AS (SELECT vec_id, greatest(0.0::DOUBLE, least(255.0::DOUBLE, round(127.5+255*CAST(e AS DOUBLE)))) AS v, row_number() OVER (PARTITION BY vec_id) AS i FROM v)
+@query("a12_covariance_trace", """WITH v AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings), q AS (SELECT vec_id, greatest(0.0::DOUBLE, least(255.0::DOUBLE, round(127.5+255*CAST(e AS DOUBLE)))) AS v, i FROM v)
     SELECT round(3*sum(s), 3) AS trace FROM (SELECT i, var_samp(v) AS s FROM q GROUP BY i)""")
 def a12(spark, d):
     _, cov = C.covariance(X.vectors(spark, d), ["r", "g", "b"])
