@@ -25,9 +25,10 @@ class ChunkEncoder:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
-        get = self.cache.get
+        cache = self.cache
+        get = cache.get
         found = [list(map(get, p)) for p in parts]
-        fresh = {w for p, f in zip(parts, found, strict=True) if None in f[1:] for w, x in zip(p, f, strict=True) if x is None}
+        fresh = {w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None}
         if len(self.cache) + len(fresh) > self.limit:
             self.cache.clear()
             self.odd.clear()
@@ -41,8 +42,7 @@ class ChunkEncoder:
             if self.odd and not self.odd.isdisjoint(p[1:]) and any((not b or b[0].isspace()) and (not a or a[-1].isspace()) for a, b in zip(p, p[1:], strict=False)):
                 out.append(self._bytes([text])[0])
                 continue
-            ids = f[1:]
-            if None in ids:
-                ids = map(get, p[1:])
-            out.append(head + b"".join(ids))
+            ids = [cache[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f
+            ids[0] = head
+            out.append(b"".join(ids))
         return out
