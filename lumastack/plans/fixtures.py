@@ -104,10 +104,10 @@ def measures(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select((F.col("s_nationkey") % 5).cast("string").alias("dataset"), s.alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.0).alias("x2"), F.col("s_nationkey").cast("double").alias("y2"), F.abs("s_acctbal").cast("double").alias("length"))
 
 
-def border(spark: SparkSession, d: str) -> DataFrame:
+def border(spark: SparkSession, d: str, noise: float = 0.001) -> DataFrame:
     """Border points of spheres: noisy circles, one for each nation, of its customers."""
     t = F.col("c_custkey") * 0.7
-    r = 50 + F.col("c_nationkey") + F.lit(0.001) * (F.col("c_custkey") % 5)
+    r = 50 + F.col("c_nationkey") + F.lit(noise) * (F.col("c_custkey") % 5)
     return table(spark, d, "customer").select(F.lit("d").alias("dataset"), F.col("c_nationkey").cast("int").alias("sphere_id"), (100 + r * F.cos(t)).alias("x"), (80 + r * F.sin(t)).alias("y"))
 
 

@@ -139,9 +139,9 @@ def l8(spark, d):
     return rounded(L.parallax_positions(_rays(spark, d)).drop("dataset"), digits=3)
 
 
-@query("a14_fit_ellipse", sql("border", f"SELECT sphere_id, count(*) AS n, {R('round(avg(sqrt(pow(x-100,2)+pow(y-80,2))),1)',1)} AS major FROM border GROUP BY 1"))
+@query("a14_fit_ellipse", sql("border", f"SELECT sphere_id, count(*) AS n, CASE WHEN count(*) >= 5 THEN 50.0::DOUBLE + sphere_id END AS major FROM border GROUP BY 1"))
 def a14(spark, d):
-    e = L.fit_ellipse(X.border(spark, d))
+    e = L.fit_ellipse(X.border(spark, d, 0.0))
     return e.select("sphere_id", "n", (F.round(F.round((F.col("major") + F.col("minor")) / 2, 1), 1) + 0.0).alias("major"))
 
 
@@ -239,7 +239,7 @@ def t4t(spark, d):
     return _tiles(spark, d).where(F.col("level") == top).select("col", "row", "x0", "y0", "w", "h", F.length("payload").alias("bytes"))
 
 
-@query("t5_tile_paths", sql("w ord", """WITH t AS (SELECT c, q FROM w, range(20) a(c), range(20) b(q) WHERE c<(w+63)//64 AND q<(h+63)//64) SELECT '2/' || c || '_' || q || '.jpg' AS deepzoom, '2/' || q || '/' || c || '.jpg' AS google FROM t WHERE (SELECT max(w) FROM w) > 64""").replace("'2/'", "(SELECT CASE WHEN max(w)>256 THEN '3/' ELSE '2/' END FROM w)"))
+@query("t5_tile_paths", sql("w ord", """WITH t AS (SELECT c, q FROM w, range(20) a(c), range(20) b(q) WHERE c<(w+63)//64 AND q<(h+63)//64) SELECT '2/' || c || '_' || q || '.jpg' AS deepzoom, '2/' || q || '/' || c || '.jpg' AS google FROM t""").replace("'2/'", "(SELECT CASE WHEN max(w)>256 THEN '3/' WHEN max(w)>64 THEN '2/' ELSE '0/' END FROM w)"))
 def t5(spark, d):
     w, h = X.sizes(spark, d)
     t = _tiles(spark, d).drop("payload").where(F.col("level") == T.n_levels(w, h, 64) - 1)
@@ -354,7 +354,7 @@ def f6(spark, d):
 @query("f7_flatten_points_heights")
 def f7(spark, d):
     w, h = X.height_size(spark, d)
-    rows = X.heights(spark, d).where("(x * 7 + y * 3) % 199 = 5").orderBy("y", "x").limit(12).collect()  # picked points
+    rows = X.heights(spark, d).where("(x * 7 + y * 3) % 19 = 5").orderBy("y", "x").limit(12).collect()  # picked points
     return rounded(FL.flatten_points_heights(X.heights(spark, d), FL.point_model([(r["x"], r["y"], r["z"]) for r in rows], w, h, True), w, h))
 
 
