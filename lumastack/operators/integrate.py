@@ -35,7 +35,7 @@ def integrate_fft(normals: DataFrame, width: int, height: int, scale: str = "tru
 
     spectrum = fft2(p, [("pr", "pi"), ("qr", "qi")], pad=pad, finish=solve).select("dataset", "x", "y", "pr", "pi")
     back = fft2(spectrum, [("pr", "pi")], inverse=True)
-    gain = 1 / (4 * np.sqrt(2)) if scale == "reference" else 1 / (2 * np.pi)
+    gain = 1 / (4 * np.sqrt(2)) if scale == "compat" else 1 / (2 * np.pi)
     inside = back.where((F.col("x") >= k) & (F.col("x") < k + width) & (F.col("y") >= k) & (F.col("y") < k + height))
     return inside.select("dataset", (F.col("x") - k).cast("int").alias("x"), (F.col("y") - k).cast("int").alias("y"), (F.col("pr") * float(gain)).alias("z"))
 

@@ -1,4 +1,4 @@
-"""Relighting, quality, and what viewers derive."""
+"""Re-illumination, quality, and what viewers derive."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ def light_rows(spark, weights: np.ndarray, mean: np.ndarray | None = None) -> Da
     return spark.createDataFrame(rows, "light_id int, w array<double>, m array<double>")
 
 
-def relight(coeff: DataFrame, lights: DataFrame, colorspace: str = "rgb", k: int | None = None, base: int = 0) -> DataFrame:
+def illuminate(coeff: DataFrame, lights: DataFrame, colorspace: str = "rgb", k: int | None = None, base: int = 0) -> DataFrame:
     """(dataset, light_id, x, y, r, g, b) of coefficients (dataset, x, y, c) under every light of ``light_rows``.
 
     rgb: c holds r, g, b of each term; w is a weight a term. lrgb: c is the base colour and luma terms. ycc: luma terms, then
@@ -86,7 +86,7 @@ def leave_one_out(pixels: DataFrame, samples: DataFrame, lights: np.ndarray, bas
     cut = lambda c: F.concat(F.slice(c, F.lit(1), F.lit(k)), F.slice(c, F.lit(k + 2), F.lit(len(rest)))) if k else F.slice(c, F.lit(2), F.lit(len(rest)))
     coeff = fit_poly(pixels.withColumns({c: cut(c) for c in CHANNELS}), lights[rest], basis, n)
     one = light_rows(pixels.sparkSession, weights_of(lights[[k]], basis, n)).withColumn("light_id", F.lit(k))
-    whole = reconstruction_error(samples.where(F.col("light_id") == k), relight(coeff, one))[1]
+    whole = reconstruction_error(samples.where(F.col("light_id") == k), illuminate(coeff, one))[1]
     x, y = float(lights[k, 0]), float(lights[k, 1])
     told = {"type": F.lit(basis), "colorspace": F.lit("rgb"), "nplanes": F.lit(3 * n), "k": F.lit(k), "elevation": F.lit(math.asin(min(1.0, math.hypot(x, y)))), "lx": F.lit(x), "ly": F.lit(y)}
     return whole.withColumns(told)

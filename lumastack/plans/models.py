@@ -264,26 +264,26 @@ _WA = C.weights_of(LIGHTS, "ptm", 6) @ _PTM
 _BYTE = lambda e: f"CAST(greatest(0,least(trunc(round({e},9)),255)) AS INT)"
 
 
-@query("r1_relight_rgb", sql("stack", f"WITH {matrix('m', _WR)} SELECT dataset, CAST(i AS INT) AS light_id, x, y, {_BYTE('round(sum(w*r),5)')} AS r, {_BYTE('round(sum(w*g),5)')} AS g, {_BYTE('round(sum(w*b),5)')} AS b FROM stack JOIN m ON j=light_id GROUP BY 1,2,3,4"))
+@query("r1_illuminate_rgb", sql("stack", f"WITH {matrix('m', _WR)} SELECT dataset, CAST(i AS INT) AS light_id, x, y, {_BYTE('round(sum(w*r),5)')} AS r, {_BYTE('round(sum(w*g),5)')} AS g, {_BYTE('round(sum(w*b),5)')} AS b FROM stack JOIN m ON j=light_id GROUP BY 1,2,3,4"))
 def r1(spark, d):
     c = C.fit_poly(X.pixels(spark, d), LIGHTS, "ptm", 6).withColumn("c", F.transform("c", lambda v: F.round(v, 8)))
-    return V.relight(c, V.light_rows(spark, C.weights_of(_REQ, "ptm", 6)))
+    return V.illuminate(c, V.light_rows(spark, C.weights_of(_REQ, "ptm", 6)))
 
 
 @query("j3_coefficients_by_lights", sql("ord", "SELECT CAST(i AS INT) AS light_id, count(*) AS n FROM ord, range(3) a(i) GROUP BY 1"))
 def j3(spark, d):
     c = C.fit_poly(X.pixels(spark, d), LIGHTS, "ptm", 6)
-    return V.relight(c, V.light_rows(spark, C.weights_of(_REQ, "ptm", 6))).groupBy("light_id").agg(F.count(F.lit(1)).alias("n"))
+    return V.illuminate(c, V.light_rows(spark, C.weights_of(_REQ, "ptm", 6))).groupBy("light_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r1_relight_lrgb")
+@query("r1_illuminate_lrgb")
 def r1l(spark, d):
-    return V.relight(C.fit_lrgb(X.pixels(spark, d), LIGHTS, 6), V.light_rows(spark, C.weights_of(_REQ, "ptm", 6)), "lrgb")
+    return V.illuminate(C.fit_lrgb(X.pixels(spark, d), LIGHTS, 6), V.light_rows(spark, C.weights_of(_REQ, "ptm", 6)), "lrgb")
 
 
-@query("r1_relight_ycc")
+@query("r1_illuminate_ycc")
 def r1y(spark, d):
-    return V.relight(C.fit_ycc(C.fit_poly(X.pixels(spark, d), LIGHTS, "ptm", 6), 6), V.light_rows(spark, C.weights_of(_REQ, "ptm", 6)), "ycc")
+    return V.illuminate(C.fit_ycc(C.fit_poly(X.pixels(spark, d), LIGHTS, "ptm", 6), 6), V.light_rows(spark, C.weights_of(_REQ, "ptm", 6)), "ycc")
 
 
 def _pca_lights(spark, d, n):
@@ -294,10 +294,10 @@ def _pca_lights(spark, d, n):
     return C.project(pixels, mean, basis), V.light_rows(spark, w, of(mean))
 
 
-@query("r1_relight_mrgb")
+@query("r1_illuminate_mrgb")
 def r1m(spark, d):
     c, rows = _pca_lights(spark, d, 6)
-    return V.relight(c, rows, "mrgb")
+    return V.illuminate(c, rows, "mrgb")
 
 
 _ERR = f"e AS (SELECT s.dataset, i AS light_id, s.x, s.y, {_BYTE('round(sum(w*s.r),5)')} AS r, {_BYTE('round(sum(w*s.g),5)')} AS g, {_BYTE('round(sum(w*s.b),5)')} AS b FROM stack s JOIN m ON j=s.light_id GROUP BY 1,2,3,4), q AS (SELECT s.dataset, s.light_id, s.x, s.y, pow(s.r-e.r,2)+pow(s.g-e.g,2)+pow(s.b-e.b,2) AS d2 FROM stack s JOIN e ON e.dataset=s.dataset AND e.light_id=s.light_id AND e.x=s.x AND e.y=s.y)"
@@ -305,7 +305,7 @@ _ERR = f"e AS (SELECT s.dataset, i AS light_id, s.x, s.y, {_BYTE('round(sum(w*s.
 
 def _rendered(spark, d):
     c = C.fit_poly(X.pixels(spark, d), LIGHTS, "ptm", 6).withColumn("c", F.transform("c", lambda v: F.round(v, 8)))
-    return V.relight(c, V.light_rows(spark, C.weights_of(LIGHTS, "ptm", 6)))
+    return V.illuminate(c, V.light_rows(spark, C.weights_of(LIGHTS, "ptm", 6)))
 
 
 @query("q1_reconstruction_error", sql("stack", f"WITH {matrix('m', _WA)}, {_ERR} SELECT dataset, light_id, {R('avg(d2)/3', 4)} AS mse, {R('20*log10(255)-10*log10(avg(d2)/3)', 4)} AS psnr, {R('sqrt(avg(d2)/3)', 4)} AS rmse FROM q GROUP BY 1,2"))

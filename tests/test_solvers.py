@@ -46,12 +46,12 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert normals.angular_error(spark.table("stream_normals"), X.truth(spark, SMALL)).agg(F.max("degrees"), F.count(F.lit(1))).first()[0] < 1e-4
 
 
-def test_relighting_fitted_lights_gives_the_input_back(spark):
+def test_rendering_fitted_lights_gives_the_input_back(spark):
     px = X.pixels(spark, SMALL).where("x < 5")
     mean, basis = fit.pca_basis(px, 3)
     of = lambda v: np.stack([v[c * 16 + np.arange(16)] for c in range(3)], axis=1)
     rows = render.light_rows(spark, np.stack([of(b) for b in basis], axis=1).reshape(16, 9), of(mean))
-    got = render.relight(fit.project(px, mean, basis), rows, "mrgb")
+    got = render.illuminate(fit.project(px, mean, basis), rows, "mrgb")
     light = render.reconstruction_error(X.stack(spark, SMALL).where("x < 5"), got)[1].collect()
     assert all(r["rmse"] < 1.01 for r in light)
     assert np.allclose(basis @ basis.T, np.eye(3), atol=1e-9)
