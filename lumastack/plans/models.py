@@ -300,6 +300,28 @@ def r1m(spark, d):
     return V.illuminate(c, rows, "mrgb")
 
 
+@query("r1_illuminate_mycc")
+def r1my(spark, d):
+    pixels, planes = X.pixels(spark, d), (5, 2, 2)
+    names = ("yl", "co", "cg")
+    bases = C.pca_basis_ycc(pixels, planes)
+    rows = C.to_ycc_pixels(pixels)
+    parts = [C.project(rows, m, b, (c,)).select("dataset", "x", "y", F.col("c").alias(c)) for c, (m, b) in zip(names, bases, strict=True)]
+    both = parts[0].join(parts[1], ["dataset", "x", "y"]).join(parts[2], ["dataset", "x", "y"])
+    order = C.ycc_plane_order(planes)
+    coeff = both.select("dataset", "x", "y", F.array(*[F.get(names[c], F.lit(p)) for c, p in order]).alias("c"))
+    w = np.stack([bases[c][1][p] for c, p in order], axis=1)
+    return V.illuminate(coeff, V.light_rows(spark, w, np.stack([m for m, _ in bases], axis=1)), "mycc", base=planes[1])
+
+
+@query("c7_resample_positional")
+def c7p(spark, d):
+    w, h = X.sizes(spark, d)
+    at = C.node_lights(X.POSITIONS, w, h, 0.1)
+    maps = np.stack([C.resample_map(v, 8, 0.3) for v in at])
+    return long(C.blended(X.pixels(spark, d).where("dataset = 'P'"), maps, w, h))
+
+
 _ERR = f"e AS (SELECT s.dataset, i AS light_id, s.x, s.y, {_BYTE('round(sum(w*s.r),5)')} AS r, {_BYTE('round(sum(w*s.g),5)')} AS g, {_BYTE('round(sum(w*s.b),5)')} AS b FROM stack s JOIN m ON j=s.light_id GROUP BY 1,2,3,4), q AS (SELECT s.dataset, s.light_id, s.x, s.y, pow(s.r-e.r,2)+pow(s.g-e.g,2)+pow(s.b-e.b,2) AS d2 FROM stack s JOIN e ON e.dataset=s.dataset AND e.light_id=s.light_id AND e.x=s.x AND e.y=s.y)"
 
 

@@ -57,6 +57,13 @@ def test_rendering_fitted_lights_gives_the_input_back(spark):
     assert np.allclose(basis @ basis.T, np.eye(3), atol=1e-9)
 
 
+def test_luma_planes_give_the_input_back(spark):
+    from lumastack.plans import registered
+
+    got = registered()[0]["r1_illuminate_mycc"](spark, SMALL)
+    assert all(r["rmse"] < 1.5 for r in render.reconstruction_error(X.stack(spark, SMALL), got)[1].collect())
+
+
 def test_weights_agree_with_columns(spark):
     from lumastack.functions import light_bases as lb
 
