@@ -50,7 +50,10 @@ def n1_s11(spark, d):
     return N.encode_normals(N.fix_normals(N.normals_l2(X.stack(spark, d), X.lights(spark, d))))
 
 
-@query("n1_normals_positional")
+@query("n1_normals_positional", sql("stack lightpos", f"""WITH q AS (SELECT s.dataset, x, y, (r+g+b)/3 AS v, px-0.1::DOUBLE*(x-w/2.0::DOUBLE) AS a, py-0.1::DOUBLE*(h-1-y-h/2.0::DOUBLE) AS b, pz AS c FROM stack s JOIN lightpos l ON l.dataset=s.dataset AND l.light_id=s.light_id, w), u AS (SELECT dataset, x, y, v, a/sqrt(a*a+b*b+c*c) AS lx, b/sqrt(a*a+b*b+c*c) AS ly, c/sqrt(a*a+b*b+c*c) AS lz FROM q),
+    m AS (SELECT dataset, x, y, sum(lx*lx) xx, sum(lx*ly) xy, sum(lx*lz) xz, sum(ly*ly) yy, sum(ly*lz) yz, sum(lz*lz) zz, sum(v*lx) bx, sum(v*ly) by_, sum(v*lz) bz FROM u GROUP BY 1,2,3),
+    v AS (SELECT dataset, x, y, (yy*zz-yz*yz)*bx+(xz*yz-xy*zz)*by_+(xy*yz-xz*yy)*bz AS a, (xz*yz-xy*zz)*bx+(xx*zz-xz*xz)*by_+(xy*xz-xx*yz)*bz AS b, (xy*yz-xz*yy)*bx+(xy*xz-xx*yz)*by_+(xx*yy-xy*xy)*bz AS c FROM m)
+    SELECT dataset, x, y, {R('a/sqrt(a*a+b*b+c*c)')} AS nx, {R('b/sqrt(a*a+b*b+c*c)')} AS ny, {R('c/sqrt(a*a+b*b+c*c)')} AS nz FROM v"""))
 def n1p(spark, d):
     w, h = X.sizes(spark, d)
     return rounded(N.normals_l2_positional(X.stack(spark, d), X.lights(spark, d), width=w, height=h, pixel=0.1))

@@ -276,12 +276,17 @@ def j3(spark, d):
     return V.illuminate(c, V.light_rows(spark, C.weights_of(_REQ, "ptm", 6))).groupBy("light_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r1_illuminate_lrgb")
+@query("r1_illuminate_lrgb", sql("stack", f"""WITH {matrix('m', _WR)}, {values('wl', 'light_id, u', [(i, v) for i, v in enumerate(_WL / _WL.sum())])}, b AS (SELECT dataset, x, y, sum(u*r) AS br, sum(u*g) AS bg, sum(u*b) AS bb FROM stack JOIN wl ON wl.light_id=stack.light_id GROUP BY 1,2,3),
+    l AS (SELECT s.dataset, s.x, s.y, i, any_value(br) AS br, any_value(bg) AS bg, any_value(bb) AS bb, sum(w*(r+g+b))/any_value((br+bg+bb)/255) AS luma FROM stack s JOIN b ON b.dataset=s.dataset AND b.x=s.x AND b.y=s.y JOIN m ON j=light_id GROUP BY 1,2,3,4)
+    SELECT dataset, CAST(i AS INT) AS light_id, x, y, {_BYTE('luma*br/255')} AS r, {_BYTE('luma*bg/255')} AS g, {_BYTE('luma*bb/255')} AS b FROM l"""))
 def r1l(spark, d):
     return V.illuminate(C.fit_lrgb(X.pixels(spark, d), LIGHTS, 6), V.light_rows(spark, C.weights_of(_REQ, "ptm", 6)), "lrgb")
 
 
-@query("r1_illuminate_ycc")
+@query("r1_illuminate_ycc", sql("stack", f"""WITH {matrix('m', _WR)}, {matrix('q', _PTM[:3])}, t AS (SELECT dataset, x, y, q.i, sum(w*r)/255 AS r, sum(w*g)/255 AS g, sum(w*b)/255 AS b FROM stack JOIN q ON j=light_id GROUP BY 1,2,3,4),
+    k AS (SELECT dataset, x, y, avg((b-(0.299::DOUBLE*r+0.587::DOUBLE*g+0.114::DOUBLE*b))/1.772::DOUBLE) AS cb, avg((r-(0.299::DOUBLE*r+0.587::DOUBLE*g+0.114::DOUBLE*b))/1.402::DOUBLE) AS cr FROM t GROUP BY 1,2,3),
+    l AS (SELECT dataset, x, y, i, sum(w*(0.299::DOUBLE*r+0.587::DOUBLE*g+0.114::DOUBLE*b))/255 AS yy FROM stack JOIN m ON j=light_id GROUP BY 1,2,3,4)
+    SELECT l.dataset, CAST(i AS INT) AS light_id, l.x, l.y, {_BYTE('255*(yy+1.402::DOUBLE*cr)')} AS r, {_BYTE('255*(yy-0.299::DOUBLE*(yy+1.402::DOUBLE*cr)-0.114::DOUBLE*(yy+1.772::DOUBLE*cb))/0.587::DOUBLE')} AS g, {_BYTE('255*(yy+1.772::DOUBLE*cb)')} AS b FROM l JOIN k ON k.dataset=l.dataset AND k.x=l.x AND k.y=l.y"""))
 def r1y(spark, d):
     return V.illuminate(C.fit_ycc(C.fit_poly(X.pixels(spark, d), LIGHTS, "ptm", 6), 6), V.light_rows(spark, C.weights_of(_REQ, "ptm", 6)), "ycc")
 
