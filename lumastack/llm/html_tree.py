@@ -1,17 +1,19 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host are merged into one tree of style nodes: a node is a path of element labels (tag, class, id, role).
-Each node has the pages that hold it, its presentations (sequences of child labels) and its contents (block texts). Over
-the m pages of a node, a content that c pages hold has the entropy log c / log m; the node's content importance is 1 less
-the mean of these, and its presentation importance the entropy of its presentations, both in [0, 1]. A branch's importance
-is (1 - ``weight``) times its node's presentation importance and ``weight`` times the content importance of all below it.
-Branches of low importance, seen on at least ``min_pages`` pages, are removed from every page of the host; so are elements
-that are never main text by their tag or name. Where a page has article or main elements, its text is theirs, and plain
-text elements directly in them are kept whatever they hold, as the pages of a host may be copies of one article.
+Each node has the pages that hold it, its presentations (sequences of child labels) and its contents (block texts). Pages
+of a host with the same body (all text that may be main text) count as one, so that copies of an article do not lower its
+importance. Over the m pages of a node, a content that c pages hold has the entropy log c / log m; the node's content
+importance is 1 less the mean of these, and its presentation importance the entropy of its presentations, both in [0, 1].
+A branch's importance is (1 - ``weight``) times its node's presentation importance and ``weight`` times the content
+importance of all below it. A block is removed if its node is on at least ``min_pages`` pages and of low importance, or if
+its text alone is on as many pages of the node and of low importance (1 less its entropy), inside articles as elsewhere; so
+are elements that are never main text by their tag or name. Where a page has article or main elements, its text is theirs.
 
 Cases: a null or empty page and one without main text give an empty string; unclosed, crossed and cut tags are closed as
-they stand; a null url is a host of its own; repeated rows give a row each and count once each; other columns are ignored;
-an empty table gives an empty result. Pages of any length are read whole.
+they stand; a null url is a host of its own; repeated rows give a row each and count once; other columns are ignored;
+an empty table gives an empty result. Pages of any length are read whole. Near copies that differ in few blocks are pages
+of their own, and the blocks that they share count on each.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .scratch import shared_dir, stored
 
 IMPORTANCE, WEIGHT, MIN_PAGES = 0.3, 0.9, 4
-BROADCAST_ROWS, SALTS = 50_000, 32
+BROADCAST_ROWS, SALTS, NODE_ROWS = 50_000, 32, 100_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -43,7 +44,6 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 NEVER = set("head nav footer aside form button dialog menu label input".split()) | RAW
 NEVER_NAMES = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer masthead menu modal nav navbar navigation newsletter notice pagination popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar".split())
 MAIN = {"article", "main"}
-FLOW = set("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol li dl dt dd table tbody tr td th figure figcaption".split())
 
 
 def node_id(path: str) -> int:
@@ -51,7 +51,7 @@ def node_id(path: str) -> int:
 
 
 class Element:
-    __slots__ = ("children", "flow", "inside", "label", "never", "path", "tag", "up")
+    __slots__ = ("children", "inside", "label", "never", "path", "tag", "up")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
         names = sorted((a.lower(), b or c or d) for a, b, c, d in _ATTR.findall(attributes)) if attributes else []
@@ -61,12 +61,10 @@ class Element:
         words = {w.lower() for _, v in names for w in _NAME.findall(v)} if names else set()
         self.inside = tag in MAIN or bool(parent and parent.inside)
         self.never = bool(parent and parent.never) or tag in NEVER or bool(words & NEVER_NAMES and tag not in ("html", "body")) or (tag == "header" and not self.inside)
-        # nothing but plain text elements between this one and the article
-        self.flow = self.inside and (tag in MAIN or (bool(parent and parent.flow) and tag in FLOW and not names))
 
 
 def parsed(page: str) -> tuple[list[tuple], list[tuple[str, str]]]:
-    """Blocks (paths of the elements around, text, never, inside, flow), in order, and (path, child labels) of all elements."""
+    """Blocks (paths of the elements around, text, never, inside, text's id), in order, and (path, child labels) of all elements."""
     root = Element("", "", None)
     stack, blocks, shapes, text = [root], [], [], []
 
@@ -76,7 +74,7 @@ def parsed(page: str) -> tuple[list[tuple], list[tuple[str, str]]]:
             text.clear()
             if block:
                 top = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
-                blocks.append((top.up, block, stack[-1].never, stack[-1].inside, top.flow))
+                blocks.append((top.up, block, stack[-1].never, stack[-1].inside, node_id(block)))
 
     def close() -> None:
         e = stack.pop()
@@ -142,24 +140,40 @@ def host_of(url: str | None) -> str:
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Style nodes of pages, counted: (host, path, kind, value, pages); kinds: 0 page, 1 presentation, 2 content."""
+    """Style nodes of pages: (host, path, kind, value, body); kinds: 0 page, 1 presentation, 2 content."""
     for batch in batches:
-        seen: Counter = Counter()
+        seen: set = set()
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host = host_of(url)
             blocks, shapes = parsed(page or "")
-            seen.update((host, path, 0, 0) for path in {p for p, _ in shapes})
-            seen.update((host, p, 1, node_id(s)) for p, s in set(shapes))
-            seen.update((host, u[-1], 2, node_id(t)) for u, t in {(u, t) for u, t, *_ in blocks})
+            body = node_id("\n".join(t for _, t, never, *_ in blocks if not never))
+            seen.update((host, path, 0, 0, body) for path in {p for p, _ in shapes})
+            seen.update((host, p, 1, node_id(s), body) for p, s in set(shapes))
+            seen.update((host, u[-1], 2, i, body) for u, _, _, _, i in blocks)
+            if len(seen) > NODE_ROWS:
+                yield _rows(seen)
+                seen = set()
         if seen:
-            columns = list(zip(*seen, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "path", "kind", "value", "pages"])
+            yield _rows(seen)
+
+
+def _rows(seen: set) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen, strict=True), types, strict=True)], ["host", "path", "kind", "value", "body"])
+
+
+def _counted(pages: DataFrame) -> DataFrame:
+    """(host, path, kind, value, c): the distinct page bodies that hold each part of a style node."""
+    rows = pages.select("url", "html").mapInArrow(_tree, "host string, path string, kind int, value long, body long").distinct()
+    return rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
 
 
 def style_tree(pages: DataFrame, *, weight: float = WEIGHT) -> DataFrame:
     """The merged trees: (host, path, pages, importance) of every style node."""
-    rows = pages.select("url", "html").mapInArrow(_tree, "host string, path string, kind int, value long, pages long")
-    counted = rows.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("c"))
+    return _scored(_counted(pages), weight)
+
+
+def _scored(counted: DataFrame, weight: float) -> DataFrame:
     # of presentations: sum of c log c; of contents: the number of values and the sum of log c
     nodes = counted.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("c"))).alias("m"),
@@ -168,7 +182,7 @@ def style_tree(pages: DataFrame, *, weight: float = WEIGHT) -> DataFrame:
         F.sum(F.when(F.col("kind") == 2, 1)).alias("values"),
         F.sum(F.when(F.col("kind") == 2, F.log("c"))).alias("value_logs"),
     )
-    nodes = stored(nodes, shared_dir(pages.sparkSession))
+    nodes = stored(nodes, shared_dir(counted.sparkSession))
     steps = F.split("path", "/(?![^\\[]*\\])")
     above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/")))
     below = nodes.where("values > 0").select("host", above.alias("path"), "values", "value_logs").groupBy("host", "path").agg(F.sum("values").alias("n"), F.sum("value_logs").alias("logs"))
@@ -185,14 +199,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
             low, blocks = set(low or ()), parsed(page or "")[0]
             main = any(inside for _, _, _, inside, _ in blocks)
-            out.append("\n".join(t for up, t, never, inside, flow in blocks if not never and (inside or not main) and (flow or low.isdisjoint(up))))
+            out.append("\n".join(t for up, t, never, inside, i in blocks if not never and (inside or not main) and up[-1] not in low and f"{up[-1]}\n{i}" not in low))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def main_texts(pages: DataFrame, *, importance: float = IMPORTANCE, weight: float = WEIGHT, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     spark = pages.sparkSession
-    low = style_tree(pages, weight=weight).where((F.col("pages") >= min_pages) & (F.col("importance") < importance))
+    counted = stored(_counted(pages), shared_dir(spark))
+    nodes = stored(_scored(counted, weight), shared_dir(spark)).where(F.col("pages") >= min_pages)
+    texts = counted.where((F.col("kind") == 2) & (F.col("c") >= min_pages)).join(nodes, ["host", "path"])
+    texts = texts.where(1 - F.log("c") / F.log("pages") < importance).select("host", F.concat_ws("\n", "path", F.col("value").cast("string")).alias("path"))
+    low = nodes.where(F.col("importance") < importance).select("host", "path").union(texts)
     low = stored(low.groupBy("host").agg(F.collect_set("path").alias("low")), shared_dir(spark))
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", F.regexp_replace(host, r"[\[\]]", "").alias("host"))
