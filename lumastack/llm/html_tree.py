@@ -8,7 +8,10 @@ importance is 1 less the mean of these, and its presentation importance the entr
 A branch's importance is (1 - ``weight``) times its node's presentation importance and ``weight`` times the content
 importance of all below it. A block is removed if its node is on at least ``min_pages`` pages and of low importance, or if
 its text alone is on as many pages of the node and of low importance (1 less its entropy), inside articles as elsewhere; so
-are elements that are never main text by their tag or name. Where a page has article or main elements, its text is theirs.
+are elements that are never main text by their tag or name. A name counts only where the element does not hold most of the
+page's text: an element with such a word within a longer name (no-sidebar), or around one article or main element with most
+of the text, is no boilerplate, unless articles elsewhere hold a quarter or more. Where blocks in article or main elements
+hold most of the text that is left, the page's text is theirs; else all that is left is.
 
 Cases: a null or empty page and one without main text give an empty string; unclosed, crossed and cut tags are closed as
 they stand; a null url is a host of its own; repeated rows give a row each and count once; other columns are ignored;
@@ -51,7 +54,7 @@ def node_id(path: str) -> int:
 
 
 class Element:
-    __slots__ = ("children", "inside", "label", "never", "path", "tag", "up")
+    __slots__ = ("article", "children", "exact", "inside", "label", "main", "named", "path", "tag", "tagged", "up")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
         names = sorted((a.lower(), b or c or d) for a, b, c, d in _ATTR.findall(attributes)) if attributes else []
@@ -60,7 +63,35 @@ class Element:
         self.up = (*parent.up, self.path) if parent else (self.path,)
         words = {w.lower() for _, v in names for w in _NAME.findall(v)} if names else set()
         self.inside = tag in MAIN or bool(parent and parent.inside)
-        self.never = bool(parent and parent.never) or tag in NEVER or bool(words & NEVER_NAMES and tag not in ("html", "body")) or (tag == "header" and not self.inside)
+        self.article = self if tag in MAIN else parent and parent.article
+        self.tagged = bool(parent and parent.tagged) or tag in NEVER or (tag == "header" and not self.inside)
+        # the elements around, this one included, whose names say that they are never main text
+        self.named, self.main, self.exact = parent.named if parent else (), False, False
+        if words & NEVER_NAMES and tag not in ("html", "body"):
+            self.named = (*self.named, self)
+            self.exact = any(w.lower() in NEVER_NAMES for _, v in names for w in v.split())
+
+    @property
+    def never(self) -> bool:
+        return self.tagged or any(not e.main for e in self.named)
+
+
+def _clear(blocks: list[tuple]) -> None:
+    """Clear the named elements that hold most of the text of ``blocks`` (paths, text, element)."""
+    free, total, held = 0, 0, {}
+    for _, text, e in blocks:
+        if e.tagged:
+            continue
+        total += len(text)
+        if not e.named and e.inside:
+            free += len(text)
+        for n in e.named:
+            within = e.article if e.article and len(e.article.up) > len(n.up) else None
+            if within or not n.exact:
+                key = (n, within if n.exact else None)
+                held[key] = held.get(key, 0) + len(text)
+    for (n, _), size in held.items():
+        n.main = n.main or (2 * size > total and 4 * free < total)
 
 
 def parsed(page: str) -> tuple[list[tuple], list[tuple[str, str]]]:
@@ -74,7 +105,7 @@ def parsed(page: str) -> tuple[list[tuple], list[tuple[str, str]]]:
             text.clear()
             if block:
                 top = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
-                blocks.append((top.up, block, stack[-1].never, stack[-1].inside, node_id(block)))
+                blocks.append((top.up, block, stack[-1]))
 
     def close() -> None:
         e = stack.pop()
@@ -129,7 +160,8 @@ def parsed(page: str) -> tuple[list[tuple], list[tuple[str, str]]]:
     flush()
     while stack:
         close()
-    return blocks, shapes
+    _clear(blocks)
+    return [(up, t, e.never, e.inside, node_id(t)) for up, t, e in blocks], shapes
 
 
 def host_of(url: str | None) -> str:
@@ -198,8 +230,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
             low, blocks = set(low or ()), parsed(page or "")[0]
-            main = any(inside for _, _, _, inside, _ in blocks)
-            out.append("\n".join(t for up, t, never, inside, i in blocks if not never and (inside or not main) and up[-1] not in low and f"{up[-1]}\n{i}" not in low))
+            left = [(t, inside) for up, t, never, inside, i in blocks if not never and up[-1] not in low and f"{up[-1]}\n{i}" not in low]
+            main = 2 * sum(len(t) for t, inside in left if inside) > sum(len(t) for t, _ in left)
+            out.append("\n".join(t for t, inside in left if inside or not main))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

@@ -12,3 +12,19 @@ def test_importance_decides_in_articles(spark):
     got = {r["page_id"]: r["text"] for r in html_tree.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
     assert all(got[i] == f"T{i}\nText {i}" for i in range(8))
     assert all(got[100 + i] == f"T{i // 30}\nText {i // 30}\nSubscribe for our letter\nAbout us" for i in range(60))
+
+
+def test_pages_by_where_most_text_is(spark):
+    text = "The body of the page is far longer than all that stands around it. " * 3
+    pages = {
+        "comments": f"<div>{text}</div><article class='comment'>One says</article><aside><article>Teaser</article></aside>",
+        "teaser": f"<div>{text}</div><article>A teaser</article>",
+        "wrapped": f"<div id='page' class='no-sidebar'><div>{text}</div><div class='sidebar'>Side</div></div>",
+        "named": f"<article class='social-policy'><p>{text}</p><div class='comments'>One says</div></article><div class='share'>Share</div>",
+        "around": f"<div class='page menu'><article><p>{text}</p></article><p>Beside</p></div>",
+        "discussed": f"<article><p>{text}</p></article><div class='comments-area'>{text}{text}</div>",
+    }
+    rows = [(i, f"http://{k}.org/x", f"<html><body>{v}</body></html>") for i, (k, v) in enumerate(pages.items())]
+    got = {r["url"][7:-6]: r["text"] for r in html_tree.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    whole = text.strip()
+    assert got == {**dict.fromkeys(pages, whole), "teaser": f"{whole}\nA teaser"}
