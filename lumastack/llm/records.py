@@ -9,7 +9,8 @@ its line end): a lost executor's attempt leaves nothing behind. The index is a P
 key, n_tokens), from which any order of reading can be drawn without scanning shards.
 
 Cases: a null text is empty; an empty text is a record of its end id alone; repeated rows and ties in the key each give a
-record, in the order of their texts; a null key is kept as null and sorts first; an empty table gives an empty index.
+record, in the order of their texts; a null key is kept as null and sorts first; an empty table gives an empty index. A
+text with an added token of the tokenizer, such as <|endoftext|>, has that token's id there, as the library gives it.
 """
 
 from __future__ import annotations
@@ -108,6 +109,26 @@ def _listed(tokenizer, width: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+class _Encoder(ChunkEncoder):
+    """Texts that hold an added token are encoded whole by the library, all others by their chunks."""
+
+    def __init__(self, tokenizer, width: str) -> None:
+        super().__init__(_listed(tokenizer, width), width)
+        self.tokenizer, self.added = tokenizer, [a.content for a in tokenizer.get_added_tokens_decoder().values()]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        held = [i for i, x in enumerate(texts) if any(a in x for a in self.added)]
+        if not held:
+            return super().encode_texts(texts)
+        rest = list(texts)
+        for i in held:
+            rest[i] = ""
+        out = super().encode_texts(rest)
+        for i in held:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
+        return out
+
+
 def tokenizer_encoder(path: str, width: str) -> ChunkEncoder:
     """The tokenizers library's encoder of the file at ``path``; one for each Python worker."""
     if (path, width) not in _encoders:
@@ -116,9 +137,7 @@ def tokenizer_encoder(path: str, width: str) -> ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _encoders[path, width] = ChunkEncoder(_listed(t, width), width)
+        _encoders[path, width] = _Encoder(Tokenizer.from_file(path), width)
     return _encoders[path, width]
 
 

@@ -1,6 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
-from lumastack.llm import html_tree
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+
+from lumastack.llm import html_tree, records
 
 PAGES = "page_id long, url string, html string"
 
@@ -28,3 +33,19 @@ def test_pages_by_where_most_text_is(spark):
     got = {r["url"][7:-6]: r["text"] for r in html_tree.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
     whole = text.strip()
     assert got == {**dict.fromkeys(pages, whole), "teaser": f"{whole}\nA teaser"}
+
+
+def test_added_tokens_as_the_library_gives_them(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))  # unmodified
+    mark = "<|endoftext|>"
+    texts = ["plain words here", f"a {mark} b", mark, f"two  {mark}{mark}\nx", f"word{mark}, and more words here", "<|endoftext |>", "", f"plain words {mark[:-1]}"]
+    want, start = [], 0
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = records.record_digests(rows, P.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want
