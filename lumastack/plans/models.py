@@ -324,7 +324,7 @@ def c7p(spark, d):
     w, h = X.sizes(spark, d)
     at = C.node_lights(X.POSITIONS, w, h, 0.1)
     maps = np.stack([C.resample_map(v, 8, 0.3) for v in at])
-    return long(C.blended(X.pixels(spark, d).where("dataset = 'P'"), maps, w, h))
+    return long(C.blended(X.pixels(spark, d), maps, w, h))
 
 
 _ERR = f"e AS (SELECT s.dataset, i AS light_id, s.x, s.y, {_BYTE('round(sum(w*s.r),5)')} AS r, {_BYTE('round(sum(w*s.g),5)')} AS g, {_BYTE('round(sum(w*s.b),5)')} AS b FROM stack s JOIN m ON j=s.light_id GROUP BY 1,2,3,4), q AS (SELECT s.dataset, s.light_id, s.x, s.y, pow(s.r-e.r,2)+pow(s.g-e.g,2)+pow(s.b-e.b,2) AS d2 FROM stack s JOIN e ON e.dataset=s.dataset AND e.light_id=s.light_id AND e.x=s.x AND e.y=s.y)"
