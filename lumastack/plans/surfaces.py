@@ -366,8 +366,8 @@ def i1(spark, d):
 @query("i2_integrate_bilateral")
 def i2(spark, d):
     w, h = X.sizes(spark, d)
-    part = X.truth(spark, d, "d").withColumn("dataset", F.concat_ws("-", F.floor(F.col("x") / 128), F.floor(F.col("y") / 128)))
-    return rounded(I.integrate_bilateral(part, 2.0), digits=3)
+    whole = X.truth(spark, d, "d")
+    return rounded(I.integrate_bilateral(whole, 2.0) if max(w, h) <= I.TILE else I.integrate_tiled(whole, w, h), digits=3)
 
 
 @query("i3_integrate_tiled")

@@ -3,7 +3,7 @@
 import numpy as np
 from conftest import SMALL
 
-from lumastack.operators import fit
+from lumastack.operators import fit, integrate
 from lumastack.plans import fixtures, registered
 
 QUERIES, _ = registered()
@@ -23,3 +23,16 @@ def test_positional_resampling_of_all_datasets(spark):
         want = sum(k * maps[j * 15 + i] @ np.stack([r["r"], r["g"], r["b"]], axis=1) for i, j, k in near).ravel()
         mine = got[r["dataset"], r["x"], r["y"]]
         assert np.allclose([mine[p] for p in range(len(want))], want, atol=1e-3)
+
+
+def test_bilateral_integration_of_the_whole_grid(spark):
+    d = SMALL.replace("0.001", "0.01")  # wider than 128 pixels
+    got = {(r["x"], r["y"]): (r["dataset"], r["z"]) for r in QUERIES["i2_integrate_bilateral"](spark, d).collect()}
+    w, h = fixtures.sizes(spark, d)
+    n = np.zeros((h, w, 3))
+    for r in fixtures.truth(spark, d, "d").collect():
+        n[r["y"], r["x"]] = r["nx"], r["ny"], r["nz"]
+    z = integrate.solve_grid(n, 2.0)
+    z -= z.mean()
+    assert len(got) == w * h and {k for k, _ in got.values()} == {"d"}
+    assert all(abs(z[y, x] - v) < 2e-3 for (x, y), (_, v) in got.items())
