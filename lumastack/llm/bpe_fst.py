@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import ChunkEncoder
-from .records import text_groups
+from .chunked import ChunkEncoder, text_groups
 
 NEVER = 1 << 60
 STATES = 1_500_000
@@ -251,13 +250,14 @@ def _coded(ranks: str, pattern: str, block: int) -> Callable:
         for batch in batches:
             for row, texts in text_groups(batch):
                 counts, id_hashes, byte_hashes = [], [], []
-                for data in chunks.encode_texts(texts):
-                    ids, h = np.frombuffer(data, "<u4"), hashlib.sha256()
-                    for at in range(0, len(ids), block):
-                        h.update(decoder.feed(ids[at : at + block].tolist()))
+                every, cuts = chunks.encode_column(texts)
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    h = hashlib.sha256()
+                    for at in range(a, b, block):
+                        h.update(decoder.feed(every[at : min(at + block, b)].tolist()))
                     h.update(decoder.close())
-                    counts.append(len(ids))
-                    id_hashes.append(hashlib.sha256(data).hexdigest())
+                    counts.append(b - a)
+                    id_hashes.append(hashlib.sha256(every[a:b]).hexdigest())
                     byte_hashes.append(h.hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(texts)), pa.array(counts, pa.int64()), pa.array(id_hashes), pa.array(byte_hashes)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -275,8 +275,8 @@ def _encoded(ranks: str, pattern: str) -> Callable:
             _, chunks = made(f.read(), pattern, 300_000, 200_000)
         for batch in batches:
             for row, texts in text_groups(batch):
-                ids = [np.frombuffer(x, "<u4") for x in chunks.encode_texts(texts)]
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                ids, cuts = chunks.encode_column(texts)
+                column = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
                 part = batch.slice(row, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "ids"])
 

@@ -9,8 +9,9 @@ its line end): a lost executor's attempt leaves nothing behind. The index is a P
 key, n_tokens), from which any order of reading can be drawn without scanning shards.
 
 Cases: a null text is empty; an empty text is a record of its end id alone; repeated rows and ties in the key each give a
-record, in the order of their texts; a null key is kept as null and sorts first; an empty table gives an empty index. A
-text with an added token of the tokenizer, such as <|endoftext|>, has that token's id there, as the library gives it.
+record, in the order of their records' hashes; a null key is kept as null and sorts first; an empty table gives an empty
+index. A text with an added token of the tokenizer, such as <|endoftext|>, has that token's id there, as the library gives
+it. One record, of a text however long, is the work of one task, which reads a shard at a time.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunked import ChunkEncoder
-from .scratch import prefix_of_parts, shared_dir, stored
+from .chunked import ChunkEncoder, text_groups
+from .scratch import prefix_of_parts, removed, shared_dir, stored
 
-BATCH_CHARS = 2_000_000
+SHARD_BYTES = 64 << 20
 _encoders: dict = {}
 
 
@@ -53,81 +55,90 @@ def unframe(data: memoryview, at: int) -> tuple[memoryview, int]:
     return payload, at + 17 + n
 
 
-_MARKED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+_MARKED = re.compile(r"([^\W\d_]+)([^\w\s']*)")
 
 
-def _listed(tokenizer, width: str) -> Callable[[list[str]], list[bytes]]:
-    """Encode many short strings to the bytes of their ids.
-
-    A space and letters, and marks behind them, are what the split pattern takes as one or two pieces. Such letters go to the
-    library's model, thousands in a call, as words that are split already; marks and all else go through the whole tokenizer.
-    """
-    from tokenizers import Tokenizer
-
-    model = Tokenizer(tokenizer.model)
-    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-    # the byte-level alphabet: visible Latin-1 bytes stand for themselves, the others follow from U+0100 on
-    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-    table = {b: chr(256 + i) for i, b in enumerate(hidden)}
-    space, size = table[32], np.dtype(width).itemsize
-    opens = np.zeros(max(vocabulary.values()) + 1, bool)
-    opens[[i for x, i in vocabulary.items() if x[0] == space]] = True
-    marks: dict[str, bytes] = {"": b""}
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, width).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        words, of, tails, rest = [], [], [], []
-        for i, x in enumerate(texts):
-            word, tail = x[1:], ""
-            if x[:1] != " " or not word.isalpha():
-                m = _MARKED.fullmatch(word) if x[:1] == " " else None
-                if m is None or not m[1].isalpha():
-                    rest.append(i)
-                    continue
-                word, tail = m[1], m[2]
-            words.append(space + (word if word.isascii() else word.encode().decode("latin-1").translate(table)))
-            of.append(i)
-            tails.append(tail)
-        fresh = list(set(tails) - marks.keys())
-        if len(marks) + len(fresh) > 100_000:
-            marks.clear()
-            fresh = list(set(tails))
-        marks.update(zip(fresh, whole(fresh), strict=True))
-        for at in range(0, len(words), 5000):
-            ids = np.array(model.encode_batch_fast([words[at : at + 5000]], is_pretokenized=True, add_special_tokens=False)[0].ids)
-            cuts = (size * np.append(np.flatnonzero(opens[ids]), len(ids))).tolist()
-            data = ids.astype(width).tobytes()
-            for i, tail, a, b in zip(of[at : at + 5000], tails[at : at + 5000], cuts[:-1], cuts[1:], strict=True):
-                out[i] = data[a:b] + marks[tail]
-        for i, data in zip(rest, whole([texts[i] for i in rest]), strict=True):
-            out[i] = data
-        return out
-
-    return encode
+def _pieces(body: str) -> list[tuple[str, str]] | None:
+    """Letters and the marks behind them of each line of a chunk, if there is nothing else."""
+    out = []
+    for line in body.split("\n"):
+        m = _MARKED.fullmatch(line)
+        if not m or not m[1].isalpha():
+            return None
+        out.append(m.groups())
+    return out
 
 
 class _Encoder(ChunkEncoder):
-    """Texts that hold an added token are encoded whole by the library, all others by their chunks."""
+    """The tokenizers library over chunks; texts that hold an added token go through it whole.
+
+    A space and letters, marks behind them, and a line end before letters are pieces of their own in the split pattern. Letters
+    of such chunks go to the library's model as words that are split already, marks and all other chunks to the whole tokenizer.
+    """
 
     def __init__(self, tokenizer, width: str) -> None:
-        super().__init__(_listed(tokenizer, width), width)
-        self.tokenizer, self.added = tokenizer, [a.content for a in tokenizer.get_added_tokens_decoder().values()]
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        held = [i for i, x in enumerate(texts) if any(a in x for a in self.added)]
-        if not held:
-            return super().encode_texts(texts)
-        rest = list(texts)
-        for i in held:
-            rest[i] = ""
-        out = super().encode_texts(rest)
-        for i in held:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
+        super().__init__(self._listed, width)
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.added = [a.content for a in tokenizer.get_added_tokens_decoder().values()]
+        # the byte-level alphabet: visible Latin-1 bytes stand for themselves, the others follow from U+0100 on
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.table = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.marks: dict[str, list[int]] = {"": []}
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _letters(self, words: list[tuple[str, bool]]) -> list[list[int]]:
+        """The ids of words of letters alone, with a leading space or without."""
+        table, tokenize = self.table, self.model.tokenize
+        heads = ("", table[32])
+        texts = [heads[lead] + (w if w.isascii() else w.encode().decode("latin-1").translate(table)) for w, lead in words]
+        return [[t.id for t in tokenize(x)] for x in texts]
+
+    def _listed(self, strings: list[str]) -> list[list[int]]:
+        out: list = [None] * len(strings)
+        plain, split, rest = [], [], []
+        for i, x in enumerate(strings):
+            lead = x[:1] == " "
+            body = x[1:] if lead else x
+            if body.isalpha():
+                plain.append((i, (body, lead)))
+            elif pieces := _pieces(body):
+                split.append((i, lead, pieces))
+            else:
+                rest.append(i)
+        for (i, _), ids in zip(plain, self._letters([x for _, x in plain]), strict=True):
+            out[i] = ids
+        if len(self.marks) > 100_000:
+            self.marks = {"": []}
+        fresh = list({marks for _, _, pieces in split for _, marks in pieces}.union("\n") - self.marks.keys())
+        self.marks.update(zip(fresh, self._whole(fresh), strict=True))
+        words = {(word, lead and not n) for _, lead, pieces in split for n, (word, _) in enumerate(pieces)}
+        met = {x: known.tolist() for x in words if x[1] and (known := self.known(x[0])) is not None}
+        met |= {x: out[i] for i, x in plain if x in words}
+        new = list(words - met.keys())
+        met.update(zip(new, self._letters(new), strict=True))
+        for i, lead, pieces in split:
+            ids: list[int] = []
+            for n, (word, marks) in enumerate(pieces):
+                ids = ids + (self.marks["\n"] if n else []) + met[word, lead and not n] + self.marks[marks]
+            out[i] = ids
+        for i, ids in zip(rest, self._whole([strings[i] for i in rest]), strict=True):
+            out[i] = ids
         return out
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        held = np.zeros(len(texts), bool)
+        for a in self.added:
+            held |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if not held.any():
+            return super().encode_column(texts)
+        ids, cuts = super().encode_column(pc.if_else(pa.array(held), "", texts))
+        parts = np.split(ids, cuts[1:-1])
+        for i in np.flatnonzero(held).tolist():
+            parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
 
 def tokenizer_encoder(path: str, width: str) -> ChunkEncoder:
     """The tokenizers library's encoder of the file at ``path``; one for each Python worker."""
@@ -141,41 +152,40 @@ def tokenizer_encoder(path: str, width: str) -> ChunkEncoder:
     return _encoders[path, width]
 
 
-def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) with a bounded number of characters together; nulls are empty."""
-    at, group, size = 0, [], 0
-    for i, x in enumerate(batch.column(column)):
-        text = x.as_py() or ""
-        if group and size + len(text) > BATCH_CHARS:
-            yield at, group
-            at, group, size = i, [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield at, group
-
-
 def _framed(path: str, width: str, end_id: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer_encoder(path, width)
         end = np.array([end_id], width).tobytes()
         for batch in batches:
-            keys = batch.column("key").to_pylist()
             for row, texts in text_groups(batch):
+                keys = batch.column("key").slice(row, len(texts))
+                ids, cuts = encoder.encode_column(texts)
                 records = []
-                for key, ids in zip(keys[row : row + len(texts)], encoder.encode_texts(texts), strict=True):
-                    records.append(frame(struct.pack("<Bq", key is not None, key or 0) + ids + end))
-                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["value"])
+                for key, a, b in zip(keys.to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    records.append(frame(struct.pack("<Bq", key is not None, key or 0) + ids[a:b].tobytes() + end))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(records, pa.binary())], ["key", "value"])
 
     return task
 
 
-def write_records(docs: DataFrame, out: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", vocabulary: int = 50_257, end_id: int = 0, shards: int | None = None) -> None:
-    """Encode ``text`` and write shards under ``out`` in ascending order of ``key``; part numbers give the shards' order."""
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def write_records(docs: DataFrame, out: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", vocabulary: int = 50_257, end_id: int = 0, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> None:
+    """Encode ``text`` and write shards under ``out`` in ascending order of ``key``; part numbers give the shards' order.
+
+    Texts are encoded where they are read; their records are stored, and dealt in ranges of key and record hash, so that a
+    key with many rows is split as well. Without ``shards``, as many are written as have about ``shard_bytes`` bytes each.
+    """
+    spark = docs.sparkSession
     width = "<u2" if vocabulary <= 65_536 else "<u4"
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key", "text")
-    rows.mapInArrow(_framed(tokenizer, width, end_id), "value binary").select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(out)
+    kept = shared_dir(spark)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    coded = stored(rows.mapInArrow(_framed(tokenizer, width, end_id), "key long, value binary").withColumn("tie", F.xxhash64("value")), kept)
+    if shards is None:
+        size = coded.agg(F.sum(F.length("value") + 1).alias("n")).first()["n"] or 0
+        shards = max(1, -(-size // shard_bytes))
+    order = [F.col("key").asc_nulls_first(), F.col("tie")]
+    placed = coded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    placed.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(out)
+    removed(spark, kept)
 
 
 def _scanned(width: str) -> Callable:
@@ -210,9 +220,12 @@ def scan_records(spark: SparkSession, path: str, *, vocabulary: int = 50_257) ->
 
 def write_index(spark: SparkSession, path: str, index: str, *, vocabulary: int = 50_257) -> DataFrame:
     """Write the offset index of the shards at ``path``; ``start`` in it counts from the first record of all."""
-    rows = stored(scan_records(spark, path, vocabulary=vocabulary))
+    kept = shared_dir(spark)
+    rows = stored(scan_records(spark, path, vocabulary=vocabulary), kept)
     before = prefix_of_parts(rows.groupBy(F.col("shard").alias("_part")).agg(F.sum("n_tokens").alias("_sum"))).withColumnRenamed("_part", "shard")
-    return stored(rows.join(before, "shard").withColumn("start", F.col("start") + F.col("_before")).drop("_before"), index)
+    out = stored(rows.join(before, "shard").withColumn("start", F.col("start") + F.col("_before")).drop("_before"), index)
+    removed(spark, kept)
+    return out
 
 
 def _picked(width: str) -> Callable:
@@ -238,9 +251,13 @@ def read_picked(spark: SparkSession, path: str, picks: DataFrame, *, vocabulary:
 
 
 def record_digests(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> DataFrame:
-    """Write ``docs`` as records, index them, and return (doc_id, start, n_tokens, ids_crc32) as the files have them."""
+    """Write ``docs`` as records, index them, and return (doc_id, start, n_tokens, ids_crc32) as the files have them.
+
+    The record files are deleted once they are indexed; the rows returned are those of the index.
+    """
     spark = docs.sparkSession
     files = shared_dir(spark)
     write_records(docs, files, tokenizer, end_id=end_id)
     index = write_index(spark, files, shared_dir(spark))
+    removed(spark, files)
     return index.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32", "shard", "offset")

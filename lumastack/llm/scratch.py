@@ -1,4 +1,4 @@
-"""Prefix sums and ranges over tables of any size, and the shared folder of the library."""
+"""Prefix sums over tables of any size, and the shared folder of the library."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..shared import removed, shared_dir, stored
 
-__all__ = ["exclusive_starts", "prefix_of_parts", "range_part", "removed", "shared_dir", "stored"]
+__all__ = ["exclusive_starts", "prefix_of_parts", "removed", "shared_dir", "stored"]
 
 
 def exclusive_starts(df: DataFrame, order: list[str], value: str, start: str, partitions: int | None = None) -> DataFrame:
@@ -27,23 +27,6 @@ def exclusive_starts(df: DataFrame, order: list[str], value: str, start: str, pa
     return rows.join(before, "_part", "left").withColumn(start, F.col("_in") + F.coalesce("_before", F.lit(0))).drop("_part", "_in", "_before")
 
 
-def range_part(df: DataFrame, key: str, n: int):
-    """A column with the number of the range of ``key`` that a row falls in, 0 to at most n - 1, nulls in 0; and the ranges' count.
-
-    Ranges are cut at approximate quantiles, of which n - 1 numbers reach the driver.
-    """
-    from pyspark.sql import functions as F
-
-    if n < 2:
-        return F.lit(0), 1
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return F.lit(0), 1
-    below = F.array(*[F.lit(c).cast("long") for c in cuts])
-    return F.aggregate(below, F.lit(0), lambda a, c: a + F.when(F.col(key) >= c, 1).otherwise(0)), len(cuts) + 1
-
-
 def prefix_of_parts(sums: DataFrame) -> DataFrame:
     """(_part, _sum) -> (_part, _before), in two levels, so that no task sees more than the square root of the parts."""
     from pyspark.sql import Window

@@ -8,21 +8,22 @@ threshold keeps its least hash, so that no non-empty text has an empty sketch; a
 The likeness of two sketches is the share of the smaller that the larger holds; 1 for two empty ones, 0 for one.
 
 Cases: a null text is empty; equal texts have equal fingerprints; repeated rows and ties in the id follow each other in
-the order of their texts; null ids sort first; the only row of a table is its own successor; an empty table gives an empty
+the order of their texts' hashes; null ids sort first; the only row of a table is its own successor; an empty table gives an empty
 result; texts of any length are read in slices; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import range_part, shared_dir, stored
 from .textops import span_hashes
 
 WIDTH, FRACTION = 12, 1 / 16
@@ -113,34 +114,38 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def _range_of(heads: list[tuple]) -> Callable:
+    """The number of the range that a key (known, doc_id, tie) falls in, by the ranges' first keys, and whether it is the first."""
+
+    @F.pandas_udf("part int, first boolean")
+    def found(known: pd.Series, doc_id: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        keys = list(zip(known.tolist(), doc_id.tolist(), tie.tolist(), strict=True))
+        part = [max(bisect_right(heads, k) - 1, 0) for k in keys]
+        return pd.DataFrame({"part": pd.array(part, "int32"), "first": [k == heads[p] for k, p in zip(keys, part, strict=True)]})
+
+    return found
+
+
 def fingerprints(docs: DataFrame, *, width: int = WIDTH, fraction: float = FRACTION) -> DataFrame:
     """Sketch every text and its edited text, and compare each with the next document's, in ascending id order.
 
-    Texts are dealt once, in ranges of ids, and sorted within them; a range's first row goes to the range before it as
-    well, as the successor of its last row, and the first row of all goes to the last range.
+    Keys (id and text hash) are cut into ranges; of each range the first key reaches the driver and the tasks. Texts are dealt
+    once, by range, and sorted within; a range's first row goes to the range before it as well, as the successor of its last
+    row, and the first row of all goes to the last range.
     """
     spark = docs.sparkSession
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("own", F.xxhash64("text"))
-    part, count = range_part(rows, "doc_id", n)
-    placed = rows.withColumn("part", part)
-    ids = stored(placed.select("part", "doc_id", "own"), shared_dir(spark))
-    # the first row of each part that has rows: at most one for each part
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
-    heads = sorted((r["part"], r["first"]["known"], r["first"]["doc_id"]) for r in ids.groupBy("part").agg(first).collect())
-    parts = [h[0] for h in heads]
-    before = {p: parts[i - 1] for i, p in enumerate(parts)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("*", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"))
+    order = ["known", "id", "tie"]
+    keys = rows.select(*order).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    heads = sorted(tuple(r["h"]) for r in keys.groupBy("part").agg(F.min(F.struct(*order)).alias("h")).collect())
     if not heads:
-        return placed.select("doc_id").mapInArrow(lambda b: iter(()), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    # of rows that tie in their first id, the first by text is the head; ties go together, and all but the first are cut
-    head_ids = [h[2] for h in heads if h[2] is not None]
-    is_head = F.coalesce(F.col("doc_id").isin(head_ids), F.lit(False)) if head_ids else F.lit(False)
-    if heads[0][2] is None:
-        is_head = is_head | F.col("doc_id").isNull()
-    heads_only = placed.where(is_head).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("h"))
-    back = F.element_at(F.create_map(*[F.lit(x) for p in parts for x in (p, before[p])]), F.col("part"))
-    tails = heads_only.select(back.alias("part"), F.lit(True).alias("tail"), "h.doc_id", "h.text")
-    both = placed.select("part", F.lit(False).alias("tail"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(tails)
-    dealt = both.repartitionById(max(n, count), "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(_compared(width, fraction), schema)
+        return rows.select("doc_id").mapInArrow(lambda b: iter(()), schema)
+    placed = rows.withColumn("at", _range_of(heads)(*order)).select("at.part", "at.first", "doc_id", *order, "text")
+    begun = placed.where("first").groupBy("part").agg(F.min(F.struct("doc_id", *order, "text")).alias("h"))
+    tails = begun.select(F.pmod(F.col("part") - 1, F.lit(len(heads))).alias("part"), F.lit(True).alias("tail"), "h.*")
+    both = placed.select("part", F.lit(False).alias("tail"), "doc_id", *order, "text").unionByName(tails)
+    dealt = both.repartitionById(len(heads), "part").sortWithinPartitions("part", "tail", *order)
+    return dealt.select("part", "tail", "doc_id", "text").mapInArrow(_compared(width, fraction), schema)

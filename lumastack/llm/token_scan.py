@@ -8,7 +8,7 @@ before it and the last end id before it, which stitches the documents that cross
 
 Cases: null and empty texts are documents of no ids; an empty file or table has no documents; ids after the last end id
 are one document more, not ``closed``; repeated rows and ties in the id are documents of their own, in the order of their
-token bytes; null ids come first; other columns are ignored. Files are read whole by one task each, so writers bound them.
+ids' hashes; null ids come first; other columns are ignored. Files are read whole by one task each, so writers bound them.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import exclusive_starts, range_part, removed, shared_dir, stored
+from .scratch import exclusive_starts, removed, shared_dir, stored
 from .textops import span_hashes, text_slices, word_spans
 
-BLOCK_IDS = 1 << 19
+BLOCK_IDS, FILE_BYTES = 1 << 19, 64 << 20
 
 
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,19 +34,22 @@ def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = (span_hashes(data, starts, ends) % np.uint64(65_535) + np.uint64(1)).astype("<u2").tobytes()
             cuts = (2 * np.searchsorted(rows, np.arange(len(offsets)))).tolist()
             values = pa.array([ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, len(values)) for c in ("part", "doc_id")), values], ["part", "doc_id", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(values)), values], ["doc_id", "value"])
 
 
-def write_flat(docs: DataFrame, out: str, *, files: int | None = None) -> None:
+def write_flat(docs: DataFrame, out: str, *, files: int | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Write the words of ``docs`` (doc_id, text) as flat files of 2-byte ids in ascending doc_id order; the end id is 0.
 
-    Spark's committing text writer writes them, its line end being the end id. Ids are dealt out, not texts.
+    Spark's committing text writer writes them, its line end being the end id. Ids are dealt out, not texts, in ranges of
+    doc_id and hash, so that an id with many rows is split as well. Without ``files``, there are as many as keep each below
+    about ``file_bytes``: a text's ids take at most the bytes of the text and 3 more.
     """
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    part, count = range_part(rows, "doc_id", n)
-    ids = rows.withColumn("part", part).mapInArrow(_worded, "part int, doc_id long, value binary")
-    dealt = ids.repartitionById(max(n, count), "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "value")
+    if files is None:
+        size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 3).alias("n")).first()["n"] or 0
+        files = max(1, -(-size // file_bytes))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_worded, "doc_id long, value binary")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    dealt = ids.withColumn("tie", F.xxhash64("value")).repartitionByRange(files, *order).sortWithinPartitions(*order)
     dealt.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\u0000\u0000").text(out)
 
 
@@ -114,5 +117,6 @@ def counted(docs: DataFrame) -> DataFrame:
     write_flat(docs, path)
     found = stored(scan(spark, path))
     removed(spark, path)
-    names = exclusive_starts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).cast("long").alias("one")), ["doc_id"], "one", "ordinal")
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.lit(1).cast("long").alias("one"))
+    names = exclusive_starts(keys, ["doc_id", "tie"], "one", "ordinal")
     return found.join(names.select("ordinal", "doc_id"), "ordinal").select("doc_id", "ordinal", "start", "n_tokens")

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -42,7 +43,9 @@ def empty(spark):
 
 
 def _order(rows):
-    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    """Ascending ids, nulls first; ties by the texts' hashes as signed numbers."""
+    signed = lambda t: int.from_bytes(xxhash.xxh64(t.encode(), seed=42).digest(), "big", signed=True)
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
 
 
 def test_near_duplicates(spark, docs, rows, empty):
@@ -97,14 +100,18 @@ def test_token_records(spark, docs, rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    want, start = [], 0
-    for r in _order([(r[0], r[1] or "") for r in rows]):
-        ids = [*t.encode(r[1], add_special_tokens=False).ids, 0]
-        want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
+    marked = [(1000, "an <|endoftext|> inside", *rows[0][2:]), (1001, "<|endoftext|>", *rows[0][2:]), (1002, "a\nb,\nCd. x\n\ny", *rows[0][2:])]
+    rows, docs = rows + marked, docs.union(spark.createDataFrame(marked, SCHEMA))
+    want = {}
+    for r in rows:
+        ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        want.setdefault(r[0], []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     got = records.record_digests(docs, P.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
-    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    got.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] is not None and r["doc_id"] for r in got] == sorted(r["doc_id"] is not None and r["doc_id"] for r in got)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False)) and got[0]["start"] == 0
+    for key, found in want.items():
+        assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got if r["doc_id"] == key) == sorted(found)
     assert records.record_digests(empty, P.path("byte_bpe_50k.json")).count() == 0
     files = f"file://{tmp_path}/shards"
     records.write_records(docs, files, P.path("byte_bpe_50k.json"), shards=3)
