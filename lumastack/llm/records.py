@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .chunked import ChunkEncoder, text_groups
 from .scratch import prefix_of_parts, removed, shared_dir, stored
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 _encoders: dict = {}
 
 
@@ -172,7 +172,8 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, *, key: str = "doc_
     """Encode ``text`` and write shards under ``out`` in ascending order of ``key``; part numbers give the shards' order.
 
     Texts are encoded where they are read; their records are stored, and dealt in ranges of key and record hash, so that a
-    key with many rows is split as well. Without ``shards``, as many are written as have about ``shard_bytes`` bytes each.
+    key with many rows is split as well. Without ``shards``, as many are written as have about ``shard_bytes`` bytes each: a
+    reading task holds a few copies of one, so executors with more memory take larger ones.
     """
     spark = docs.sparkSession
     width = "<u2" if vocabulary <= 65_536 else "<u4"

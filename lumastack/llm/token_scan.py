@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .scratch import exclusive_starts, removed, shared_dir, stored
 from .textops import span_hashes, text_slices, word_spans
 
-BLOCK_IDS, FILE_BYTES = 1 << 19, 64 << 20
+BLOCK_IDS, FILE_BYTES = 1 << 19, 32 << 20
 
 
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
