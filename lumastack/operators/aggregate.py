@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import removed, shared_dir, stored
+
 CHANNELS = ("r", "g", "b")
+BUCKETS = 1000
 
 
 def _byte(v: Column) -> Column:
@@ -39,30 +42,41 @@ def albedo(samples: DataFrame, method: str = "median", pct: float = 66.0) -> Dat
     return order_statistic(samples, lambda n: F.floor((n - 1) * pct / 100), trunc)
 
 
-def plane_ranges(coeff: DataFrame, q: float = 0.995, *, accuracy: int | None = None) -> DataFrame:
+def plane_ranges(coeff: DataFrame, q: float = 0.995, *, accuracy: int | None = None, small: int = 100_000) -> DataFrame:
     """(dataset, plane, n, vmin, vmax) of rows (dataset, plane, value): two exact order statistics of each plane.
 
-    Ranks come from counts of values and value buckets, so no plane is sorted in one task: values are dealt to buckets of
-    their own hundredths of the plane's range, only the buckets that hold the two ranks are sorted. With ``accuracy`` the
-    ranks are approximate and need one pass.
+    Ranks come from counts, so that no task sorts a plane: the interval that holds a rank is cut into ``BUCKETS`` equal parts,
+    whose counts tell the part that holds it, and so on until that part has at most ``small`` values or a single one; only
+    these are ranked. A plane whose values lie close together but for a few outliers takes one or two rounds more. With
+    ``accuracy`` the ranks are approximate and need one pass.
     """
     low, high = (1 - q) / 2, (1 + q) / 2
+    keys = ["dataset", "plane"]
     if accuracy:
-        out = coeff.groupBy("dataset", "plane").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [low, high], accuracy).alias("p"))
-        out = out.select("dataset", "plane", "n", F.col("p")[0].alias("vmin"), F.col("p")[1].alias("vmax"))
+        out = coeff.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [low, high], accuracy).alias("p"))
+        out = out.select(*keys, "n", F.col("p")[0].alias("vmin"), F.col("p")[1].alias("vmax"))
     else:
-        whole = coeff.groupBy("dataset", "plane").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        rows = coeff.join(F.broadcast(whole), ["dataset", "plane"])
-        part = F.coalesce(F.least(F.floor(F.try_divide((F.col("value") - F.col("lo")) * 1000, F.col("hi") - F.col("lo"))), F.lit(999)), F.lit(0)).cast("int")
-        rows = rows.withColumn("part", part)
-        w = Window.partitionBy("dataset", "plane").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        counts = rows.groupBy("dataset", "plane", "part").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        rank = lambda f: F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1)
-        wanted = counts.withColumn("rank", F.explode(F.array(F.struct(F.lit(0).alias("which"), rank(low).alias("at")), F.struct(F.lit(1).alias("which"), rank(high).alias("at")))))
-        wanted = wanted.where((F.col("rank.at") >= F.col("before")) & (F.col("rank.at") < F.col("before") + F.col("c"))).select("dataset", "plane", "part", "n", F.col("rank.which").alias("which"), (F.col("rank.at") - F.col("before")).alias("at"))
-        inside = rows.drop("n").join(F.broadcast(wanted), ["dataset", "plane", "part"])
-        ranked = inside.withColumn("k", F.row_number().over(Window.partitionBy("dataset", "plane", "which").orderBy("value")) - 1).where("k = at")
-        out = ranked.groupBy("dataset", "plane").agg(F.max("n").alias("n"), F.max(F.when(F.col("which") == 0, F.col("value"))).alias("vmin"), F.max(F.when(F.col("which") == 1, F.col("value"))).alias("vmax"))
+        spark = coeff.sparkSession
+        whole = coeff.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
+        rank = lambda which, f: F.struct(F.lit(which).alias("which"), F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1).alias("at"))
+        open_ = whole.withColumn("r", F.explode(F.array(rank(0, low), rank(1, high)))).select(*keys, "n", F.col("r.which").alias("which"), F.col("r.at").alias("at"), "a", "b", F.col("n").alias("c"))
+        path = shared_dir(spark)
+        state = stored(open_, path)
+        while state.where((F.col("c") > small) & (F.col("a") < F.col("b"))).limit(1).count():
+            inside = coeff.join(state, keys).where((F.col("value") >= F.col("a")) & (F.col("value") <= F.col("b")))
+            part = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("a"), F.col("b") - F.col("a")) * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")
+            parts = inside.groupBy(*keys, "which", part.alias("part")).agg(F.count(F.lit(1)).alias("k"), F.min("value").alias("a"), F.max("value").alias("b"), F.max("n").alias("n"), F.max("at").alias("at"))
+            before = F.coalesce(F.sum("k").over(Window.partitionBy(*keys, "which").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            held = parts.withColumn("before", before).where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("k")))
+            step = shared_dir(spark)
+            state = stored(held.select(*keys, "n", "which", (F.col("at") - F.col("before")).alias("at"), "a", "b", F.col("k").alias("c")), step)
+            removed(spark, path)
+            path = step
+        # parts of one value have it; of the others the few values are ranked
+        few = coeff.join(state.where("a < b"), keys).where((F.col("value") >= F.col("a")) & (F.col("value") <= F.col("b")))
+        ranked = few.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "which").orderBy("value")) - 1).where("k = at")
+        both = ranked.select(*keys, "n", "which", "value").unionByName(state.where("not a < b").select(*keys, "n", "which", F.col("a").alias("value")))
+        out = both.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("which") == 0, F.col("value"))).alias("vmin"), F.max(F.when(F.col("which") == 1, F.col("value"))).alias("vmax"))
     return out.withColumn("vmax", F.when(F.col("vmax") <= F.col("vmin"), F.col("vmin") + 1e-6).otherwise(F.col("vmax")))
 
 
@@ -130,11 +144,11 @@ def mean_offsets(offsets: DataFrame, lights: DataFrame) -> DataFrame:
 
 
 def radial_bins(normals: DataFrame, width: int, height: int, bin_size: float = 100.0, floor: float = 0.7171) -> DataFrame:
-    """(dataset, bin, n, slope): the mean outward component of upward normals by distance from the centre."""
+    """(dataset, bin, n, slope): the mean outward component of upward normals by the length of (x, y, 1) from the centre."""
     x, y = F.col("x") - width / 2, height / 2 - F.col("y")
     n = F.sqrt(x * x + y * y + 1)
     out = (x * F.col("nx") + y * F.col("ny") + F.col("nz")) / n
-    rows = normals.where(F.col("nz") >= floor).select("dataset", F.floor(F.sqrt(x * x + y * y) / bin_size).cast("int").alias("bin"), out.alias("out"))
+    rows = normals.where(F.col("nz") >= floor).select("dataset", F.floor(n / bin_size).cast("int").alias("bin"), out.alias("out"))
     return rows.groupBy("dataset", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("out").alias("slope"))
 
 

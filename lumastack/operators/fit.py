@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.algebra import gram, matmul, pinv, sorted_eigh, stacked
+from ..functions.algebra import gram, listed, matmul, pinv, sorted_eigh, stacked
 
 CHANNELS = ("r", "g", "b")
 PTM_ORDER = [5, 3, 4, 0, 2, 1]  # fixed value: the file order of polynomial terms
@@ -102,29 +102,35 @@ def node_lights(positions: np.ndarray, width: int, height: int, pixel: float, nx
 def blended(pixels: DataFrame, matrices: np.ndarray, width: int, height: int, nx: int = 15, ny: int = 15) -> DataFrame:
     """``c``: per pixel the bilinear blend of the four nearest nodes' linear maps (nodes x outputs x lights), channel after channel within an output."""
 
-    @F.pandas_udf("array<double>")
-    def apply(x: pd.Series, y: pd.Series, r: pd.Series, g: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def apply(x: pa.Array, y: pa.Array, r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
         if not len(x):
-            return pd.Series([], dtype=object)
+            return pa.array([], pa.list_(pa.float64()))
         v = np.stack([stacked(r), stacked(g), stacked(b)], axis=2)
         px, py = (nx - 1) * x.to_numpy() / width, (ny - 1) * y.to_numpy() / height
         i, j = np.minimum(px.astype(int), nx - 2), np.minimum(py.astype(int), ny - 2)
         a, d = px - i, py - j
-        out = 0
-        for di, dj, w in ((0, 0, (1 - a) * (1 - d)), (1, 0, a * (1 - d)), (0, 1, (1 - a) * d), (1, 1, a * d)):
-            out = out + w[:, None, None] * np.einsum("npl,nlc->npc", matrices[(j + dj) * nx + i + di], v)
-        return pd.Series(list(out.reshape(len(out), -1)))
+        out = np.zeros((len(x), matrices.shape[1], 3))
+        cell = j * nx + i
+        for node in np.unique(cell):  # the pixels of a cell share their four maps: plain products
+            at = np.flatnonzero(cell == node)
+            for di, dj, w in ((0, 0, (1 - a) * (1 - d)), (1, 0, a * (1 - d)), (0, 1, (1 - a) * d), (1, 1, a * d)):
+                out[at] += w[at, None, None] * (matrices[node + dj * nx + di] @ v[at])
+        return listed(out.reshape(len(out), -1))
 
     return pixels.select("dataset", "x", "y", apply("x", "y", *CHANNELS).alias("c"))
 
 
-def fit_poly(pixels: DataFrame, lights: np.ndarray, basis: str, n: int) -> DataFrame:
-    """Least-squares coefficients (dataset, x, y, c), c = term after term with r, g, b in each (3n values)."""
+def fit_poly(pixels: DataFrame, lights: np.ndarray, basis: str, n: int, *, keep: bool = False) -> DataFrame:
+    """Least-squares coefficients (dataset, x, y, c), c = term after term with r, g, b in each (3n values).
+
+    With ``keep`` the pixel's values stay beside them.
+    """
     m = pinv(weights_of(lights, basis, n))
     full = np.zeros((3 * len(lights), 3 * n))
     for c in range(3):
         full[c * len(lights) : (c + 1) * len(lights), c::3] = m.T
-    return pixels.select("dataset", "x", "y", matmul(list(CHANNELS), full).alias("c"))
+    return pixels.select("dataset", "x", "y", *(CHANNELS if keep else ()), matmul(list(CHANNELS), full).alias("c"))
 
 
 def fit_poly_3d(pixels: DataFrame, positions: np.ndarray, basis: str, n: int, *, width: int, height: int, pixel: float, nx: int = 15, ny: int = 15) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,26 +94,29 @@ def cut_tiles(pyramids: DataFrame, width: int, height: int, side: int, overlap:
 
     With ``pad`` all tiles are side x side and black beyond the image, as TIFF wants them (use ``tiff_side``).
     """
-    spark = pyramids.sparkSession
-    grid = tile_grid(spark, pyramids, width, height, side, overlap)
-    last = {level: ((w + side - 1) // side - 1, (h + side - 1) // side - 1) for level, (w, h) in enumerate(level_sizes(width, height, side))}
-    pick = lambda k: F.coalesce(*[F.when(F.col("level") == lv, F.lit(v[k])) for lv, v in last.items()])
-    span = lambda v, k: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(v) - overlap) / side)).cast("int"), F.least(pick(k), F.floor((F.col(v) + overlap) / side)).cast("int")))
-    dealt = pyramids.withColumn("col", span("x", 0)).withColumn("row", span("y", 1))
-    keys = ["dataset", "level", "col", "row"]
-    packed = dealt.groupBy(*keys).agg(F.collect_list(F.struct("y", "x", *CHANNELS)).alias("px")).join(grid, keys)
-
-    @F.pandas_udf("binary")
-    def payload(px: pd.Series, x0: pd.Series, y0: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+    sizes = level_sizes(width, height, side)
+    of_level = lambda values: F.coalesce(*[F.when(F.col("level") == i, F.lit(v)) for i, v in enumerate(values)])
+    lw, lh = of_level([w for w, _ in sizes]), of_level([h for _, h in sizes])
+    span = lambda v, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(v) - overlap) / side)).cast("int"), F.least(F.floor((n - 1) / side), F.floor((F.col(v) + overlap) / side)).cast("int")))
+    start = lambda v: F.greatest(F.lit(0), F.col(v) * side - overlap)
+    dealt = pyramids.withColumn("col", span("x", lw)).withColumn("row", span("y", lh)).withColumns({"x0": start("col"), "y0": start("row")})
+    extent = lambda v, n, at: (F.least((F.col(v) + 1) * side + overlap, n) - F.col(at)).cast("int")
+    dealt = dealt.withColumns({"w": extent("col", lw, "x0"), "h": extent("row", lh, "y0")})
+    place = ((F.col("y") - F.col("y0")) * (F.lit(side) if pad else F.col("w")) + F.col("x") - F.col("x0")).alias("at")
+    packed = dealt.groupBy("dataset", "level", "col", "row", "x0", "y0", "w", "h").agg(F.collect_list(F.struct(place, *CHANNELS)).alias("px"))
+
+    @F.arrow_udf("binary")
+    def payload(px: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        flat, cuts = px.flatten(), np.cumsum(np.concatenate(([0], px.value_lengths().to_numpy()))).tolist()
+        at, rgb = flat.field("at").to_numpy(), np.column_stack([flat.field(c).to_numpy() for c in CHANNELS]).astype(np.uint8)
         out = []
-        for p, left, top, a, b in zip(px, x0, y0, w, h, strict=True):
-            image = np.zeros((side if pad else b, side if pad else a, 3), np.uint8)
-            for e in p:
-                image[e["y"] - top, e["x"] - left] = e["r"], e["g"], e["b"]
+        for a, b, across, down in zip(cuts[:-1], cuts[1:], w.to_pylist(), h.to_pylist(), strict=True):
+            image = np.zeros((side * side if pad else across * down, 3), np.uint8)
+            image[at[a:b]] = rgb[a:b]
             out.append(image.tobytes())
-        return pd.Series(out)
+        return pa.array(out, pa.binary())
 
-    return packed.select("dataset", F.lit(0).alias("plane"), "level", "col", "row", "x0", "y0", "w", "h", payload("px", "x0", "y0", "w", "h").alias("payload"))
+    return packed.select("dataset", F.lit(0).alias("plane"), "level", "col", "row", "x0", "y0", "w", "h", payload("px", "w", "h").alias("payload"))
 
 
 def tiff_side(side: int) -> int:

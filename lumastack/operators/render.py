@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.algebra import sorted_eigh
+from ..functions.algebra import listed, matmul, sorted_eigh, stacked
 from ..functions.color import ycbcr_to_rgb, ycc_to_rgb
 from .stack import neighbours
 
@@ -78,15 +79,49 @@ def error_map(samples: DataFrame, rendered: DataFrame) -> DataFrame:
     return _squares(samples, rendered).groupBy("dataset", "x", "y").agg(F.sqrt(F.sum("d2") / (3 * F.count(F.lit(1)))).alias("error"))
 
 
-def leave_one_out(pixels: DataFrame, samples: DataFrame, lights: np.ndarray, basis: str, n: int, k: int) -> DataFrame:
+def pixel_errors(rows: DataFrame, weights: np.ndarray, lights: list[int] | None = None) -> DataFrame:
+    """(dataset, x, y, d2): squared errors of rgb renderings under each light, summed over the channels, inside the pixel's row.
+
+    ``rows`` hold a pixel's values and its coefficients (x, y, r, g, b, c), ``weights`` the terms of each of ``lights``, which
+    are the places of the values compared; nothing is joined or shuffled.
+    """
+    places = list(range(len(weights))) if lights is None else lights
+
+    @F.arrow_udf("array<double>")
+    def errors(r: pa.Array, g: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        if not len(c):
+            return pa.array([], pa.list_(pa.float64()))
+        seen = np.stack([stacked(v)[:, places] for v in (r, g, b)], axis=2)
+        drawn = weights @ stacked(c).reshape(len(c), -1, 3)
+        d = seen - np.clip(np.trunc(np.round(drawn, 9)), 0, 255)
+        return listed((d * d).sum(axis=2))
+
+    return rows.select("dataset", "x", "y", errors(*CHANNELS, "c").alias("d2"))
+
+
+def light_errors(errors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``reconstruction_error``, of the rows of ``pixel_errors``: only sums for each light are shuffled."""
+    light = errors.select("dataset", F.posexplode("d2").alias("light_id", "d2")).groupBy("dataset", "light_id").agg((F.avg("d2") / 3).alias("mse"))
+    whole = light.groupBy("dataset").agg(F.avg("mse").alias("mse"))
+    done = lambda df: df.withColumns({"psnr": _psnr(F.col("mse")), "rmse": F.sqrt("mse")})
+    return done(light), done(whole)
+
+
+def pixel_error_map(errors: DataFrame) -> DataFrame:
+    """As ``error_map``, of the rows of ``pixel_errors``; no shuffle."""
+    return errors.select("dataset", "x", "y", F.sqrt(F.aggregate("d2", F.lit(0.0), lambda s, v: s + v) / (3 * F.size("d2"))).alias("error"))
+
+
+def leave_one_out(pixels: DataFrame, lights: np.ndarray, basis: str, n: int, k: int) -> DataFrame:
     """Fit without light ``k``, render it, and report: (dataset, type, colorspace, nplanes, k, elevation, lx, ly, mse, psnr, rmse)."""
-    from .fit import fit_poly, weights_of
+    from .fit import pinv, weights_of
 
     rest = [i for i in range(len(lights)) if i != k]
-    cut = lambda c: F.concat(F.slice(c, F.lit(1), F.lit(k)), F.slice(c, F.lit(k + 2), F.lit(len(rest)))) if k else F.slice(c, F.lit(2), F.lit(len(rest)))
-    coeff = fit_poly(pixels.withColumns({c: cut(c) for c in CHANNELS}), lights[rest], basis, n)
-    one = light_rows(pixels.sparkSession, weights_of(lights[[k]], basis, n)).withColumn("light_id", F.lit(k))
-    whole = reconstruction_error(samples.where(F.col("light_id") == k), illuminate(coeff, one))[1]
+    full = np.zeros((3 * len(lights), 3 * n))
+    for c in range(3):  # the fit on the other lights, with no weight on light k
+        full[np.ix_([c * len(lights) + i for i in rest], range(c, 3 * n, 3))] = pinv(weights_of(lights[rest], basis, n)).T
+    rows = pixels.select("dataset", "x", "y", *CHANNELS, matmul(list(CHANNELS), full).alias("c"))
+    whole = light_errors(pixel_errors(rows, weights_of(lights[[k]], basis, n), [k]))[1]
     x, y = float(lights[k, 0]), float(lights[k, 1])
     told = {"type": F.lit(basis), "colorspace": F.lit("rgb"), "nplanes": F.lit(3 * n), "k": F.lit(k), "elevation": F.lit(math.asin(min(1.0, math.hypot(x, y)))), "lx": F.lit(x), "ly": F.lit(y)}
     return whole.withColumns(told)
@@ -119,8 +154,8 @@ def hillshade(heights: DataFrame, width: int, height: int, light: tuple[float, f
 
 def dstretch_matrix(raster: DataFrame, width: int, height: int, min_samples: int) -> np.ndarray:
     """The decorrelating 3 x 3 transform of one dataset's strided samples."""
-    across = max(1, int(math.sqrt(min_samples * width / height)))
-    down = max(1, int(math.sqrt(min_samples * height / width)))
+    across = math.ceil(math.sqrt(min_samples) * width / height)
+    down = math.ceil(math.sqrt(min_samples) * height / width)
     sx, sy = max(1, width // across), max(1, height // down)
     names = [(a, b) for i, a in enumerate(CHANNELS) for b in CHANNELS[i:]]
     got = raster.where((F.col("x") % sx == 0) & (F.col("y") % sy == 0)).agg(*(F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(a + b) for a, b in names)).first()

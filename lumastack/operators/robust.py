@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.algebra import batched, gram, pinv, stacked
+from ..functions.algebra import NORMALS, batched, by_dataset, grams, listed, normal_rows, pinv, stacked
 from ..shared import removed, shared_dir, stored
 
 
@@ -107,57 +107,80 @@ def _shrunk(m: np.ndarray, t: float) -> np.ndarray:
 
 
 def normals_rpca(pixels: DataFrame, lights: np.ndarray, *, rounds: int = 100, tol: float = 1e-6, rho: float = 1.5) -> DataFrame:
-    """Least squares on the low-rank part of the pixels x lights matrix (robust PCA, inexact augmented Lagrangian).
+    """Least squares on the low-rank part of each dataset's pixels x lights matrix (robust PCA, inexact augmented Lagrangian).
 
-    A pixel's rows of the low-rank part, the sparse part and the multipliers stay beside it. Each round takes the lights x
-    lights second-moment matrix of what is to be thresholded, whose eigenvectors give the singular vectors; only that matrix
-    reaches the driver. State is written to the shared folder each round. Datasets are solved together.
+    A pixel's rows of the low-rank part and the multipliers stay beside it. A round takes the sparse part by soft thresholds,
+    and the lights x lights second moments of what is left, whose eigenvectors give the singular vectors; only a matrix and a
+    distance for each dataset reach the driver. State is written to the shared folder each round. Each dataset has its own
+    penalty and stops by itself; its result does not depend on the others.
     """
     spark = pixels.sparkSession
     n = len(lights)
     third = F.zip_with(F.zip_with("r", "g", lambda a, b: a + b), "b", lambda a, b: (a + b) / 3)
     state = pixels.select("dataset", "x", "y", third.alias("d"))
-    rows, _, second = gram(state, ["d"])
-    if not rows:
+    tops = {r["dataset"]: r["m"] for r in state.groupBy("dataset").agg(F.max(F.array_max(F.transform("d", F.abs))).alias("m")).collect()}
+    facts = {}
+    for name, (rows, _, second) in grams(state, ["d"], lambda _, d: d).items():
+        sigma, lam = float(np.sqrt(np.linalg.eigvalsh(second)[-1])), 1 / np.sqrt(max(rows, n))
+        facts[name] = {"lam": lam, "mu": 1.25 / max(sigma, 1e-12), "most": 1.25e7 / max(sigma, 1e-12), "size": float(np.sqrt(np.trace(second))), "scale": max(sigma, tops[name] / lam, 1e-12)}
+    if not facts:
         return batched(pixels, lambda v: np.zeros((len(v), 3)))
-    sigma = float(np.sqrt(np.linalg.eigvalsh(second)[-1]))
-    lam, mu, size = 1 / np.sqrt(max(rows, n)), 1.25 / max(sigma, 1e-12), float(np.sqrt(np.trace(second)))
-    top = state.select(F.array_max(F.transform("d", F.abs)).alias("m")).agg(F.max("m")).first()[0]
-    scale = max(sigma, top / lam, 1e-12)
-    state = state.select("dataset", "x", "y", "d", F.transform("d", lambda v: v * 0.0).alias("e"), F.transform("d", lambda v: v / scale).alias("m"))
+    schema = "dataset string, x int, y int, d array<double>, a array<double>, m array<double>, gap double"
+
+    def written(part, d, a, m, gap):
+        keys = [part.column(c).combine_chunks() for c in ("dataset", "x", "y")]
+        return pa.RecordBatch.from_arrays([*keys, listed(d), listed(a), listed(m), pa.array(gap)], ["dataset", "x", "y", "d", "a", "m", "gap"])
+
+    def start(batches):
+        for batch in batches:
+            for name, part in by_dataset(batch):
+                d = stacked(part.column("d"))
+                yield written(part, d, np.zeros_like(d), d / facts[name]["scale"], np.zeros(len(d)))
+
     path = shared_dir(spark)
-    state = stored(state, path)
-    schema = "dataset string, x int, y int, d array<double>, e array<double>, m array<double>"
+    state = stored(state.mapInArrow(start, schema), path)
+    live = set(facts)
     for _ in range(rounds):
-        mixed = state.select(F.zip_with(F.zip_with("d", "e", lambda a, b: a - b), "m", lambda a, b: a + b / mu).alias("t"))  # noqa: B023
-        _, _, t = gram(mixed, ["t"])
-        values, vectors = np.linalg.eigh(t)
-        s = np.sqrt(np.maximum(values, 0))
-        keep = vectors @ np.diag(np.where(s > 1 / mu, 1 - 1 / (mu * np.maximum(s, 1e-300)), 0)) @ vectors.T
-
-        def step(batches, keep=keep, mu=mu):
-            for pdf in batches:
-                if len(pdf):
-                    d, e, m = (stacked(pdf[c]) for c in ("d", "e", "m"))
-                    a = (d - e + m / mu) @ keep
-                    e = _shrunk(d - a + m / mu, lam / mu)
-                    yield pdf.assign(e=list(e), m=list(m + mu * (d - a - e)), a=list(a))
+        now = {name: (facts[name]["mu"], facts[name]["lam"]) for name in live}
+
+        def left(name, d, a, m, now=now):
+            mu, lam = now[name]
+            return d - _shrunk(d - a + m / mu, lam / mu) + m / mu
+
+        keep = {}
+        for name, (_, _, second) in grams(state.where(F.col("dataset").isin(sorted(live))), ["d", "a", "m"], left).items():
+            values, vectors = np.linalg.eigh(second)
+            s, mu = np.sqrt(np.maximum(values, 0)), now[name][0]
+            keep[name] = vectors @ np.diag(np.where(s > 1 / mu, 1 - 1 / (mu * np.maximum(s, 1e-300)), 0)) @ vectors.T
+
+        def step(batches, now=now, keep=keep, left=left):
+            for batch in batches:
+                for name, part in by_dataset(batch):
+                    if name not in keep:
+                        yield from part.to_batches()
+                        continue
+                    d, a, m = (stacked(part.column(c)) for c in ("d", "a", "m"))
+                    t, mu = left(name, d, a, m), now[name][0]
+                    a = t @ keep[name]
+                    z = t - m / mu - a  # d - e - a
+                    yield written(part, d, a, m + mu * z, (z * z).sum(axis=1))
 
         new = shared_dir(spark)
-        out = stored(state.mapInPandas(step, schema + ", a array<double>"), new)
+        state = stored(state.mapInArrow(step, schema), new)
         removed(spark, path)
         path = new
-        gap = F.aggregate(F.zip_with(F.zip_with("d", "a", lambda a, b: a - b), "e", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        left = float(np.sqrt(out.agg(F.sum(gap)).first()[0]))
-        state, mu = out.drop("a"), mu * rho
-        if left < tol * size:
+        for r in state.where(F.col("dataset").isin(sorted(live))).groupBy("dataset").agg(F.sum("gap").alias("gap")).collect():
+            f = facts[r["dataset"]]
+            f["mu"] = min(f["mu"] * rho, f["most"])
+            if np.sqrt(r["gap"]) < tol * f["size"]:
+                live.discard(r["dataset"])
+        if not live:
             break
     solver = pinv(lights).T
 
     def normals(batches):
-        for pdf in batches:
-            if len(pdf):
-                v = _unit(stacked(pdf["a"]) @ solver)
-                yield pd.DataFrame({"dataset": pdf["dataset"], "x": pdf["x"], "y": pdf["y"], "nx": v[:, 0], "ny": v[:, 1], "nz": v[:, 2]})
+        for batch in batches:
+            if batch.num_rows:
+                yield normal_rows(batch, _unit(stacked(batch.column("a")) @ solver))
 
-    return out.select("dataset", "x", "y", "a").mapInPandas(normals, "dataset string, x int, y int, nx double, ny double, nz double")
+    return state.select("dataset", "x", "y", "a").mapInArrow(normals, NORMALS)

@@ -16,14 +16,16 @@ def attach_lights(samples: DataFrame, lights: DataFrame) -> DataFrame:
 def to_pixels(samples: DataFrame, n: int, *, incomplete: str = "drop") -> DataFrame:
     """One row a pixel with its n values a channel, in light order.
 
-    A pixel that misses lights is dropped, or with ``incomplete="null"`` has nulls in their places. Of repeated samples the
-    largest (r, g, b) counts.
+    A pixel that misses lights is dropped, or with ``incomplete="null"`` has nulls in their places. Of repeated samples of a
+    light the largest (r, g, b) counts, in either case.
     """
-    one = samples.groupBy("dataset", "x", "y", "light_id").agg(F.max(F.struct(*CHANNELS)).alias("v")) if incomplete == "null" else samples.select("dataset", "x", "y", "light_id", F.struct(*CHANNELS).alias("v"))
-    rows = one.groupBy("dataset", "x", "y").agg(F.sort_array(F.collect_list(F.struct("light_id", "v"))).alias("s"))
+    rows = samples.groupBy("dataset", "x", "y").agg(F.sort_array(F.collect_list(F.struct("light_id", F.struct(*CHANNELS).alias("v")))).alias("s"))
+    lights = F.size(F.array_distinct(F.col("s.light_id")))
+    last = F.filter("s", lambda e, i: F.coalesce(F.get("s", i + 1)["light_id"] != e["light_id"], F.lit(True)))
+    rows = rows.withColumn("s", F.when(lights == F.size("s"), F.col("s")).otherwise(last))
     if incomplete == "drop":
         rows = rows.where(F.size("s") == n)
-        pick = lambda c: F.transform("s", lambda e: e["v"][c].cast("double")).alias(c)
+        pick = lambda c: F.col(f"s.v.{c}").cast("array<double>").alias(c)
     else:
         rows = rows.withColumn("m", F.map_from_entries("s"))
         pick = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at("m", i)[c].cast("double")).alias(c)

@@ -118,6 +118,18 @@ def j2c(spark, d):
     return rounded(p.select("dataset", "x", "y", dot("r"), dot("g")))
 
 
+_RAW = "raw AS (SELECT CAST(l_orderkey % w AS INT) AS x, CAST(l_orderkey // w AS INT) AS y, CAST(l_linenumber-1 AS INT) AS light_id, CAST(l_partkey % 256 AS DOUBLE) AS r, CAST(l_suppkey % 256 AS DOUBLE) AS g, CAST(l_quantity AS DOUBLE) AS b FROM lineitem, w WHERE l_linenumber <= 3), top AS (SELECT *, row_number() OVER (PARTITION BY x, y, light_id ORDER BY r DESC, g DESC, b DESC) AS k FROM raw)"
+
+
+@query("j2_repeated_samples", sql("w", f"WITH {_RAW}, p AS (SELECT x, y FROM top WHERE k=1 GROUP BY 1,2 HAVING count(*)=3) SELECT top.x, top.y, light_id, r, g, b FROM top JOIN p ON p.x=top.x AND p.y=top.y WHERE k=1"))
+def j2r(spark, d):
+    """Samples that repeat and miss lights: three lights, of the lines of orders."""
+    w, _ = X.sizes(spark, d)
+    k = F.col("l_orderkey")
+    rows = X.table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.lit("d").alias("dataset"), (F.col("l_linenumber") - 1).cast("int").alias("light_id"), (k % w).cast("int").alias("x"), F.floor(k / w).cast("int").alias("y"), (F.col("l_partkey") % 256).cast("double").alias("r"), (F.col("l_suppkey") % 256).cast("double").alias("g"), F.col("l_quantity").cast("double").alias("b"))
+    return S.to_samples(S.to_pixels(rows, 3)).drop("dataset")
+
+
 @query("j2_to_samples", sql("stack", f"""SELECT dataset, light_id, x, y, {R('r')} AS r, {R('g')} AS g, {R('b')} AS b FROM stack"""))
 def j2s(spark, d):
     return rounded(S.to_samples(X.pixels(spark, d)))
@@ -382,7 +394,7 @@ def a10(spark, d):
     return rounded(A.mean_offsets(marks, X.lights(spark, d, ("d",))).select("light_id", "ox", "oy"))
 
 
-_RB = "WITH q AS (SELECT dataset, x-w/2.0::DOUBLE AS u, h/2.0::DOUBLE-y AS v, nx, ny, nz FROM truth, w WHERE nz>=0.7171), r AS (SELECT dataset, CAST(floor(sqrt(u*u+v*v)/10) AS INT) AS bin, count(*) AS n, avg((u*nx+v*ny+nz)/sqrt(u*u+v*v+1)) AS slope FROM q GROUP BY 1,2)"
+_RB = "WITH q AS (SELECT dataset, x-w/2.0::DOUBLE AS u, h/2.0::DOUBLE-y AS v, nx, ny, nz FROM truth, w WHERE nz>=0.7171), r AS (SELECT dataset, CAST(floor(sqrt(u*u+v*v+1)/10) AS INT) AS bin, count(*) AS n, avg((u*nx+v*ny+nz)/sqrt(u*u+v*v+1)) AS slope FROM q GROUP BY 1,2)"
 
 
 @query("a11_radial_bins", sql("truth", f"{_RB} SELECT dataset, bin, n, {R('slope')} AS slope FROM r"))

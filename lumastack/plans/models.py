@@ -74,12 +74,12 @@ def c3(spark, d):
     return _terms(_seen(spark, d), LB.sh_weights(F.col("lx"), F.col("ly"), F.col("lz")))
 
 
-@query("c4_rbf_weights", sql("truth lights", f"""WITH q AS (SELECT k, nx, ny, nz FROM truth WHERE dataset='P'), e AS (SELECT k, light_id, exp(-((nx-lx)*(nx-lx)+(ny-ly)*(ny-ly)+(nz-lz)*(nz-lz))/0.09::DOUBLE) AS e FROM q, lights WHERE lights.dataset='P'),
+@query("c4_rbf_weights", sql("truth lights", f"""WITH q AS (SELECT k, nx, ny, nz FROM truth), e AS (SELECT k, light_id, exp(-((nx-lx)*(nx-lx)+(ny-ly)*(ny-ly)+(nz-lz)*(nz-lz))/0.09::DOUBLE) AS e FROM q, lights WHERE lights.dataset='P'),
     f AS (SELECT *, e/sum(e) OVER (PARTITION BY k) AS w FROM e) SELECT k, light_id, {R('w/sum(w) OVER (PARTITION BY k)')} AS weight FROM f WHERE w>0.001"""))
 def c4(spark, d):
     from pyspark.sql import Window
 
-    rows = X.truth(spark, d).where("dataset = 'P'").join(F.broadcast(X.lights(spark, d, ("P",)).drop("dataset")))
+    rows = X.truth(spark, d).join(F.broadcast(X.lights(spark, d, ("P",)).drop("dataset")))
     d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in (("nx", "lx"), ("ny", "ly"), ("nz", "lz"))), F.lit(0.0))
     w = Window.partitionBy("k")
     rows = rows.select("k", "light_id", F.exp(-d2 / 0.09).alias("e")).withColumn("w", F.col("e") / F.sum("e").over(w)).where("w > 0.001")
@@ -143,9 +143,9 @@ def c10(spark, d):
 _MAP = C.resample_map(LIGHTS, 8, 0.3)
 
 
-@query("c6_c7_resample", sql("stack", f"""WITH {matrix('m', _MAP)} SELECT dataset, x, y, CAST(i AS INT) AS p, {R('sum(w*r)', 4)} AS v FROM stack JOIN m ON j=light_id WHERE dataset='P' GROUP BY 1,2,3,4"""))
+@query("c6_c7_resample", sql("stack", f"""WITH {matrix('m', _MAP)} SELECT dataset, x, y, CAST(i AS INT) AS p, {R('sum(w*r)', 4)} AS v FROM stack JOIN m ON j=light_id GROUP BY 1,2,3,4"""))
 def c7(spark, d):
-    return long(C.resample(X.pixels(spark, d).where("dataset = 'P'"), _MAP).withColumn("c", F.col("r")))
+    return long(C.resample(X.pixels(spark, d), _MAP).withColumn("c", F.col("r")))
 
 
 @query("c14_fit_positional")
@@ -330,19 +330,19 @@ def c7p(spark, d):
 _ERR = f"e AS (SELECT s.dataset, i AS light_id, s.x, s.y, {_BYTE('round(sum(w*s.r),5)')} AS r, {_BYTE('round(sum(w*s.g),5)')} AS g, {_BYTE('round(sum(w*s.b),5)')} AS b FROM stack s JOIN m ON j=s.light_id GROUP BY 1,2,3,4), q AS (SELECT s.dataset, s.light_id, s.x, s.y, pow(s.r-e.r,2)+pow(s.g-e.g,2)+pow(s.b-e.b,2) AS d2 FROM stack s JOIN e ON e.dataset=s.dataset AND e.light_id=s.light_id AND e.x=s.x AND e.y=s.y)"
 
 
-def _rendered(spark, d):
-    c = C.fit_poly(X.pixels(spark, d), LIGHTS, "ptm", 6).withColumn("c", F.transform("c", lambda v: F.round(v, 8)))
-    return V.illuminate(c, V.light_rows(spark, C.weights_of(LIGHTS, "ptm", 6)))
+def _errors(spark, d):
+    c = C.fit_poly(X.pixels(spark, d), LIGHTS, "ptm", 6, keep=True).withColumn("c", F.transform("c", lambda v: F.round(v, 8)))
+    return V.pixel_errors(c, C.weights_of(LIGHTS, "ptm", 6))
 
 
 @query("q1_reconstruction_error", sql("stack", f"WITH {matrix('m', _WA)}, {_ERR} SELECT dataset, light_id, {R('avg(d2)/3', 4)} AS mse, {R('20*log10(255)-10*log10(avg(d2)/3)', 4)} AS psnr, {R('sqrt(avg(d2)/3)', 4)} AS rmse FROM q GROUP BY 1,2"))
 def q1(spark, d):
-    return rounded(V.reconstruction_error(X.stack(spark, d), _rendered(spark, d))[0], digits=4)
+    return rounded(V.light_errors(_errors(spark, d))[0], digits=4)
 
 
 @query("q2_error_map", sql("stack", f"WITH {matrix('m', _WA)}, {_ERR} SELECT dataset, x, y, {R('sqrt(sum(d2)/48)', 4)} AS error FROM q GROUP BY 1,2,3"))
 def q2(spark, d):
-    return rounded(V.error_map(X.stack(spark, d), _rendered(spark, d)), digits=4)
+    return rounded(V.pixel_error_map(_errors(spark, d)), digits=4)
 
 
 _KEEP = [i for i in range(16) if i != 5]
@@ -352,7 +352,7 @@ _W5 = C.weights_of(LIGHTS[[5]], "ptm", 6) @ pinv(C.weights_of(LIGHTS[_KEEP], "pt
 @query("q3_leave_one_out", sql("stack", f"""WITH {values('m', 'j, w', [(_KEEP[j], _W5[0, j]) for j in range(15)])}, e AS (SELECT dataset, x, y, {_BYTE('round(sum(w*r),5)')} AS r, {_BYTE('round(sum(w*g),5)')} AS g, {_BYTE('round(sum(w*b),5)')} AS b FROM stack JOIN m ON j=light_id GROUP BY 1,2,3)
     SELECT e.dataset, {R('avg(pow(s.r-e.r,2)+pow(s.g-e.g,2)+pow(s.b-e.b,2))/3', 2)} AS mse FROM e JOIN stack s ON s.dataset=e.dataset AND s.x=e.x AND s.y=e.y AND s.light_id=5 GROUP BY 1"""))
 def q3(spark, d):
-    return rounded(V.leave_one_out(X.pixels(spark, d), X.stack(spark, d), LIGHTS, "ptm", 6, 5).select("dataset", "mse"), digits=2)
+    return rounded(V.leave_one_out(X.pixels(spark, d), LIGHTS, "ptm", 6, 5).select("dataset", "mse"), digits=2)
 
 
 _W3 = C.weights_of(V.THREE, "ptm", 6) @ _PTM

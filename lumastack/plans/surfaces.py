@@ -145,33 +145,35 @@ def a14(spark, d):
     return e.select("sphere_id", "n", (F.round(F.round((F.col("major") + F.col("minor")) / 2, 1), 1) + 0.0).alias("major"))
 
 
-# Alignment: windows of 40 x 20 pixels of the image; the other image is the same, two right and one up.
+# Alignment: windows of 40 x 20 pixels that tile the image, each a dataset; the other image is the same, two right and one up.
 
-def _window(spark, d) -> tuple[DataFrame, DataFrame]:
+def _windows(spark, d) -> tuple[DataFrame, DataFrame]:
     g = X.raster(spark, d).select("dataset", "x", "y", gray(F.col("r"), F.col("g"), F.col("b"), "integer").alias("v"))
-    ref = g.where("x < 40 and y < 20")
-    other = g.select("dataset", F.lit(0).alias("light_id"), (F.col("x") - 2).alias("x"), (F.col("y") - 1).alias("y"), "v").where("x >= 0 and y >= 0 and x < 40 and y < 20")
-    return ref, other
+    tile = F.concat_ws("-", F.floor(F.col("x") / 40).cast("string"), F.floor(F.col("y") / 20).cast("string"))
+    cut = lambda df: df.select(tile.alias("dataset"), F.lit(0).alias("light_id"), (F.col("x") % 40).alias("x"), (F.col("y") % 20).alias("y"), "v")
+    other = g.select((F.col("x") - 2).alias("x"), (F.col("y") - 1).alias("y"), "v").where("x >= 0 and y >= 0")
+    return cut(g).drop("light_id"), cut(other)
 
 
-_PAIR = """g AS (SELECT x, y, (11*r+16*g+5*b)//32 AS v FROM raster), rf AS (SELECT * FROM g WHERE x<40 AND y<20), ot AS (SELECT x-2 AS x, y-1 AS y, v FROM g WHERE x>=2 AND y>=1 AND x<42 AND y<21),
-    pr AS (SELECT CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy, rf.v AS a, ot.v AS b FROM rf, (SELECT range-3 AS dx FROM range(7)), (SELECT range-3 AS dy FROM range(7)), ot WHERE rf.x>=3 AND rf.x<37 AND rf.y>=3 AND rf.y<17 AND ot.x=rf.x+dx AND ot.y=rf.y+dy)"""
-_MI = f"{_PAIR}, jt AS (SELECT dx, dy, a, b, count(*) AS n FROM pr GROUP BY 1,2,3,4), mg AS (SELECT *, sum(n) OVER (PARTITION BY dx,dy,a) AS na, sum(n) OVER (PARTITION BY dx,dy,b) AS nb, sum(n) OVER (PARTITION BY dx,dy) AS al FROM jt), sc AS (SELECT dx, dy, sum(n/CAST(al AS DOUBLE)*ln(CAST(n AS DOUBLE)*al/(na*nb))) AS score FROM mg GROUP BY 1,2)"
+_PAIR = """g AS (SELECT x, y, (11*r+16*g+5*b)//32 AS v FROM raster), rf AS (SELECT x//40 AS tx, y//20 AS ty, x%40 AS x, y%20 AS y, v FROM g), ot AS (SELECT (x-2)//40 AS tx, (y-1)//20 AS ty, (x-2)%40 AS x, (y-1)%20 AS y, v FROM g WHERE x>=2 AND y>=1),
+    pr AS (SELECT CAST(rf.tx AS VARCHAR) || '-' || CAST(rf.ty AS VARCHAR) AS dataset, CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy, rf.v AS a, ot.v AS b FROM rf, (SELECT range-3 AS dx FROM range(7)), (SELECT range-3 AS dy FROM range(7)), ot WHERE rf.x>=3 AND rf.x<37 AND rf.y>=3 AND rf.y<17 AND ot.tx=rf.tx AND ot.ty=rf.ty AND ot.x=rf.x+dx AND ot.y=rf.y+dy)"""
+_MI = f"{_PAIR}, jt AS (SELECT dataset, dx, dy, a, b, count(*) AS n FROM pr GROUP BY ALL), mg AS (SELECT *, sum(n) OVER (PARTITION BY dataset,dx,dy,a) AS na, sum(n) OVER (PARTITION BY dataset,dx,dy,b) AS nb, sum(n) OVER (PARTITION BY dataset,dx,dy) AS al FROM jt), sc AS (SELECT dataset, dx, dy, sum(n/CAST(al AS DOUBLE)*ln(CAST(n AS DOUBLE)*al/(na*nb))) AS score FROM mg GROUP BY ALL)"
+_BEST = "SELECT dataset, dx, dy, round(score,6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(score,9) DESC, dy, dx) AS k FROM sc) WHERE k=1"
 
 
-@query("m1_mutual_information", sql("raster", f"WITH {_MI} SELECT dx, dy, {R('score')} AS score FROM sc"))
+@query("m1_mutual_information", sql("raster", f"WITH {_MI} SELECT dataset, dx, dy, {R('score')} AS score FROM sc"))
 def m1(spark, d):
-    return rounded(M.align_by_mi(*_window(spark, d), 40, 20, 3)[1].select("dx", "dy", "score"))
+    return rounded(M.align_by_mi(*_windows(spark, d), 40, 20, 3)[1].select("dataset", "dx", "dy", "score"))
 
 
-@query("m2_align_by_mi", sql("raster", f"WITH {_MI} SELECT dx, dy, {R('score')} AS score FROM sc ORDER BY round(score,9) DESC, dy, dx LIMIT 1"))
+@query("m2_align_by_mi", sql("raster", f"WITH {_MI} {_BEST} AND score > 0"))
 def m2(spark, d):
-    return rounded(M.align_by_mi(*_window(spark, d), 40, 20, 3)[0].select("dx", "dy", "score"))
+    return rounded(M.align_by_mi(*_windows(spark, d), 40, 20, 3)[0].select("dataset", "dx", "dy", "score"))
 
 
-@query("m3_align_by_ncc", sql("raster", f"WITH {_PAIR}, sc AS (SELECT dx, dy, sum(CAST(a AS DOUBLE)*b)/sqrt(sum(CAST(a AS DOUBLE)*a)*sum(CAST(b AS DOUBLE)*b)) AS score FROM pr GROUP BY 1,2) SELECT dx, dy, {R('score')} AS score FROM sc ORDER BY round(score,9) DESC, dy, dx LIMIT 1"))
+@query("m3_align_by_ncc", sql("raster", f"WITH {_PAIR}, sc AS (SELECT dataset, dx, dy, coalesce(sum(CAST(a AS DOUBLE)*b)/nullif(sqrt(sum(CAST(a AS DOUBLE)*a)*sum(CAST(b AS DOUBLE)*b)),0),0) AS score FROM pr GROUP BY ALL) {_BEST}"))
 def m3(spark, d):
-    return rounded(M.align_by_ncc(*_window(spark, d), 40, 20, 3)[0].select("dx", "dy", "score"))
+    return rounded(M.align_by_ncc(*_windows(spark, d), 40, 20, 3)[0].select("dataset", "dx", "dy", "score"))
 
 
 @query("m4_offset_errors", """WITH e AS (SELECT c_nationkey, c_custkey % 5 - c_custkey % 3 AS ex, c_custkey % 7 - c_custkey % 2 AS ey FROM customer)
@@ -183,12 +185,18 @@ def m4(spark, d):
     return rounded(M.offset_errors(found, true).select("dataset", "n", "rmse_x", F.col("max_y").cast("long").alias("max_y"), "over2", "pct3"))
 
 
-@query("m5_detect_quarter_turn", "SELECT 7 AS light_id, 90 AS turn")
+def _turn_sql(turn: int, x: str, y: str) -> str:
+    pairs = f"SELECT a.g AS a, b.g AS b FROM raster a, w, raster b WHERE b.x={x} AND b.y={y}"
+    return f"SELECT {turn} AS turn, sum(n/CAST(al AS DOUBLE)*ln(CAST(n AS DOUBLE)*al/(na*nb))) AS score FROM (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS al FROM (SELECT a, b, count(*) AS n FROM ({pairs}) GROUP BY 1,2))"
+
+
+# turned back by 90 degrees the thumb is the image again, by -90 it stands on its head
+@query("m5_detect_quarter_turn", sql("raster", f"WITH s AS ({_turn_sql(90, 'a.x', 'a.y')} UNION ALL {_turn_sql(-90, 'w-1-a.x', 'h-1-a.y')}) SELECT 7 AS light_id, turn, {R('score')} AS score FROM s ORDER BY round(score,9) DESC, turn DESC LIMIT 1"))
 def m5(spark, d):
     w, h = X.sizes(spark, d)
     target = X.raster(spark, d).select("dataset", "x", "y", F.col("g").alias("v"))
     thumb = target.select("dataset", F.lit(7).alias("light_id"), F.col("y").alias("x"), (w - 1 - F.col("x")).alias("y"), "v")
-    return M.detect_quarter_turn(target, thumb, w, h).select("light_id", "turn")
+    return rounded(M.detect_quarter_turn(target, thumb, w, h).select("light_id", "turn", "score"))
 
 
 # Pyramids
@@ -226,9 +234,18 @@ def _tiles(spark, d, overlap: int = 1) -> DataFrame:
     return T.cut_tiles(T.pyramid(X.raster(spark, d), w, h, 64), w, h, 64, overlap)
 
 
-@query("t4_cut_tiles")
+# All levels in SQL: down from the whole image while a side is above 64 (three halvings reach that at every scale used).
+_LEVELS = f"""w2 AS (SELECT w//2 AS w, h//2 AS h FROM w), w3 AS (SELECT w//2 AS w, h//2 AS h FROM w2), w4 AS (SELECT w//2 AS w, h//2 AS h FROM w3), {_down_sql('raster', 'w', 'w', 'd1')}, {_down_sql('d1', 'w2', 'w2', 'd2')}, {_down_sql('d2', 'w3', 'w3', 'd3')},
+    lv AS (SELECT 0 AS k, w AS lw, h AS lh FROM w UNION ALL SELECT 1, w2.w, w2.h FROM w2, w WHERE greatest(w.w, w.h)>64 UNION ALL SELECT 2, w3.w, w3.h FROM w3, w2 WHERE greatest(w2.w, w2.h)>64 UNION ALL SELECT 3, w4.w, w4.h FROM w4, w3 WHERE greatest(w3.w, w3.h)>64),
+    gr AS (SELECT k, CAST((SELECT max(k) FROM lv) - k AS INT) AS level, lw, lh, CAST(c AS INT) AS col, CAST(q AS INT) AS row FROM lv, range(20) a(c), range(20) b(q) WHERE c<(lw+63)//64 AND q<(lh+63)//64),
+    px AS (SELECT 0 AS k, x, y, r, g, b FROM raster UNION ALL SELECT 1, x, y, r, g, b FROM d1 UNION ALL SELECT 2, x, y, r, g, b FROM d2 UNION ALL SELECT 3, x, y, r, g, b FROM d3)"""
+_HEX = "format('{:02x}{:02x}{:02x}', r, g, b)"
+
+
+@query("t4_cut_tiles", sql("raster", f"""WITH {_LEVELS}, tl AS (SELECT *, greatest(0,col*64-1) AS x0, greatest(0,row*64-1) AS y0, least((col+1)*64+1,lw) AS x1, least((row+1)*64+1,lh) AS y1 FROM gr)
+    SELECT level, col, row, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(x1-x0 AS INT) AS w, CAST(y1-y0 AS INT) AS h, CAST(3*(x1-x0)*(y1-y0) AS INT) AS bytes, md5(unhex(string_agg({_HEX}, '' ORDER BY y, x))) AS digest FROM tl JOIN px ON px.k=tl.k AND x>=x0 AND x<x1 AND y>=y0 AND y<y1 GROUP BY level, col, row, x0, y0, x1, y1"""))
 def t4(spark, d):
-    return _tiles(spark, d).select("level", "col", "row", "x0", "y0", "w", "h", F.length("payload").alias("bytes"), F.crc32("payload").alias("crc"))
+    return _tiles(spark, d).select("level", "col", "row", "x0", "y0", "w", "h", F.length("payload").alias("bytes"), F.md5("payload").alias("digest"))
 
 
 @query("t4_top_tiles", sql("raster", """WITH t AS (SELECT CAST(c AS INT) AS col, CAST(q AS INT) AS row, CAST(greatest(0,c*64-1) AS INT) AS x0, CAST(greatest(0,q*64-1) AS INT) AS y0, CAST(least((c+1)*64+1,w)-greatest(0,c*64-1) AS INT) AS w, CAST(least((q+1)*64+1,h)-greatest(0,q*64-1) AS INT) AS h FROM w, range(20) a(c), range(20) b(q) WHERE c<(w+63)//64 AND q<(h+63)//64)
@@ -239,23 +256,22 @@ def t4t(spark, d):
     return _tiles(spark, d).where(F.col("level") == top).select("col", "row", "x0", "y0", "w", "h", F.length("payload").alias("bytes"))
 
 
-@query("t5_tile_paths", sql("w ord", """WITH t AS (SELECT c, q FROM w, range(20) a(c), range(20) b(q) WHERE c<(w+63)//64 AND q<(h+63)//64) SELECT '2/' || c || '_' || q || '.jpg' AS deepzoom, '2/' || q || '/' || c || '.jpg' AS google FROM t""").replace("'2/'", "(SELECT CASE WHEN max(w)>256 THEN '3/' WHEN max(w)>64 THEN '2/' ELSE '0/' END FROM w)"))
+@query("t5_tile_paths", sql("raster", f"WITH {_LEVELS} SELECT level || '/' || col || '_' || row || '.jpg' AS deepzoom, level || '/' || row || '/' || col || '.jpg' AS google FROM gr"))
 def t5(spark, d):
-    w, h = X.sizes(spark, d)
-    t = _tiles(spark, d).drop("payload").where(F.col("level") == T.n_levels(w, h, 64) - 1)
-    a = T.tile_paths(t, "deepzoom").withColumnRenamed("path", "deepzoom")
+    a = T.tile_paths(_tiles(spark, d).drop("payload"), "deepzoom").withColumnRenamed("path", "deepzoom")
     return T.tile_paths(a, "google").select("deepzoom", F.col("path").alias("google"))
 
 
-@query("t5_zoomify_paths")
+@query("t5_zoomify_paths", sql("raster", f"WITH {_LEVELS} SELECT level, col, row, 'TileGroup' || ((row_number() OVER (ORDER BY level, row, col) - 1) // 256) || '/' || level || '-' || col || '-' || row || '.jpg' AS path FROM gr"))
 def t5z(spark, d):
     return T.tile_paths(_tiles(spark, d).drop("payload"), "zoomify").select("level", "col", "row", "path")
 
 
-@query("t6_padded_tiles")
+@query("t6_padded_tiles", sql("raster", f"""WITH {_LEVELS}, cell AS (SELECT CAST(range % 64 AS INT) AS i, CAST(range // 64 AS INT) AS j FROM range(4096))
+    SELECT level, col, row, 12288 AS bytes, md5(unhex(string_agg(CASE WHEN px.x IS NULL THEN '000000' ELSE {_HEX} END, '' ORDER BY j, i))) AS digest FROM gr CROSS JOIN cell LEFT JOIN px ON px.k=gr.k AND px.x=col*64+i AND px.y=row*64+j GROUP BY level, col, row"""))
 def t6(spark, d):
     w, h = X.sizes(spark, d)
-    return T.cut_tiles_padded(T.pyramid(X.raster(spark, d), w, h, 64), w, h, 60).select("level", "col", "row", F.length("payload").alias("bytes"), F.crc32("payload").alias("crc"))
+    return T.cut_tiles_padded(T.pyramid(X.raster(spark, d), w, h, 64), w, h, 60).select("level", "col", "row", F.length("payload").alias("bytes"), F.md5("payload").alias("digest"))
 
 
 _IDX = "t AS (SELECT CAST(l_linenumber AS INT) AS plane, CAST(l_orderkey % 3 AS INT) AS level, CAST(l_orderkey % 11 AS INT) AS col, CAST(l_orderkey % 13 AS INT) AS row, CAST(max(l_quantity)*100+1 AS BIGINT) AS size FROM lineitem GROUP BY 1,2,3,4), ix AS (SELECT plane, row_number() OVER w - 1 AS seq, level, col, row, CAST(coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS \"offset\", size FROM t WINDOW w AS (PARTITION BY plane ORDER BY level,row,col))"
@@ -277,7 +293,10 @@ def t8(spark, d):
     return T.interleave_index(_index(spark, d)).drop("dataset")
 
 
-@query("s14_pyramid_metadata")
+@query("s14_pyramid_metadata", sql("raster", f"""WITH {_LEVELS}, n AS (SELECT count(*) AS n_tiles, count(DISTINCT level) AS n_levels FROM gr)
+    SELECT n_tiles, n_levels, '<Image TileSize="64" Overlap="1" Format="jpg"><Size Width="' || w || '" Height="' || h || '"/></Image>' AS dzi,
+    '<IMAGE_PROPERTIES WIDTH="' || w || '" HEIGHT="' || h || '" NUMTILES="' || n_tiles || '" NUMIMAGES="1" VERSION="1.8" TILESIZE="64"/>' AS zoomify,
+    '{{"tilesize":64,"overlap":1,"format":"jpg","width":' || w || ',"height":' || h || ',"nlevels":' || n_levels || '}}' AS tzi FROM n, w"""))
 def s14(spark, d):
     w, h = X.sizes(spark, d)
     return T.pyramid_metadata(_tiles(spark, d).drop("payload"), w, h, 64, 1).drop("dataset")
@@ -306,21 +325,33 @@ def n5(spark, d):
     return rounded(B.normals_rpca(X.pixels(spark, d, specular=True), LIGHTS), digits=4)
 
 
-@query("f1_flatten_radial", sql("truth", f"""WITH q AS (SELECT dataset, x-w/2.0::DOUBLE AS u, h/2.0::DOUBLE-y AS v, nx, ny, nz FROM truth, w WHERE nz>=0.7171), b AS (SELECT dataset, floor(sqrt(u*u+v*v)/10) AS bin, avg((u*nx+v*ny+nz)/sqrt(u*u+v*v+1)) AS s FROM q GROUP BY 1,2), l AS (SELECT dataset, regr_slope(s,(bin+0.5)*10) AS m, regr_intercept(s,(bin+0.5)*10) AS q FROM b GROUP BY 1),
+@query("f1_flatten_radial", sql("truth", f"""WITH q AS (SELECT dataset, x-w/2.0::DOUBLE AS u, h/2.0::DOUBLE-y AS v, nx, ny, nz FROM truth, w WHERE nz>=0.7171), b AS (SELECT dataset, floor(sqrt(u*u+v*v+1)/10) AS bin, avg((u*nx+v*ny+nz)/sqrt(u*u+v*v+1)) AS s FROM q GROUP BY 1,2), l AS (SELECT dataset, regr_slope(s,(bin+0.5)*10) AS m, regr_intercept(s,(bin+0.5)*10) AS q FROM b GROUP BY 1),
     z AS (SELECT t.dataset, x, y, sqrt(pow(x-w/2.0::DOUBLE,2)+pow(h/2.0::DOUBLE-y,2)) AS d, x-w/2.0::DOUBLE AS u, h/2.0::DOUBLE-y AS v, nx, ny, nz, m, q FROM truth t JOIN l ON l.dataset=t.dataset, w), r AS (SELECT dataset, x, y, nx-(m*d+q)*coalesce(u/nullif(d,0),0) AS a, ny-(m*d+q)*coalesce(v/nullif(d,0),0) AS b, nz AS c FROM z)
     SELECT dataset, x, y, {R('a/sqrt(a*a+b*b+c*c)')} AS nx, {R('b/sqrt(a*a+b*b+c*c)')} AS ny, {R('c/sqrt(a*a+b*b+c*c)')} AS nz FROM r"""))
 def f1(spark, d):
     return rounded(FL.flatten_radial(X.truth(spark, d).drop("k"), *X.sizes(spark, d), 10.0))
 
 
-@query("f2_flatten_quadratic", sql("heights", "SELECT count(*) AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS against_x, 0.0::DOUBLE AS against_xy FROM heights"))
+def _residual_sql() -> str:
+    """The six terms made orthogonal one after another, and the heights less their share of each."""
+    steps = ["o0 AS (SELECT x, y, z, 1.0::DOUBLE AS t0, u AS t1, v AS t2, u*u AS t3, v*v AS t4, u*v AS t5 FROM (SELECT x, y, z, (x-w/2.0::DOUBLE)/w AS u, (y-h/2.0::DOUBLE)/w AS v FROM heights, hw))"]
+    for k in range(6):
+        less = lambda c: f"{c} - t{k}*(sum({c}*t{k}) OVER ())/(sum(t{k}*t{k}) OVER ()) AS {c}"  # noqa: B023, E731
+        steps.append(f"o{k + 1} AS (SELECT x, y, {', '.join([less('z'), *(less(f't{j}') for j in range(k + 1, 6))])} FROM o{k})")
+    return ", ".join(steps)
+
+
+_MOMENTS = "SELECT count(*) AS n, round(avg(z), 5) + 0.0 AS mean, round(avg(z*x), 5) + 0.0 AS against_x, round(avg(z*x*y), 5) + 0.0 AS against_xy, round(avg(z*z), 5) + 0.0 AS square FROM o6"
+
+
+@query("f2_flatten_quadratic", sql("heights", f"WITH {_residual_sql()} {_MOMENTS}"))
 def f2(spark, d):
     z = FL.flatten_quadratic(X.heights(spark, d), *X.height_size(spark, d))
     c = F.col
-    return rounded(z.agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("mean"), F.avg(c("z") * c("x")).alias("against_x"), F.avg(c("z") * c("x") * c("y")).alias("against_xy")), digits=5)
+    return rounded(z.agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("mean"), F.avg(c("z") * c("x")).alias("against_x"), F.avg(c("z") * c("x") * c("y")).alias("against_xy"), F.avg(c("z") * c("z")).alias("square")), digits=5)
 
 
-@query("f2_quadratic_residual")
+@query("f2_quadratic_residual", sql("heights", f"WITH {_residual_sql()} SELECT 'd' AS dataset, x, y, {R('z')} AS z FROM o6"))
 def f2r(spark, d):
     return rounded(FL.flatten_quadratic(X.heights(spark, d), *X.height_size(spark, d)))
 
@@ -379,17 +410,18 @@ def i3(spark, d):
 
 
 def _lights_of_nations(spark, d) -> DataFrame:
-    """Lights for each nation, one for each of its suppliers: at most a thousand."""
+    """Lights for each nation and each thousand of supplier keys, so that a list has at most a thousand."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    s = X.table(spark, d, "supplier").withColumn("k", F.row_number().over(w) - 1).where("k < 1000")
+    block = F.concat_ws("-", F.col("s_nationkey").cast("string"), F.floor(F.col("s_suppkey") / 1000).cast("string"))
+    s = X.table(spark, d, "supplier").withColumn("dataset", block)
+    s = s.withColumn("k", F.row_number().over(Window.partitionBy("dataset").orderBy("s_suppkey")) - 1)
     v = [(F.col("s_suppkey") % 7 - 3).cast("double"), (F.col("s_suppkey") % 5 - 2).cast("double"), F.lit(4.0)]
     n = F.sqrt(v[0] * v[0] + v[1] * v[1] + 16)
-    return s.select(F.col("s_nationkey").cast("string").alias("dataset"), F.col("k").cast("int").alias("light_id"), F.concat(F.lit("photo "), F.col("s_name")).alias("filename"), *((c / n).alias(k) for c, k in zip(v, ("lx", "ly", "lz"), strict=True)))
+    return s.select("dataset", F.col("k").cast("int").alias("light_id"), F.concat(F.lit("photo "), F.col("s_name")).alias("filename"), *((c / n).alias(k) for c, k in zip(v, ("lx", "ly", "lz"), strict=True)))
 
 
-_SUP = "sl AS (SELECT CAST(s_nationkey AS VARCHAR) AS dataset, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS light_id, 'photo ' || s_name AS filename, CAST(s_suppkey % 7 - 3 AS DOUBLE) AS a, CAST(s_suppkey % 5 - 2 AS DOUBLE) AS b FROM supplier)"
+_SUP = "sl AS (SELECT *, CAST(row_number() OVER (PARTITION BY dataset ORDER BY s_suppkey) - 1 AS INT) AS light_id FROM (SELECT CAST(s_nationkey AS VARCHAR) || '-' || CAST(s_suppkey // 1000 AS VARCHAR) AS dataset, s_suppkey, 'photo ' || s_name AS filename, CAST(s_suppkey % 7 - 3 AS DOUBLE) AS a, CAST(s_suppkey % 5 - 2 AS DOUBLE) AS b FROM supplier))"
 _SLS = f"WITH {_SUP} SELECT dataset, light_id, filename, {R('a/sqrt(a*a+b*b+16)')} AS lx, {R('b/sqrt(a*a+b*b+16)')} AS ly, {R('4/sqrt(a*a+b*b+16)')} AS lz FROM sl"
 
 

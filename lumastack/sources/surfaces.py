@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +28,20 @@ def invert_z(heights: DataFrame) -> DataFrame:
 def height_tiles(heights: DataFrame, side: int = 256) -> DataFrame:
     """(dataset, col, row, n, payload): square tiles of 4-byte floats, zero where there is no pixel."""
 
-    @F.pandas_udf("binary")
-    def pack(px: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def pack(px: pa.Array) -> pa.Array:
+        flat, cuts = px.flatten(), np.cumsum(np.concatenate(([0], px.value_lengths().to_numpy()))).tolist()
+        at, z = flat.field("at").to_numpy(), flat.field("z").to_numpy()
         out = []
-        for p in px:
-            tile = np.zeros((side, side), "<f4")
-            for e in p:
-                tile[e["y"] % side, e["x"] % side] = e["z"]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            tile = np.zeros(side * side, "<f4")
+            tile[at[a:b]] = z[a:b]
             out.append(tile.tobytes())
-        return pd.Series(out)
+        return pa.array(out, pa.binary())
 
     rows = heights.groupBy("dataset", F.floor(F.col("x") / side).cast("int").alias("col"), F.floor(F.col("y") / side).cast("int").alias("row"))
-    return rows.agg(F.collect_list(F.struct("x", "y", "z")).alias("px")).select("dataset", "col", "row", F.size("px").alias("n"), pack("px").alias("payload"))
+    place = (F.pmod("y", F.lit(side)) * side + F.pmod("x", F.lit(side))).alias("at")
+    return rows.agg(F.collect_list(F.struct(place, "z")).alias("px")).select("dataset", "col", "row", F.size("px").alias("n"), pack("px").alias("payload"))
 
 
 def mesh(heights: DataFrame, width: int, height: int, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:

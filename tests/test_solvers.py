@@ -192,3 +192,170 @@ def test_empty_and_degenerate_input(spark):
     two = normals.normals_l2(X.stack(spark, SMALL).where("light_id < 2"), X.lights(spark, SMALL))
     assert two.where("nx is not null").count() == 0 and normals.fix_normals(two).where("nz > 0.9").count() == two.count()
     assert algebra.gram(none.select(F.array("r").alias("v")), ["v"])[0] == 0
+
+
+def test_ranges_of_a_plane_with_outliers(spark):
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.normal(0, 1e-6, 20_000), [1e12, -1e9, 5.0]])
+    rows = spark.createDataFrame([("d", p, float(x)) for p, s in ((0, v), (1, np.repeat(v[:50], 40))) for x in s], "dataset string, plane int, value double")
+    got = {r["plane"]: (r["vmin"], r["vmax"]) for r in aggregate.plane_ranges(rows, small=50).collect()}
+    for p, s in ((0, np.sort(v)), (1, np.sort(np.repeat(v[:50], 40)))):
+        assert got[p] == (s[int((1 - 0.995) / 2 * len(s))], s[min(int((1 + 0.995) / 2 * len(s)), len(s) - 1)])
+
+
+def _plain_rpca(d, rounds=100, tol=1e-6):
+    """Inexact augmented Lagrangian on one matrix, sparse part first."""
+    lam, sigma = 1 / np.sqrt(max(d.shape)), np.linalg.svd(d, compute_uv=False)[0]
+    y, a, mu = d / max(sigma, np.abs(d).max() / lam), np.zeros_like(d), 1.25 / sigma
+    most = mu * 1e7
+    for _ in range(rounds):
+        t = d - a + y / mu
+        e = np.sign(t) * np.maximum(np.abs(t) - lam / mu, 0)
+        u, s, v = np.linalg.svd(d - e + y / mu, full_matrices=False)
+        a = (u * np.maximum(s - 1 / mu, 0)) @ v
+        z = d - a - e
+        y, mu = y + mu * z, min(mu * 1.5, most)
+        if np.linalg.norm(z) / np.linalg.norm(d) < tol:
+            break
+    return a
+
+
+def test_low_rank_normals_of_each_dataset(spark):
+    px = X.pixels(spark, SMALL, specular=True).where("dataset in ('F', 'P')")
+    got = {(r["dataset"], r["x"], r["y"]): (r["nx"], r["ny"], r["nz"]) for r in robust.normals_rpca(px, L).collect()}
+    rows = px.collect()
+    for name in ("F", "P"):
+        part = [r for r in rows if r["dataset"] == name]
+        n = _plain_rpca(np.array([(np.array(r["r"]) + r["g"] + r["b"]) / 3 for r in part])) @ np.linalg.pinv(L).T
+        n /= np.linalg.norm(n, axis=1, keepdims=True)
+        assert np.abs(n - np.array([got[name, r["x"], r["y"]] for r in part])).max() < 1e-4
+
+
+def test_positional_fit_blends_its_nodes(spark):
+    w, h = X.sizes(spark, SMALL)
+    px = X.pixels(spark, SMALL).collect()[::53]
+    got = {(r["dataset"], r["x"], r["y"]): r["c"] for r in fit.fit_poly_3d(X.pixels(spark, SMALL), X.POSITIONS, "ptm", 6, width=w, height=h, pixel=0.1).collect()}
+    for r in px:
+        u, v = 14 * r["x"] / w, 14 * r["y"] / h
+        want = 0
+        for j in range(15):
+            for i in range(15):
+                k = max(0, 1 - abs(u - i)) * max(0, 1 - abs(v - j))
+                if k:
+                    seat = np.array([(i * w / 14 - w / 2) * 0.1, (h - 1 - j * h / 14 - h / 2) * 0.1, 0])
+                    ray = X.POSITIONS - seat
+                    a, b = (ray / np.linalg.norm(ray, axis=1, keepdims=True)).T[:2]
+                    terms = np.column_stack([np.ones(16), a, b, a * a, a * b, b * b])
+                    want = want + k * np.linalg.lstsq(terms, np.column_stack([r["r"], r["g"], r["b"]]), rcond=None)[0]
+        assert np.allclose(got[r["dataset"], r["x"], r["y"]], np.ravel(want), atol=1e-6)
+
+
+def test_decorrelation_stretch_equals_plain_one(spark):
+    w, h = X.sizes(spark, SMALL)
+    img = np.zeros((h, w, 3))
+    for r in X.raster(spark, SMALL).collect():
+        img[r["y"], r["x"]] = r["r"], r["g"], r["b"]
+    across, down = int(np.ceil(np.sqrt(1000) * w / h)), int(np.ceil(np.sqrt(1000) * h / w))
+    picked = img[:: max(1, h // down), :: max(1, w // across)].reshape(-1, 3)
+    cov = np.cov(picked.T)
+    values, vectors = np.linalg.eigh(cov)
+    t = np.diag(np.sqrt(np.diag(cov))) @ vectors @ np.diag(1 / np.sqrt(np.abs(values))) @ vectors.T
+    out = np.trunc(np.round(img @ t.T, 9))
+    lo, hi = out.min(axis=(0, 1)), out.max(axis=(0, 1))
+    want = np.trunc(np.round(255 * (out - lo) / (hi - lo), 9))
+    got = np.zeros_like(want)
+    for r in render.dstretch(X.raster(spark, SMALL), w, h).collect():
+        got[r["y"], r["x"]] = r["r"], r["g"], r["b"]
+    assert (got == want).mean() > 0.999 and np.abs(got - want).max() <= 255 / (hi - lo).min() + 1
+
+
+def test_refined_highlights_equal_plain_ones(spark):
+    from lumastack.plans import surfaces as S
+
+    photos, spheres = S._photos(spark, SMALL), S._spheres(spark, SMALL)
+    found = lights.detect_highlights(photos, spheres)
+    got = {(r["sphere_id"], r["light_id"]): (r["hx"], r["hy"]) for r in lights.refine_highlights(photos, spheres, found).collect()}
+    assert len(got) == found.count()
+    img = {(r["light_id"], r["x"], r["y"]): (11 * r["r"] + 16 * r["g"] + 5 * r["b"]) // 32 for r in photos.collect()}
+    ball = {r["sphere_id"]: r for r in spheres.collect()}
+    for r in found.collect():
+        s, hx, hy = ball[r["sphere_id"]], r["hx"], r["hy"]
+        if r["threshold"]:
+            inner = 12 * np.sin(np.radians(50))
+            box = [int(np.floor(s["cx"] - inner)), int(np.ceil(s["cx"] + inner)), int(np.floor(s["cy"] - inner)), int(np.ceil(s["cy"] + inner))]
+            lit = [(x, y, v) for (k, x, y), v in img.items() if k == r["light_id"] and v >= r["threshold"] and box[0] <= x < box[1] and box[2] <= y < box[3] and (x - s["cx"]) ** 2 + (y - s["cy"]) ** 2 <= inner**2]
+            side = box[1] - box[0]
+            radius, least = int(np.ceil(side / 2)), int(np.ceil(0.02 * side))
+            for _ in range(6):
+                near = [(x, y, v) for x, y, v in lit if abs(x - hx) <= radius and abs(y - hy) <= radius]
+                total = sum(v for *_, v in near)
+                if not total:
+                    break
+                hx, hy = sum(x * v for x, _, v in near) / total, sum(y * v for _, y, v in near) / total
+                if radius <= least:
+                    break
+                radius = int(np.ceil(radius / 2))
+        assert np.allclose(got[r["sphere_id"], r["light_id"]], (hx, hy), atol=1e-9)
+
+
+def test_parallax_positions_meet_the_rays(spark):
+    rng = np.random.default_rng(4)
+    true, rows = rng.normal(0, 1, (9, 3)), []
+    true[:, 2] = np.abs(true[:, 2])
+    true *= 300 / np.linalg.norm(true, axis=1, keepdims=True)
+    true[8] *= 1.05  # within a tenth of the median radius: stays
+    for k, p in enumerate(true):
+        for s in range(3):
+            o = rng.normal(0, 20, 3)
+            rows.append(("d", s, k, *map(float, (p - o) / np.linalg.norm(p - o)), *map(float, o)))
+    rays = spark.createDataFrame(rows, "dataset string, sphere_id int, light_id int, lx double, ly double, lz double, ox double, oy double, oz double")
+    got = {r["light_id"]: (r["px"], r["py"], r["pz"]) for r in lights.parallax_positions(rays).collect()}
+    assert np.allclose([got[k] for k in range(9)], true, atol=1e-3)
+
+
+def test_resample_map_equals_plain_one():
+    """Guess by Gaussian weights over the lights, then regularised least squares for what reading at the lights misses."""
+    res, sigma, reg = 8, 0.3, 0.1
+    at = []
+    for j in range(res):
+        for i in range(res):
+            u, v = 2 * i / (res - 1) - 1, 2 * j / (res - 1) - 1
+            x, y = (u - v) / 2, (u + v) / 2
+            n = np.array([x, y, 1 - abs(x) - abs(y)])
+            at.append(n / np.linalg.norm(n))
+    guess = np.exp(-((np.array(at)[:, None] - L[None]) ** 2).sum(axis=2) / sigma**2)
+    guess /= guess.sum(axis=1, keepdims=True)
+    guess[guess <= 0.005] = 0
+    guess /= guess.sum(axis=1, keepdims=True)
+    read = np.zeros((16, res * res))
+    for k, (x, y, z) in enumerate(L):
+        s = abs(x) + abs(y) + abs(z)
+        u, v = ((x + y) / s + 1) / 2 * (res - 1), ((y - x) / s + 1) / 2 * (res - 1)
+        for j in range(res):
+            for i in range(res):
+                read[k, j * res + i] = max(0, 1 - abs(u - i)) * max(0, 1 - abs(v - j))
+    fixed = np.linalg.lstsq(np.vstack([read, np.sqrt(reg) * np.eye(res * res)]), np.vstack([np.eye(16) - read @ guess, np.zeros((res * res, 16))]), rcond=None)[0]
+    want = guess + fixed
+    want[np.abs(want) <= 0.005] = 0
+    assert np.allclose(fit.resample_map(L, res, sigma, reg), want, atol=1e-9)
+
+
+def test_flattening_by_points_equals_plain_model(spark):
+    from lumastack.plans import registered
+    from lumastack.plans import surfaces as S
+
+    w, h = X.sizes(spark, SMALL)
+    pts = np.array(S._picked(spark, SMALL))
+    u, v = (pts[:, 0] - w / 2) / w, (h / 2 - pts[:, 1]) / w
+    powers = flatten._slope_terms(len(pts))
+    du = np.column_stack([i * u ** max(i - 1, 0) * v**j for i, j in powers])
+    dv = np.column_stack([j * u**i * v ** max(j - 1, 0) for i, j in powers])
+    k = np.linalg.lstsq(np.vstack([du, dv]), np.concatenate([-pts[:, 2] / pts[:, 4], -pts[:, 3] / pts[:, 4]]), rcond=None)[0]
+    got = {(r["x"], r["y"]): (r["nx"], r["ny"], r["nz"]) for r in registered()[0]["f6_flatten_points_normals"](spark, SMALL).collect()}
+    for r in X.truth(spark, SMALL, "d").collect()[::37]:
+        a, b = (r["x"] - w / 2) / w, (h / 2 - r["y"]) / w
+        m = np.array([-sum(c * i * a ** max(i - 1, 0) * b**j for c, (i, j) in zip(k, powers, strict=True)), -sum(c * j * a**i * b ** max(j - 1, 0) for c, (i, j) in zip(k, powers, strict=True)), 1.0])
+        m /= np.linalg.norm(m)
+        axis, n = np.cross(m, [0, 0, 1.0]), np.array([r["nx"], r["ny"], r["nz"]])
+        turned = n * m[2] + np.cross(axis, n) + axis * (axis @ n) / (1 + m[2])
+        assert np.allclose(got[r["x"], r["y"]], turned, atol=2e-6)
