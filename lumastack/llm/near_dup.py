@@ -6,9 +6,14 @@ twice), which lowers the variance of plain MinHash, and the walk of a document s
 lower any position. Signatures are banded; documents that share a band value are candidates.
 
 Groups are found without emitting pairs within a bucket: (1) equal shingle sets collapse to one representative;
-(2) each bucket's least id is a hub, and only (hub, member) pairs are verified on full sets; (3) buckets that still span
-several groups are compared in blocks, in the tasks, and only a spanning forest of the links found leaves a task. No
-bucket or partner is capped: a bucket larger than a block is dealt as pairs of blocks.
+(2) each bucket's least id is a hub, and only (hub, member) pairs are verified on full sets; (3) in buckets that still span
+several groups, the documents outside the bucket's largest group are compared with all others, in blocks, in the tasks,
+and only a spanning forest of the links found leaves a task. No bucket or partner is capped: with n documents, m of them
+outside the largest group, n m / b + m n / b rows are dealt in blocks of b, which is n where few stand outside. Joins on
+hubs and buckets are salted, so that a group of a third of all rows is not one task's.
+
+Pairs whose signatures agree in less than ``PLAUSIBLE`` of their places are not verified; of pairs at 0.8, whose places agree
+with that chance each, fewer than one in 100,000 is lost so (fewer than 48 of 80 places).
 
 Cases: a null, empty or blank text has no shingles, is linked with nothing and is its own group; a text shorter than the
 shingle has one shingle, its whole sequence; repeated rows of one doc_id give one result row for each; a null doc_id is
@@ -30,7 +35,7 @@ from .textops import LOWER, distinct_sorted, mix64, shingles, span_hashes, text_
 
 ROWS, BANDS = 4, 20
 PLAUSIBLE = 0.6
-BLOCK = 600
+BLOCK, BLOCK_SHINGLES, SALTS = 600, 300_000, 64
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -169,21 +174,28 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield pa.Table.from_batches(kept)
 
 
+def _sides(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block: the places of the documents outside the bucket's largest group, and of those to compare them with."""
+    outer = run.column("outer").to_numpy(zero_copy_only=False)
+    return np.flatnonzero(outer), np.arange(len(outer)) if run.column("j")[0].as_py() == 0 else np.flatnonzero(~outer)
+
+
 def _plausible(floor: float) -> Callable:
-    """Of a bucket's pair of blocks: the documents that have a partner of another group in reach."""
+    """Of a block: the documents that have a partner of another group in reach."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in sorted_runs(batches, ["bucket", "i", "j"]):
             n = run.num_rows
-            comp = run.column("comp").to_numpy()
-            if n < 2 or (comp == comp[0]).all():
+            xs, ys = _sides(run)
+            if n < 2 or not len(xs):
                 continue
+            comp = run.column("comp").to_numpy()
             marks = np.frombuffer(b"".join(run.column("marks").to_pylist()), np.uint8).reshape(n, -1)
             found = np.zeros(n, bool)
-            for x in range(n):
-                near = ((marks == marks[x]).mean(axis=1) >= floor) & (comp != comp[x])
-                if near.any():
-                    found[x] = True
+            for x in xs.tolist():
+                near = ((marks[ys] == marks[x]).mean(axis=1) >= floor) & (comp[ys] != comp[x])
+                found[x] |= near.any()
+                found[ys[near]] = True
             if found.any():
                 yield from run.select(["bucket", "id"]).filter(pa.array(found)).to_batches()
 
@@ -211,12 +223,13 @@ class _Union:
 
 
 def _block_links(num: int, den: int) -> Callable:
-    """Of a bucket's pair of blocks: a spanning forest of the links between groups, from whole sets."""
+    """Of a block: a spanning forest of the links between groups, from whole sets."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in sorted_runs(batches, ["bucket", "i", "j"]):
             n = run.num_rows
-            if n < 2:
+            xs, ys = _sides(run)
+            if n < 2 or not len(xs):
                 continue
             ids, comps = run.column("id").to_pylist(), run.column("comp").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in run.column("set").to_pylist()]
@@ -227,13 +240,15 @@ def _block_links(num: int, den: int) -> Callable:
             first = np.concatenate(([0], np.flatnonzero(flat[1:] != flat[:-1]) + 1))
             length = np.diff(np.append(first, len(flat)))
             groups, a, b = _Union(), [], []
-            for x in range(n):
+            other = np.zeros(n, bool)
+            other[ys] = True
+            for x in xs.tolist():
                 at = first[np.searchsorted(flat[first], sets[x])]
                 reach = length[np.searchsorted(first, at)]
                 hits = owner[np.repeat(at - np.concatenate(([0], np.cumsum(reach)[:-1])), reach) + np.arange(reach.sum())]
                 same = np.bincount(hits, minlength=n)
-                for y in np.flatnonzero(den * same >= num * (sizes[x] + sizes - same)).tolist():
-                    if y > x and groups.join(comps[x], comps[y]):
+                for y in np.flatnonzero(other & (den * same >= num * (sizes[x] + sizes - same))).tolist():
+                    if groups.join(comps[x], comps[y]):
                         a.append(min(ids[x], ids[y]))
                         b.append(max(ids[x], ids[y]))
             if a:
@@ -266,7 +281,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.toDF("n", "v").where("v > n").join(least, "n").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        large = salted_join(both.toDF("n", "v").where("v > n"), least, "n", "v").select(F.col("m").alias("a"), F.col("v").alias("b"))
         small = large.union(least.where("m < n").select("m", "n")).distinct()
         down = small.groupBy("b").agg(F.min("a").alias("m"))
         star = small.join(down, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
@@ -279,13 +294,34 @@ def components(edges: DataFrame) -> DataFrame:
             return links.groupBy("b").agg(F.min("a").alias("comp")).select(F.col("b").alias("id"), "comp").union(links.select("a", "a").distinct())
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each ``key``; rows of one key are spread by a hash of ``by``.
+
+    A fact goes only to the salts that rows of its key have, so it is copied no more often than it has rows.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    spread = rows.select(key, "_salt").distinct().join(facts, key)
+    return rows.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def _with_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Deal each bucket's rows to its pairs of blocks (i <= j); a bucket of one block has the pair (0, 0) alone."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("nb"))
-    own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    dealt = rows.join(sizes, "bucket").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    return dealt.select("*", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("nb", "own", "other")
+    """Deal the rows (bucket, id, comp, weight, ...) of buckets with several groups to blocks (i, j).
+
+    Block (i, j) has the i-th part of the documents outside the bucket's largest group (``outer``) and the j-th part of all.
+    A bucket of one part has each document once.
+    """
+    groups = rows.groupBy("bucket", "comp").agg(F.sum("weight").alias("w"))
+    sizes = groups.groupBy("bucket").agg(F.sum("w").alias("all"), F.max(F.struct("w", "comp")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    parts = lambda w: F.ceil(w / block).cast("int")
+    sizes = sizes.select("bucket", F.col("top.comp").alias("top"), parts(F.col("all")).alias("na"), parts(F.col("all") - F.col("top.w")).alias("nm"))
+    dealt = salted_join(rows, sizes, "bucket", "id").withColumn("out", F.col("comp") != F.col("top"))
+    place = lambda i, j, outer: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(outer).alias("outer"))
+    own_i, own_j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("nm")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("na"))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("out").alias("outer")))
+    inner = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: place(i, own_j, False))
+    outer = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: place(own_i, j, True))
+    places = F.when(F.col("na") == 1, one).when(F.col("out"), F.concat(inner, outer)).otherwise(inner)
+    return dealt.withColumn("at", F.explode(places)).select("*", "at.*").drop("at", "out", "top", "na", "nm")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
@@ -300,33 +336,37 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     able = signed.where("doc_id is not null and n_shingles > 0")
     classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("id")), paths[0])
     reps = able.alias("d").join(classes.alias("c"), (F.col("d.set_key") == F.col("c.set_key")) & (F.col("d.doc_id") == F.col("c.id")))
-    reps = reps.groupBy("id").agg(F.first("marks").alias("marks"), F.first("bands").alias("bands"))
+    reps = reps.groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"), F.first("bands").alias("bands"))
     reps = stored(reps, paths[1])
     dealt = reps.select("id", F.explode("bands").alias("bucket"))
     hubs = dealt.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub")
-    members = stored(dealt.join(hubs, "bucket"), paths[2])
+    members = stored(salted_join(dealt, hubs, "bucket", "id"), paths[2])
     full = docs.where("text is not null")
 
     def verified(pairs: DataFrame, at: str) -> DataFrame:
         marks = reps.select("id", "marks")
-        near = pairs.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
+        near = salted_join(pairs, marks.toDF("a", "ma"), "a", "b").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
         near = stored(near.mapInArrow(_agreeing(PLAUSIBLE), "a long, b long"))
         ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets = stored(full.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, set binary").dropDuplicates(["id"]), at)
-        joined = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        joined = salted_join(near, sets.toDF("a", "sa"), "a", "b").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return joined.mapInArrow(_linked(num, den), "a long, b long")
 
     stars = stored(verified(members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), paths[3]))
     removed(spark, paths[3])
     groups = stored(components(stars))
-    left = members.join(groups, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    comp = F.coalesce("comp", "id").alias("comp")
+    left = members.select("bucket", "id").join(groups, "id", "left").select("bucket", "id", comp, F.lit(1.0).alias("weight"))
     marked = _with_blocks(left, block).join(reps.select("id", "marks"), "id")
     keys = ["bucket", "i", "j"]
-    near = marked.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "id", "comp", "marks").mapInArrow(_plausible(PLAUSIBLE), "bucket long, id long").distinct()
-    near = stored(near.join(groups, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")), paths[4])
+    near = marked.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "outer", "id", "comp", "marks").mapInArrow(_plausible(PLAUSIBLE), "bucket long, id long").distinct()
+    near = stored(near, paths[4])
     rest = full.join(near.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, set binary").dropDuplicates(["id"])
     rest = stored(rest, paths[5])
-    blocks = _with_blocks(near, block).join(rest, "id").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "id", "comp", "set")
+    # a block has about ``block`` documents at most, and fewer where they are long
+    weight = (1 + F.col("n_shingles") * block / BLOCK_SHINGLES).alias("weight")
+    found = near.join(groups, "id", "left").select("bucket", "id", comp).join(reps.select("id", weight), "id")
+    blocks = _with_blocks(found, block).join(rest, "id").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "outer", "id", "comp", "set")
     more = stored(blocks.mapInArrow(_block_links(num, den), "a long, b long"))
     final = stored(components(stars.union(more)))
     removed(spark, *paths[1:])

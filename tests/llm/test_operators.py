@@ -90,6 +90,20 @@ def test_large_group_of_near_copies(spark):
     assert len(set(comp)) > 1
 
 
+def test_a_large_group_and_one_outsider_deal_few_rows(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("bucket"), "id", F.when(F.col("id") < n - 1, 0).otherwise(F.col("id")).alias("comp"), F.lit(1.0).alias("weight"))
+    dealt = near_dup._with_blocks(rows, 600).cache()
+    assert dealt.count() <= n + 2 * -(-n // 600) and dealt.where("outer").select("id").distinct().count() == 1
+    assert dealt.groupBy("i", "j").count().agg(F.max("count")).first()[0] < 1000
+    # each document meets the outsider once
+    assert dealt.where("not outer").select("id").distinct().count() == n
+    many = near_dup._with_blocks(rows.where("id < 500").withColumn("comp", F.col("id") % 5), 60)
+    met = many.where("outer").select("i", "j", "id", "comp").toDF("i", "j", "x", "cx").join(many, ["i", "j"]).where("cx <> comp and (j = 0 or not outer)").select("x", F.col("id").alias("y"))
+    both = met.union(met.select("y", "x")).distinct().count()
+    assert both == 500 * 400
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long").repartition(7)
     got = {r["id"]: r["comp"] for r in near_dup.components(edges).collect()}
