@@ -1,16 +1,18 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
-The patterns give the base spans. Runs of text near digits and at signs are cut into atoms (runs of digits, of letters, single
-marks), and a semi-Markov CRF segments each run: a segment is a span of at most ``MAX_ATOMS`` atoms with a kind, scored as a
-whole by features that no single atom has (how many digits, whether a card's check digit holds, whether each part of an
-address is in range, what stands on either side); all other atoms are segments of kind none with score 0. Dynamic
-programming over bounded segments picks boundaries and kinds jointly, so two numbers that a greedy pattern swallows as one
-failing match are told apart. Segments of the best path that touch no base span are added; base spans always stay.
-
-The weights are trained here: the gold segmentation of a run is its base spans, on runs where no pattern dropped a match, of
-about ``TRAIN_ROWS`` documents that contain a digit (a bounded sample, by hash of the id); gradient ascent on the
-conditional likelihood, with forward and backward sums over bounded segments. Without such documents a prior that asks for
-all features of a kind is used.
+The patterns give the base spans. Stretches of text near digits and at signs are cut into atoms (runs of digits, of letters,
+single marks), and a semi-Markov CRF segments each: a segment is a span of at most ``MAX_ATOMS`` atoms with a kind, scored as
+a whole by features that no single atom has (how many digits and groups of them, whether a card's check digit holds, whether
+each part of an address is in range, whether separators agree, what stands on either side); all other atoms are segments of
+kind none with score 0. A candidate needs only the raw matter of its kind (four numbers, an at mark with letters behind it,
+so many digits); its form is for the weights to judge. Dynamic programming over bounded segments picks boundaries and kinds
+jointly. Segments of the best path that touch no base span are added; base spans always stay.
+
+The weights are trained here, by gradient ascent on the conditional likelihood with forward and backward sums over bounded
+segments, on what the patterns miss: base spans of a bounded sample of texts (``TRAIN_ROWS`` texts by hash, of which at most
+``SNIPPETS`` pieces of at most ``SNIPPET`` characters are used), also with other separators or marks, with no gap to another
+span, and, as examples of no span, cut short, with a wrong check digit or with parts out of range; and stretches of the
+same texts that no pattern touches. Without such texts a prior that asks for strict forms is used.
 
 Offsets are code points, ends exclusive. Cases: a null or empty text has no spans; texts of any length are scanned in linear
 time; equal texts have equal spans; repeated rows give a row each; other columns are ignored; an empty table gives an empty
@@ -20,6 +22,8 @@ result.
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 from collections.abc import Callable, Iterator
 
@@ -36,9 +40,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-MAX_ATOMS, TRAIN_ROWS, ROUNDS, RATE, DECAY = 24, 2000, 40, 0.5, 0.01
+MAX_ATOMS, ROUNDS, RATE, DECAY = 24, 60, 0.5, 0.002
+TRAIN_ROWS, SNIPPETS, SNIPPET = 20_000, 1500, 300
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.DOTALL)
-_SEED = re.compile(r"[0-9@+(][0-9@+().:,;#$%&*!|\"'\x20-]*")
+_AT = re.compile(r"@|[(\[]at[)\]]")
+_DOT = re.compile(r"\.|[(\[](?:dot|\.)[)\]]")
+_SEED = re.compile(r"(?:[0-9@+(\[]|at[)\]])(?:[0-9@+().:,;#$%&*!|\"'\x20\[\]_/-]|at[)\]]|dot[)\]])*")
+_LIVE = re.compile(r"[0-9@]|at[)\]]")
 
 
 def luhn(digits: str) -> bool:
@@ -81,7 +89,7 @@ def runs(text: str) -> Iterator[tuple[int, int]]:
     last = -1
     for m in _SEED.finditer(text):
         a, b = m.span()
-        if b <= last or not any(c.isdigit() or c == "@" for c in m.group()):
+        if b <= last or not _LIVE.search(m.group()):
             continue
         while a > 0 and not text[a - 1].isspace() and a > last:
             a -= 1
@@ -91,50 +99,60 @@ def runs(text: str) -> Iterator[tuple[int, int]]:
         last = b
 
 
-_FULL_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_FULL_IP = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
-_FULL_CARD = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
-_FULL_PHONE = re.compile(r"(\+?)\(?[0-9][\x20().0-9-]+[0-9]")
-FEATURES = ["bias", "form", "check", "length", "grouping", "open_left", "open_right", "lead", "atoms"]
+FEATURES = ["bias", "valid", "length", "grouping", "usual", "lead", "open_left", "open_right", "spaces", "mixed", "odd", "atoms"]
+_USUAL = [".", ".", "- ", "-. ()"]  # fixed values: the marks that each kind usually has between its parts
 
 
-def features(text: str, start: int, end: int, kind: int) -> np.ndarray | None:
-    """The whole-span features of a segment, or None where the kind cannot have this form."""
+def features(text: str, start: int, end: int, kind: int, atoms: int) -> np.ndarray | None:
+    """The whole-span features of a segment, or None where the raw matter of the kind is not there."""
     span = text[start:end]
-    digits = [c for c in span if c.isdigit()]
-    n = len(digits)
+    groups = re.findall(r"[0-9]+", span)
+    n = sum(map(len, groups))
     left, right = text[start - 1 : start], text[end : end + 1]
     x = np.zeros(len(FEATURES))
     x[0] = 1
     if kind == 0:
-        m = _FULL_EMAIL.fullmatch(span)
-        if not m:
+        marks = list(_AT.finditer(span))
+        if len(marks) != 1 or not 0 < marks[0].start() or marks[0].end() >= len(span):
             return None
-        tail = span.rpartition(".")[2]
-        x[1], x[2], x[3], x[4] = 1, tail.isalpha(), 2 <= len(tail) <= 24, "." in span.rpartition("@")[2]
-        x[5], x[6] = left in _LOCAL and bool(left), bool(right) and (right.isalnum() or right == "-")
-    elif kind == 1:
-        if not _FULL_IP.fullmatch(span):
-            return None
-        parts = span.split(".")
-        x[1], x[2], x[3], x[4] = 1, all(int(p) <= 255 for p in parts), 4 <= n <= 12, all(p == "0" or p[0] != "0" for p in parts)
-        x[5], x[6] = left.isdigit() or left == "." and text[start - 2 : start - 1].isdigit(), right.isdigit() or (right == "." and text[end + 1 : end + 2].isdigit())
-    elif kind == 2:
-        if not 13 <= n <= 19 or not _FULL_CARD.fullmatch(span):
-            return None
-        groups = re.split(r"[\x20-]", span)
-        x[1], x[2], x[3], x[4] = 1, luhn("".join(digits)), n in (13, 14, 15, 16, 19), len(groups) == 1 or all(len(g) == 4 for g in groups[:-1])
-        x[5], x[6] = left.isdigit(), right.isdigit()
-        x[7] = digits[0] in "23456"
+        local, domain = span[: marks[0].start()].strip(), span[marks[0].end() :].strip()
+        parts = [q.strip() for q in _DOT.split(domain)]
+        x[1] = len(parts) > 1 and all(q and q.isascii() and q.replace("-", "").isalnum() for q in parts) and bool(local) and all(c in _LOCAL for c in local)
+        x[2] = 2 <= len(parts[-1]) <= 24 and parts[-1].isalpha()
+        x[3], x[4] = len(parts) > 1, marks[0].group() == "@"
+        x[5] = bool(local) and local[0].isalnum()
+        x[6], x[7] = bool(left) and left in _LOCAL, right.isalnum() or right == "-"
+        seps = [m.group() for m in _DOT.finditer(domain)]
+        x[8] = any(c.isspace() for c in span)
     else:
-        m = _FULL_PHONE.fullmatch(span)
-        if not 9 <= n <= 15 or not m:
+        if any(c.isalpha() for c in span):
             return None
-        groups = re.findall(r"[0-9]+", span)
-        x[1], x[2], x[3], x[4] = 1, bool(m[1]), n in (10, 11, 12, 13), 3 <= len(groups) <= 6 and max(map(len, groups)) <= 4
-        x[5], x[6] = left.isdigit() or left == "+", right.isdigit()
-        x[7] = span.count("(") == span.count(")") == 1
-    x[8] = 0.1 * len(span)
+        seps = [q for q in re.split(r"[0-9]+", span)[1:-1]]
+        x[6] = left.isdigit() or (left in ("+", ".", "-") and kind == 1 and text[start - 2 : start - 1].isdigit()) or left == "+"
+        x[7] = right.isdigit() or (kind == 1 and right == "." and text[end + 1 : end + 2].isdigit())
+        x[8] = any(len(q) > 1 and q.strip(" ") == "" or q[:1] == q[-1:] == " " and len(q) > 1 for q in seps)
+        if kind == 1:
+            if len(groups) != 4 or not span[0].isdigit():
+                return None
+            x[1], x[2] = all(len(g) <= 3 and int(g) <= 255 for g in groups), n >= 5
+            x[3], x[5] = all(g == "0" or g[0] != "0" for g in groups), all("." in q for q in seps)
+        elif kind == 2:
+            if not 13 <= n <= 19 or not span[0].isdigit():
+                return None
+            x[1], x[2] = luhn("".join(groups)), n in (13, 14, 15, 16, 19)
+            x[3] = len(groups) == 1 or all(len(g) == 4 for g in groups[:-1])
+            x[5] = groups[0][0] in "23456"
+        else:
+            if not 7 <= n <= 15 or not (span[0].isdigit() or span[0] in "+("):
+                return None
+            x[1], x[2] = span[0] == "+" or span.startswith("00"), n in (10, 11, 12, 13)
+            x[3] = 3 <= len(groups) <= 6 and max(map(len, groups)) <= 4
+            x[5] = span.count("(") == span.count(")") == 1
+        x[4] = all(q.strip() in ("", *_USUAL[kind]) or set(q) <= set(_USUAL[kind]) for q in seps)
+    plain = {q.strip() or q[:1] for q in seps}
+    x[9] = len(plain) > 1
+    x[10] = any(len(q) > 3 for q in seps)
+    x[11] = 0.1 * atoms
     return x
 
 
@@ -144,19 +162,34 @@ def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], li
     out = []
     for i, (a, _) in enumerate(atoms):
         c = text[a]
-        if not (c.isdigit() or c in "+(" or c in _LOCAL):
+        number = c in "0123456789+("
+        if not (number or c in _LOCAL):
             continue
+        digits = groups = letters = 0
+        mark = False
         for j in range(i, min(i + MAX_ATOMS, len(atoms))):
-            b = atoms[j][1]
-            if b - a > 80:
-                break
-            last = text[b - 1]
-            if not (last.isdigit() or last.isalpha()):
-                continue
-            for kind in range(4):
-                if kind and not (c.isdigit() or (kind == 3 and c in "+(")) or (kind and not last.isdigit()) or (kind == 0 and "@" not in text[a:b]):
+            s, b = atoms[j]
+            first = text[s]
+            if first.isdigit():
+                digits, groups = digits + b - s, groups + 1
+            elif first.isalpha():
+                letters += 1
+                if text[s:b] == "at" and text[s - 1 : s] in ("(", "["):
+                    mark = True
                     continue
-                x = features(text, a, b, kind)
+            elif first == "@":
+                mark = True
+            if not (first.isdigit() or first.isalpha()):
+                continue
+            if letters and not mark and digits > 40:
+                break
+            kinds = [0] if mark else []
+            if number and not letters and first.isdigit():
+                kinds += [1] if groups == 4 and digits <= 12 else []
+                kinds += [2] if 13 <= digits <= 19 else []
+                kinds += [3] if 7 <= digits <= 15 else []
+            for kind in kinds:
+                x = features(text, a, b, kind, j + 1 - i)
                 if x is not None:
                     out.append((i, j + 1, kind, x))
     return atoms, out
@@ -184,67 +217,144 @@ def best_path(n: int, scored: list[tuple[int, int, int, float]]) -> list[tuple[i
     return out[::-1]
 
 
-def gradient(weights: np.ndarray, n: int, cands: list, gold: set) -> tuple[np.ndarray, float]:
-    """Of the log likelihood of the gold segments (first atom, one past the last, kind) of one run."""
-    score = [float(weights[k] @ x) for _, _, k, x in cands]
-    forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-    forward[0] = backward[n] = 0
+def _log_sum(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+
+def _packed(cands: list, gold: set) -> tuple:
+    """Candidates as (kinds, features, ends to sum over forward and backward, which are gold)."""
+    kinds, x = np.array([c[2] for c in cands]), np.array([c[3] for c in cands])
     order = sorted(range(len(cands)), key=lambda q: cands[q][1])
+    back = sorted(range(len(cands)), key=lambda q: -cands[q][0])
+    return kinds, x, [(q, *cands[q][:2]) for q in order], [(q, *cands[q][:2]) for q in back], np.array([c[:3] in gold for c in cands])
+
+
+def _gradient(weights: np.ndarray, n: int, packed: tuple) -> tuple[np.ndarray, float]:
+    kinds, x, order, back, hit = packed
+    score = (weights[kinds] * x).sum(axis=1)
+    s = score.tolist()
+    forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    forward[0] = backward[n] = 0.0
     at = 0
     for j in range(1, n + 1):
-        forward[j] = forward[j - 1]
-        while at < len(order) and cands[order[at]][1] == j:
-            forward[j] = np.logaddexp(forward[j], forward[cands[order[at]][0]] + score[order[at]])
+        v = forward[j - 1]
+        while at < len(order) and order[at][2] == j:
+            q, i, _ = order[at]
+            v = _log_sum(v, forward[i] + s[q])
             at += 1
-    order.sort(key=lambda q: -cands[q][0])
+        forward[j] = v
     at = 0
     for i in range(n - 1, -1, -1):
-        backward[i] = backward[i + 1]
-        while at < len(order) and cands[order[at]][0] == i:
-            backward[i] = np.logaddexp(backward[i], score[order[at]] + backward[cands[order[at]][1]])
+        v = backward[i + 1]
+        while at < len(back) and back[at][1] == i:
+            q, _, j = back[at]
+            v = _log_sum(v, s[q] + backward[j])
             at += 1
-    grad, like = np.zeros_like(weights), -forward[n]
-    for q, (i, j, k, x) in enumerate(cands):
-        p = np.exp(forward[i] + score[q] + backward[j] - forward[n])
-        hit = (i, j, k) in gold
-        grad[k] += (hit - p) * x
-        like += hit * score[q]
-    return grad, float(like)
+        backward[i] = v
+    p = np.zeros(len(s))
+    for q, i, j in order:
+        p[q] = math.exp(forward[i] + s[q] + backward[j] - forward[n])
+    grad = np.zeros_like(weights)
+    np.add.at(grad, kinds, (hit - p)[:, None] * x)
+    return grad, float(score[hit].sum() - forward[n])
+
+
+def gradient(weights: np.ndarray, n: int, cands: list, gold: set) -> tuple[np.ndarray, float]:
+    """Of the log likelihood of the gold segments (first atom, one past the last, kind) of one run."""
+    return _gradient(weights, n, _packed(cands, gold))
+
 
+# Asks for strict forms, with the usual marks and closed sides; where training starts.
+PRIOR = np.array(
+    [
+        [-9.0, 4.0, 3.0, 1.0, 3.0, 0.5, -6.0, -6.0, -6.0, -1.0, -3.0, 0.0],
+        [-11.0, 5.0, 1.0, 1.0, 3.0, 3.0, -6.0, -6.0, -6.0, -4.0, -3.0, 0.0],
+        [-10.0, 6.0, 1.0, 1.0, 4.0, 1.0, -6.0, -6.0, -6.0, -4.0, -3.0, 0.0],
+        [-10.0, 6.0, 2.0, 1.0, 3.0, 0.5, -6.0, -6.0, -6.0, 0.0, -3.0, 0.0],
+    ]
+)
 
-# Asks for the form and the check of a kind and for closed sides; where training starts.
-PRIOR = np.tile(np.array([-6.0, 2.0, 5.0, 1.0, 1.0, -6.0, -6.0, 0.5, 0.0]), (4, 1))
+
+def varied(kind: int, span: str, rng: random.Random) -> str:
+    """A base span as a pattern would miss it: with other separators or marks."""
+    if kind == 0:
+        local, _, domain = span.partition("@")
+        at = rng.choice(["(at)", "[at]", " @ ", "@ "])
+        dot = rng.choice([".", "(dot)", "[.]"]) if at[0] in "([" else "."
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return span.replace(".", rng.choice([". ", " . ", "[.]", " ."]))
+    digits = re.sub(r"[^0-9]", "", span)
+    if kind == 2:
+        return rng.choice([".", "/", "  ", " - ", "_"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    head, tail = digits[:-10], digits[-10:]
+    parts = [tail[:3], tail[3:6], tail[6:]]
+    lead = rng.choice(["00" + head + " ", "+" + head + "/", "+" + head + "  "]) if head else "+"
+    return lead + rng.choice(["/", ".", " / ", "  "]).join(parts)
+
+
+def spoilt(kind: int, span: str, rng: random.Random) -> str:
+    """What looks like a base span and is none."""
+    if kind == 0:
+        local, _, domain = span.partition("@")
+        return rng.choice([f"{local}@{domain.partition('.')[0]}", f"{local} (at {domain})", f"@{domain}"])
+    if kind == 1:
+        parts = span.split(".")
+        parts[rng.randrange(4)] = str(rng.randint(256, 999))
+        return rng.choice([".".join(parts), ",".join(span.split(".")), "-".join(span.split(".")), " ".join(span.split("."))])
+    digits = re.sub(r"[^0-9]", "", span)
+    if kind == 2:
+        i = rng.randrange(len(digits))
+        wrong = digits[:i] + str((int(digits[i]) + rng.randint(1, 9)) % 10) + digits[i + 1 :]
+        return rng.choice([wrong, digits[: rng.randint(8, 12)], " ".join(wrong[i : i + 4] for i in range(0, len(wrong), 4))])
+    return rng.choice([digits[: rng.randint(4, 6)], " ".join(digits), f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}", f"({digits[:3]}) {digits[3:6]}"])
+
+
+def examples(pieces: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 1) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """(text, gold spans): the pieces as they are, and with their spans varied, joined to another one, or spoilt."""
+    rng, out = random.Random(seed), []
+    held = [(k, text[s:e]) for text, spans in pieces for k, s, e in spans]
+    for text, spans in pieces:
+        out.append((text, spans))
+        for k, s, e in spans:
+            before, span, after = text[max(0, s - 40) : s], text[s:e], text[e : e + 40]
+            if any(a < s and b > s - 40 or a < e + 40 and b > e for _, a, b in spans if (a, b) != (s, e)):
+                before, after = "of ", " and"
+            new = varied(k, span, rng)
+            out.append((before + new + after, [(k, len(before), len(before) + len(new))]))
+            ok, other = rng.choice(held)
+            glue = rng.choice([" ", ", ", "/", "; "])
+            at = len(before) + len(span) + len(glue)
+            out.append((before + span + glue + other + after, [(k, len(before), len(before) + len(span)), (ok, at, at + len(other))]))
+            out.append((before + spoilt(k, span, rng) + after, []))
+    return out
 
 
-def training_runs(texts: list[str]) -> list[tuple[int, list, set]]:
-    """(atoms, candidates, gold) of the runs where no pattern dropped a match that a longer number explains."""
+def training_runs(labelled: list[tuple[str, list[tuple[int, int, int]]]]) -> list[tuple[int, list, set]]:
+    """(atoms, candidates, gold) of the stretches of labelled texts; those that cannot express their gold are left out."""
     out = []
-    for text in texts:
-        found, dropped = matches(text)
+    for text, spans in labelled:
         for a, b in runs(text):
-            inside = [(k, s, e) for k, s, e in found if a <= s and e <= b]
-            if any(s < b and e > a and not any(s <= fs and fe <= e or fs <= s and e <= fe for _, fs, fe in inside) and e - s > 19 for s, e in dropped):
-                continue
             atoms, cands = segments(text, a, b)
             if not cands:
                 continue
             first, last = {s: i for i, (s, _) in enumerate(atoms)}, {e: i + 1 for i, (_, e) in enumerate(atoms)}
-            taken, gold = [], set()
-            for k, s, e in sorted(inside, key=lambda x: x[1] - x[2]):
-                if all(e <= x or s >= y for x, y in taken) and s in first and e in last:
-                    taken.append((s, e))
-                    gold.add((first[s], last[e], k))
-            out.append((len(atoms), cands, gold))
+            inside = [(k, s, e) for k, s, e in spans if s < b and e > a]
+            gold = {(first.get(s), last.get(e), k) for k, s, e in inside}
+            if gold <= {c[:3] for c in cands}:
+                out.append((len(atoms), cands, gold))
     return out
 
 
-def fit(texts: list[str], *, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY) -> np.ndarray:
-    """Weights (kind x feature) from texts, pulled towards the prior."""
-    data, weights = training_runs(texts), PRIOR.copy()
+def fit(pieces: list[tuple[str, list[tuple[int, int, int]]]], *, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY) -> np.ndarray:
+    """Weights (kind x feature) from pieces of text with their base spans, pulled towards the prior."""
+    data, weights = [(n, _packed(cands, gold)) for n, cands, gold in training_runs(examples(pieces))], PRIOR.copy()
     if not data:
         return weights
     for _ in range(rounds):
-        grad = sum(gradient(weights, *run)[0] for run in data) / len(data)
+        grad = sum(_gradient(weights, *run)[0] for run in data) / len(data)
         weights += rate * (10 * grad - decay * (weights - PRIOR))
     return weights
 
@@ -262,7 +372,7 @@ def added(text: str, weights: np.ndarray, base: list[tuple[int, int, int]]) -> l
     return out
 
 
-_DIGIT = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9@]|at[)\]]")
 
 
 def spans_of(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -291,14 +401,34 @@ def _found(weights: np.ndarray) -> Callable:
     return task
 
 
-def trained(docs: DataFrame, *, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights from about ``rows`` texts with a digit or an at sign: those whose hash of id and text lies below the share."""
-    found = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    n = found.count()
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of text around base spans, and stretches near which no pattern found or dropped a match, with a hash each."""
+    for batch in batches:
+        rows = []
+        for value in batch.column("text"):
+            text = value.as_py() or ""
+            found, dropped = matches(text) if _DIGIT.search(text) else ([], [])
+            for a, b in [(s, e) for _, s, e in found] or list(runs(text)):
+                a, b = max(0, a - 40), b + 40
+                # a dropped match that no span explains may hide personal data: it is no example of none
+                unclear = any(s < b and e > a and e - s > 6 and not any(x < e and y > s for _, x, y in found) for s, e in dropped)
+                if b - a <= SNIPPET and not unclear:
+                    spans = [(k, s - a, e - a) for k, s, e in found if s >= a and e <= b]
+                    rows.append((text[a:b], _joined(spans), hashlib.blake2b(text[a:b].encode(), digest_size=8).hexdigest(), bool(spans)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["piece", "spans", "h", "held"])
+
+
+def trained(docs: DataFrame, *, rows: int = TRAIN_ROWS, snippets: int = SNIPPETS) -> np.ndarray:
+    """Weights from about ``rows`` texts, chosen by hash: ``snippets`` pieces with base spans and as many without."""
+    n = docs.count()
+    chosen = docs.select("text", F.xxhash64("doc_id").alias("h"))
     if n > rows:
-        found = found.where(F.col("h") < int(-(2**63) + 2**64 * (rows / n)))
-    parts = found.orderBy("h", "text").select("text").collect()
-    return fit([r["text"] for r in parts])
+        chosen = chosen.where(F.col("h") < int(-(2**63) + 2**64 * (rows / n)))
+    found = chosen.select("text").mapInArrow(_pieces, "piece string, spans string, h string, held boolean").distinct()
+    pieces = [r for held in (True, False) for r in found.where(F.col("held") == held).orderBy("h", "piece").limit(snippets).collect()]
+    read = lambda x: [(KINDS.index(k), int(s), int(e)) for k, s, e in (q.split(":") for q in x.split(","))] if x else []
+    return fit([(r["piece"], read(r["spans"])) for r in pieces])
 
 
 def personal_data(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:

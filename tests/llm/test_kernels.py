@@ -154,6 +154,49 @@ def test_crf_parts_what_patterns_swallow():
     assert pii.spans_of("year 2024 and 4111111111111112", pii.PRIOR)[1] == []
 
 
+def test_best_path_equals_exhaustive_search():
+    rng = random.Random(12)
+    for _ in range(300):
+        n = rng.randint(1, 7)
+        scored = [(i, j, rng.randrange(4), rng.uniform(-2, 3)) for i in range(n) for j in range(i + 1, n + 1) if rng.random() < 0.5]
+
+        def best(at, scored=scored, n=n):
+            if at >= n:
+                return 0.0, []
+            top = best(at + 1)
+            for i, j, k, s in scored:
+                if i == at and (rest := best(j))[0] + s > top[0]:
+                    top = rest[0] + s, [(i, j, k), *rest[1]]
+            return top
+
+        want, got = best(0), pii.best_path(n, scored)
+        value = sum(max(s for i, j, k, s in scored if (i, j, k) == g) for g in got)
+        assert abs(value - want[0]) < 1e-9 and all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_training_finds_what_patterns_and_prior_miss():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    (rows,) = pii._pieces(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))
+    read = lambda q: [(pii.KINDS.index(k), int(s), int(e)) for k, s, e in (z.split(":") for z in q.split(","))] if q else []
+    halves = [[], []]
+    for r in sorted(rows.to_pylist(), key=lambda r: (r["h"], r["piece"])):
+        halves[int(r["h"], 16) % 2].append((r["piece"], read(r["spans"])))
+    weights = pii.fit(halves[0])
+    planted = pii.examples(halves[1], seed=5)
+    missed, wrong = {}, {}
+    for name, spans in (("base", lambda t: pii.matches(t)[0]), ("prior", lambda t: pii.spans_of(t, pii.PRIOR)[1]), ("trained", lambda t: pii.spans_of(t, weights)[1])):
+        missed[name] = sum(len(set(gold) - set(spans(t))) for t, gold in planted)
+        wrong[name] = sum(len(set(spans(t)) - set(gold)) for t, gold in planted)
+    assert missed["base"] >= missed["prior"] > 4 * missed["trained"] and wrong["trained"] <= wrong["prior"] + 2
+    # no span is added to the given texts but numbers that a pattern swallowed
+    for t in texts.to_pylist():
+        base, every = pii.spans_of(t or "", weights)
+        for k, s, e in set(every) - set(base):
+            assert any(s < b and e > a for a, b in pii.matches(t)[1]), t[s:e]
+
+
 def test_crf_gradient():
     atoms, cands = pii.segments("x 4111111111111111 y", 2, 18)
     gold = {(i, j, k) for i, j, k, _ in cands[:1]}
