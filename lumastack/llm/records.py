@@ -9,7 +9,7 @@ its line end): a lost executor's attempt leaves nothing behind. The index is a P
 key, n_tokens), from which any order of reading can be drawn without scanning shards.
 
 Cases: a null text is empty; an empty text is a record of its end id alone; repeated rows and ties in the key each give a
-record, in the order of their records' hashes; a null key is kept as null and sorts first; an empty table gives an empty
+record, in the order of their texts' hashes; a null key is kept as null and sorts first; an empty table gives an empty
 index. A text with an added token of the tokenizer, such as <|endoftext|>, has that token's id there, as the library gives
 it. One record, of a text however long, is the work of one task, which reads a shard at a time.
 """
@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunked import ChunkEncoder, text_groups
-from .scratch import prefix_of_parts, removed, shared_dir, stored
+from .scratch import ORDER, first_keys, keyed, prefix_of_parts, range_of, removed, shared_dir, stored
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 32 << 20
 _encoders: dict = {}
 
 
@@ -152,18 +152,23 @@ def tokenizer_encoder(path: str, width: str) -> ChunkEncoder:
     return _encoders[path, width]
 
 
+def forget() -> None:
+    """Free the memory of a worker that has encoded before."""
+    _encoders.clear()
+
+
 def _framed(path: str, width: str, end_id: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer_encoder(path, width)
         end = np.array([end_id], width).tobytes()
         for batch in batches:
             for row, texts in text_groups(batch):
-                keys = batch.column("key").slice(row, len(texts))
+                rest = [batch.column(c).slice(row, len(texts)) for c in ("part", *ORDER)]
                 ids, cuts = encoder.encode_column(texts)
                 records = []
-                for key, a, b in zip(keys.to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    records.append(frame(struct.pack("<Bq", key is not None, key or 0) + ids[a:b].tobytes() + end))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(records, pa.binary())], ["key", "value"])
+                for known, key, a, b in zip(rest[1].to_pylist(), rest[2].to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    records.append(frame(struct.pack("<Bq", known, key) + ids[a:b].tobytes() + end))
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(records, pa.binary())], ["part", *ORDER, "value"])
 
     return task
 
@@ -171,26 +176,25 @@ def _framed(path: str, width: str, end_id: int) -> Callable:
 def write_records(docs: DataFrame, out: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", vocabulary: int = 50_257, end_id: int = 0, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode ``text`` and write shards under ``out`` in ascending order of ``key``; part numbers give the shards' order.
 
-    Texts are encoded where they are read; their records are stored, and dealt in ranges of key and record hash, so that a
-    key with many rows is split as well. Without ``shards``, as many are written as have about ``shard_bytes`` bytes each: a
-    reading task holds a few copies of one, so executors with more memory take larger ones.
+    Keys with text hashes are cut into ranges first, so that a key with many rows is split as well; then texts are encoded
+    where they are read, and their records, not the texts, are dealt out. Without ``shards``, there is one for each
+    ``shard_bytes`` bytes of text: a reading task holds a few copies of one, so executors with more memory take larger ones.
     """
-    spark = docs.sparkSession
     width = "<u2" if vocabulary <= 65_536 else "<u4"
-    kept = shared_dir(spark)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    coded = stored(rows.mapInArrow(_framed(tokenizer, width, end_id), "key long, value binary").withColumn("tie", F.xxhash64("value")), kept)
+    rows = keyed(docs, key, text)
     if shards is None:
-        size = coded.agg(F.sum(F.length("value") + 1).alias("n")).first()["n"] or 0
+        size = rows.agg(F.sum(F.octet_length("text") + 8).alias("n")).first()["n"] or 0
         shards = max(1, -(-size // shard_bytes))
-    order = [F.col("key").asc_nulls_first(), F.col("tie")]
-    placed = coded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    placed.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(out)
-    removed(spark, kept)
+    heads = first_keys(rows, shards) or [(False, 0, 0)]
+    placed = rows.select(range_of(heads)(*ORDER)["part"].alias("part"), *ORDER, "text")
+    coded = placed.mapInArrow(_framed(tokenizer, width, end_id), "part int, known boolean, id long, tie long, value binary")
+    dealt = coded.repartitionById(len(heads), "part").sortWithinPartitions(*ORDER)
+    dealt.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(out)
 
 
 def _scanned(width: str) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
                 data = memoryview(content.as_buffer())

@@ -1,12 +1,19 @@
-"""Prefix sums over tables of any size, and the shared folder of the library."""
+"""Prefix sums and ranges over tables of any size, and the shared folder of the library."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..shared import removed, shared_dir, stored
 
-__all__ = ["exclusive_starts", "prefix_of_parts", "removed", "shared_dir", "stored"]
+__all__ = ["ORDER", "exclusive_starts", "first_keys", "keyed", "prefix_of_parts", "range_of", "removed", "shared_dir", "stored"]
+
+#: A total order of documents: null ids first, then the id, and a hash of the text among ties.
+ORDER = ["known", "id", "tie"]
 
 
 def exclusive_starts(df: DataFrame, order: list[str], value: str, start: str, partitions: int | None = None) -> DataFrame:
@@ -27,6 +34,35 @@ def exclusive_starts(df: DataFrame, order: list[str], value: str, start: str, pa
     return rows.join(before, "_part", "left").withColumn(start, F.col("_in") + F.coalesce("_before", F.lit(0))).drop("_part", "_in", "_before")
 
 
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, known, id, tie) of documents; null texts are empty."""
+    from pyspark.sql import functions as F
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    return rows.select("*", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"))
+
+
+def first_keys(rows: DataFrame, n: int) -> list[tuple]:
+    """The first keys (by ``ORDER``) of at most ``n`` ranges of about as many rows each; only these reach the driver."""
+    from pyspark.sql import functions as F
+
+    keys = rows.select(*ORDER).repartitionByRange(n, *ORDER).withColumn("part", F.spark_partition_id())
+    return sorted(tuple(r["h"]) for r in keys.groupBy("part").agg(F.min(F.struct(*ORDER)).alias("h")).collect())
+
+
+def range_of(heads: list[tuple]) -> Callable:
+    """(part, first): the number of the range that a key (known, id, tie) falls in, and whether it is the range's first."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("part int, first boolean")
+    def found(known: pd.Series, doc_id: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        keys = list(zip(known.tolist(), doc_id.tolist(), tie.tolist(), strict=True))
+        part = [max(bisect_right(heads, k) - 1, 0) for k in keys]
+        return pd.DataFrame({"part": pd.array(part, "int32"), "first": [k == heads[p] for k, p in zip(keys, part, strict=True)]})
+
+    return found
+
+
 def prefix_of_parts(sums: DataFrame) -> DataFrame:
     """(_part, _sum) -> (_part, _before), in two levels, so that no task sees more than the square root of the parts."""
     from pyspark.sql import Window

@@ -15,15 +15,14 @@ result; texts of any length are read in slices; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import ORDER, first_keys, keyed, range_of
 from .textops import span_hashes
 
 WIDTH, FRACTION = 12, 1 / 16
@@ -114,18 +113,6 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _range_of(heads: list[tuple]) -> Callable:
-    """The number of the range that a key (known, doc_id, tie) falls in, by the ranges' first keys, and whether it is the first."""
-
-    @F.pandas_udf("part int, first boolean")
-    def found(known: pd.Series, doc_id: pd.Series, tie: pd.Series) -> pd.DataFrame:
-        keys = list(zip(known.tolist(), doc_id.tolist(), tie.tolist(), strict=True))
-        part = [max(bisect_right(heads, k) - 1, 0) for k in keys]
-        return pd.DataFrame({"part": pd.array(part, "int32"), "first": [k == heads[p] for k, p in zip(keys, part, strict=True)]})
-
-    return found
-
-
 def fingerprints(docs: DataFrame, *, width: int = WIDTH, fraction: float = FRACTION) -> DataFrame:
     """Sketch every text and its edited text, and compare each with the next document's, in ascending id order.
 
@@ -136,16 +123,13 @@ def fingerprints(docs: DataFrame, *, width: int = WIDTH, fraction: float = FRACT
     spark = docs.sparkSession
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("*", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"))
-    order = ["known", "id", "tie"]
-    keys = rows.select(*order).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
-    heads = sorted(tuple(r["h"]) for r in keys.groupBy("part").agg(F.min(F.struct(*order)).alias("h")).collect())
+    rows = keyed(docs)
+    heads = first_keys(rows, n)
     if not heads:
         return rows.select("doc_id").mapInArrow(lambda b: iter(()), schema)
-    placed = rows.withColumn("at", _range_of(heads)(*order)).select("at.part", "at.first", "doc_id", *order, "text")
-    begun = placed.where("first").groupBy("part").agg(F.min(F.struct("doc_id", *order, "text")).alias("h"))
+    placed = rows.withColumn("at", range_of(heads)(*ORDER)).select("at.part", "at.first", "doc_id", *ORDER, "text")
+    begun = placed.where("first").groupBy("part").agg(F.min(F.struct("doc_id", *ORDER, "text")).alias("h"))
     tails = begun.select(F.pmod(F.col("part") - 1, F.lit(len(heads))).alias("part"), F.lit(True).alias("tail"), "h.*")
-    both = placed.select("part", F.lit(False).alias("tail"), "doc_id", *order, "text").unionByName(tails)
-    dealt = both.repartitionById(len(heads), "part").sortWithinPartitions("part", "tail", *order)
+    both = placed.select("part", F.lit(False).alias("tail"), "doc_id", *ORDER, "text").unionByName(tails)
+    dealt = both.repartitionById(len(heads), "part").sortWithinPartitions("part", "tail", *ORDER)
     return dealt.select("part", "tail", "doc_id", "text").mapInArrow(_compared(width, fraction), schema)

@@ -227,13 +227,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 
 def test_html_blocks():
     blocks, _ = html_tree.parsed(PAGE)
-    kept = [t for _, t, never, inside, _ in blocks if not never and inside]
+    kept = [t for top, t, e in blocks if not e.never and top.inside]
     assert kept == ["Head & all", "One two", "Three four", "Last"]
     for cut in range(0, len(PAGE), 7):
         html_tree.parsed(PAGE[:cut])  # cut anywhere
     for odd in ("", "plain", "<", "<p", "</p></div>", "<p>a</p", "<a href='x>y", "<script>never ends", "<p>" * 3000):
         html_tree.parsed(odd)
-    assert html_tree.host_of("http://A.b:80/x") == "a.b" and html_tree.host_of(None) == ""
+    blocks, elements = html_tree.parsed("<div class='ad'>" * 20_000 + "x</p>" * 50)
+    assert len(elements) == 20_001 and all(e.never for _, _, e in blocks)
 
 
 def test_hash_of_no_spans():

@@ -261,8 +261,52 @@ def test_pages(spark):
     assert text[3] == "T3\nText 3" and text[90] == text[91] == text[93] == "" and text[92] == "No article"
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_tree.main_texts(pages.where("false")).count() == 0
-    tree = {r["path"]: r["importance"] for r in html_tree.style_tree(pages).where("host = 'h.org'").collect()}
-    assert tree["/html/body/article/div[class=tail]"] < 0.3 < tree["/html/body/article/p"]
+    tree = {r["label"]: r["importance"] for r in html_tree.style_tree(pages).collect() if r["host"] == "h.org"}
+    assert tree["div[class=tail]"] < 0.3 < tree["p"]
+    urls = {"http://A.b:80/x": "a.b", None: "", "//u:p@[2001:db8::1]:8/x": "2001:db8::1", "no/host": "", "https://X.y?q": "x.y"}
+    hosts = spark.createDataFrame([(u,) for u in urls], "url string").select("url", html_tree.host_of(F.col("url")).alias("host"))
+    assert {r["url"]: r["host"] for r in hosts.collect()} == urls
+
+
+def test_style_tree_equals_plain_counts(spark):
+    """Pages, presentations and contents of every node, counted plainly over distinct bodies, and their entropies."""
+    rng, rows = random.Random(2), []
+    for i in range(30):
+        parts = "".join(f"<p>{_words(rng, rng.choice([3, 30, 90]))}</p>" for _ in range(rng.randint(1, 4)))
+        rows.append((i, f"http://{'ab'[i % 2]}.org/{i}", f"<body><div><a>Home</a></div><div>{parts}<ul><li>{i % 3}</li></ul></div></body>"))
+    rows.append((99, "http://a.org/copy", rows[0][2]))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = {}
+    for _, url, page in rows:
+        blocks, elements = html_tree.parsed(page)
+        body = "\n".join(t for _, t, e in blocks if not e.never)
+        for e in elements:
+            if e.block:
+                node = seen.setdefault((url[7:12], e.key), (set(), {}, {}))
+                node[0].add(body)
+                node[1].setdefault(" ".join(html_tree.shape(e)), set()).add(body)
+        for top, t, _ in blocks:
+            seen[url[7:12], top.key][2].setdefault(t, set()).add(body)
+    want = {}
+    for key, (bodies, shapes, texts) in seen.items():
+        m, counts = len(bodies), [len(s) for s in shapes.values()]
+        shape = min(1.0, -sum(c / sum(counts) * np.log(c / sum(counts)) for c in counts) / np.log(m))
+        content = 1 - min(1.0, np.mean([np.log(len(s)) / np.log(m) for s in texts.values()])) if texts else None
+        want[key] = m, shape if content is None else 0.1 * shape + 0.9 * content
+    got = {(r["host"], r["node"]): (r["pages"], r["importance"]) for r in html_tree.style_tree(pages).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_the_tree_finds_articles_without_names_or_tags(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", ' class="[^"]*"', ""), "<(/?)(article|nav|footer)", "<$1div"))
+    texts = lambda df, **kw: {r["page_id"]: r["text"] for r in html_tree.main_texts(df, **kw).collect()}
+    want, got, off = texts(pages), texts(bare), texts(bare, min_pages=10**9)
+    host = {r["page_id"]: r["host"] for r in pages.select("page_id", html_tree.host_of(F.col("url")).alias("host")).collect()}
+    known = [k for k in want if sum(h == host[k] for h in host.values()) >= 6]  # few pages tell nothing
+    assert len(known) > 100 and sum(got[k] == want[k] for k in known) >= 0.95 * len(known)
+    assert sum(off[k] == want[k] for k in want) < 0.05 * len(want)
+    assert all(set(want[k].split("\n")) <= set(off[k].split("\n")) for k in want)
 
 
 def test_token_scan(spark, docs, rows, empty, tmp_path):
