@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from .scratch import removed, shared_dir, stored
 
 IMPORTANCE, WEIGHT, MIN_PAGES = 0.3, 0.9, 4
-REGION, ALIKE, SEQUENCE = 0.5, 0.55, 8
+REGION, ALIKE, SEQUENCE = 0.45, 0.55, 8
 BROADCAST_BYTES, SALTS, NODE_ROWS = 16 << 20, 32, 100_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -298,8 +299,7 @@ def slots(counted: DataFrame) -> DataFrame:
         F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("logs"), (F.sum(F.when(has, F.col("c") * size)) / F.sum(F.when(has, F.col("c")))).alias("size"), (F.max("kind") == INNER).alias("inner"),
     )
     entropy = F.log("pages") - F.col("logs") / F.col("pages")
-    norm = F.log(F.greatest(F.lit(2), F.least("pages", F.lit(16))).cast("double"))
-    return rows.select("host", "node", "pages", F.least(entropy / norm, F.lit(1.0)).alias("presentation"), "size", "inner")
+    return rows.select("host", "node", "pages", F.least(entropy / math.log(16), F.lit(1.0)).alias("presentation"), "size", "inner")
 
 
 def chosen(page: str, low: dict[str, set]) -> str:
