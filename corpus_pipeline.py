@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_tokens", encode_tokens),
 ]
 
-#: Trained models, signatures and tokenizers are beyond SQL; tests hold each stage by properties, not its rows against a plain version.
+#: Trained models, signatures and tokenizers are beyond SQL; tests hold each stage's rows against a plain version.
 ORACLE_SQL = None
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..prefix import running_starts
 from ..shared import stored
 
 CHANNELS = ("r", "g", "b")
@@ -141,17 +142,18 @@ def tile_paths(tiles: DataFrame, layout: str, *, from_smallest: bool = True) ->
 
 def pack_index(tiles: DataFrame, size: str = "size") -> DataFrame:
     """The index of a packed archive: tiles by level, row, column with running offsets, (dataset, plane, seq, ..., offset, size)."""
-    w = Window.partitionBy("dataset", "plane").orderBy("level", "row", "col")
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return tiles.select("dataset", "plane", (F.row_number().over(w) - 1).cast("long").alias("seq"), "level", "col", "row", before.alias("offset"), F.col(size).cast("long").alias("size"))
+    rows = tiles.select("dataset", "plane", "level", "col", "row", F.col(size).cast("long").alias("size"), F.lit(1).cast("long").alias("one"))
+    rows = running_starts(rows, ["dataset", "plane", "level", "row", "col"], {"offset": "size", "seq": "one"})
+    first = rows.groupBy("dataset", "plane").agg(F.min("offset").alias("o"), F.min("seq").alias("s"))
+    rows = rows.join(first, ["dataset", "plane"])
+    return rows.select("dataset", "plane", (F.col("seq") - F.col("s")).alias("seq"), "level", "col", "row", (F.col("offset") - F.col("o")).alias("offset"), "size")
 
 
 def interleave_index(index: DataFrame) -> DataFrame:
     """The planes of an index in one archive, tile by tile: (dataset, seq, plane, stride, offset, size)."""
-    w = Window.partitionBy("dataset").orderBy("seq", "plane")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    stride = index.groupBy("dataset").agg(F.count_distinct("plane").alias("stride"))
-    return index.select("dataset", "seq", "plane", before.alias("offset"), "size").join(F.broadcast(stride), "dataset")
+    rows = running_starts(index.select("dataset", "seq", "plane", "size"), ["dataset", "seq", "plane"], {"offset": "size"})
+    facts = rows.groupBy("dataset").agg(F.count_distinct("plane").alias("stride"), F.min("offset").alias("o"))
+    return rows.join(facts, "dataset").select("dataset", "seq", "plane", (F.col("offset") - F.col("o")).alias("offset"), "size", "stride")
 
 
 def pyramid_metadata(tiles: DataFrame, width: int, height: int, side: int, overlap: int, fmt: str = "jpg") -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import lights as L
 from ..operators import pyramid as T
 from ..operators import robust as B
 from ..operators.grids import gaussian_blur
+from ..shared import shared_dir
 from ..sources import documents as D
 from ..sources import images as IM
 from ..sources import surfaces as SF
@@ -34,13 +35,6 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def _scratch(spark, name: str) -> str:
-    """A folder in the session's warehouse, which all executors share."""
-    import uuid
-
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Lights. Spheres are one for each nation of suppliers, on the raster of the orders' image.
 
 _SPH = "spheres AS (SELECT CAST(n_nationkey AS INT) AS sphere_id, 20.0::DOUBLE + 4*n_nationkey AS cx, 30.0::DOUBLE + n_nationkey AS cy, 12.0::DOUBLE AS radius FROM nation)"
@@ -427,7 +421,7 @@ _SLS = f"WITH {_SUP} SELECT dataset, light_id, filename, {R('a/sqrt(a*a+b*b+16)'
 
 @query("s1_s2_light_lists", _SLS)
 def s1(spark, d):
-    path = _scratch(spark, "lp")
+    path = shared_dir(spark)
     D.write_lp(_lights_of_nations(spark, d), path)
     texts = spark.read.text(path, wholetext=True).select(F.col("dataset").cast("string").alias("dataset"), F.col("value").alias("text"))
     return rounded(D.parse_lp(texts))
@@ -477,7 +471,7 @@ _COD = "SELECT x, y, CAST(i AS INT) AS p, CAST((r*(i+1)+g*i) % 256 AS INT) AS q
 
 @query("s8_plane_images", sql("raster", _COD))
 def s8(spark, d):
-    path = _scratch(spark, "planes")
+    path = shared_dir(spark)
     IM.write_planes(_coded(spark, d), path)
     return IM.read_planes(spark, path, 18).select("x", "y", F.posexplode("q").alias("p", "q"))
 

@@ -12,9 +12,11 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under spark.checkpoint.dir; a local temporary folder only where that is unset (tests)."""
+    """A fresh folder name under spark.checkpoint.dir. Only a local master, as in tests, may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="lumastack-"))
         base = _local[0]

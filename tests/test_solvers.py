@@ -359,3 +359,89 @@ def test_flattening_by_points_equals_plain_model(spark):
         axis, n = np.cross(m, [0, 0, 1.0]), np.array([r["nx"], r["ny"], r["nz"]])
         turned = n * m[2] + np.cross(axis, n) + axis * (axis @ n) / (1 + m[2])
         assert np.allclose(got[r["x"], r["y"]], turned, atol=2e-6)
+
+
+def _grid(rows, names, w, h):
+    out = np.zeros((len(names), h, w))
+    for r in rows:
+        out[:, r["y"], r["x"]] = [r[c] for c in names]
+    return out
+
+
+def test_fourier_and_blur_jobs_equal_plain_ones(spark):
+    w, h = X.sizes(spark, SMALL)
+    rows = X.truth(spark, SMALL, "d").drop("k")
+    n = _grid(rows.collect(), ("nx", "ny", "nz"), w, h)
+    # integration: slopes mirrored with a changed sign along their own axis
+    k, p, q = min(w, h) // 2, n[0] / n[2], -n[1] / n[2]
+    mirror = lambda v, axis, s: np.concatenate([s * np.flip(v.take(range(k), axis), axis), v, s * np.flip(v.take(range(v.shape[axis] - k, v.shape[axis]), axis), axis)], axis)
+    p, q = mirror(mirror(p, 1, -1), 0, 1), mirror(mirror(q, 1, 1), 0, -1)
+    wy, wx = np.meshgrid(np.fft.fftfreq(h + 2 * k), np.fft.fftfreq(w + 2 * k), indexing="ij")
+    z = np.fft.ifft2((-1j * wx * np.fft.fft2(p) - 1j * wy * np.fft.fft2(q)) / (wx**2 + wy**2 + 1e-12)).real[k : k + h, k : k + w] / (2 * np.pi)
+    assert np.abs(_grid(integrate.integrate_fft(rows, w, h).collect(), ("z",), w, h)[0] - z).max() < 1e-6
+    # high-pass of normals stretched to angles, on a grid mirrored by a fifth without its edge
+    t = np.arccos(np.clip(n[2], -1, 1))
+    stretch = np.where(np.sin(t) > 1e-9, t / np.maximum(np.sin(t), 1e-9), 1.0)
+    kx, ky = int(w * 0.2), int(h * 0.2)
+    y, x = np.arange(h + 2 * ky), np.arange(w + 2 * kx)
+    fy, fx = np.meshgrid(np.minimum(y, len(y) - y), np.minimum(x, len(x) - x), indexing="ij")
+    keep = 1 - np.exp(-(fx**2 + fy**2) / (2 * 3.0**2))
+    low = [np.fft.ifft2(np.fft.fft2(np.pad(c * stretch, ((ky, ky), (kx, kx)), "reflect")) * keep).real[ky : ky + h, kx : kx + w] for c in n[:2]]
+    a = np.hypot(*low)
+    shrink = np.where(a > 1e-9, np.sin(np.minimum(a, np.pi / 2)) / np.maximum(a, 1e-9), 1.0)
+    want = np.stack([low[0] * shrink, low[1] * shrink])
+    got = _grid(flatten.flatten_fourier(rows, w, h, 3.0).collect(), ("nx", "ny", "nz"), w, h)
+    assert np.abs(got[:2] - want).max() < 1e-9 and np.abs(got[2] - np.sqrt(np.maximum(0, 1 - (want**2).sum(axis=0)))).max() < 1e-9
+
+    def blurred(v):  # third-order recursion there and back, along rows and then columns
+        q_ = 0.98711 * 3.0 - 0.96330
+        b = np.array([1.57825 + 2.44413 * q_ + 1.4281 * q_**2 + 0.422205 * q_**3, 2.44413 * q_ + 2.85619 * q_**2 + 1.26661 * q_**3, -(1.4281 * q_**2 + 1.26661 * q_**3), 0.422205 * q_**3])
+        b = b[1:] / b[0]
+        for _ in range(2):
+            lines = []
+            for line in v:
+                for _ in range(2):
+                    past, out = [line[0]] * 3, []
+                    for e in line:
+                        past = [(1 - b.sum()) * e + b @ past, *past[:2]]
+                        out.append(past[0])
+                    line = out[::-1]
+                lines.append(line)
+            v = np.array(lines).T
+        return v
+
+    got = _grid(gaussian_blur(rows, ["nx", "ny"], 3.0).collect(), ("nx", "ny"), w, h)
+    assert np.abs(got - [blurred(n[0]), blurred(n[1])]).max() < 1e-9
+    s = np.stack([n[0] / n[2] - blurred(n[0] / n[2]), n[1] / n[2] - blurred(n[1] / n[2]), np.ones((h, w))])
+    got = _grid(flatten.flatten_blur(rows, 3.0).collect(), ("nx", "ny", "nz"), w, h)
+    assert np.abs(got - s / np.linalg.norm(s, axis=0)).max() < 1e-9
+
+
+def test_robust_normals_equal_plain_ones(spark):
+    """Huber weights on the values in range, a pixel at a time."""
+    px = X.pixels(spark, SMALL, specular=True)
+    got = {(r["dataset"], r["x"], r["y"]): (r["nx"], r["ny"], r["nz"]) for r in robust.normals_robust(px, L).collect()}
+    for r in px.collect()[::61]:
+        v = (np.array(r["r"]) + r["g"] + r["b"]) / 3
+        use = np.flatnonzero(np.maximum(v - 255, 5 - v) <= 0)
+        assert len(use) > 5
+        x = np.linalg.lstsq(L[use], v[use], rcond=None)[0]
+        w = np.ones(len(use))
+        for _ in range(10):
+            res = np.abs(v[use] - L[use] @ x)
+            new = np.where(res <= 5, 1.0, 5 / np.maximum(res, 1e-6))
+            moved, w = np.abs(new - w).max(), new
+            x = np.linalg.lstsq(np.sqrt(w)[:, None] * L[use], np.sqrt(w) * v[use], rcond=None)[0]
+            if moved < 1e-4:
+                break
+        assert np.allclose(got[r["dataset"], r["x"], r["y"]], x / np.linalg.norm(x), atol=1e-6)
+
+
+def test_least_absolute_deviations_cannot_be_improved(spark):
+    px = X.pixels(spark, SMALL, specular=True)
+    got = {(r["dataset"], r["x"], r["y"]): np.array([r["nx"], r["ny"], r["nz"]]) for r in robust.normals_l1(px, L, rounds=200).collect()}
+    rng = np.random.default_rng(7)
+    for r in px.collect()[::97]:
+        v, n = (np.array(r["r"]) + r["g"] + r["b"]) / 3, got[r["dataset"], r["x"], r["y"]]
+        cost = lambda m: min(np.abs(v - (L @ m) * a).sum() for a in v / (L @ m))  # noqa: B023, E731
+        assert all(cost(n) <= cost((m := n + rng.normal(0, 0.01, 3)) / np.linalg.norm(m)) + 1e-3 for _ in range(20))
