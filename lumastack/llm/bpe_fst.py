@@ -151,9 +151,13 @@ class Transducer:
             return [whole]
         if len(self.steps) > self.limit:
             self._clear()
-        state, out, steps = 0, [], self.steps
+        state, out = 0, []
         for byte in data:
-            known = steps.get(state << 8 | byte)
+            known = self.steps.get(state << 8 | byte)
+            if known is None and len(self.steps) > self.limit:  # a long piece alone may fill the tables
+                here = self.states[state]
+                self._clear()
+                state = self._state(here)
             state, emitted = known if known is not None else self._step(state, byte)
             if emitted:
                 out += emitted

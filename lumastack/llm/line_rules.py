@@ -27,7 +27,7 @@ SALTS = 16
 
 def text_rules(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """``docs`` (doc_id, text, host) with word and repetition counts, a text key and its lines (hash, words)."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("host", F.lit("\u0000")).alias("host"))
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit("")).alias("host"))
     d = d.withColumn("words", F.array_remove(F.split("text", GAP), ""))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("n_words", F.size("words").cast("long"))

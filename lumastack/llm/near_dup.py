@@ -35,7 +35,7 @@ from .textops import LOWER, distinct_sorted, mix64, shingles, span_hashes, text_
 
 ROWS, BANDS = 4, 20
 PLAUSIBLE = 0.6
-BLOCK, BLOCK_SHINGLES, SALTS = 600, 300_000, 64
+BLOCK, BLOCK_SHINGLES, SALTS = 300, 150_000, 64
 _STEP = 0x9E3779B97F4A7C15
 
 

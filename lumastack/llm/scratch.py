@@ -1,4 +1,4 @@
-"""Prefix sums and ranges over tables of any size, and the shared folder of the library."""
+"""Ranges of documents, and the prefix sums and shared folder of the library."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..prefix import exclusive_starts, prefix_of_parts
 from ..shared import removed, shared_dir, stored
 
 __all__ = ["ORDER", "exclusive_starts", "first_keys", "keyed", "prefix_of_parts", "range_of", "removed", "shared_dir", "stored"]
@@ -16,44 +18,20 @@ __all__ = ["ORDER", "exclusive_starts", "first_keys", "keyed", "prefix_of_parts"
 ORDER = ["known", "id", "tie"]
 
 
-def exclusive_starts(df: DataFrame, order: list[str], value: str, start: str, partitions: int | None = None) -> DataFrame:
-    """Add ``start``: the sum of ``value`` over all rows before this one by ``order``, without one global window.
-
-    Rows are range-partitioned and sorted; each partition's total is summed over the (few) partitions before it, and a
-    window inside the partition adds the rest. The rows are stored first, as both passes must see one partitioning.
-    """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    before = prefix_of_parts(cut.groupBy("_part").agg(F.sum(value).alias("_sum")))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = cut.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return rows.join(before, "_part", "left").withColumn(start, F.col("_in") + F.coalesce("_before", F.lit(0))).drop("_part", "_in", "_before")
-
-
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, known, id, tie) of documents; null texts are empty."""
-    from pyspark.sql import functions as F
-
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     return rows.select("*", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"))
 
 
 def first_keys(rows: DataFrame, n: int) -> list[tuple]:
     """The first keys (by ``ORDER``) of at most ``n`` ranges of about as many rows each; only these reach the driver."""
-    from pyspark.sql import functions as F
-
     keys = rows.select(*ORDER).repartitionByRange(n, *ORDER).withColumn("part", F.spark_partition_id())
     return sorted(tuple(r["h"]) for r in keys.groupBy("part").agg(F.min(F.struct(*ORDER)).alias("h")).collect())
 
 
 def range_of(heads: list[tuple]) -> Callable:
     """(part, first): the number of the range that a key (known, id, tie) falls in, and whether it is the range's first."""
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("part int, first boolean")
     def found(known: pd.Series, doc_id: pd.Series, tie: pd.Series) -> pd.DataFrame:
         keys = list(zip(known.tolist(), doc_id.tolist(), tie.tolist(), strict=True))
@@ -61,18 +39,3 @@ def range_of(heads: list[tuple]) -> Callable:
         return pd.DataFrame({"part": pd.array(part, "int32"), "first": [k == heads[p] for k, p in zip(keys, part, strict=True)]})
 
     return found
-
-
-def prefix_of_parts(sums: DataFrame) -> DataFrame:
-    """(_part, _sum) -> (_part, _before), in two levels, so that no task sees more than the square root of the parts."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    width = 512
-    sums = sums.withColumn("_block", F.expr(f"_part div {width}"))
-    w = Window.partitionBy("_block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sums.groupBy("_block").agg(F.sum("_sum").alias("_bsum"))
-    wb = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_bsum").over(wb), F.lit(0)).alias("_bbefore"))
-    inner = sums.withColumn("_ibefore", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
-    return inner.join(blocks, "_block").select("_part", (F.col("_ibefore") + F.col("_bbefore")).alias("_before"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -235,11 +236,13 @@ def test_line_rules(spark, rows, docs, empty):
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is None:
-            continue
-        text = next(x[1] for x in rows if x[0] == r["doc_id"]) or ""
+            text = next(x[1] or "" for x in rows if x[0] is None and len(WORD.findall(x[1] or "")) == r["n_words"])
+        else:
+            text = next(x[1] for x in rows if x[0] == r["doc_id"]) or ""
         w = WORD.findall(text)
         grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-        covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)} if len(w) < 1000 else set()
+        times = Counter(grams)
+        covered = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(5)}
         lines = [x for x in text.split("\n") if WORD.search(x)]
         assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"))
         assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(lines) - len(set(lines)), len(covered))
@@ -326,37 +329,163 @@ def test_token_scan(spark, docs, rows, empty, tmp_path):
     assert got == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 7, True), (3, 12, 2, False)]
 
 
+def _plain_taken(rows, block, cycle=(1, 2, 3), most=3):
+    """Words that a mix takes of each row (key, text, source): blocks of words laid out and slots filled one by one."""
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    words = {s: [k for k, _, n in sorted(((k, k[0], len(WORD.findall(t or ""))) for k, t, q in rows if q == s), key=lambda z: (z[0][0] is not None, z[0][0] or 0, z[2])) for _ in range(n)] for s in names}
+    total, target = sum(map(len, words.values())), {}
+    share = {s: cycle[i % len(cycle)] for i, s in enumerate(names)}
+    target.update({s: 0.0 for s in names if not words[s]})
+    left = [s for s in names if words[s]]
+    rest = float(total)
+    while left:
+        part = {s: rest * share[s] / sum(share[q] for q in left) for s in left}
+        above = [s for s in left if part[s] > most * len(words[s])]
+        target.update({s: most * len(words[s]) for s in above} if above else part)
+        rest -= sum(most * len(words[s]) for s in above)
+        left = [s for s in left if s not in target]
+    taken = dict.fromkeys((r[0] for r in rows), 0)
+    for i, s in enumerate(names):
+        w, n = words[s], int(np.floor(target[s] + 0.5))
+        blocks = -(-len(w) // block) if w else 0
+        slots = n // len(w) * blocks + -(-(n % len(w)) // block) if w else 0
+        for j in range(slots):
+            turn, at = divmod(j, blocks)
+            if at < len(w) // block:
+                at = int(mixing.permuted(np.array([at]), len(w) // block, (1_000_003 + i) * 101 + turn)[0])
+            cut = (n % len(w) - 1) % block + 1 if j == slots - 1 and n % len(w) else block
+            for k in w[at * block : min(at * block + cut, (at + 1) * block)]:
+                taken[k] += 1
+    return target, taken
+
+
+def test_mix_equals_plain_layout(docs, rows):
+    keyed = [((r[0], i), r[1], r[3]) for i, r in enumerate(rows)]
+    target, taken = _plain_taken(keyed, 16)
+    got = mixing.taken_words(mixing.mix(docs, block=16, shard_slots=32)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["taken"]) for r in got) == sorted((k[0] is not None, k[0] or 0, len(WORD.findall(t or "")), taken[k]) for k, t, _ in keyed)
+    assert sorted(round(r["target"], 6) for r in got) == sorted(round(target[s], 6) for _, _, s in keyed)
+
+
+def _plain_scores(stats, labels):
+    """Scores of a quadratic discriminant on ``stats`` {id: vector}, fitted on ``labels`` {id: 0 or 1}."""
+    names = quality_qda.NAMES
+    d, parts = len(names), []
+    x = {k: np.array([stats[i] for i, q in labels.items() if q == k]) for k in (0, 1)}
+    pooled = sum((v - v.mean(axis=0)).T @ (v - v.mean(axis=0)) for v in x.values()) / sum(map(len, x.values()))
+    for v in x.values():
+        cov = (1 - quality_qda.POOL) * np.cov(v.T, bias=True) + quality_qda.POOL * pooled
+        cov = (1 - quality_qda.RIDGE) * cov + (quality_qda.RIDGE * np.trace(cov) / d + quality_qda.FLOOR) * np.eye(d)
+        parts.append((v.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1], len(v)))
+    out = {}
+    for i, v in stats.items():
+        dens = [-0.5 * (v - m) @ c @ (v - m) - 0.5 * s + np.log(n) for m, c, s, n in parts]
+        out[i] = 1 / (1 + np.exp(-np.clip(dens[1] - dens[0], -500, 500)))
+    return out
+
+
+def _stats_and_labels(spark, d, rows):
+    stats = {r["doc_id"]: np.array([r[c] for c in quality_qda.NAMES]) for r in quality_qda.measured(rows).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in stats}
+    return stats, labels
+
+
+def test_fit_of_the_discriminant_equals_plain_one(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    want = _plain_scores(*_stats_and_labels(spark, d, docs))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op5_quadratic_discriminant"](spark, d).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
+def test_fingerprints_estimate_true_containment(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    order = sorted(texts)
+    shingles = lambda t: {t[i : i + sketch.WIDTH] for i in range(max(1, len(t) - sketch.WIDTH + 1))} if t else set()
+    errors = []
+    for r in sketch.fingerprints(docs).collect():
+        own, nxt = texts[r["doc_id"]], texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        a, b = shingles(own), shingles(nxt)
+        if min(len(a), len(b)) > 800:  # fifty hashes and more
+            errors.append(r["near_next"] - len(a & b) / min(len(a), len(b)))
+            c = shingles(sketch.edited(own.decode(), nxt.decode()).encode())
+            errors.append(r["near_edited"] - len(a & c) / min(len(a), len(c)))
+            assert abs(len(r["fingerprint"]) / 8 / (len(a) / 16) - 1) < 0.6
+    assert len(errors) > 50 and np.abs(errors).max() < 0.25 and abs(np.mean(errors)) < 0.02
+
+
 def test_pipeline_stages(spark, docs, empty):
+    """Each stage's rows against a plain version, on the rows that the stage before it kept."""
+    import tiktoken
+
     d = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "near_duplicates", "personal_data", "source_mix", "bpe_tokens"]
-    now, none = spark.read.parquet(f"{d}/documents.parquet"), empty
-    whole = {r["doc_id"]: r["text"] for r in now.collect()}
+    now, none, kept = spark.read.parquet(f"{d}/documents.parquet"), empty, []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before, now, none = now, corpus_pipeline.stored(stage(spark, now, d)), stage(spark, none.select(*corpus_pipeline.COLUMNS), d)
+        kept.append((now, now.collect()))
+        now, none = corpus_pipeline.stored(stage(spark, now, d)), stage(spark, none.select(*corpus_pipeline.COLUMNS), d)
         assert none.count() == 0
         if i < 4:
             assert now.columns == corpus_pipeline.COLUMNS
             none = none.select(*corpus_pipeline.COLUMNS)
-        if i == 0:
-            labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-            kept = {r["doc_id"] for r in now.collect()}
-            assert all((i in kept) == bool(q) for i, q in labels.items())
-        if i == 1:
-            comp = near_dup.near_duplicates(before, k=5).collect()
-            assert {r["doc_id"] for r in now.collect()} == {r["component_id"] for r in comp}
-        if i == 2:
-            assert all(_no_card(r["text"]) for r in now.collect()) and now.count() == before.count()
-        if i == 3:
-            assert {r["doc_id"] for r in now.collect()} <= set(whole)
-    assert all(r["n_tokens"] == len(r["ids"]) for r in now.collect())
-    rows = docs.select(*corpus_pipeline.COLUMNS)
+    kept.append((now, now.collect()))
+    rows = [r for _, r in kept]
+    by_id = [{r["doc_id"]: r for r in part} for part in rows]
+    # quality: what a plain discriminant accepts, as it was
+    scores = _plain_scores(*_stats_and_labels(spark, d, kept[0][0]))
+    assert by_id[1] == {k: r for k, r in by_id[0].items() if round(scores[k], 9) >= 0.3}
+    # near duplicates: the least id of each group of all pairs' links, as it was
+    sets = {}
+    for k, r in by_id[1].items():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), r["text"] or ""))
+        sets[k] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    up = {k: k for k in sets}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and sets[a]:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    assert by_id[2] == {k: r for k, r in by_id[1].items() if root(k) == k}
+    # personal data: every span of the text, base ones and others, replaced by its kind
+    weights = pii.trained(kept[2][0])
+    for k, r in by_id[2].items():
+        text, at, out = r["text"] or "", 0, []
+        for kind, s, e in sorted(pii.spans_of(text, weights)[1], key=lambda z: (z[1], -z[2])):
+            if s >= at:
+                out += [text[at:s], f"<{pii.KINDS[kind]}>"]
+            at = max(at, e)
+        assert by_id[3][k]["text"] == "".join([*out, text[at:]]) and pii.matches(by_id[3][k]["text"])[0] == []
+    assert by_id[3].keys() == by_id[2].keys()
+    # the mix: each document's words in all passes are as many as a plain layout takes of it, and its own
+    _, taken = _plain_taken([((r["doc_id"], 0), r["text"], r["source"]) for r in rows[3]], mixing.BLOCK)
+    words = {k: 0 for k in by_id[3]}
+    for r in rows[4]:
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+        own = WORD.findall(by_id[3][r["doc_id"]]["text"])
+        assert set(WORD.findall(r["text"])) <= set(own) and r["source"] == by_id[3][r["doc_id"]]["source"]
+    assert words == {k: taken[k, 0] for k in words}
+    # tokens: the library's ids of each row's text
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe_fst.read_ranks(open(P.path("byte_bpe_50k.tiktoken")).read()), special_tokens={})
+    want = sorted((r["doc_id"], r["source"] or "", library.encode_ordinary(r["text"])) for r in rows[4])
+    assert sorted((r["doc_id"], r["source"] or "", r["ids"]) for r in rows[5]) == want and all(r["n_tokens"] == len(r["ids"]) for r in rows[5])
+
+
+def test_pipeline_on_rows_with_nulls_repeats_and_clashing_columns(spark, docs, rows):
+    d = "/root/testdata/sf0.001"
+    now, counts = docs, []
     for _, stage in corpus_pipeline.STAGES:
-        rows = corpus_pipeline.stored(stage(spark, rows, d))
-    assert rows.count() >= 0
-
-
-def _no_card(text):
-    return pii.matches(text)[0] == []
+        now = corpus_pipeline.stored(stage(spark, now, d))
+        counts.append(now.count())
+    assert counts[0] <= len(rows) and counts[0] >= counts[1] == counts[2] and counts[3] == counts[4] > 0
+    given = {r[0] for r in rows}
+    assert {r["doc_id"] for r in now.collect()} <= given
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
