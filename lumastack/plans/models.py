@@ -148,7 +148,20 @@ def c7(spark, d):
     return long(C.resample(X.pixels(spark, d), _MAP).withColumn("c", F.col("r")))
 
 
-@query("c14_fit_positional")
+def _nodes() -> str:
+    """The terms' maps at the grid's nodes for each size of the raster: seen from pixels of 0.1 mm, lights at POSITIONS."""
+    rows = []
+    for w, h in ((50, 30), (150, 100), (500, 300)):
+        for n, d in enumerate(C.node_lights(X.POSITIONS, w, h, 0.1)):
+            rows.append(f"({w}, {n}, '{' '.join(repr(float(v)) for v in np.linalg.pinv(C.weights_of(d, 'ptm', 6)).ravel())}')")
+    split = "CAST(string_split(t, ' ') AS DOUBLE[])"
+    return f"m AS (SELECT size, node, (p-1)//16 AS i, (p-1)%16 AS j, k FROM (SELECT size, node, unnest({split}) AS k, generate_subscripts({split}, 1) AS p FROM (VALUES {', '.join(rows)}) z(size, node, t)))"
+
+
+@query("c14_fit_positional", sql("stack", f"""WITH {_nodes()}, u AS (SELECT s.dataset, s.x, s.y, light_id, r, g, b, w.w AS size, 14.0::DOUBLE*x/w.w AS u, 14.0::DOUBLE*y/h AS v FROM stack s, w),
+    f AS (SELECT *, least(floor(u), 13) AS a, least(floor(v), 13) AS c FROM u), n AS (SELECT f.*, CAST((c+dy)*15+a+dx AS INT) AS node, (CASE WHEN dx=1 THEN u-a ELSE 1-(u-a) END)*(CASE WHEN dy=1 THEN v-c ELSE 1-(v-c) END) AS share FROM f, range(2) p(dx), range(2) q(dy)),
+    t AS (SELECT dataset, x, y, i, sum(share*k*r) AS r, sum(share*k*g) AS g, sum(share*k*b) AS b FROM n JOIN m ON m.size=n.size AND m.node=n.node AND m.j=n.light_id GROUP BY 1,2,3,4)
+    SELECT dataset, x, y, CAST(i*3+ch AS INT) AS p, {R('CASE ch WHEN 0 THEN r WHEN 1 THEN g ELSE b END', 4)} AS v FROM t, range(3) e(ch)"""))
 def c14(spark, d):
     w, h = X.sizes(spark, d)
     return long(C.fit_poly_3d(X.pixels(spark, d), X.POSITIONS, "ptm", 6, width=w, height=h, pixel=0.1))

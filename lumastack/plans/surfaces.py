@@ -60,16 +60,29 @@ def l1(spark, d):
     return rounded(L.inner_rect(_spheres(spark, d)).select("sphere_id", "inner", "left", "top", "right", "bottom"))
 
 
-@query("l2_detect_highlights", sql("raster", f"""WITH {_SPH}, ph AS (SELECT 0 AS light_id, x, y, r, g, b FROM raster UNION ALL SELECT 1, x, y, r//3, g//3, b//3 FROM raster),
-    q AS (SELECT sphere_id, light_id, x, y, (11*r+16*g+5*b)//32 AS v, (ceil(cx+{_IN})-floor(cx-{_IN}))*(ceil(cy+{_IN})-floor(cy-{_IN})) AS area FROM ph JOIN spheres ON x>=floor(cx-{_IN}) AND x<ceil(cx+{_IN}) AND y>=floor(cy-{_IN}) AND y<ceil(cy+{_IN}) AND pow(x-cx,2)+pow(y-cy,2)<=pow({_IN},2)),
-    t AS (SELECT sphere_id, light_id, max(v) AS peak, max(area) AS area FROM q GROUP BY 1,2), k AS (SELECT t.sphere_id, t.light_id, th, peak, t.area, count(q.v) AS n, sum(x) AS sx, sum(y) AS sy FROM t, (SELECT 110+10*range AS th FROM range(14)), q WHERE q.sphere_id=t.sphere_id AND q.light_id=t.light_id AND q.v>=th GROUP BY ALL),
-    b AS (SELECT sphere_id, light_id, coalesce(max(CASE WHEN n>=area/200 THEN th END), min(th)) AS th FROM k GROUP BY 1,2)
-    SELECT t.sphere_id, t.light_id, {R('CASE WHEN peak>=127 THEN sx/CAST(n AS DOUBLE) ELSE 0 END')} AS hx, {R('CASE WHEN peak>=127 THEN sy/CAST(n AS DOUBLE) ELSE 0 END')} AS hy FROM t LEFT JOIN (SELECT k.sphere_id, k.light_id, n, sx, sy FROM k JOIN b ON b.sphere_id=k.sphere_id AND b.light_id=k.light_id AND b.th=k.th) z ON z.sphere_id=t.sphere_id AND z.light_id=t.light_id"""))
+_FOUND = f"""{_SPH}, ph AS (SELECT 0 AS light_id, x, y, r, g, b FROM raster UNION ALL SELECT 1, x, y, r//3, g//3, b//3 FROM raster),
+    q AS (SELECT sphere_id, light_id, x, y, (11*r+16*g+5*b)//32 AS v, ceil(cx+{_IN})-floor(cx-{_IN}) AS wide, (ceil(cx+{_IN})-floor(cx-{_IN}))*(ceil(cy+{_IN})-floor(cy-{_IN})) AS area FROM ph JOIN spheres ON x>=floor(cx-{_IN}) AND x<ceil(cx+{_IN}) AND y>=floor(cy-{_IN}) AND y<ceil(cy+{_IN}) AND pow(x-cx,2)+pow(y-cy,2)<=pow({_IN},2)),
+    t AS (SELECT sphere_id, light_id, max(v) AS peak, max(area) AS area, max(wide) AS wide FROM q GROUP BY 1,2), k AS (SELECT t.sphere_id, t.light_id, th, peak, t.area, count(q.v) AS n, sum(x) AS sx, sum(y) AS sy FROM t, (SELECT 110+10*range AS th FROM range(14)), q WHERE q.sphere_id=t.sphere_id AND q.light_id=t.light_id AND q.v>=th GROUP BY ALL),
+    b AS (SELECT sphere_id, light_id, coalesce(max(CASE WHEN n>=area/200 THEN th END), min(th)) AS th FROM k GROUP BY 1,2),
+    fd AS (SELECT t.sphere_id, t.light_id, wide, CASE WHEN peak>=127 THEN z.th ELSE 0 END AS th, CASE WHEN peak>=127 THEN sx/CAST(n AS DOUBLE) ELSE 0 END AS hx, CASE WHEN peak>=127 THEN sy/CAST(n AS DOUBLE) ELSE 0 END AS hy FROM t LEFT JOIN (SELECT k.sphere_id, k.light_id, k.th, n, sx, sy FROM k JOIN b ON b.sphere_id=k.sphere_id AND b.light_id=k.light_id AND b.th=k.th) z ON z.sphere_id=t.sphere_id AND z.light_id=t.light_id)"""
+
+
+@query("l2_detect_highlights", sql("raster", f"WITH {_FOUND} SELECT sphere_id, light_id, {R('hx')} AS hx, {R('hy')} AS hy FROM fd"))
 def l2(spark, d):
     return rounded(L.detect_highlights(_photos(spark, d), _spheres(spark, d)).select("sphere_id", "light_id", "hx", "hy"))
 
 
-@query("l3_refine_highlights")
+def _refined_sql(rounds: int = 6) -> str:
+    """Window after window: the barycentre of the bright pixels near the last one, until the window is small."""
+    steps = ["r0 AS (SELECT *, ceil(wide/2.0::DOUBLE) AS radius, th=0 AS done FROM fd)"]
+    for i in range(rounds):
+        near = f"SELECT r.sphere_id, r.light_id, sum(q.v) AS n, sum(q.x*q.v) AS sx, sum(q.y*q.v) AS sy FROM r{i} r JOIN q ON q.sphere_id=r.sphere_id AND q.light_id=r.light_id AND q.v>=r.th AND abs(q.x-r.hx)<=radius AND abs(q.y-r.hy)<=radius WHERE NOT done GROUP BY 1,2"
+        stop = "r.done OR coalesce(n,0)=0"
+        steps.append(f"r{i + 1} AS (SELECT r.sphere_id, r.light_id, wide, th, CASE WHEN {stop} THEN hx ELSE sx/CAST(n AS DOUBLE) END AS hx, CASE WHEN {stop} THEN hy ELSE sy/CAST(n AS DOUBLE) END AS hy, ceil(radius/2) AS radius, {stop} OR radius<=ceil(0.02::DOUBLE*wide) AS done FROM r{i} r LEFT JOIN ({near}) z ON z.sphere_id=r.sphere_id AND z.light_id=r.light_id)")
+    return ", ".join(steps) + f" SELECT sphere_id, light_id, round(hx, 6) + 0.0 AS hx, round(hy, 6) + 0.0 AS hy FROM r{rounds}"
+
+
+@query("l3_refine_highlights", sql("raster", f"WITH {_FOUND}, {_refined_sql()}"))
 def l3(spark, d):
     found = L.detect_highlights(_photos(spark, d), _spheres(spark, d))
     return rounded(L.refine_highlights(_photos(spark, d), _spheres(spark, d), found).select("sphere_id", "light_id", "hx", "hy"))
@@ -128,7 +141,15 @@ def l7(spark, d):
     return rounded(L.dome_intersections(_rays(spark, d), 600.0, 20.0).drop("dataset"), digits=4)
 
 
-@query("l8_parallax_positions")
+_NEAREST = f"""{_RAY}, s AS (SELECT light_id, sum(1-lx*lx)+1e-9 AS a, sum(-lx*ly) AS b, sum(-lx*lz) AS c, sum(1-ly*ly)+1e-9 AS d, sum(-ly*lz) AS e, sum(1-lz*lz)+1e-9 AS f,
+    sum((1-lx*lx)*ox-lx*ly*oy-lx*lz*oz) AS u, sum(-lx*ly*ox+(1-ly*ly)*oy-ly*lz*oz) AS v, sum(-lx*lz*ox-ly*lz*oy+(1-lz*lz)*oz) AS q FROM ry GROUP BY 1),
+    z AS (SELECT *, a*(d*f-e*e)-b*(b*f-e*c)+c*(b*e-d*c) AS det FROM s),
+    p AS (SELECT light_id, (u*(d*f-e*e)-b*(v*f-e*q)+c*(v*e-d*q))/det AS px, (a*(v*f-e*q)-u*(b*f-e*c)+c*(b*q-v*c))/det AS py, (a*(d*q-v*e)-b*(b*q-v*c)+u*(b*e-d*c))/det AS pz FROM z),
+    o AS (SELECT *, row_number() OVER (ORDER BY radius)-1 AS k, count(*) OVER () AS n FROM (SELECT *, sqrt(px*px+py*py+pz*pz) AS radius FROM p)), g AS (SELECT *, max(CASE WHEN k=n//2 THEN radius END) OVER () AS mid FROM o),
+    h AS (SELECT *, (CASE WHEN abs(radius-mid)>0.1::DOUBLE*mid THEN mid/radius ELSE 1 END)*(CASE WHEN pz<0 THEN -1 ELSE 1 END) AS gain FROM g)"""
+
+
+@query("l8_parallax_positions", sql("raster", f"WITH {_SPH}, {_NEAREST} SELECT light_id, {R('px*gain', 3)} AS px, {R('py*gain', 3)} AS py, {R('pz*gain', 3)} AS pz FROM h"))
 def l8(spark, d):
     return rounded(L.parallax_positions(_rays(spark, d)).drop("dataset"), digits=3)
 
@@ -350,40 +371,131 @@ def f2r(spark, d):
     return rounded(FL.flatten_quadratic(X.heights(spark, d), *X.height_size(spark, d)))
 
 
-@query("i5_gaussian_blur")
+def _blur_sql(src: str, columns: tuple[str, ...], sigma: float) -> str:
+    """The recursion along rows and back, then along columns and back: expressions fx, bx, fy, by on ``src`` (x, y, columns)."""
+    q = 0.98711 * sigma - 0.96330
+    b = [1.57825 + 2.44413 * q + 1.4281 * q**2 + 0.422205 * q**3, 2.44413 * q + 2.85619 * q**2 + 1.26661 * q**3, -(1.4281 * q**2 + 1.26661 * q**3), 0.422205 * q**3]
+    k = [repr(v / b[0]) + "::DOUBLE" for v in b[1:]]
+    gain = repr(1 - sum(b[1:]) / b[0]) + "::DOUBLE"
+    out = []
+    for name, axis, other, step in (("fx", "x", "y", 1), ("bx", "x", "y", -1), ("fy", "y", "x", 1), ("by", "y", "x", -1)):
+        first = ", ".join(f"{c}, {c}, {c}" for c in columns)
+        then = ", ".join(f"{gain}*s.{c}+{k[0]}*f.{c}+{k[1]}*f.{c}_1+{k[2]}*f.{c}_2, f.{c}, f.{c}_1" for c in columns)
+        names = ", ".join(f"{c}, {c}_1, {c}_2" for c in columns)
+        edge = "0" if step > 0 else f"(SELECT max({axis}) FROM {src})"
+        out.append(f"{name}(x, y, {names}) AS (SELECT x, y, {first} FROM {src} WHERE {axis}={edge} UNION ALL SELECT s.x, s.y, {then} FROM {name} f JOIN {src} s ON s.{other}=f.{other} AND s.{axis}=f.{axis}{step:+d})")
+        src = name
+    return ", ".join(out)
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("i5_gaussian_blur", _recursive(sql("truth", f"WITH {_blur_sql('truth', ('nx', 'ny'), 3.0)} SELECT 'd' AS dataset, x, y, {R('nx')} AS nx, {R('ny')} AS ny FROM \"by\"".replace(' by(', ' "by"(').replace(' by f', ' "by" f'))))
 def i5(spark, d):
     return rounded(gaussian_blur(X.truth(spark, d, "d"), ["nx", "ny"], 3.0))
 
 
-@query("f3_flatten_blur")
+@query("f3_flatten_blur", _recursive(sql("truth", f"""WITH sl AS (SELECT x, y, nx/nz AS sx, ny/nz AS sy FROM truth), {_blur_sql('sl', ('sx', 'sy'), 3.0)}, d AS (SELECT sl.x, sl.y, sl.sx-b.sx AS a, sl.sy-b.sy AS b FROM sl JOIN "by" b ON b.x=sl.x AND b.y=sl.y)
+    SELECT 'd' AS dataset, x, y, {R('a/sqrt(a*a+b*b+1)')} AS nx, {R('b/sqrt(a*a+b*b+1)')} AS ny, {R('1/sqrt(a*a+b*b+1)')} AS nz FROM d""".replace(' by(', ' "by"(').replace(' by f', ' "by" f'))))
 def f3(spark, d):
     return rounded(FL.flatten_blur(X.truth(spark, d, "d").drop("k"), 3.0))
 
 
-@query("f4_flatten_fourier")
+def _dft(src: str, out: str, axis: str, size: str, pairs: tuple[tuple[str, str], ...], forward: bool, only: str = "true") -> str:
+    """One axis of a discrete Fourier transform of ``src`` (x, y, fields) by its definition; ``only`` limits the places."""
+    other = "y" if axis == "x" else "x"
+    s = 1 if forward else -1
+    angle = f"2*pi()*((i*s.{axis}) % n)/n"
+    scale = "" if forward else "/any_value(n)"
+    fields = ", ".join(f"sum(s.{a}*cs+({s})*s.{b}*sn){scale} AS {a}, sum(s.{b}*cs-({s})*s.{a}*sn){scale} AS {b}" for a, b in pairs)
+    return f"{out} AS (SELECT {'i AS x, y' if axis == 'x' else 'x, i AS y'}, {fields} FROM (SELECT s.*, i, n, cos({angle}) AS cs, sin({angle}) AS sn FROM {src} s, (SELECT CAST({size} AS BIGINT) AS n, CAST(unnest(range(CAST({size} AS BIGINT))) AS BIGINT) AS i FROM gs) WHERE {only}) s GROUP BY i, {other})"
+
+
+def _fourier_sql() -> str:
+    """n.x and n.y as one complex field, mirrored by a fifth without its edge, high-passed, cut and shrunk back."""
+    ab = (("a", "b"),)
+    return f"""gs AS (SELECT w, h, least(CAST(floor(w*0.2::DOUBLE) AS INT), w-1) AS kx, least(CAST(floor(h*0.2::DOUBLE) AS INT), h-1) AS ky FROM w), th AS (SELECT x, y, nx, ny, acos(greatest(-1,least(nz,1))) AS t FROM truth),
+    f0 AS (SELECT x, y, nx*st AS a, ny*st AS b FROM (SELECT *, CASE WHEN sin(t)>1e-9 THEN t/sin(t) ELSE 1 END AS st FROM th)),
+    f1 AS (SELECT i AS x, y, a, b FROM f0, gs, (SELECT unnest(range((SELECT w+2*kx FROM gs))) AS i) WHERE x=CASE WHEN i<kx THEN kx-i WHEN i<kx+w THEN i-kx ELSE w-2-(i-kx-w) END),
+    f2 AS (SELECT x, i AS y, a, b FROM f1, gs, (SELECT unnest(range((SELECT h+2*ky FROM gs))) AS i) WHERE y=CASE WHEN i<ky THEN ky-i WHEN i<ky+h THEN i-ky ELSE h-2-(i-ky-h) END),
+    {_dft('f2', 'f3', 'x', 'w+2*kx', ab, True)}, {_dft('f3', 'f4', 'y', 'h+2*ky', ab, True)},
+    f5 AS (SELECT x, y, a*g AS a, b*g AS b FROM (SELECT f4.*, 1-exp(-(pow(least(x,w+2*kx-x),2)+pow(least(y,h+2*ky-y),2))/18.0::DOUBLE) AS g FROM f4, gs)),
+    {_dft('f5', 'f6', 'y', 'h+2*ky', ab, False, 'i>=(SELECT ky FROM gs) AND i<(SELECT ky+h FROM gs)')}, {_dft('f6', 'f7', 'x', 'w+2*kx', ab, False, 'i>=(SELECT kx FROM gs) AND i<(SELECT kx+w FROM gs)')},
+    f8 AS (SELECT CAST(x-kx AS INT) AS x, CAST(y-ky AS INT) AS y, a*k AS nx, b*k AS ny FROM (SELECT f7.*, kx, ky, CASE WHEN sqrt(a*a+b*b)>1e-9 THEN sin(least(sqrt(a*a+b*b),pi()/2))/sqrt(a*a+b*b) ELSE 1 END AS k FROM f7, gs))"""
+
+
+@query("f4_flatten_fourier", sql("truth", f"WITH {_fourier_sql()} SELECT 'd' AS dataset, x, y, {R('nx')} AS nx, {R('ny')} AS ny, {R('sqrt(greatest(0,1-nx*nx-ny*ny))')} AS nz FROM f8"))
 def f4(spark, d):
     return rounded(FL.flatten_fourier(X.truth(spark, d, "d"), *X.sizes(spark, d), 3.0))
 
 
+def _step(w: int, h: int) -> int:
+    return w * h // 8 - 13
+
+
 def _picked(spark, d) -> list:
-    rows = X.truth(spark, d, "d").where("k % 1499 = 7 and k < 12000").orderBy("k").collect()  # picked points: a handful
+    """Eight picked points, spread over the image."""
+    step = _step(*X.sizes(spark, d))
+    rows = X.truth(spark, d, "d").where(f"k % {step} = 7 and k < {8 * step}").orderBy("k").collect()
     return [(r["x"], r["y"], r["nx"], r["ny"], r["nz"]) for r in rows]
 
 
-@query("f6_flatten_points_normals")
+def _fitted_sql(source: str, values: dict[str, str], terms: list[tuple[str, ...]]) -> str:
+    """``source`` (x, y, u, v, pick, rest) with ``values`` less their best fit on the picks, as o0, o1, ...; terms made orthogonal one by one.
+
+    Each value is a list of components, as is each term; picks weigh all components alike.
+    """
+    names = list(values)
+    n = len(names)
+    first = ", ".join([*(f"{e} AS {c}" for c, e in values.items()), *(f"{t[i]} AS t{j}_{i}" for j, t in enumerate(terms) for i in range(n))])
+    steps = [f"o0 AS (SELECT *, {first} FROM {source})"]
+    for j in range(len(terms)):
+        dot = lambda a, b: "sum(" + "+".join(f"{p}*{q}" for p, q in zip(a, b, strict=True)) + ") FILTER (WHERE pick) OVER ()"
+        of = [f"t{j}_{i}" for i in range(n)]
+        less = lambda cs: [f"{c}-{t}*({dot(cs, of)})/({dot(of, of)}) AS {c}" for c, t in zip(cs, of, strict=True)]  # noqa: B023, E731
+        later = [less([f"t{q}_{i}" for i in range(n)]) for q in range(j + 1, len(terms))]
+        steps.append(f"o{j + 1} AS (SELECT * EXCLUDE ({', '.join([*names, *(f't{q}_{i}' for q in range(j, len(terms)) for i in range(n))])}), {', '.join([*less(names), *(e for part in later for e in part)])} FROM o{j})")
+    return ", ".join(steps)
+
+
+_POINTS = f"""pk AS (SELECT x, y, k % (w*h//8-13) = 7 AND k < 8*(w*h//8-13) AS pick, (x-w/2.0::DOUBLE)/w AS u, (h/2.0::DOUBLE-y)/w AS v, nx, ny, nz, -nx/nz AS tx, -ny/nz AS ty FROM truth, w),
+    {_fitted_sql('pk', {'rx': 'tx', 'ry': 'ty'}, [('2*u', '0*u'), ('v', 'u'), ('0*u', '2*v'), ('4*u*u*u', '0*u'), ('2*u*v*v', '2*u*u*v'), ('0*u', '4*v*v*v')])},
+    md AS (SELECT x, y, nx, ny, nz, -(tx-rx)/s AS a, -(ty-ry)/s AS b, 1/s AS c, 1/(1+1/s) AS k FROM (SELECT *, sqrt(pow(tx-rx,2)+pow(ty-ry,2)+1) AS s FROM o6))"""
+
+
+@query("f6_flatten_points_normals", sql("truth", f"WITH {_POINTS} SELECT 'd' AS dataset, x, y, {R('nx*(1-a*a*k)-ny*a*b*k-nz*a')} AS nx, {R('-nx*a*b*k+ny*(1-b*b*k)-nz*b')} AS ny, {R('nx*a+ny*b+nz*c')} AS nz FROM md"))
 def f6(spark, d):
     w, h = X.sizes(spark, d)
     return rounded(FL.flatten_points_normals(X.truth(spark, d, "d").drop("k"), FL.point_model(_picked(spark, d), w, h, False), w, h))
 
 
-@query("f7_flatten_points_heights")
+_HPOINTS = f"""pk AS (SELECT x, y, z, (x-w/2.0::DOUBLE)/w AS u, (h/2.0::DOUBLE-y)/w AS v, (x*7+y*3) % 19 = 5 AND row_number() OVER (PARTITION BY (x*7+y*3) % 19 ORDER BY y, x) <= 12 AS pick FROM heights, hw),
+    {_fitted_sql('pk', {'rz': 'z'}, [('1.0::DOUBLE',), ('u*u',), ('u*v',), ('v*v',), ('u*u*u*u',), ('u*u*v*v',), ('v*v*v*v',), ('u',), ('v',)])}"""
+
+
+@query("f7_flatten_points_heights", sql("heights", f"WITH {_HPOINTS} SELECT 'd' AS dataset, x, y, {R('rz-avg(rz) OVER ()')} AS z FROM o9"))
 def f7(spark, d):
     w, h = X.height_size(spark, d)
     rows = X.heights(spark, d).where("(x * 7 + y * 3) % 19 = 5").orderBy("y", "x").limit(12).collect()  # picked points
     return rounded(FL.flatten_points_heights(X.heights(spark, d), FL.point_model([(r["x"], r["y"], r["z"]) for r in rows], w, h, True), w, h))
 
 
-@query("i1_integrate_fft")
+def _integral_sql() -> str:
+    """Slopes mirrored by half the short side, with a changed sign along their own axis; divided by the frequencies."""
+    pq = (("pr", "pi_"), ("qr", "qi"))
+    side = lambda v, k, n: f"CASE WHEN i<{k} THEN {k}-1-i WHEN i<{k}+{n} THEN i-{k} ELSE {n}-1-(i-{k}-{n}) END={v}"
+    freq = lambda v, n: f"(CASE WHEN {v}<=({n}-1)//2 THEN {v} ELSE {v}-({n}) END)/CAST({n} AS DOUBLE)"
+    return f"""gs AS (SELECT w, h, least(w,h)//2 AS k FROM w), f0 AS (SELECT x, y, nx/nz AS p, -ny/nz AS q FROM truth),
+    f1 AS (SELECT i AS x, y, CASE WHEN i<k OR i>=k+w THEN -p ELSE p END AS p, q FROM f0, gs, (SELECT unnest(range((SELECT w+2*k FROM gs))) AS i) WHERE {side('x', 'k', 'w')}),
+    f2 AS (SELECT x, i AS y, p AS pr, 0.0::DOUBLE AS pi_, CASE WHEN i<k OR i>=k+h THEN -q ELSE q END AS qr, 0.0::DOUBLE AS qi FROM f1, gs, (SELECT unnest(range((SELECT h+2*k FROM gs))) AS i) WHERE {side('y', 'k', 'h')}),
+    {_dft('f2', 'f3', 'x', 'w+2*k', pq, True)}, {_dft('f3', 'f4', 'y', 'h+2*k', pq, True)},
+    f5 AS (SELECT x, y, (fx*pi_+fy*qi)/(fx*fx+fy*fy+1e-12) AS pr, -(fx*pr+fy*qr)/(fx*fx+fy*fy+1e-12) AS pi_ FROM (SELECT f4.*, {freq('x', 'w+2*k')} AS fx, {freq('y', 'h+2*k')} AS fy FROM f4, gs)),
+    {_dft('f5', 'f6', 'y', 'h+2*k', pq[:1], False, 'i>=(SELECT k FROM gs) AND i<(SELECT k+h FROM gs)')}, {_dft('f6', 'f7', 'x', 'w+2*k', pq[:1], False, 'i>=(SELECT k FROM gs) AND i<(SELECT k+w FROM gs)')}"""
+
+
+@query("i1_integrate_fft", sql("truth", f"WITH {_integral_sql()} SELECT 'd' AS dataset, CAST(x-k AS INT) AS x, CAST(y-k AS INT) AS y, {R('pr/(2*pi())', 4)} AS z FROM f7, gs"))
 def i1(spark, d):
     return rounded(I.integrate_fft(X.truth(spark, d, "d"), *X.sizes(spark, d)), digits=4)
 
