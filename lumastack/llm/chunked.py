@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 4_000_000
+BATCH_BYTES, STRINGS = 2_500_000, 20_000
 
 
 def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, pa.Array]]:
@@ -33,7 +33,7 @@ def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
 class ChunkEncoder:
     """``encode`` maps strings to id sequences, one each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], dtype: str, limit: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], dtype: str, limit: int = 400_000) -> None:
         self.encode, self.dtype, self.limit = encode, np.dtype(dtype), limit
         self._clear()
 
@@ -48,12 +48,16 @@ class ChunkEncoder:
         return None if i is None else self.ids[self.ends[i] : self.ends[i + 1]]
 
     def _flat(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [], []
         gc.disable()  # many lists and no cycles: the collector would only walk them again and again
         try:
-            found = self.encode(strings) if strings else []
-            return np.array([i for x in found for i in x], self.dtype), np.array([len(x) for x in found], np.int64)
+            for at in range(0, len(strings), STRINGS):
+                found = self.encode(strings[at : at + STRINGS])
+                ids.append(np.array([i for x in found for i in x], self.dtype))
+                sizes.append(np.array([len(x) for x in found], np.int64))
         finally:
             gc.enable()
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
 
     def _places(self, chunks: list[str]) -> np.ndarray:
         """The rows of the table that hold ``chunks``, which all differ."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunked import ChunkEncoder, text_groups
-from .scratch import ORDER, first_keys, keyed, prefix_of_parts, range_of, removed, shared_dir, stored
+from .scratch import ORDER, first_keys, keyed, part_of, prefix_of_parts, removed, shared_dir, stored
 
 SHARD_BYTES = 32 << 20
 _encoders: dict = {}
@@ -157,18 +157,20 @@ def forget() -> None:
     _encoders.clear()
 
 
-def _framed(path: str, width: str, end_id: int) -> Callable:
+def _framed(path: str, width: str, end_id: int, heads: list[tuple]) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer_encoder(path, width)
         end = np.array([end_id], width).tobytes()
         for batch in batches:
             for row, texts in text_groups(batch):
-                rest = [batch.column(c).slice(row, len(texts)) for c in ("part", *ORDER)]
+                keys = [batch.column(c).slice(row, len(texts)) for c in ORDER]
                 ids, cuts = encoder.encode_column(texts)
-                records = []
-                for known, key, a, b in zip(rest[1].to_pylist(), rest[2].to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    records.append(frame(struct.pack("<Bq", known, key) + ids[a:b].tobytes() + end))
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(records, pa.binary())], ["part", *ORDER, "value"])
+                records, parts = [], []
+                for key, a, b in zip(zip(*(k.to_pylist() for k in keys), strict=True), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    records.append(frame(struct.pack("<Bq", *key[:2]) + ids[a:b].tobytes() + end))
+                    parts.append(part_of(heads, key))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *keys, pa.array(records, pa.binary())], ["part", *ORDER, "value"])
+            pa.default_memory_pool().release_unused()
 
     return task
 
@@ -186,8 +188,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, *, key: str = "doc_
         size = rows.agg(F.sum(F.octet_length("text") + 8).alias("n")).first()["n"] or 0
         shards = max(1, -(-size // shard_bytes))
     heads = first_keys(rows, shards) or [(False, 0, 0)]
-    placed = rows.select(range_of(heads)(*ORDER)["part"].alias("part"), *ORDER, "text")
-    coded = placed.mapInArrow(_framed(tokenizer, width, end_id), "part int, known boolean, id long, tie long, value binary")
+    coded = rows.select(*ORDER, "text").mapInArrow(_framed(tokenizer, width, end_id, heads), "part int, known boolean, id long, tie long, value binary")
     dealt = coded.repartitionById(len(heads), "part").sortWithinPartitions(*ORDER)
     dealt.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(out)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..prefix import exclusive_starts, prefix_of_parts
 from ..shared import removed, shared_dir, stored
 
-__all__ = ["ORDER", "exclusive_starts", "first_keys", "keyed", "prefix_of_parts", "range_of", "removed", "shared_dir", "stored"]
+__all__ = ["ORDER", "exclusive_starts", "first_keys", "keyed", "part_of", "prefix_of_parts", "range_of", "removed", "shared_dir", "stored"]
 
 #: A total order of documents: null ids first, then the id, and a hash of the text among ties.
 ORDER = ["known", "id", "tie"]
@@ -30,12 +30,18 @@ def first_keys(rows: DataFrame, n: int) -> list[tuple]:
     return sorted(tuple(r["h"]) for r in keys.groupBy("part").agg(F.min(F.struct(*ORDER)).alias("h")).collect())
 
 
+def part_of(heads: list[tuple], key: tuple) -> int:
+    """The number of the range that a key falls in."""
+    return max(bisect_right(heads, key) - 1, 0)
+
+
 def range_of(heads: list[tuple]) -> Callable:
     """(part, first): the number of the range that a key (known, id, tie) falls in, and whether it is the range's first."""
+
     @F.pandas_udf("part int, first boolean")
     def found(known: pd.Series, doc_id: pd.Series, tie: pd.Series) -> pd.DataFrame:
         keys = list(zip(known.tolist(), doc_id.tolist(), tie.tolist(), strict=True))
-        part = [max(bisect_right(heads, k) - 1, 0) for k in keys]
+        part = [part_of(heads, k) for k in keys]
         return pd.DataFrame({"part": pd.array(part, "int32"), "first": [k == heads[p] for k, p in zip(keys, part, strict=True)]})
 
     return found
