@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,21 +57,33 @@ def from_linear(v: Column) -> Column:
     return F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
 
 
-def _matrix(source: str, target: str) -> list[list[float]]:
-    import numpy as np
+@dataclass(frozen=True)
+class Profile:
+    """A matrix and curve profile: the rows that take linear r, g, b to XYZ, and the exponent of the curve (None: that of sRGB)."""
+
+    to_xyz: tuple[tuple[float, ...], ...]
+    gamma: float | None = None
+
+    def linear(self, v: Column) -> Column:
+        return to_linear(v) if self.gamma is None else v if self.gamma == 1 else F.pow(F.greatest(v, F.lit(0.0)), F.lit(self.gamma))
+
+    def coded(self, v: Column) -> Column:
+        return from_linear(v) if self.gamma is None else v if self.gamma == 1 else F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / self.gamma))
+
+
+def _rows(m) -> tuple[tuple[float, ...], ...]:
+    return tuple(tuple(map(float, r)) for r in m)
+
 
-    of = {"srgb": SRGB_TO_XYZ, "linear-srgb": SRGB_TO_XYZ, "display-p3": P3_TO_XYZ}
-    return (np.linalg.inv(np.array(of[target])) @ np.array(of[source])).tolist()
+PROFILES = {"srgb": Profile(_rows(SRGB_TO_XYZ)), "linear-srgb": Profile(_rows(SRGB_TO_XYZ), 1.0), "display-p3": Profile(_rows(P3_TO_XYZ))}
 
 
-def convert(r: Column, g: Column, b: Column, source: str, target: str) -> Triple:
-    """8-bit samples from one space (srgb, linear-srgb, display-p3) to another, quantised again; the same space is left."""
+def convert(r: Column, g: Column, b: Column, source: str | Profile, target: str | Profile) -> Triple:
+    """8-bit samples from one space (a name of ``PROFILES`` or a profile) to another, quantised again; the same space is left."""
     if source == target:
         return r, g, b
-    rgb = [c / 255.0 for c in (r, g, b)]
-    if source != "linear-srgb":
-        rgb = [to_linear(c) for c in rgb]
-    rgb = [m[0] * rgb[0] + m[1] * rgb[1] + m[2] * rgb[2] for m in _matrix(source, target)]
-    if target != "linear-srgb":
-        rgb = [from_linear(c) for c in rgb]
+    a, z = (PROFILES[p] if isinstance(p, str) else p for p in (source, target))
+    rgb = [a.linear(c / 255.0) for c in (r, g, b)]
+    m = (np.linalg.inv(np.array(z.to_xyz)) @ np.array(a.to_xyz)).tolist()
+    rgb = [z.coded(w[0] * rgb[0] + w[1] * rgb[1] + w[2] * rgb[2]) for w in m]
     return tuple(F.greatest(F.lit(0.0), F.least(F.round(c * 255.0), F.lit(255.0))) for c in rgb)

@@ -226,7 +226,8 @@ def rotate_normal(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.when(s < 1e-5, o).otherwise(t) for k, o, t in zip(("nx", "ny", "nz"), (nx, ny, nz), turned, strict=True)})
 
 
-def convert_color(samples: DataFrame, source: str, target: str) -> DataFrame:
+def convert_color(samples: DataFrame, source: str | colors.Profile, target: str | colors.Profile) -> DataFrame:
+    """Samples in another colour space, by name or by a matrix and curve profile."""
     r, g, b = colors.convert(F.col("r"), F.col("g"), F.col("b"), source, target)
     return samples.withColumns({"r": r, "g": g, "b": b})
 

@@ -112,6 +112,14 @@ def pixel_error_map(errors: DataFrame) -> DataFrame:
     return errors.select("dataset", "x", "y", F.sqrt(F.aggregate("d2", F.lit(0.0), lambda s, v: s + v) / (3 * F.size("d2"))).alias("error"))
 
 
+def error_ramp(errors: DataFrame, low: float, high: float) -> DataFrame:
+    """(dataset, x, y, r, g, b): errors from ``low`` to ``high`` in colours from blue over green to red."""
+    t = F.floor(255 * F.greatest(F.lit(0.0), F.least((F.col("error") - low) / (high - low), F.lit(1.0)))).cast("int")
+    cold, zero = t < 128, F.lit(0)
+    rgb = {"r": F.when(cold, zero).otherwise(2 * t - 256), "g": F.when(cold, 2 * t).otherwise(511 - 2 * t), "b": F.when(cold, 255 - 2 * t).otherwise(zero)}
+    return errors.select("dataset", "x", "y", *(v.cast("int").alias(c) for c, v in rgb.items()))
+
+
 def leave_one_out(pixels: DataFrame, lights: np.ndarray, basis: str, n: int, k: int) -> DataFrame:
     """Fit without light ``k``, render it, and report: (dataset, type, colorspace, nplanes, k, elevation, lx, ly, mse, psnr, rmse)."""
     from .fit import pinv, weights_of

@@ -294,6 +294,23 @@ def p17(spark, d):
     return P.convert_color(X.raster(spark, d), "srgb", "linear-srgb").select("x", "y", "r")
 
 
+_WIDE = color.Profile(((0.5767, 0.1856, 0.1882), (0.2973, 0.6274, 0.0753), (0.0270, 0.0707, 0.9911)), 2.2)
+
+
+def _profile_sql() -> str:
+    """A wide gamut of exponent 2.2 to linear sRGB: solved from the target's matrix by Cramer's rule."""
+    m = [[f"({v}::DOUBLE)" for v in row] for row in color.SRGB_TO_XYZ]
+    det = lambda q: f"({q[0][0]}*({q[1][1]}*{q[2][2]}-{q[1][2]}*{q[2][1]})-{q[0][1]}*({q[1][0]}*{q[2][2]}-{q[1][2]}*{q[2][0]})+{q[0][2]}*({q[1][0]}*{q[2][1]}-{q[1][1]}*{q[2][0]}))"
+    xyz = ", ".join(f"{a}::DOUBLE*lr+{b}::DOUBLE*lg+{c}::DOUBLE*lb AS t{i}" for i, (a, b, c) in enumerate(_WIDE.to_xyz))
+    part = lambda k: f"greatest(0, least(255, round(255*{det([[f't{i}' if j == k else m[i][j] for j in range(3)] for i in range(3)])}/{det(m)})))"
+    return f"WITH li AS (SELECT x, y, pow(r/255.0::DOUBLE,2.2) AS lr, pow(g/255.0::DOUBLE,2.2) AS lg, pow(b/255.0::DOUBLE,2.2) AS lb FROM raster), ci AS (SELECT x, y, {xyz} FROM li) SELECT x, y, {', '.join(f'CAST({part(k)} AS DOUBLE) + 0.0 AS {c}' for k, c in enumerate('rgb'))} FROM ci"
+
+
+@query("p17_matrix_profile", sql("raster", _profile_sql()))
+def p17m(spark, d):
+    return P.convert_color(X.raster(spark, d), _WIDE, "linear-srgb").select("x", "y", *((F.col(c) + 0.0).alias(c) for c in "rgb"))
+
+
 @query("p18_check_profiles", sql("images", """SELECT dataset, count(DISTINCT format) AS n_profiles, count(DISTINCT format) = 1 AS ok FROM images GROUP BY 1"""))
 def p18(spark, d):
     return P.check_profiles(X.images(spark, d), "format")

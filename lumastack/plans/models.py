@@ -358,6 +358,12 @@ def q2(spark, d):
     return rounded(V.pixel_error_map(_errors(spark, d)), digits=4)
 
 
+@query("q2_error_ramp", sql("stack", f"""WITH {matrix('m', _WA)}, {_ERR}, t AS (SELECT dataset, x, y, CAST(floor(255*least(greatest(round(sqrt(sum(d2)/48), 4)/4, 0), 1)) AS INT) AS t FROM q GROUP BY 1,2,3)
+    SELECT dataset, x, y, CASE WHEN t<128 THEN 0 ELSE 2*t-256 END AS r, CASE WHEN t<128 THEN 2*t ELSE 511-2*t END AS g, CASE WHEN t<128 THEN 255-2*t ELSE 0 END AS b FROM t"""))
+def q2r(spark, d):
+    return V.error_ramp(rounded(V.pixel_error_map(_errors(spark, d)), digits=4), 0.0, 4.0)
+
+
 _KEEP = [i for i in range(16) if i != 5]
 _W5 = C.weights_of(LIGHTS[[5]], "ptm", 6) @ pinv(C.weights_of(LIGHTS[_KEEP], "ptm", 6))
 

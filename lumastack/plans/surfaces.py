@@ -535,16 +535,16 @@ _SLS = f"WITH {_SUP} SELECT dataset, light_id, filename, {R('a/sqrt(a*a+b*b+16)'
 def s1(spark, d):
     path = shared_dir(spark)
     D.write_lp(_lights_of_nations(spark, d), path)
-    texts = spark.read.text(path, wholetext=True).select(F.col("dataset").cast("string").alias("dataset"), F.col("value").alias("text"))
-    return rounded(D.parse_lp(texts))
+    return rounded(D.read_lp(spark, path))
 
 
 @query("s3_s4_domes", _SLS.replace("SELECT dataset, light_id, filename,", "SELECT dataset, light_id,"))
 def s3(spark, d):
     lights = _lights_of_nations(spark, d).withColumns({"px": F.col("lx") * 300, "py": F.col("ly") * 300, "pz": F.col("lz") * 300})
     domes = lights.select("dataset").distinct().select("dataset", F.col("dataset").alias("label"), F.lit("").alias("notes"), F.lit(100.0).alias("imageWidth"), F.lit(600.0).alias("domeDiameter"), F.lit(0.0).alias("verticalOffset"), F.lit("spherical").alias("lightConfiguration"))
-    _, back = D.parse_dome(D.dome_texts(domes, lights))
-    return rounded(back.select("dataset", "light_id", "lx", "ly", "lz"))
+    path = shared_dir(spark)
+    D.write_dome(domes, lights, path)
+    return rounded(D.read_dome(spark, path)[1].select("dataset", "light_id", "lx", "ly", "lz"))
 
 
 @query("s5_projects", sql("images", "SELECT dataset, light_id, filename, skip, visible FROM (SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY light_id) - 1 AS INT) AS light_id, filename, skip, visible FROM images)"))
@@ -552,7 +552,9 @@ def s5(spark, d):
     i = X.images(spark, d).groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("light_id", "filename", "skip", "visible"))).alias("l"))
     images = F.transform("l", lambda e: F.struct(e["filename"].alias("filename"), e["skip"].alias("skip"), e["visible"].alias("visible")))
     text = F.to_json(F.struct(F.lit(1).alias("version"), F.lit(100).alias("width"), F.lit(80).alias("height"), images.alias("images")))
-    return D.parse_project(i.select("dataset", text.alias("text")))["images"].withColumn("light_id", F.col("light_id").cast("int"))
+    path = shared_dir(spark)
+    i.select("dataset", text.alias("value")).write.partitionBy("dataset").text(path)
+    return D.read_project(spark, path)["images"].withColumn("light_id", F.col("light_id").cast("int"))
 
 
 @query("s7_info_headers", f"WITH {_SUP} SELECT dataset, light_id, round(a/sqrt(a*a+b*b+16), 3) + 0.0 AS lx, round(b/sqrt(a*a+b*b+16), 3) + 0.0 AS ly FROM sl")
@@ -560,7 +562,9 @@ def s7(spark, d):
     lights = _lights_of_nations(spark, d)
     head = lights.select("dataset").distinct().select("dataset", F.lit(100).alias("width"), F.lit(80).alias("height"), F.lit("jpg").alias("format"), F.lit("ptm").alias("type"), F.lit("rgb").alias("colorspace"), F.lit(None).cast("double").alias("sigma"), F.lit(None).cast("int").alias("resolution"), F.lit(0.1).alias("pixelSizeInMM"), F.lit(18).alias("nplanes"), F.lit(None).cast("array<int>").alias("yccplanes"), F.lit(95).alias("quality"), F.lit("srgb").alias("colorprofile"))
     planes = lights.select("dataset", F.col("light_id").alias("plane"), F.lit(None).cast("double").alias("range"), F.col("lz").alias("scale"), F.col("lx").alias("bias"))
-    return rounded(D.parse_info(D.info_texts(head, lights, planes))["lights"].select("dataset", "light_id", "lx", "ly"), digits=3)
+    path = shared_dir(spark)
+    D.write_info(path, head, lights, planes)
+    return rounded(D.read_info(spark, path)["lights"].select("dataset", "light_id", "lx", "ly"), digits=3)
 
 
 @query("s6_image_stack", sql("raster", "SELECT x, y, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM raster"))
@@ -572,6 +576,17 @@ def s6(spark, d):
     return IM.decoded_stack(images).select("x", F.col("light_id").alias("y"), "r", "g", "b")
 
 
+@query("s6_read_stack", sql("raster", "SELECT x, y, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM raster"))
+def s6r(spark, d):
+    """Image files, one for each line of the raster, written and read back."""
+    w, _ = X.sizes(spark, d)
+    path = shared_dir(spark)
+    lines = X.raster(spark, d).groupBy("y").agg(F.sort_array(F.collect_list(F.struct("x", "b", "g", "r"))).alias("l"))
+    bgr = F.unhex(F.array_join(F.transform("l", lambda e: F.concat(*(F.lpad(F.hex(e[c]), 2, "0") for c in "bgr"))), ""))
+    IM.write_bitmaps(lines.select(F.format_string("line%06d", "y").alias("name"), F.lit(w).alias("width"), F.lit(1).alias("height"), bgr.alias("data")), path)
+    return IM.read_stack(spark, path, "d").select("x", F.col("light_id").alias("y"), "r", "g", "b")
+
+
 def _coded(spark, d) -> DataFrame:
     c = F.col
     q = F.transform(F.sequence(F.lit(0), F.lit(17)), lambda i: ((c("r") * (i + 1) + c("g") * i) % 256).cast("int"))

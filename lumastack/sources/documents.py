@@ -9,7 +9,10 @@ from .. import schema
 
 
 def _dataset() -> Column:
-    return F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    """What a folder ``dataset=...`` says, as the writers make it, else the file's name without its ending."""
+    path = F.input_file_name()
+    folder = F.regexp_extract(path, r"/dataset=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
 
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +30,22 @@ def decoded_stack(images: DataFrame) -> DataFrame:
     return images.select("dataset", "light_id", "width", "height", "channels", "data").mapInPandas(task, schema)
 
 
+def write_bitmaps(images: DataFrame, path: str) -> None:
+    """Rows (name, width, height, data) of BGR bytes, row by row, as uncompressed bitmap files, one in a folder for each name."""
+
+    @F.pandas_udf("binary")
+    def coded(width: pd.Series, height: pd.Series, data: pd.Series) -> pd.Series:
+        out = []
+        for w, h, px in zip(width, height, data, strict=True):
+            rows = np.zeros((h, -(-3 * w // 4) * 4), np.uint8)  # rows run upwards and end on four bytes
+            rows[:, : 3 * w] = np.frombuffer(px, np.uint8).reshape(h, 3 * w)[::-1]
+            out.append(struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes())
+        return pd.Series(out)
+
+    # the committing text writer puts the bytes down as they are; readers ignore the line end behind them
+    images.select("name", coded("width", "height", "data").cast("string").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
 def read_stack(spark: SparkSession, folder: str, dataset: str, lights: DataFrame | None = None) -> DataFrame:
     """Samples of the images of a folder (JPEG, PNG, BMP, GIF), sorted by name and numbered; with ``lights``, directions joined.
 
