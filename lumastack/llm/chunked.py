@@ -3,7 +3,8 @@
 The tokenizers' split pattern always breaks before a space that follows or precedes a visible character, so a text's ids
 are those of its first chunk and of each later chunk with its leading space. Texts with a space between two white-space
 characters, where that does not hold, are encoded whole. A group of texts is split and its chunks are numbered by Arrow;
-Python sees each different chunk of a group once, and the encoder each chunk once until the table is full and starts anew.
+Python sees each different chunk of a group once, and the encoder each chunk once for as long as the table keeps it: a full
+table drops the chunks that it met in one group only.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES, STRINGS = 2_500_000, 20_000
+BATCH_BYTES, STRINGS = 3_000_000, 60_000
 
 
 def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, pa.Array]]:
@@ -33,7 +34,7 @@ def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
 class ChunkEncoder:
     """``encode`` maps strings to id sequences, one each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], dtype: str, limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], dtype: str, limit: int = 500_000) -> None:
         self.encode, self.dtype, self.limit = encode, np.dtype(dtype), limit
         self._clear()
 
@@ -41,6 +42,19 @@ class ChunkEncoder:
         self.place: dict[str, int] = {}
         self.ids, self.ends = np.zeros(0, self.dtype), np.zeros(1, np.int64)
         self.opens, self.closes = np.zeros(0, bool), np.zeros(0, bool)  # chunks that are empty or have white space at that end
+        self.met = np.zeros(0, np.int32)  # in how many groups
+
+    def _shrink(self) -> None:
+        """Drop the chunks that only one group had, and more of the rare ones if that leaves more than half of the table."""
+        least = 2
+        while (self.met >= least).sum() > self.limit // 2:
+            least *= 2
+        keep = np.flatnonzero(self.met >= least)
+        chunks, width = list(self.place), np.diff(self.ends)[keep]
+        ends = np.concatenate(([0], np.cumsum(width)))
+        self.ids = self.ids[np.repeat(self.ends[keep] - ends[:-1], width) + np.arange(ends[-1])]
+        self.ends, self.opens, self.closes, self.met = ends, self.opens[keep], self.closes[keep], self.met[keep] // 2
+        self.place = {chunks[i]: n for n, i in enumerate(keep.tolist())}
 
     def known(self, chunk: str) -> np.ndarray | None:
         """The ids of a chunk with its leading space, if the table has them."""
@@ -64,8 +78,9 @@ class ChunkEncoder:
         at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
         new = np.flatnonzero(at < 0)
         if len(self.place) and len(self.place) + len(new) > self.limit:
-            self._clear()
-            at[:], new = -1, np.arange(len(chunks))
+            self._shrink()
+            at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+            new = np.flatnonzero(at < 0)
         if len(new):
             words = [chunks[i] for i in new.tolist()]
             ids, sizes = self._flat([" " + w for w in words])
@@ -74,6 +89,8 @@ class ChunkEncoder:
             self.ids, self.ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
             self.opens = np.concatenate((self.opens, [not w or w[0].isspace() for w in words]))
             self.closes = np.concatenate((self.closes, [not w or w[-1].isspace() for w in words]))
+            self.met = np.concatenate((self.met, np.zeros(len(new), np.int32)))
+        self.met[at] += 1
         return at
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
