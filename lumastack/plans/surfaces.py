@@ -471,14 +471,15 @@ def f6(spark, d):
     return rounded(FL.flatten_points_normals(X.truth(spark, d, "d").drop("k"), FL.point_model(_picked(spark, d), w, h, False), w, h))
 
 
-_HPOINTS = f"""pk AS (SELECT x, y, z, (x-w/2.0::DOUBLE)/w AS u, (h/2.0::DOUBLE-y)/w AS v, (x*7+y*3) % 19 = 5 AND row_number() OVER (PARTITION BY (x*7+y*3) % 19 ORDER BY y, x) <= 12 AS pick FROM heights, hw),
+_HPOINTS = f"""pk AS (SELECT x, y, z, (x-w/2.0::DOUBLE)/w AS u, (h/2.0::DOUBLE-y)/w AS v, (y*w+x) % (w*h//12-3) = 2 AND y*w+x < 12*(w*h//12-3) AS pick FROM heights, hw),
     {_fitted_sql('pk', {'rz': 'z'}, [('1.0::DOUBLE',), ('u*u',), ('u*v',), ('v*v',), ('u*u*u*u',), ('u*u*v*v',), ('v*v*v*v',), ('u',), ('v',)])}"""
 
 
 @query("f7_flatten_points_heights", sql("heights", f"WITH {_HPOINTS} SELECT 'd' AS dataset, x, y, {R('rz-avg(rz) OVER ()')} AS z FROM o9"))
 def f7(spark, d):
     w, h = X.height_size(spark, d)
-    rows = X.heights(spark, d).where("(x * 7 + y * 3) % 19 = 5").orderBy("y", "x").limit(12).collect()  # picked points
+    step = w * h // 12 - 3  # twelve picked points, spread over the field
+    rows = X.heights(spark, d).where(f"(y * {w} + x) % {step} = 2 and y * {w} + x < {12 * step}").orderBy("y", "x").collect()
     return rounded(FL.flatten_points_heights(X.heights(spark, d), FL.point_model([(r["x"], r["y"], r["z"]) for r in rows], w, h, True), w, h))
 
 
