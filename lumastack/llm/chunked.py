@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES, STRINGS = 3_000_000, 60_000
+BATCH_BYTES, STRINGS = 1_200_000, 60_000
 
 
 def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, pa.Array]]:

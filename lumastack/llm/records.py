@@ -148,6 +148,7 @@ def tokenizer_encoder(path: str, width: str) -> ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
         _encoders[path, width] = _Encoder(Tokenizer.from_file(path), width)
     return _encoders[path, width]
 
