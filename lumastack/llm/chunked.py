@@ -34,7 +34,7 @@ def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
 class ChunkEncoder:
     """``encode`` maps strings to id sequences, one each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], dtype: str, limit: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], dtype: str, limit: int = 650_000) -> None:
         self.encode, self.dtype, self.limit = encode, np.dtype(dtype), limit
         self._clear()
 
