@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_fst import code_digests
 from .html_tree import main_texts
+from .lexical import ranked_search
 from .line_rules import line_rules
 from .mixing import mix, taken_words
 from .near_dup import near_duplicates
+from .phrases import phrases
 from .pii import personal_data
 from .quality_qda import quality_scores
 from .records import record_digests
@@ -74,6 +76,16 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of two and three words in all documents, by language."""
+    return phrases(_table(spark, sf_dir, "documents"))
+
+
+def op13_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_style_tree": op1_style_tree,
     "op2_token_records": op2_token_records,
@@ -85,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_frequency": op8_line_frequency,
     "op9_superminhash": op9_superminhash,
     "op10_separator_scan": op10_separator_scan,
+    "op11_phrase_tries": op11_phrase_tries,
+    "op13_stratified_search": op13_stratified_search,
 }
 
 SQL: dict[str, str] = {
@@ -93,6 +107,39 @@ SQL: dict[str, str] = {
         SELECT doc_id, row_number() OVER w - 1 AS ordinal, CAST(sum(n + 1) OVER w - n - 1 AS BIGINT) AS start, n AS n_tokens
         FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, t ROWS UNBOUNDED PRECEDING)
     """,
+    "op11_phrase_tries": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        q AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase
+              FROM (SELECT lang, ws, size, unnest(range(1, CAST(len(ws) AS BIGINT) - size + 2)) AS i FROM q, (SELECT unnest([1, 2, 3]) AS size) WHERE len(ws) >= size)),
+        f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY 1, 2, 3),
+        n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY 1),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND a >= 10),
+        cuts AS (SELECT c.*, k, array_to_string(ws[1 : k], ' ') AS head, array_to_string(ws[k + 1 :], ' ') AS rest FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < size),
+        s AS (SELECT cuts.lang, cuts.size, cuts.phrase, cuts.a, k, h.a AS l, r.a AS r,
+                     CAST((1000000 * CAST(cuts.a AS HUGEINT) * cuts.a) // (CAST(h.a AS HUGEINT) * r.a) AS BIGINT) AS score
+              FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = rest),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a FROM c WHERE size = 3),
+        longer AS (SELECT lang, phrase, max(a) AS m FROM inside GROUP BY 1, 2),
+        kept AS (SELECT b.* FROM b LEFT JOIN longer x ON x.lang = b.lang AND x.phrase = b.phrase AND b.size = 2 WHERE x.m IS NULL OR 100 * x.m < 50 * b.a)
+        SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n AS n, score
+        FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+    """,
+    "op13_stratified_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        sizes AS (SELECT row, doc_id, CAST(len(ws) AS BIGINT) AS n FROM d WHERE len(ws) > 0),
+        t AS (SELECT count(*) AS n_docs, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM sizes),
+        post AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(ws) AS term FROM d) GROUP BY 1, 2),
+        items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, t GROUP BY term, n_docs),
+        m AS (SELECT row, doc_id, 50 + CAST((50 * CAST(n AS HUGEINT) * n_docs) // total AS BIGINT) AS m FROM sizes, t),
+        s AS (SELECT i.item_id, m.row, m.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+              FROM items i JOIN post p ON p.term = i.term JOIN w ON w.term = i.term JOIN m ON m.row = p.row GROUP BY 1, 2, 3)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 50
+    """,
     "op8_line_frequency": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,

@@ -41,10 +41,10 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = stop
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row numbers of all words; a word never crosses a row."""
+def word_spans(offsets: np.ndarray, data: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of all words, which are runs of bytes that ``gaps`` (256 flags) does not name; a word never crosses a row."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~gaps[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
