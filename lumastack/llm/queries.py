@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_fst import code_digests
 from .html_tree import main_texts
@@ -19,6 +20,7 @@ from .quality_qda import quality_scores
 from .records import record_digests
 from .sketch import fingerprints
 from .token_scan import counted
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +83,12 @@ def op11_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(_table(spark, sf_dir, "documents"))
 
 
+def op12_linear_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, and their toxic spans as start:end, comma-joined."""
+    out = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
+
+
 def op13_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for each benchmark item."""
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_superminhash": op9_superminhash,
     "op10_separator_scan": op10_separator_scan,
     "op11_phrase_tries": op11_phrase_tries,
+    "op12_linear_chain": op12_linear_chain,
     "op13_stratified_search": op13_stratified_search,
 }
 
