@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .scratch import removed, shared_dir, stored
 from .textops import LOWER, mix64, span_hashes, text_slices, word_spans
 
-MAX_WORDS, MAX_PART, HELD, SALTS = 8_000_000, 2_000_000, 1_500_000, 32
+MAX_WORDS, MAX_PART, HELD, SALTS, LOOK = 8_000_000, 2_000_000, 1_500_000, 32, 8192
 #: Bytes between pieces, and those between words of a piece besides.
 BREAK = np.zeros(256, bool)
 BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -189,21 +189,22 @@ class Trie:
     """A double array; states 1 to the number of words are the first words, others lie behind them."""
 
     words: np.ndarray  # ascending hashes
+    numbers: np.ndarray  # of these words, the most frequent in candidates first, so that families lie close
     base: np.ndarray
     check: np.ndarray
     accepts: np.ndarray  # number of the candidate that ends in a state, or -1
 
     def states(self, words: Words, levels: int = 3) -> Iterator[np.ndarray]:
         """For each level the state of every position after so many words from there, or -1."""
-        code = member(self.words, words.hashes)
+        at = member(self.words, words.hashes)
+        code = np.where(at >= 0, self.numbers[at], -1) if len(self.words) else at
         state = np.where(code >= 0, code + 1, -1)
         yield state
-        ahead = np.arange(len(state))
         for level in range(1, levels):
             last = len(state) - level
             after = np.full(len(state), -1)
             live = np.flatnonzero((state[: max(last, 0)] >= 0) & words.joined[level - 1 : level - 1 + max(last, 0)])
-            live = live[code[ahead[live] + level] >= 0]
+            live = live[code[live + level] >= 0]
             to = self.base[state[live]].astype(np.int64) + code[live + level]
             good = (to > 0) & (to < len(self.check))
             live, to = live[good], to[good]
@@ -213,72 +214,66 @@ class Trie:
             yield state
 
 
-def _placed(base: np.ndarray, check: np.ndarray, parents: np.ndarray, codes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _placed(base: np.ndarray, check: np.ndarray, parents: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Give the children (parent state, word number), sorted by both, their slots: the larger families first, by first fit."""
-    cut = np.flatnonzero(np.append(True, parents[1:] != parents[:-1])) if len(parents) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
     sizes = np.diff(np.append(cut, len(parents)))
-    slots = np.zeros(len(parents), np.int64)
-    need = len(base) + 2 * len(parents) + room + 1
-    used = np.ones(need, bool)
-    used[len(base) :] = False
-    low, top = len(base), len(base)
-    where = np.zeros(need, np.int32)
-    where[: len(base)] = base
-    owner = np.full(need, -1, np.int32)
-    owner[: len(check)] = check
+    slots, low = np.zeros(len(parents), np.int64), len(base)
+    used = np.zeros(low + 2 * len(parents) + 2 * LOOK, bool)
+    used[:low] = True
+    top, full, last = low, low, low
     for f in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
-        c = codes[cut[f] : cut[f] + sizes[f]]
-        rel, spot = c - c[0], -1
-        while used[low]:
-            low += 1
-        for a in range(low, min(top, low + 65536), 1024):  # a bounded look at the holes, then behind all
-            free = a + np.flatnonzero(~used[a : a + 1024])
-            free = free[free + rel[-1] < need]
-            for probe in range(0, len(free), 64):
-                fits = ~used[free[probe : probe + 64, None] + rel].any(axis=1)
-                if fits.any():
-                    spot = int(free[probe + int(fits.argmax())])
-                    break
-            if spot >= 0:
+        rel = codes[cut[f] : cut[f] + sizes[f]]
+        rel = (rel - rel[0]).tolist()
+        while used[full]:
+            full += 1
+        spot = top
+        for a in [*range(full, min(top, full + 2 * LOOK), LOOK), *range(max(last, full), top, LOOK)]:  # early holes, then from where the last family went
+            if a + rel[-1] + LOOK > len(used):
                 break
-        if spot < 0:
-            spot = top
-        if spot + rel[-1] >= need:
-            grow = int(rel[-1]) + len(parents)
-            used, where, owner = np.append(used, np.zeros(grow, bool)), np.append(where, np.zeros(grow, np.int32)), np.append(owner, np.full(grow, -1, np.int32))
-            need += grow
-        used[spot + rel] = True
-        slots[cut[f] : cut[f] + sizes[f]] = spot + rel
-        where[parents[cut[f]]] = spot - c[0]
-        top = max(top, spot + int(rel[-1]) + 1)
+            taken = used[a : a + LOOK].copy()
+            for r in rel[1:]:
+                taken |= used[a + r : a + r + LOOK]
+            at = int(taken.argmin())
+            if not taken[at]:
+                spot, last = a + at, a
+                break
+        if spot + rel[-1] + 2 * LOOK > len(used):
+            used = np.append(used, np.zeros(rel[-1] + len(parents) + 2 * LOOK, bool))
+        place = spot + np.array(rel)
+        used[place] = True
+        slots[cut[f] : cut[f] + sizes[f]] = place
+        top = max(top, int(place[-1]) + 1)
     single = cut[sizes == 1]
-    free = np.flatnonzero(~used)[: len(single)]
-    slots[single] = free
-    where[parents[single]] = free - codes[single]
-    top = max(top, int(free[-1]) + 1 if len(free) else 0)
-    owner[slots] = parents
-    return where[:top], owner[:top], slots
+    slots[single] = np.flatnonzero(~used)[: len(single)] if (~used).sum() >= len(single) else np.concatenate((np.flatnonzero(~used), len(used) + np.arange(len(single) - (~used).sum())))
+    end = max(low, int(slots.max()) + 1)
+    base, check = np.append(base, np.zeros(end - low, np.int32)), np.append(check, np.full(end - low, -1, np.int32))
+    base[parents[cut]] = slots[cut] - codes[cut]
+    check[slots] = parents
+    return base, check, slots
 
 
 def build_trie(candidates: np.ndarray, sizes: np.ndarray) -> Trie:
     """The trie of rows of up to three hashes, of which ``sizes`` count."""
-    words = np.unique(np.concatenate([candidates[sizes > i, i] for i in range(3)])) if len(sizes) else np.zeros(0, np.uint64)
+    words, uses = np.unique(np.concatenate([candidates[sizes > i, i] for i in range(3)]), return_counts=True)
+    numbers = np.empty(len(words), np.int32)
+    numbers[np.argsort(-uses, kind="stable")] = np.arange(len(words))
     base, check = np.zeros(len(words) + 1, np.int32), np.zeros(len(words) + 1, np.int32)
     state = np.zeros(len(sizes), np.int64)
     ends = np.full(len(sizes), -1, np.int64)
     for level in range(3):
         on = np.flatnonzero(sizes > level)
-        code = np.searchsorted(words, candidates[on, level])
+        code = numbers[np.searchsorted(words, candidates[on, level])].astype(np.int64) if len(on) else np.zeros(0, np.int64)
         if level == 0:
             state[on] = code + 1
         elif len(on):
             key, back = np.unique(state[on] * (len(words) + 1) + code, return_inverse=True)
-            base, check, slots = _placed(base, check, key // (len(words) + 1), key % (len(words) + 1), len(words))
+            base, check, slots = _placed(base, check, key // (len(words) + 1), key % (len(words) + 1))
             state[on] = slots[back]
         ends[sizes == level + 1] = state[sizes == level + 1]
-    accepts = np.full(len(base), -1, np.int64)
+    accepts = np.full(len(base), -1, np.int32)
     accepts[ends] = np.arange(len(sizes))
-    return Trie(words, base, check, accepts)
+    return Trie(words, numbers, base, check, accepts)
 
 
 def _triples(trie: Trie, whole: bool) -> Callable:
