@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prepare import bilinear_at, grid_of, relative_light
+from .blocks import SIZE, Axis, Block, bilinear, blockwise
+from .prepare import relative_light
 from .stack import attach_lights
 
 N = ("nx", "ny", "nz")
@@ -96,10 +98,21 @@ def angular_error(found: DataFrame, truth: DataFrame, mask: DataFrame | None = N
 
 
 def resize_grid(df: DataFrame, values: list[str], old: tuple[int, int], new: tuple[int, int]) -> DataFrame:
-    """A grid resampled bilinearly, corner on corner."""
+    """A grid resampled bilinearly, corner on corner; a block of it is made of the sources that it covers."""
     rx, ry = (old[0] - 1) / max(new[0] - 1, 1), (old[1] - 1) / max(new[1] - 1, 1)
-    wanted = grid_of(df, *new).withColumns({"sx": F.col("x") * rx, "sy": F.col("y") * ry})
-    return bilinear_at(df, wanted, values, *old)
+
+    def axis(n: int, m: int, r: float) -> Axis:
+        used, first = np.zeros(m, bool), np.floor(np.arange(n) * r).astype(int)
+        used[np.minimum(first, m - 1)] = used[np.minimum(first + 1, m - 1)] = True
+        return Axis.reading(n, max(1, min(SIZE, int(SIZE / max(r, 1e-9)))), m, lambda a, b: (np.floor(a * r), np.floor(b * r) + 1), used)
+
+    def kernel(block: Block) -> dict[str, object] | None:
+        y, x = np.mgrid[block.y0 : block.y0 + block.h, block.x0 : block.x0 + block.w]
+        got, hit = bilinear(block, x * rx, y * ry, *old, values)
+        return block.pixels(got, hit)
+
+    rows = df.select("dataset", "x", "y", *(F.col(v).cast("double").alias(v) for v in values))
+    return blockwise(rows, values, axis(new[0], old[0], rx), axis(new[1], old[1], ry), kernel, "x int, y int, " + ", ".join(f"`{v}` double" for v in values))
 
 
 def resize_normals(normals: DataFrame, old: tuple[int, int], new: tuple[int, int]) -> DataFrame:

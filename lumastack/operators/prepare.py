@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color as colors
+from .blocks import SIZE, Axis, Block, bilinear, blockwise
 
 
 def validate_images(images: DataFrame) -> DataFrame:
@@ -112,29 +115,60 @@ def crop_bounding_rect(crop: Crop, width: int, height: int) -> tuple[int, int, i
     return max(0, math.floor(min(xs))), max(0, math.floor(min(ys))), min(width, math.ceil(max(xs))), min(height, math.ceil(max(ys)))
 
 
-def bilinear_at(grid: DataFrame, wanted: DataFrame, values: list[str], width: int, height: int) -> DataFrame:
-    """Values at real positions: ``wanted`` (dataset, x, y, sx, sy) joined with its four clamped corners in ``grid``."""
-    fx, fy = F.floor("sx"), F.floor("sy")
-    ax, ay = F.col("sx") - fx, F.col("sy") - fy
-    clamp = lambda v, n: F.greatest(F.lit(0), F.least(v, F.lit(n - 1))).cast("int")
-    corner = lambda dx, dy, w: F.struct(clamp(fx + dx, width).alias("gx"), clamp(fy + dy, height).alias("gy"), w.alias("w"))
-    corners = F.array(corner(0, 0, (1 - ax) * (1 - ay)), corner(1, 0, ax * (1 - ay)), corner(0, 1, (1 - ax) * ay), corner(1, 1, ax * ay))
-    spread = wanted.select("dataset", "x", "y", F.explode(corners).alias("c")).select("dataset", "x", "y", "c.gx", "c.gy", "c.w")
-    nodes = grid.select("dataset", F.col("x").alias("gx"), F.col("y").alias("gy"), *values)
-    return spread.join(nodes, ["dataset", "gx", "gy"]).groupBy("dataset", "x", "y").agg(*(F.sum(F.col("w") * F.col(v)).alias(v) for v in values))
+def rotate_crop(normals: DataFrame, crop: Crop, width: int, height: int, values: tuple[str, ...] = ("nx", "ny", "nz"), *, size: int = SIZE) -> DataFrame:
+    """A vector grid resampled on a turned crop.
 
-
-def grid_of(df: DataFrame, width: int, height: int) -> DataFrame:
-    """Every (dataset, x, y) of a width x height grid, for the datasets of ``df``."""
-    cells = F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("k")
-    return df.select("dataset").distinct().select("dataset", cells).select("dataset", (F.col("k") % width).cast("int").alias("x"), F.floor(F.col("k") / width).cast("int").alias("y"))
-
-
-def rotate_crop(normals: DataFrame, crop: Crop, width: int, height: int, values: tuple[str, ...] = ("nx", "ny", "nz")) -> DataFrame:
-    """A vector grid resampled on a turned crop."""
-    sx, sy = crop_to_img(F.col("x"), F.col("y"), crop, width, height)
-    wanted = grid_of(normals, crop.width, crop.height).withColumns({"sx": sx, "sy": sy})
-    return bilinear_at(normals, wanted, list(values), width, height)
+    Blocks of the source and of the crop meet by their bounding boxes: a block of the source goes, packed, to the
+    blocks of the crop whose box it touches, with what lies in that box. The boxes are two numbers a block and an axis.
+    """
+    names, types = list(values), {f.name: f.dataType.simpleString() for f in normals.schema}
+    across, down = -(-crop.width // size), -(-crop.height // size)
+    corners = [[crop_to_img(float(x), float(y), crop, width, height) for x in (c * size, min((c + 1) * size, crop.width) - 1) for y in (r * size, min((r + 1) * size, crop.height) - 1)] for r in range(down) for c in range(across)]
+    box = np.array(corners).reshape(-1, 4, 2)
+    ends = np.array([width - 1, height - 1])
+    low, high = np.clip(np.floor(box.min(axis=1)), 0, ends), np.clip(np.floor(box.max(axis=1)) + 1, 0, ends)
+
+    def deal(block: Block) -> dict[str, object] | None:
+        x0, y0 = block.x0, block.y0
+        hit = np.flatnonzero((low[:, 0] < x0 + block.w) & (high[:, 0] >= x0) & (low[:, 1] < y0 + block.h) & (high[:, 1] >= y0)).astype(np.int32)
+        if not len(hit):
+            return None
+        parts = []
+        for to in hit:
+            a, b = np.maximum(low[to].astype(int) - (x0, y0), 0), np.minimum(high[to].astype(int) - (x0, y0), (block.w - 1, block.h - 1)) + 1
+            inside = np.zeros_like(block.known)
+            inside[a[1] : b[1], a[0] : b[0]] = True
+            parts.append(np.flatnonzero((inside & block.known).ravel()).astype(np.int32))
+        same = lambda v: np.full(len(hit), v, np.int32)
+        return {"to": hit, "x0": same(x0), "y0": same(y0), "w": same(block.w), "at": parts, **{v: [block.values[v].ravel()[p] for p in parts] for v in names}}
+
+    schema = "to int, x0 int, y0 int, w int, at array<int>, " + ", ".join(f"`{v}` array<double>" for v in names)
+    (left, top), (right, bottom) = low.min(axis=0).astype(int).tolist(), high.max(axis=0).astype(int).tolist()
+    read = normals.where(F.col("x").between(left, right) & F.col("y").between(top, bottom))
+    sent = blockwise(read.select("dataset", "x", "y", *(F.col(v).cast("double").alias(v) for v in names)), names, Axis.near(width, size, 0), Axis.near(height, size, 0), deal, schema)
+
+    def draw(key: tuple, table: pa.Table) -> pa.Table:
+        to = key[-1].as_py()
+        left, top = low[to].astype(int)
+        w, h = high[to].astype(int) - low[to].astype(int) + 1
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+        n = table.column("at").combine_chunks().value_lengths().to_numpy()
+        at, wide, x0, y0 = flat("at").astype(np.int64), *(np.repeat(table.column(c).to_numpy(), n).astype(np.int64) for c in ("w", "x0", "y0"))
+        x, y = x0 + at % wide - left, y0 + at // wide - top
+        inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+        known, arrays = np.zeros((h, w), bool), {v: np.zeros((h, w)) for v in names}
+        known[y[inside], x[inside]] = True
+        for v in names:
+            arrays[v][y[inside], x[inside]] = flat(v)[inside]
+        bx, by = to % across * size, to // across * size
+        block = Block({}, to % across, to // across, bx, by, min(size, crop.width - bx), min(size, crop.height - by), (int(left), int(top)), arrays, known)
+        gy, gx = np.mgrid[by : by + block.h, bx : bx + block.w]
+        got, hit = bilinear(block, *crop_to_img(gx.astype(float), gy.astype(float), crop, width, height), width, height, names)
+        columns = block.pixels(got, hit)
+        return pa.table({"dataset": pa.repeat(key[0], int(hit.sum())), **columns})
+
+    out = f"dataset {types['dataset']}, x int, y int, " + ", ".join(f"`{v}` double" for v in names)
+    return sent.groupBy("dataset", "to").applyInArrow(draw, out)
 
 
 def rotate_lights(lights: DataFrame, degrees: float) -> DataFrame:

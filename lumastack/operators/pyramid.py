@@ -5,47 +5,40 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..prefix import running_starts
 from ..shared import stored
+from .blocks import SIZE, Axis, Block, blockwise
 
 CHANNELS = ("r", "g", "b")
 TAPS = [(-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)]  # fixed values: offset and weight of 16
 
 
-def _halved(df: DataFrame, axis: str, size: int) -> DataFrame:
-    """One pass of the 5-tap filter: each source pixel goes to the outputs that it reaches, and sums are rounded to 8 bits.
+def downsample(raster: DataFrame, width: int, height: int, *, size: int = SIZE // 2) -> DataFrame:
+    """Half the size by a separable 1-4-6-4-1 filter; an image with a side below 2 has no half.
 
-    Output i reads source 2i + 1 + tap, clamped; a source pixel at the border stands in for all taps beyond it.
+    Output i reads the sources 2i - 1 to 2i + 3, clamped; each pass is rounded to 8 bits. Blocks of the half are made of the
+    sources that they cover, two more on either side. A source that is missing counts as 0.
     """
-    other = "y" if axis == "x" else "x"
-    out = size // 2
-    v = F.col(axis)
-    parts = []
-    for tap, w in TAPS:
-        i = (v - 1 - tap) / 2
-        hit = (v - 1 - tap) % 2 == 0
-        parts.append(F.when(hit, F.struct(i.cast("int").alias("i"), F.lit(w).alias("w"))))
-    inner = F.filter(F.array(*parts), lambda e: e.isNotNull() & (e["i"] >= 0) & (e["i"] < out))
-    # beyond the borders: output 0 reads -1, and the last outputs read size and size + 1
-    low = F.when(v == 0, F.array(F.struct(F.lit(0).alias("i"), F.lit(1).alias("w"))))
-    beyond = [(i, w) for i in range(max(0, out - 2), out) for tap, w in TAPS if 2 * i + 1 + tap >= size]
-    high = F.when(v == size - 1, F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in beyond])) if beyond else None
-    every = F.concat(inner, F.coalesce(low, F.array().cast("array<struct<i:int,w:int>>")))
-    if high is not None:
-        every = F.concat(every, F.coalesce(high, F.array().cast("array<struct<i:int,w:int>>")))
-    rows = df.select("dataset", other, *CHANNELS, F.explode(every).alias("e")).select("dataset", F.col("e.i").alias(axis), other, F.col("e.w").alias("w"), *CHANNELS)
-    return rows.groupBy("dataset", "x", "y").agg(*(F.expr(f"cast((sum(w * {c}) + 8) div 16 as int)").alias(c) for c in CHANNELS))
-
-
-def downsample(raster: DataFrame, width: int, height: int) -> DataFrame:
-    """Half the size by a separable 1-4-6-4-1 filter; an image with a side below 2 has no half."""
     if width < 2 or height < 2:
         return raster.where("false")
-    return _halved(_halved(raster, "x", width), "y", height)
+    axis = lambda n: Axis.reading(n // 2, size, n, lambda a, b: (2 * a - 1, 2 * b + 3))
+
+    def halved(v: np.ndarray, first: int, out: int, start: int, n: int) -> np.ndarray:
+        """Along the last axis; ``first`` is the first output, ``start`` the first source at hand, ``n`` the number of all."""
+        at = 2 * np.arange(first, first + out) + 1
+        return (sum(w * v[..., np.clip(at + tap, 0, n - 1) - start] for tap, w in TAPS) + 8) // 16
+
+    def kernel(block: Block) -> dict[str, object]:
+        out = {}
+        for c in CHANNELS:
+            rows = halved(block.values[c].astype(np.int64), block.x0, block.w, block.at[0], width)
+            out[c] = np.ascontiguousarray(halved(rows.T, block.y0, block.h, block.at[1], height).T).astype(np.int32)
+        return block.pixels(out)
+
+    return blockwise(raster, list(CHANNELS), axis(width), axis(height), kernel, "x int, y int, r int, g int, b int")
 
 
 def level_sizes(width: int, height: int, side: int) -> list[tuple[int, int]]:
@@ -95,29 +88,19 @@ def cut_tiles(pyramids: DataFrame, width: int, height: int, side: int, overlap:
 
     With ``pad`` all tiles are side x side and black beyond the image, as TIFF wants them (use ``tiff_side``).
     """
-    sizes = level_sizes(width, height, side)
-    of_level = lambda values: F.coalesce(*[F.when(F.col("level") == i, F.lit(v)) for i, v in enumerate(values)])
-    lw, lh = of_level([w for w, _ in sizes]), of_level([h for _, h in sizes])
-    span = lambda v, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(v) - overlap) / side)).cast("int"), F.least(F.floor((n - 1) / side), F.floor((F.col(v) + overlap) / side)).cast("int")))
-    start = lambda v: F.greatest(F.lit(0), F.col(v) * side - overlap)
-    dealt = pyramids.withColumn("col", span("x", lw)).withColumn("row", span("y", lh)).withColumns({"x0": start("col"), "y0": start("row")})
-    extent = lambda v, n, at: (F.least((F.col(v) + 1) * side + overlap, n) - F.col(at)).cast("int")
-    dealt = dealt.withColumns({"w": extent("col", lw, "x0"), "h": extent("row", lh, "y0")})
-    place = ((F.col("y") - F.col("y0")) * (F.lit(side) if pad else F.col("w")) + F.col("x") - F.col("x0")).alias("at")
-    packed = dealt.groupBy("dataset", "level", "col", "row", "x0", "y0", "w", "h").agg(F.collect_list(F.struct(place, *CHANNELS)).alias("px"))
-
-    @F.arrow_udf("binary")
-    def payload(px: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
-        flat, cuts = px.flatten(), np.cumsum(np.concatenate(([0], px.value_lengths().to_numpy()))).tolist()
-        at, rgb = flat.field("at").to_numpy(), np.column_stack([flat.field(c).to_numpy() for c in CHANNELS]).astype(np.uint8)
-        out = []
-        for a, b, across, down in zip(cuts[:-1], cuts[1:], w.to_pylist(), h.to_pylist(), strict=True):
-            image = np.zeros((side * side if pad else across * down, 3), np.uint8)
-            image[at[a:b]] = rgb[a:b]
-            out.append(image.tobytes())
-        return pa.array(out, pa.binary())
-
-    return packed.select("dataset", F.lit(0).alias("plane"), "level", "col", "row", "x0", "y0", "w", "h", payload("px", "w", "h").alias("payload"))
+    out, schema = None, "col int, row int, x0 int, y0 int, w int, h int, payload binary"
+    for level, (lw, lh) in enumerate(level_sizes(width, height, side)):
+        axis = lambda n: Axis.near(n, side, overlap)
+
+        def kernel(block: Block) -> dict[str, object]:
+            down, across = block.known.shape
+            image = np.zeros((side, side, 3) if pad else (down, across, 3), np.uint8)
+            image[:down, :across] = np.stack([block.values[c] for c in CHANNELS], axis=2)
+            return {"col": [block.col], "row": [block.row], "x0": [block.at[0]], "y0": [block.at[1]], "w": [across], "h": [down], "payload": [image.tobytes()]}
+
+        part = blockwise(pyramids.where(F.col("level") == level), list(CHANNELS), axis(lw), axis(lh), kernel, schema).withColumn("level", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+    return out.select("dataset", F.lit(0).alias("plane"), "level", "col", "row", "x0", "y0", "w", "h", "payload")
 
 
 def tiff_side(side: int) -> int:

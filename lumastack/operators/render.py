@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import listed, matmul, sorted_eigh, stacked
 from ..functions.color import ycbcr_to_rgb, ycc_to_rgb
-from .stack import neighbours
+from .blocks import shifted, stencil
 
 CHANNELS = ("r", "g", "b")
 
@@ -153,11 +153,15 @@ def normals_from_coefficients(coeff: DataFrame, weights: np.ndarray) -> DataFram
 
 def hillshade(heights: DataFrame, width: int, height: int, light: tuple[float, float, float], cell: float = 1.0) -> DataFrame:
     """(dataset, x, y, shade): Horn slopes of a height grid against a light; neighbours are clamped at the borders."""
-    near = neighbours(heights, [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j], width, height, ["z"])
-    side = F.when((F.col("dx") == 0) | (F.col("dy") == 0), 2.0).otherwise(1.0)
-    s = near.groupBy("dataset", "x", "y").agg((F.sum(side * F.col("dx") * F.col("z")) / (8 * cell)).alias("gx"), (F.sum(side * F.col("dy") * F.col("z")) / (8 * cell)).alias("gy"))
-    n = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1)
-    return s.select("dataset", "x", "y", ((-F.col("gx") * light[0] - F.col("gy") * light[1] + light[2]) / n).alias("shade"))
+
+    def kernel(values: dict[str, np.ndarray], known: np.ndarray) -> dict[str, np.ndarray]:
+        z = np.where(known, values["z"], 0.0)  # a neighbour that is missing adds nothing
+        at = lambda dx, dy: shifted(z, 1, dx, dy)
+        gx = (at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)) / (8 * cell)
+        gy = (at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)) / (8 * cell)
+        return {"shade": (-gx * light[0] - gy * light[1] + light[2]) / np.sqrt(gx * gx + gy * gy + 1)}
+
+    return stencil(heights, ["z"], width, height, 1, kernel, "shade double")
 
 
 def dstretch_matrix(raster: DataFrame, width: int, height: int, min_samples: int) -> np.ndarray:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
+
+from .blocks import SIZE, Axis, Block, blockwise
 
 CHANNELS = ("r", "g", "b")
 
@@ -38,12 +42,28 @@ def to_samples(pixels: DataFrame) -> DataFrame:
     return rows.where("v.r is not null").select("dataset", "light_id", "x", "y", *(F.col(f"v.{c}").alias(c) for c in CHANNELS))
 
 
-def neighbours(df: DataFrame, offsets: list[tuple[int, int]], width: int, height: int, values: list[str]) -> DataFrame:
-    """Each pixel with its neighbours at ``offsets``, clamped at the borders: (dataset, x, y, dx, dy, values)."""
-    near = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])).alias("o")
-    clamp = lambda v, n: F.greatest(F.lit(0), F.least(v, F.lit(n - 1))).cast("int")
-    spread = df.select("dataset", "x", "y", near).select("dataset", "x", "y", "o.dx", "o.dy", clamp(F.col("x") + F.col("o.dx"), width).alias("gx"), clamp(F.col("y") + F.col("o.dy"), height).alias("gy"))
-    return spread.join(df.select("dataset", F.col("x").alias("gx"), F.col("y").alias("gy"), *values), ["dataset", "gx", "gy"]).drop("gx", "gy")
+def neighbours(df: DataFrame, offsets: list[tuple[int, int]], width: int, height: int, values: list[str], *, size: int = SIZE) -> DataFrame:
+    """Each pixel with its neighbours at ``offsets``, clamped at the borders: (dataset, x, y, dx, dy, values).
+
+    Blocks with halos are dealt out; neighbours are found inside them, so only one packed copy of a grid is shuffled.
+    """
+    reach = max((max(abs(dx), abs(dy)) for dx, dy in offsets), default=0)
+    types = {f.name: f.dataType for f in df.schema}
+    kept = {v: types[v].simpleString() if isinstance(types[v], IntegerType | LongType) else "double" for v in values}
+
+    def kernel(block: Block) -> dict[str, object] | None:
+        y, x = np.mgrid[block.y0 : block.y0 + block.h, block.x0 : block.x0 + block.w]
+        here = block.known[y - block.at[1], x - block.at[0]]
+        parts = []
+        for dx, dy in offsets:
+            gx, gy = np.clip(x + dx, 0, width - 1) - block.at[0], np.clip(y + dy, 0, height - 1) - block.at[1]
+            hit = here & block.known[gy, gx]
+            n = int(hit.sum())
+            parts.append([x[hit].astype(np.int32), y[hit].astype(np.int32), np.full(n, dx, np.int32), np.full(n, dy, np.int32), *(block.values[v][gy[hit], gx[hit]] for v in values)])
+        return dict(zip(("x", "y", "dx", "dy", *values), map(np.concatenate, zip(*parts, strict=True)), strict=True)) if parts else None
+
+    schema = "x int, y int, dx int, dy int, " + ", ".join(f"`{v}` {t}" for v, t in kept.items())
+    return blockwise(df, values, Axis.near(width, size, reach), Axis.near(height, size, reach), kernel, schema)
 
 
 def grid_nodes(pixels: DataFrame, width: int, height: int, nx: int = 15, ny: int = 15) -> DataFrame:
