@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .scratch import removed, shared_dir, stored
 from .textops import LOWER, mix64, span_hashes, text_slices, word_spans
 
-MAX_WORDS, MAX_PART, HELD, SALTS, LOOK = 8_000_000, 2_000_000, 1_500_000, 32, 8192
+MAX_WORDS, MAX_PART, HELD, SALTS, LOOK, SLICE = 8_000_000, 2_000_000, 500_000, 32, 8192, 600_000
 #: Bytes between pieces, and those between words of a piece besides.
 BREAK = np.zeros(256, bool)
 BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -74,7 +74,7 @@ def _language_keys(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array]]:
     for batch in batches:
         coded, keys = _language_keys(batch.column("lang"))
-        for row, offsets, data in text_slices(batch.column("text")):
+        for row, offsets, data in text_slices(batch.column("text"), SLICE):
             n = len(offsets) - 1
             yield words_of(offsets, data, keys[row : row + n]), coded.slice(row, n)
 
@@ -86,7 +86,7 @@ def _distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class _Sums:
-    """Counts of hash tuples, added up in a task until they are many, then passed on."""
+    """Counts of hash tuples, added up in a task until they are ``HELD``, then passed on."""
 
     def __init__(self, width: int):
         self.width, self.parts, self.held = width, [], 0
