@@ -1,12 +1,20 @@
-"""Heights from normals: Fourier integration, bilateral least squares, and a tiled solve on a coarse scaffold."""
+"""Heights from normals: Fourier integration, bilateral least squares in overlapping blocks, and a tiled solve on a scaffold."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from ..shared import removed, shared_dir, stored
+from .blocks import Axis, Block, blockwise
 from .grids import fft2
 from .normals import resize_grid, resize_normals
 
@@ -40,76 +48,84 @@ def integrate_fft(normals: DataFrame, width: int, height: int, scale: str = "tru
     return inside.select("dataset", (F.col("x") - k).cast("int").alias("x"), (F.col("y") - k).cast("int").alias("y"), (F.col("pr") * float(gain)).alias("z"))
 
 
-def _stencil(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(weights and slopes) of the steps to the right and down of a field (h, w, 3): z(x+1) - z(x) = -nx / nz, image y down."""
+def _slopes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and slopes of the steps to the right and down of a field (h, w, 3): z(x+1) - z(x) = -nx / nz, image y down."""
     nz = np.maximum(np.abs(n[..., 2]), 1e-6)
-    p, q = -n[..., 0] / nz, n[..., 1] / nz
-    return nz, nz, p, q
+    return nz, -n[..., 0] / nz, n[..., 1] / nz
 
 
-def solve_grid(n: np.ndarray, k: float = 0.0, rounds: int = 10, tol: float = 1e-5, steps: int = 500, pull: np.ndarray | None = None, strength: float = 0.0, start: np.ndarray | None = None) -> np.ndarray:
-    """Heights (h, w) of normals (h, w, 3): one-sided differences on both sides of every pixel, weighted by nz.
+def side_weights(z: np.ndarray, nz: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the sides (left, right) and (up, down) of every pixel, which add up to 1.
 
-    k > 0 reweights each pair of sides by a logistic of the difference of their squared residuals. ``pull`` draws towards
-    given heights. Conjugate gradients on the stencil; no matrix is built.
+    They are logistics of the difference of the squared depth steps nz * (z(x+1) - z(x)) and nz * (z(x) - z(x-1)), without
+    the slopes that the normals want; the side with the larger step counts less. A step over the border is 0.
     """
-    h, w = n.shape[:2]
-    nz, _, p, q = _stencil(n)
-    z = np.zeros((h, w)) if start is None else start.copy()
-    wx = np.full((2, h, w), 0.5)  # sides left and right, up and down
-    wy = np.full((2, h, w), 0.5)
-
-    def edges(wx: np.ndarray, wy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        a, b = wx[1, :, :-1] * nz[:, :-1] ** 2, wx[0, :, 1:] * nz[:, 1:] ** 2
-        c, d = wy[1, :-1] * nz[:-1] ** 2, wy[0, 1:] * nz[1:] ** 2
-        return a + b, a * p[:, :-1] + b * p[:, 1:], c + d, c * q[:-1] + d * q[1:]
-
-    def apply(z: np.ndarray, ex: np.ndarray, ey: np.ndarray) -> np.ndarray:
-        out = strength * z if pull is not None else np.zeros_like(z)
-        dx, dy = ex * (z[:, 1:] - z[:, :-1]), ey * (z[1:] - z[:-1])
-        out[:, 1:] += dx
-        out[:, :-1] -= dx
-        out[1:] += dy
-        out[:-1] -= dy
-        return out
+    right, left, down, up = (np.zeros(z.shape) for _ in range(4))
+    right[:, :-1], left[:, 1:] = nz[:, :-1] * (z[:, 1:] - z[:, :-1]), nz[:, 1:] * (z[:, 1:] - z[:, :-1])
+    down[:-1], up[1:] = nz[:-1] * (z[1:] - z[:-1]), nz[1:] * (z[1:] - z[:-1])
+    sig = lambda t: 1 / (1 + np.exp(-np.clip(k * t, -50, 50)))
+    return np.stack([sig(right**2 - left**2), sig(left**2 - right**2)]), np.stack([sig(down**2 - up**2), sig(up**2 - down**2)])
 
-    last = None
-    for _ in range(max(1, rounds if k > 0 else 1)):
-        ex, fx, ey, fy = edges(wx, wy)
-        b = strength * pull if pull is not None else np.zeros((h, w))
-        b[:, 1:] += fx
-        b[:, :-1] -= fx
-        b[1:] += fy
-        b[:-1] -= fy
-        r = b - apply(z, ex, ey)
-        d, rr = r.copy(), float((r * r).sum())
-        goal = 1e-16 * max(float((b * b).sum()), 1e-30)
-        for _ in range(steps):
-            if rr <= goal:
-                break
-            ad = apply(d, ex, ey)
-            alpha = rr / max(float((d * ad).sum()), 1e-300)
-            z += alpha * d
-            r -= alpha * ad
-            new = float((r * r).sum())
-            d = r + new / rr * d
-            rr = new
-        if k <= 0:
-            break
-        right, left = np.zeros((h, w)), np.zeros((h, w))
-        down, up = np.zeros((h, w)), np.zeros((h, w))
-        right[:, :-1], left[:, 1:] = (nz * 1)[:, :-1] * (z[:, 1:] - z[:, :-1] - p[:, :-1]), nz[:, 1:] * (z[:, 1:] - z[:, :-1] - p[:, 1:])
-        down[:-1], up[1:] = nz[:-1] * (z[1:] - z[:-1] - q[:-1]), nz[1:] * (z[1:] - z[:-1] - q[1:])
-        sig = lambda t: 1 / (1 + np.exp(-np.clip(k * t, -50, 50)))
-        wx = np.stack([sig(right**2 - left**2), sig(left**2 - right**2)])
-        wy = np.stack([sig(down**2 - up**2), sig(up**2 - down**2)])
-        energy = float(rr + (wx[1] * right**2 + wx[0] * left**2 + wy[1] * down**2 + wy[0] * up**2).sum())
-        if last is not None and abs(last - energy) <= tol * max(last, 1e-30):
+
+def _edges(wx: np.ndarray, wy: np.ndarray, nz: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weight, and weight times slope, of each step to the right and of each step down."""
+    a, b = wx[1, :, :-1] * nz[:, :-1] ** 2, wx[0, :, 1:] * nz[:, 1:] ** 2
+    c, d = wy[1, :-1] * nz[:-1] ** 2, wy[0, 1:] * nz[1:] ** 2
+    return a + b, a * p[:, :-1] + b * p[:, 1:], c + d, c * q[:-1] + d * q[1:]
+
+
+def _poured(fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
+    """What flows over the steps, added at their ends and taken at their starts."""
+    out = np.zeros((fx.shape[0], fy.shape[1]))
+    out[:, 1:] += fx
+    out[:, :-1] -= fx
+    out[1:] += fy
+    out[:-1] -= fy
+    return out
+
+
+def _relaxed(z: np.ndarray, edges: tuple[np.ndarray, ...], steps: int, pull: np.ndarray | None = None, strength: float = 0.0, free: np.ndarray | None = None) -> np.ndarray:
+    """Least-squares heights by conjugate gradients on the stencil, with its diagonal as preconditioner; only ``free`` pixels move."""
+    ex, fx, ey, fy = edges
+    free = np.ones(z.shape, bool) if free is None else free
+    diagonal = np.zeros(z.shape) + (strength if pull is not None else 0)
+    diagonal[:, 1:] += ex
+    diagonal[:, :-1] += ex
+    diagonal[1:] += ey
+    diagonal[:-1] += ey
+    scale = np.where(free, 1 / np.maximum(diagonal, 1e-300), 0)
+
+    def apply(v: np.ndarray) -> np.ndarray:
+        out = _poured(ex * (v[:, 1:] - v[:, :-1]), ey * (v[1:] - v[:-1]))
+        return out + strength * v if pull is not None else out
+
+    b = _poured(fx, fy)
+    if pull is not None:
+        b = b + strength * pull
+    z = z.copy()
+    r = np.where(free, b - apply(z), 0)
+    d = scale * r
+    rr, goal = float((r * d).sum()), 1e-18 * max(float((scale * b * b).sum()), 1e-30)
+    for _ in range(steps):
+        if rr <= goal:
             break
-        last = energy
+        ad = np.where(free, apply(d), 0)
+        alpha = rr / max(float((d * ad).sum()), 1e-300)
+        z += alpha * d
+        r -= alpha * ad
+        new = float((r * scale * r).sum())
+        d = scale * r + new / rr * d
+        rr = new
     return z
 
 
+def solve_grid(n: np.ndarray, *, steps: int = 500, pull: np.ndarray | None = None, strength: float = 0.0, start: np.ndarray | None = None) -> np.ndarray:
+    """Heights (h, w) of the normals (h, w, 3) of a tile, both sides of every pixel weighing the same; ``pull`` draws towards given heights."""
+    nz, p, q = _slopes(n)
+    half = np.full((2, *nz.shape), 0.5)
+    return _relaxed(np.zeros(nz.shape) if start is None else start, _edges(half, half, nz, p, q), steps, pull, strength)
+
+
 def _field(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, int, int]:
     x0, y0 = int(pdf["x"].min()), int(pdf["y"].min())
     out = np.zeros((int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1, len(names)))
@@ -117,26 +133,261 @@ def _field(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, int, int]:
     return out, x0, y0
 
 
-def integrate_bilateral(normals: DataFrame, k: float = 0.0) -> DataFrame:
-    """Heights with mean 0 of grids of at most ``TILE`` pixels a side, a grid a group; larger ones go to ``integrate_tiled``."""
+@dataclass(frozen=True)
+class _Plan:
+    """How a grid is cut: own pixels of a block, its window with a margin, and the coarse nodes around it."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, x0, y0 = _field(pdf, ["nx", "ny", "nz"])
-        if max(n.shape[:2]) > TILE:
-            raise ValueError("the grid is larger than a tile: use integrate_tiled")
-        z = solve_grid(n, k)
-        z -= z.mean()
-        y, x = np.mgrid[: z.shape[0], : z.shape[1]]
-        return pd.DataFrame({"dataset": pdf["dataset"].iloc[0], "x": x.ravel() + x0, "y": y.ravel() + y0, "z": z.ravel()})
+    width: int
+    height: int
+    block: int
+    overlap: int
+    k: float
+    steps: int
+
+    def window(self, col: int, row: int, margin: int) -> tuple[int, int, int, int]:
+        """(left, top, right, bottom), the last two exclusive."""
+        x, y = col * self.block, row * self.block
+        return max(0, x - margin), max(0, y - margin), min(self.width, x + self.block + margin), min(self.height, y + self.block + margin)
+
+    @property
+    def counts(self) -> tuple[int, int]:
+        return -(-self.width // self.block), -(-self.height // self.block)
+
+    def hats(self, n: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the coarse nodes on an axis of ``n`` pixels that reach into a..b-1, and their values there."""
+        nodes = np.unique([*range(0, n, self.block), n - 1])
+        at = np.arange(a, b)
+        values = np.stack([np.interp(at, nodes, np.arange(len(nodes)) == i) for i in range(max(0, a // self.block - 1), min(len(nodes), b // self.block + 3))])
+        first = max(0, a // self.block - 1)
+        hit = values.any(axis=1)
+        return first + np.flatnonzero(hit), values[hit]
+
+
+_STATE = "col int, row int, kind int, x0 int, y0 int, w int, h int, nz binary, p binary, q binary, z binary, zr binary, change double, energy double, nodes array<long>, matrix array<double>, rhs array<double>"
+
+
+def _blob(v: np.ndarray) -> bytes:
+    return np.ascontiguousarray(v, "<f8").tobytes()
+
+
+def _opened(plan: _Plan, rows: list[dict]) -> dict:
+    """A block's arrays on its window, with the heights that its neighbours sent."""
+    body = next((r for r in rows if r["kind"] == 0), None)
+    if body is None:
+        return {}
+    left, top, right, bottom = plan.window(body["col"], body["row"], plan.overlap + 2)
+    shape = (bottom - top, right - left)
+    b = {**body, **{c: np.frombuffer(body[c], "<f8").reshape(shape).copy() for c in ("nz", "p", "q", "z", "zr")}}
+    for r in rows:
+        if r["kind"] == 1:
+            b["z"][r["y0"] - top : r["y0"] - top + r["h"], r["x0"] - left : r["x0"] - left + r["w"]] = np.frombuffer(r["z"], "<f8").reshape(r["h"], r["w"])
+    b["inner"] = (slice(body["row"] * plan.block - top, min((body["row"] + 1) * plan.block, plan.height) - top), slice(body["col"] * plan.block - left, min((body["col"] + 1) * plan.block, plan.width) - left))
+    return b
+
+
+def _assembled(plan: _Plan, b: dict, renew: bool) -> dict:
+    """Weights renewed if asked for, the block's share of the energy, and its share of the coarse system."""
+    z, nz, p, q, (ys, xs) = b["z"], b["nz"], b["p"], b["q"], b["inner"]
+    if renew:
+        b["zr"] = z.copy()
+    wx, wy = side_weights(b["zr"], nz, plan.k)
+    b["edges"] = ex, fx, ey, fy = _edges(wx, wy, nz, p, q)
+    dx, dy = z[:, 1:] - z[:, :-1], z[1:] - z[:-1]
+    miss = np.zeros((4, *z.shape))
+    miss[0, :, :-1], miss[1, :, 1:] = nz[:, :-1] * (dx - p[:, :-1]), nz[:, 1:] * (dx - p[:, 1:])
+    miss[2, :-1], miss[3, 1:] = nz[:-1] * (dy - q[:-1]), nz[1:] * (dy - q[1:])
+    b["energy"] = float((np.stack([wx[1], wx[0], wy[1], wy[0]]) * miss**2)[:, ys, xs].sum())
+    left, top, right, bottom = plan.window(b["col"], b["row"], plan.overlap + 2)
+    (ix, hx), (iy, hy) = plan.hats(plan.width, left, right), plan.hats(plan.height, top, bottom)
+    mine = np.zeros(z.shape, bool)
+    mine[ys, xs] = True
+    matrix, rhs = np.zeros((len(ix) * len(iy),) * 2), np.zeros(len(ix) * len(iy))
+    for e, f, step, own, gx, gy in ((ex, fx, dx, mine[:, :-1], np.diff(hx), hy), (ey, fy, dy, mine[:-1], hx, np.diff(hy))):
+        at = np.nonzero(own)
+        g = (gy[:, at[0]][:, None] * gx[:, at[1]][None]).reshape(len(rhs), -1)
+        matrix += (g * e[at]) @ g.T
+        rhs += g @ (f - e * step)[at]
+    b["nodes"], b["matrix"], b["rhs"] = (iy[:, None] * (plan.counts[0] + 1) + ix).ravel(), matrix.ravel(), rhs
+    return b
+
+
+def _corrected(plan: _Plan, b: dict, nodes: np.ndarray | None) -> dict:
+    """Heights after the coarse correction and a solve of the block and its overlap, held at what lies around."""
+    left, top, right, bottom = plan.window(b["col"], b["row"], plan.overlap + 2)
+    before = b["z"][b["inner"]].copy()
+    if nodes is not None:
+        (ix, hx), (iy, hy) = plan.hats(plan.width, left, right), plan.hats(plan.height, top, bottom)
+        b["z"] += hy.T @ nodes.reshape(len(iy), len(ix)) @ hx
+    edges = b.get("edges") or _edges(*side_weights(b["zr"], b["nz"], plan.k), b["nz"], b["p"], b["q"])
+    a = plan.window(b["col"], b["row"], plan.overlap)
+    free = np.zeros(b["z"].shape, bool)
+    free[a[1] - top : a[3] - top, a[0] - left : a[2] - left] = True
+    b["z"] = _relaxed(b["z"], edges, plan.steps, free=free)
+    b["change"] = float(abs(b["z"][b["inner"]] - before).max())
+    return b
+
+
+def _rows_of(plan: _Plan, b: dict, strips: bool) -> list[dict]:
+    """The block's row, and what it sends to the blocks around it."""
+    out = [{**{c: b.get(c) for c in ("col", "row", "kind", "x0", "y0", "w", "h", "change", "energy", "nodes", "matrix", "rhs")}, **{c: _blob(b[c]) for c in ("nz", "p", "q", "z", "zr")}}]
+    left, top, _, _ = plan.window(b["col"], b["row"], plan.overlap + 2)
+    own = plan.window(b["col"], b["row"], 0)
+    for row in range(max(0, b["row"] - 1), min(plan.counts[1], b["row"] + 2)) if strips else ():
+        for col in range(max(0, b["col"] - 1), min(plan.counts[0], b["col"] + 2)):
+            their = plan.window(col, row, plan.overlap + 2)
+            x0, y0, x1, y1 = max(own[0], their[0]), max(own[1], their[1]), min(own[2], their[2]), min(own[3], their[3])
+            if (col, row) != (b["col"], b["row"]) and x0 < x1 and y0 < y1:
+                out.append({"col": col, "row": row, "kind": 1, "x0": x0, "y0": y0, "w": x1 - x0, "h": y1 - y0, "z": _blob(b["z"][y0 - top : y1 - top, x0 - left : x1 - left])})
+    return out
+
+
+def _coarse(table: pa.Table) -> list[dict]:
+    """The coarse system of a dataset, a small matrix a block, solved by conjugate gradients; each block gets its nodes' values."""
+    rows = table.select(["col", "row", "nodes", "matrix", "rhs"]).to_pylist()
+    ids, at = np.unique(np.concatenate([r["nodes"] for r in rows]), return_inverse=True)
+    parts, i = [], 0
+    b, diagonal = np.zeros(len(ids)), np.zeros(len(ids))
+    for r in rows:
+        n = len(r["nodes"])
+        own, m = at[i : i + n], np.array(r["matrix"]).reshape(n, n)
+        parts.append((own, m))
+        np.add.at(b, own, r["rhs"])
+        np.add.at(diagonal, own, np.diag(m))
+        i += n
+
+    def apply(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids))
+        for own, m in parts:
+            np.add.at(out, own, m @ v[own])
+        return out
+
+    scale = np.where(diagonal > 0, 1 / np.maximum(diagonal, 1e-300), 0)
+    z, r = np.zeros(len(ids)), b
+    d = scale * r
+    rr = float(r @ d)
+    goal = 1e-20 * max(rr, 1e-30)
+    for _ in range(4 * len(ids)):
+        if rr <= goal:
+            break
+        ad = apply(d)
+        curve = float(d @ ad)
+        if curve <= 1e-12 * float(d @ (diagonal * d)):  # only the constant is left, or rounding
+            break
+        alpha = rr / curve
+        z, r = z + alpha * d, r - alpha * ad
+        new = float(r @ (scale * r))
+        d, rr = scale * r + new / rr * d, new
+    return [{"col": row["col"], "row": row["row"], "kind": 2, "rhs": z[own]} for row, (own, _) in zip(rows, parts, strict=True)]
+
+
+def integrate_bilateral(normals: DataFrame, width: int, height: int, k: float = 0.0, *, block: int = TILE, overlap: int = PAD, rounds: int = 10, tol: float = 1e-5, steps: int = 500, sweeps: int = 60, exact: float = 3e-5) -> DataFrame:
+    """Heights with mean 0 of grids of any size: one-sided differences on both sides of every pixel, weighted by nz.
+
+    With k > 0 the sides are weighed anew, by ``side_weights``, in up to ``rounds`` rounds, until the energy of all datasets
+    changes by less than ``tol``. The least squares of a round are solved in blocks that overlap: a sweep solves each block
+    with its overlap, held at the heights that its neighbours sent, and before that a coarse system with a node at each
+    block's corner moves all blocks against each other. Sweeps end when no height changes by more than ``exact`` of the
+    range. A block with its window is the largest group; the coarse system has some dozen numbers a block. State is written
+    to the shared folder. A grid of one block takes the same path, in which one sweep is enough.
+    """
+    overlap = min(overlap, block - 2)
+    plan = _Plan(width, height, block, overlap, k, steps)
+    many = plan.counts != (1, 1)
+    spark, kind = normals.sparkSession, normals.schema["dataset"].dataType
+    schema = StructType.fromDDL("dataset string, " + _STATE)
+    schema["dataset"].dataType = kind
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def table(dataset: pa.Scalar, rows: list[dict]) -> pa.Table:
+        return pa.Table.from_pylist([{"dataset": dataset.as_py(), **r} for r in rows], schema=arrow)
+
+    def begin(b: Block) -> dict[str, object]:
+        left, top, right, bottom = plan.window(b.col, b.row, overlap + 2)
+        n = np.stack([np.where(b.known, b.values[c], 0) for c in ("nx", "ny", "nz")], axis=2)
+        nz, p, q = _slopes(n)
+        p, q = np.where(b.known, p, 0), np.where(b.known, q, 0)
+        flat = {"nz": [_blob(nz)], "p": [_blob(p)], "q": [_blob(q)], "z": [_blob(np.zeros(nz.shape))], "zr": [_blob(np.zeros(nz.shape))]}
+        nothing = {c: pa.nulls(1, arrow.field(c).type) for c in ("change", "energy", "nodes", "matrix", "rhs")}
+        return {"col": [b.col], "row": [b.row], "kind": [0], "x0": [left], "y0": [top], "w": [right - left], "h": [bottom - top], **flat, **nothing}
+
+    def exchanged(renew: bool):
+        def one(key: tuple, t: pa.Table) -> pa.Table:
+            b = _opened(plan, t.to_pylist())
+            if not b:
+                return table(key[0], [])
+            b = _assembled(plan, b, renew)
+            if not many:
+                b = _corrected(plan, b, None)
+            return table(key[0], _rows_of(plan, b, False))
+
+        return one
+
+    def swept(key: tuple, t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        b = _opened(plan, rows)
+        nodes = next((r["rhs"] for r in rows if r["kind"] == 2), None)
+        return table(key[0], _rows_of(plan, _corrected(plan, b, np.array(nodes)), True) if b else [])
+
+    axis = lambda n: Axis.near(n, block, overlap + 2)
+    fields = normals.select("dataset", "x", "y", *(F.col(c).cast("double").alias(c) for c in ("nx", "ny", "nz")))
+    keys = ["dataset", "col", "row"]
+    path = shared_dir(spark)
+    state, energy = stored(blockwise(fields, ["nx", "ny", "nz"], axis(width), axis(height), begin, _STATE), path), None
+    span = lambda df: df.where("kind = 0").groupBy("dataset").agg(F.max("change").alias("change"), F.sum("energy").alias("energy"))
+
+    def replaced(df: DataFrame, old: str) -> tuple[DataFrame, str]:
+        new = shared_dir(spark)
+        out = stored(df, new)
+        removed(spark, old)
+        return out, new
+
+    for turn in range(rounds if k > 0 else 1):
+        before = None
+        for sweep in range(sweeps if many else 1):
+            kept = shared_dir(spark)
+            moved = stored(state.groupBy(*keys).applyInArrow(exchanged(sweep == 0), schema), kept)
+            if sweep == 0:  # the energy of the heights of the last round under the weights that they give
+                now = {r["dataset"]: r["energy"] for r in span(moved).collect()}
+                if turn and all(abs(v - energy[d]) <= tol * max(abs(energy[d]), 1e-300) for d, v in now.items()):
+                    removed(spark, kept)
+                    return _heights(plan, state, path)
+                energy = now
+            if many:
+                nodes = moved.groupBy("dataset").applyInArrow(lambda key, t: table(key[0], _coarse(t)), schema)
+                moved, kept = replaced(moved.unionByName(nodes).groupBy(*keys).applyInArrow(swept, schema), kept)
+            removed(spark, path)
+            state, path = moved, kept
+            changes = [r["change"] for r in span(state).collect()]
+            before = max(before or 0.0, max(changes, default=0.0))
+            if max(changes, default=0.0) <= exact * before:
+                break
+    return _heights(plan, state, path)
+
+
+def _heights(plan: _Plan, state: DataFrame, path: str) -> DataFrame:
+    """(dataset, x, y, z) of the blocks' own pixels, with mean 0 in each dataset."""
+    kind = state.schema["dataset"].dataType
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                left, top, right, bottom = plan.window(r["col"], r["row"], plan.overlap + 2)
+                x0, y0, x1, y1 = plan.window(r["col"], r["row"], 0)
+                z = np.frombuffer(r["z"], "<f8").reshape(bottom - top, right - left)[y0 - top : y1 - top, x0 - left : x1 - left].ravel()
+                y, x = (v.ravel().astype(np.int32) for v in np.mgrid[y0:y1, x0:x1])
+                yield pa.RecordBatch.from_arrays([pa.array([r["dataset"]] * len(z), to_arrow_type(kind)), pa.array(x), pa.array(y), pa.array(z)], ["dataset", "x", "y", "z"])
 
-    return normals.select("dataset", "x", "y", "nx", "ny", "nz").groupBy("dataset").applyInPandas(solve, "dataset string, x int, y int, z double")
+    rows = state.where("kind = 0").select("dataset", "col", "row", "z").mapInArrow(one, f"dataset {kind.simpleString()}, x int, y int, z double")
+    mean = rows.groupBy("dataset").agg(F.avg("z").alias("mean"))
+    joined = rows.join(F.broadcast(mean.withColumnRenamed("dataset", "_d")), F.col("dataset").eqNullSafe(F.col("_d")))
+    return joined.select("dataset", "x", "y", (F.col("z") - F.col("mean")).alias("z"))
 
 
 def integrate_tiled(normals: DataFrame, width: int, height: int, *, tile: int = TILE, pad: int = PAD, lam: float = LAMBDA) -> DataFrame:
     """Heights of a grid of any size: a coarse solve, then overlapping tiles drawn towards it and blended by smooth ramps."""
     shrink = max(1.0, max(width, height) / tile)
     small = (max(2, int(width / shrink)), max(2, int(height / shrink)))
-    coarse = integrate_bilateral(resize_normals(normals, (width, height), small) if shrink > 1 else normals)
+    coarse = integrate_bilateral(resize_normals(normals, (width, height), small) if shrink > 1 else normals, *(small if shrink > 1 else (width, height)), block=max(small) if shrink > 1 else max(width, height))
     ratio = (width - 1) / (small[0] - 1) if shrink > 1 else 1.0
     scaffold = resize_grid(coarse, ["z"], small, (width, height)).withColumn("z", F.col("z") * ratio) if shrink > 1 else coarse
     step = tile - 2 * pad

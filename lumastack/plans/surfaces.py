@@ -327,12 +327,12 @@ def n2(spark, d):
 
 @query("n3_normals_l1")
 def n3(spark, d):
-    return rounded(B.normals_l1(X.pixels(spark, d, specular=True), LIGHTS, rounds=100))
+    return rounded(B.normals_l1(X.pixels(spark, d, specular=True), LIGHTS))
 
 
 @query("n4_normals_sbl")
 def n4(spark, d):
-    return rounded(B.normals_sbl(X.pixels(spark, d, specular=True), LIGHTS, rounds=100))
+    return rounded(B.normals_sbl(X.pixels(spark, d, specular=True), LIGHTS))
 
 
 @query("n5_normals_rpca")
@@ -503,9 +503,7 @@ def i1(spark, d):
 
 @query("i2_integrate_bilateral")
 def i2(spark, d):
-    w, h = X.sizes(spark, d)
-    whole = X.truth(spark, d, "d")
-    return rounded(I.integrate_bilateral(whole, 2.0) if max(w, h) <= I.TILE else I.integrate_tiled(whole, w, h), digits=3)
+    return rounded(I.integrate_bilateral(X.truth(spark, d, "d"), *X.sizes(spark, d), 2.0), digits=3)
 
 
 @query("i3_integrate_tiled")

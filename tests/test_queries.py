@@ -9,7 +9,6 @@ from lumastack.plans import registered
 
 QUERIES, SQL = registered()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"n5_normals_rpca"}
 
 
 def _same(a, b) -> bool:
@@ -20,8 +19,6 @@ def _same(a, b) -> bool:
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    if name in SLOW:
-        pytest.skip("covered by test_solvers")
     got = QUERIES[name](spark, SMALL)
     if name not in SQL:
         assert got.count() > 0

@@ -119,7 +119,7 @@ def _plane(spark, w, h, p=0.3, q=-0.2):
 
 
 def test_integration_of_a_plane(spark):
-    for z in (integrate.integrate_bilateral(_plane(spark, 20, 16)), integrate.integrate_bilateral(_plane(spark, 20, 16), 2.0), integrate.integrate_tiled(_plane(spark, 40, 30), 40, 30, tile=24, pad=4)):
+    for z in (integrate.integrate_bilateral(_plane(spark, 20, 16), 20, 16), integrate.integrate_bilateral(_plane(spark, 20, 16), 20, 16, 2.0), integrate.integrate_tiled(_plane(spark, 40, 30), 40, 30, tile=24, pad=4)):
         got = {(r["x"], r["y"]): r["z"] for r in z.collect()}
         assert abs(got[9, 5] - got[8, 5] - 0.3) < 0.02 and abs(got[9, 6] - got[9, 5] - 0.2) < 0.02  # normals have y up, rows go down
 
