@@ -322,7 +322,8 @@ def _tries(candidates: DataFrame, n: int, max_part: int) -> Iterator[tuple[Trie,
 
 
 def _summed(df: DataFrame, at_least: int) -> DataFrame:
-    return df.groupBy("h1", "h2", "h3").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
+    """Sums of at least ``at_least``; tasks have added up what they met, so rows are dealt out as they are, not held again."""
+    return df.repartition("h1", "h2", "h3").groupBy("h1", "h2", "h3").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
