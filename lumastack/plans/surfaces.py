@@ -15,6 +15,7 @@ from ..operators import robust as B
 from ..operators.grids import gaussian_blur
 from ..shared import shared_dir
 from ..sources import documents as D
+from ..sources import formats as FM
 from ..sources import images as IM
 from ..sources import surfaces as SF
 from . import fixtures as X
@@ -566,6 +567,37 @@ def s7(spark, d):
     return rounded(D.read_info(spark, path)["lights"].select("dataset", "light_id", "lx", "ly"), digits=3)
 
 
+def _loaded(spark, name: str, path: str) -> DataFrame:
+    FM.register(spark)
+    return spark.read.format(name).load(path)
+
+
+@query("s1_light_list_format", _SLS)
+def s1_format(spark, d):
+    path = shared_dir(spark)
+    D.write_lp(_lights_of_nations(spark, d), path)
+    return rounded(_loaded(spark, "light_list", path))
+
+
+@query("s3_dome_format", f"WITH {_SUP} SELECT dataset, light_id, {R('a/sqrt(a*a+b*b+16)')} AS lx, {R('300*a/sqrt(a*a+b*b+16)')} AS px FROM sl WHERE light_id < 9")
+def s3_format(spark, d):
+    """The first lights of all domes; the bound goes into the source."""
+    lights = _lights_of_nations(spark, d).withColumns({"px": F.col("lx") * 300, "py": F.col("ly") * 300, "pz": F.col("lz") * 300})
+    domes = lights.select("dataset").distinct().select("dataset", F.col("dataset").alias("label"), F.lit("").alias("notes"), F.lit(100.0).alias("imageWidth"), F.lit(600.0).alias("domeDiameter"), F.lit(0.0).alias("verticalOffset"), F.lit("spherical").alias("lightConfiguration"))
+    path = shared_dir(spark)
+    D.write_dome(domes, lights, path)
+    return rounded(_loaded(spark, "dome_lights", path).where("light_id < 9").select("dataset", "light_id", "lx", "px"))
+
+
+@query("s5_project_format", sql("images", "SELECT dataset, light_id, filename, skip, visible FROM (SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY light_id) - 1 AS INT) AS light_id, filename, skip, visible FROM images)"))
+def s5_format(spark, d):
+    i = X.images(spark, d).groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("light_id", "filename", "skip", "visible"))).alias("l"))
+    images = F.transform("l", lambda e: F.struct(e["filename"].alias("filename"), e["skip"].alias("skip"), e["visible"].alias("visible")))
+    path = shared_dir(spark)
+    i.select("dataset", F.to_json(F.struct(F.lit(1).alias("version"), images.alias("images"))).alias("value")).write.partitionBy("dataset").text(path)
+    return _loaded(spark, "project_images", path)
+
+
 @query("s6_image_stack", sql("raster", "SELECT x, y, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM raster"))
 def s6(spark, d):
     w, h = X.sizes(spark, d)
