@@ -82,7 +82,7 @@ class Reader(DataSourceReader):
                     held, size = [], 0
                 held.append((name, path))
                 size += n
-        return [*out, Files(tuple(held))] if held else out
+        return [*out, Files(tuple(held))]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = self._opened()
