@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,11 +277,11 @@ def build_trie(candidates: np.ndarray, sizes: np.ndarray) -> Trie:
     return Trie(words, numbers, base, check, accepts)
 
 
-def _triples(trie: Trie, whole: bool) -> Callable:
-    """Three words of which ``trie`` accepts the first two, and the last two if it is the ``whole`` of the pairs."""
+def _triples(shared: Broadcast, whole: bool) -> Callable:
+    """Three words of which the trie accepts the first two, and the last two if it is the ``whole`` of the pairs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(3)
+        sums, (trie, _) = _Sums(3), shared.value
         for words, _ in _slices(batches):
             *_, pair = trie.states(words, 2)
             good = np.zeros(len(pair), bool)
@@ -297,28 +298,31 @@ def _triples(trie: Trie, whole: bool) -> Callable:
     return task
 
 
-def _counts(trie: Trie, candidates: np.ndarray, sizes: np.ndarray) -> Callable:
+def _counts(shared: Broadcast) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, codes = shared.value
         total = np.zeros(len(trie.accepts), np.int64)
         for words, _ in _slices(batches):
             for state in trie.states(words):
                 total += np.bincount(state[state >= 0], minlength=len(total))
         at = np.flatnonzero((total > 0) & (trie.accepts >= 0))
-        own = trie.accepts[at]
-        hashes = [pa.array(candidates[own, i].view(np.int64), mask=sizes[own] <= i) for i in range(3)]
+        own = codes[trie.accepts[at]]
+        hashes = [pa.array(trie.words[own[:, i]].view(np.int64), mask=own[:, i] < 0) for i in range(3)]
         yield pa.RecordBatch.from_arrays([*hashes, pa.array(total[at])], ["h1", "h2", "h3", "n"])
 
     return task
 
 
-def _tries(candidates: DataFrame, n: int, max_part: int) -> Iterator[tuple[Trie, np.ndarray, np.ndarray]]:
-    """Tries of a share of the stored ``candidates`` (h1, h2, h3) each."""
+def _tries(candidates: DataFrame, n: int, max_part: int) -> Iterator[Broadcast]:
+    """Broadcast tries of a share of the stored ``candidates`` (h1, h2, h3) each, with the places of their words in the trie's table."""
     parts = max(1, -(-n // max_part))
     for p in range(parts):
         rows = candidates.where(F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(parts)) == p).select("h1", "h2", "h3").toArrow()
         hashes = np.stack([rows.column(i).fill_null(0).to_numpy().view(np.uint64) for i in range(3)], axis=1) if rows.num_rows else np.zeros((0, 3), np.uint64)
         sizes = 3 - sum((rows.column(i).is_null().to_numpy().astype(np.int64) for i in range(3)), np.zeros(rows.num_rows, np.int64))
-        yield build_trie(hashes, sizes), hashes, sizes
+        trie = build_trie(hashes, sizes)
+        codes = np.where(np.arange(3) < sizes[:, None], np.searchsorted(trie.words, hashes), -1).astype(np.int32)
+        yield candidates.sparkSession.sparkContext.broadcast((trie, codes))
 
 
 def _summed(df: DataFrame, at_least: int) -> DataFrame:
@@ -344,9 +348,9 @@ def phrases(docs: DataFrame, *, min_count: int = 10, top: int = 2000, max_words:
     pairs = stored(_summed(texts.mapInArrow(_pairs(frequent), _SUMS), min_count), paths[1])
     n_pairs = pairs.count()
     several = n_pairs > max_part
-    triples = stored(_summed(_union([texts.mapInArrow(_triples(t, not several), _SUMS) for t, *_ in _tries(pairs, n_pairs, max_part)]), min_count), paths[2])
+    triples = stored(_summed(_union([texts.mapInArrow(_triples(t, not several), _SUMS) for t in _tries(pairs, n_pairs, max_part)]), min_count), paths[2])
     candidates = pairs.unionByName(triples)
-    counted = [texts.mapInArrow(_counts(*t), _SUMS) for t in _tries(candidates, n_pairs + triples.count(), max_part)]
+    counted = [texts.mapInArrow(_counts(t), _SUMS) for t in _tries(candidates, n_pairs + triples.count(), max_part)]
     found = stored(_summed(_union(counted), min_count), paths[3])
     out = stored(_ranked(found, words, top))
     removed(spark, *paths)
