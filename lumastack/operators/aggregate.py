@@ -57,6 +57,8 @@ def plane_ranges(coeff: DataFrame, q: float = 0.995, *, accuracy: int | None = N
         out = out.select(*keys, "n", F.col("p")[0].alias("vmin"), F.col("p")[1].alias("vmax"))
     else:
         spark = coeff.sparkSession
+        kept = shared_dir(spark)
+        coeff = stored(coeff.select(*keys, "value"), kept)  # every round reads the values; what makes them runs once
         whole = coeff.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
         rank = lambda which, f: F.struct(F.lit(which).alias("which"), F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1).alias("at"))
         open_ = whole.withColumn("r", F.explode(F.array(rank(0, low), rank(1, high)))).select(*keys, "n", F.col("r.which").alias("which"), F.col("r.at").alias("at"), "a", "b", F.col("n").alias("c"))
@@ -76,7 +78,8 @@ def plane_ranges(coeff: DataFrame, q: float = 0.995, *, accuracy: int | None = N
         few = coeff.join(state.where("a < b"), keys).where((F.col("value") >= F.col("a")) & (F.col("value") <= F.col("b")))
         ranked = few.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "which").orderBy("value")) - 1).where("k = at")
         both = ranked.select(*keys, "n", "which", "value").unionByName(state.where("not a < b").select(*keys, "n", "which", F.col("a").alias("value")))
-        out = both.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("which") == 0, F.col("value"))).alias("vmin"), F.max(F.when(F.col("which") == 1, F.col("value"))).alias("vmax"))
+        out = stored(both.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("which") == 0, F.col("value"))).alias("vmin"), F.max(F.when(F.col("which") == 1, F.col("value"))).alias("vmax")))
+        removed(spark, kept, path)
     return out.withColumn("vmax", F.when(F.col("vmax") <= F.col("vmin"), F.col("vmin") + 1e-6).otherwise(F.col("vmax")))
 
 

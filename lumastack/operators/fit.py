@@ -50,6 +50,17 @@ def rbf_weights(lights: np.ndarray, directions: np.ndarray, sigma: float, least:
     return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
 
 
+def rbf_weight_rows(directions: DataFrame, lights: np.ndarray, sigma: float, least: float = 0.001, *, keys: tuple[str, ...] = ("dataset", "x", "y")) -> DataFrame:
+    """(keys, light_id, weight) of rows (keys, nx, ny, nz): the lights that ``rbf_weights`` leaves for each direction."""
+
+    @F.arrow_udf("array<double>")
+    def weights(nx: pa.Array, ny: pa.Array, nz: pa.Array) -> pa.Array:
+        return listed(rbf_weights(lights, np.column_stack([v.to_numpy(zero_copy_only=False) for v in (nx, ny, nz)]), sigma, least))
+
+    rows = directions.select(*keys, F.posexplode(weights("nx", "ny", "nz")).alias("light_id", "weight"))
+    return rows.where("weight > 0")
+
+
 def grid_directions(res: int) -> np.ndarray:
     j, i = np.divmod(np.arange(res * res), res)
     o, p = 2 * i / (res - 1) - 1, 2 * j / (res - 1) - 1
@@ -219,6 +230,13 @@ def project(pixels: DataFrame, mean: np.ndarray, basis: np.ndarray, columns: tup
     return pixels.select("dataset", "x", "y", matmul(list(columns), basis.T, mean).alias("c"))
 
 
+def project_ycc(pixels: DataFrame, bases: list[tuple[np.ndarray, np.ndarray]], planes: tuple[int, int, int]) -> DataFrame:
+    """Coefficients (dataset, x, y, c) on the bases of ``pca_basis_ycc``, in file order; all inside the pixel's row."""
+    parts = [matmul([c], b.T, m).alias(c) for c, (m, b) in zip(("yl", "co", "cg"), bases, strict=True)]
+    rows = to_ycc_pixels(pixels).select("dataset", "x", "y", *parts)
+    return rows.select("dataset", "x", "y", F.array(*[F.get(("yl", "co", "cg")[c], F.lit(p)) for c, p in ycc_plane_order(planes)]).alias("c"))
+
+
 def planes_long(coeff: DataFrame) -> DataFrame:
     """(dataset, plane, value) of all coefficients."""
     return coeff.select("dataset", F.posexplode("c").alias("plane", "value"))

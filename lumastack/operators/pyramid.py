@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..prefix import running_starts
@@ -70,17 +70,15 @@ def pyramid(raster: DataFrame, width: int, height: int, side: int, checkpoint: b
     return out
 
 
-def tile_grid(spark, dataset: DataFrame, width: int, height: int, side: int, overlap: int) -> DataFrame:
-    """(dataset, level, col, row, x0, y0, w, h) of all tiles."""
-    rows = []
-    for level, (w, h) in enumerate(level_sizes(width, height, side)):
-        rows.append((level, w, h))
-    sizes = spark.createDataFrame(rows, "level int, lw int, lh int")
-    grid = dataset.select("dataset").distinct().join(F.broadcast(sizes))
+def tile_grid(datasets: DataFrame, width: int, height: int, side: int, overlap: int) -> DataFrame:
+    """(dataset, plane, level, col, row, x0, y0, w, h) of all tiles of images of one size; no pixel is read."""
+    rows = [(level, w, h) for level, (w, h) in enumerate(level_sizes(width, height, side))]
+    sizes = datasets.sparkSession.createDataFrame(rows, "level int, lw int, lh int")
+    grid = datasets.select("dataset").distinct().join(F.broadcast(sizes))
     grid = grid.withColumn("col", F.explode(F.sequence(F.lit(0), F.floor((F.col("lw") - 1) / side).cast("int")))).withColumn("row", F.explode(F.sequence(F.lit(0), F.floor((F.col("lh") - 1) / side).cast("int"))))
     start = lambda v: F.greatest(F.lit(0), F.col(v) * side - overlap)
     end = lambda v, n: F.least((F.col(v) + 1) * side + overlap, F.col(n))
-    return grid.select("dataset", "level", "col", "row", start("col").alias("x0"), start("row").alias("y0"), (end("col", "lw") - start("col")).alias("w"), (end("row", "lh") - start("row")).alias("h"))
+    return grid.select("dataset", F.lit(0).alias("plane"), "level", "col", "row", start("col").alias("x0"), start("row").alias("y0"), (end("col", "lw") - start("col")).alias("w"), (end("row", "lh") - start("row")).alias("h"))
 
 
 def cut_tiles(pyramids: DataFrame, width: int, height: int, side: int, overlap: int = 0, *, pad: bool = False) -> DataFrame:
@@ -118,9 +116,11 @@ def tile_paths(tiles: DataFrame, layout: str, *, from_smallest: bool = True) ->
         return tiles.withColumn("path", F.format_string("%d/%d_%d.jpg", "level", "col", "row"))
     if layout == "google":
         return tiles.withColumn("path", F.format_string("%d/%d/%d.jpg", "level", "row", "col"))
-    level = F.col("level") if from_smallest else F.desc("level")
-    w = Window.partitionBy("dataset", "plane").orderBy(level, "row", "col")
-    return tiles.withColumn("path", F.format_string("TileGroup%d/%d-%d-%d.jpg", F.floor((F.row_number().over(w) - 1) / 256).cast("int"), "level", "col", "row"))
+    ranked = tiles.withColumns({"_level": F.col("level") if from_smallest else -F.col("level"), "_one": F.lit(1).cast("long")})
+    ranked = running_starts(ranked, ["dataset", "plane", "_level", "row", "col"], {"_at": "_one"})
+    first = ranked.groupBy("dataset", "plane").agg(F.min("_at").alias("_first"))
+    numbered = ranked.join(F.broadcast(first), ["dataset", "plane"])
+    return numbered.withColumn("path", F.format_string("TileGroup%d/%d-%d-%d.jpg", F.floor((F.col("_at") - F.col("_first")) / 256).cast("int"), "level", "col", "row")).drop("_level", "_one", "_at", "_first")
 
 
 def pack_index(tiles: DataFrame, size: str = "size") -> DataFrame:

@@ -135,6 +135,44 @@ def leave_one_out(pixels: DataFrame, lights: np.ndarray, basis: str, n: int, k:
     return whole.withColumns(told)
 
 
+def left_out(weights: np.ndarray) -> np.ndarray:
+    """Lights x lights: what the fit on all other lights predicts for each, from the whole fit's projection.
+
+    With H the projection and h its diagonal, light k is predicted by (H y - h y) / (1 - h). Where h is 1 nothing but the
+    light itself holds a term; there the fit without it is solved.
+    """
+    whole = weights @ np.linalg.pinv(weights)
+    out = np.zeros(whole.shape)
+    for k, h in enumerate(np.diag(whole)):
+        if h < 1 - 1e-9:
+            out[k] = whole[k] / (1 - h)
+        else:
+            rest = np.arange(len(weights)) != k
+            out[k, rest] = weights[k] @ np.linalg.pinv(weights[rest])
+        out[k, k] = 0
+    return out
+
+
+def leave_each_out(pixels: DataFrame, lights: np.ndarray, basis: str, n: int) -> DataFrame:
+    """``leave_one_out`` of every light k at once: one pass over the pixels, and sums for each light."""
+    from .fit import weights_of
+
+    every = left_out(weights_of(lights, basis, n))
+
+    @F.arrow_udf("array<double>")
+    def errors(r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
+        if not len(r):
+            return pa.array([], pa.list_(pa.float64()))
+        seen = np.stack([stacked(v) for v in (r, g, b)], axis=2)
+        d = seen - np.clip(np.trunc(np.round(every @ seen, 9)), 0, 255)
+        return listed((d * d).sum(axis=2))
+
+    rows = light_errors(pixels.select("dataset", "x", "y", errors(*CHANNELS).alias("d2")))[0].withColumnRenamed("light_id", "k")
+    facts = [(k, math.asin(min(1.0, math.hypot(x, y))), float(x), float(y)) for k, (x, y, _) in enumerate(lights.tolist())]
+    told = pixels.sparkSession.createDataFrame(facts, "k int, elevation double, lx double, ly double")
+    return rows.join(F.broadcast(told), "k").select("dataset", F.lit(basis).alias("type"), F.lit("rgb").alias("colorspace"), F.lit(3 * n).alias("nplanes"), "k", "elevation", "lx", "ly", "mse", "psnr", "rmse")
+
+
 # Three lights 45 degrees up, at 30, 150 and 270 degrees.
 THREE = np.array([[math.cos(math.radians(a)) * math.sqrt(0.5), math.sin(math.radians(a)) * math.sqrt(0.5), math.sqrt(0.5)] for a in (30, 150, 270)])
 

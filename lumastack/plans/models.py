@@ -77,13 +77,7 @@ def c3(spark, d):
 @query("c4_rbf_weights", sql("truth lights", f"""WITH q AS (SELECT k, nx, ny, nz FROM truth), e AS (SELECT k, light_id, exp(-((nx-lx)*(nx-lx)+(ny-ly)*(ny-ly)+(nz-lz)*(nz-lz))/0.09::DOUBLE) AS e FROM q, lights WHERE lights.dataset='P'),
     f AS (SELECT *, e/sum(e) OVER (PARTITION BY k) AS w FROM e) SELECT k, light_id, {R('w/sum(w) OVER (PARTITION BY k)')} AS weight FROM f WHERE w>0.001"""))
 def c4(spark, d):
-    from pyspark.sql import Window
-
-    rows = X.truth(spark, d).join(F.broadcast(X.lights(spark, d, ("P",)).drop("dataset")))
-    d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in (("nx", "lx"), ("ny", "ly"), ("nz", "lz"))), F.lit(0.0))
-    w = Window.partitionBy("k")
-    rows = rows.select("k", "light_id", F.exp(-d2 / 0.09).alias("e")).withColumn("w", F.col("e") / F.sum("e").over(w)).where("w > 0.001")
-    return rounded(rows.select("k", "light_id", (F.col("w") / F.sum("w").over(w)).alias("weight")))
+    return rounded(C.rbf_weight_rows(X.truth(spark, d), LIGHTS, 0.3, keys=("k",)))
 
 
 @query("c5_bilinear_weights", sql("truth", f"""WITH u AS (SELECT k, greatest(0,least(((nx+ny)/(abs(nx)+abs(ny)+abs(nz))+1)/2*7,7)) AS u, greatest(0,least(((ny-nx)/(abs(nx)+abs(ny)+abs(nz))+1)/2*7,7)) AS v FROM truth), f AS (SELECT *, least(floor(u),6) AS i, least(floor(v),6) AS j FROM u)
@@ -191,11 +185,7 @@ def c11(spark, d):
 @query("c12_pca_basis_ycc")
 def c12(spark, d):
     pixels = X.vectors(spark, d)
-    rows = C.to_ycc_pixels(pixels)
-    parts = [C.project(rows, m, b, (c,)).select("dataset", "x", "y", F.col("c").alias(c)) for c, (m, b) in zip(("yl", "co", "cg"), C.pca_basis_ycc(pixels, (5, 2, 2)), strict=True)]
-    both = parts[0].join(parts[1], ["dataset", "x", "y"]).join(parts[2], ["dataset", "x", "y"])
-    order = F.array(*[F.get(("yl", "co", "cg")[c], F.lit(p)) for c, p in C.ycc_plane_order((5, 2, 2))])
-    return long(both.select("dataset", "x", "y", order.alias("c")), 3)
+    return long(C.project_ycc(pixels, C.pca_basis_ycc(pixels, (5, 2, 2)), (5, 2, 2)), 3)
 
 
 _AXES = np.linalg.qr(np.random.default_rng(3).normal(size=(48, 4)))[0].T
@@ -321,13 +311,8 @@ def r1m(spark, d):
 @query("r1_illuminate_mycc")
 def r1my(spark, d):
     pixels, planes = X.pixels(spark, d), (5, 2, 2)
-    names = ("yl", "co", "cg")
-    bases = C.pca_basis_ycc(pixels, planes)
-    rows = C.to_ycc_pixels(pixels)
-    parts = [C.project(rows, m, b, (c,)).select("dataset", "x", "y", F.col("c").alias(c)) for c, (m, b) in zip(names, bases, strict=True)]
-    both = parts[0].join(parts[1], ["dataset", "x", "y"]).join(parts[2], ["dataset", "x", "y"])
-    order = C.ycc_plane_order(planes)
-    coeff = both.select("dataset", "x", "y", F.array(*[F.get(names[c], F.lit(p)) for c, p in order]).alias("c"))
+    bases, order = C.pca_basis_ycc(pixels, planes), C.ycc_plane_order(planes)
+    coeff = C.project_ycc(pixels, bases, planes)
     w = np.stack([bases[c][1][p] for c, p in order], axis=1)
     return V.illuminate(coeff, V.light_rows(spark, w, np.stack([m for m, _ in bases], axis=1)), "mycc", base=planes[1])
 
@@ -374,6 +359,19 @@ def q3(spark, d):
     return rounded(V.leave_one_out(X.pixels(spark, d), LIGHTS, "ptm", 6, 5).select("dataset", "mse"), digits=2)
 
 
+_LOO = []
+for _k in range(16):
+    _rest = [i for i in range(16) if i != _k]
+    _row = C.weights_of(LIGHTS[[_k]], "ptm", 6) @ pinv(C.weights_of(LIGHTS[_rest], "ptm", 6))
+    _LOO += [(_k, _rest[j], _row[0, j]) for j in range(15)]
+
+
+@query("q3_every_light", sql("stack", f"""WITH {values('m', 'k, j, w', _LOO)}, e AS (SELECT dataset, k, x, y, {_BYTE('round(sum(w*r),5)')} AS r, {_BYTE('round(sum(w*g),5)')} AS g, {_BYTE('round(sum(w*b),5)')} AS b FROM stack JOIN m ON j=light_id GROUP BY 1,2,3,4)
+    SELECT e.dataset, CAST(e.k AS INT) AS k, {R('avg(pow(s.r-e.r,2)+pow(s.g-e.g,2)+pow(s.b-e.b,2))/3', 2)} AS mse FROM e JOIN stack s ON s.dataset=e.dataset AND s.x=e.x AND s.y=e.y AND s.light_id=e.k GROUP BY 1,2"""))
+def q3_all(spark, d):
+    return rounded(V.leave_each_out(X.pixels(spark, d), LIGHTS, "ptm", 6).select("dataset", "k", "mse"), digits=2)
+
+
 _W3 = C.weights_of(V.THREE, "ptm", 6) @ _PTM
 
 

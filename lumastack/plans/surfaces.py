@@ -250,6 +250,10 @@ def _tiles(spark, d, overlap: int = 1) -> DataFrame:
     return T.cut_tiles(T.pyramid(X.raster(spark, d), w, h, 64), w, h, 64, overlap)
 
 
+def _grid(spark, d) -> DataFrame:
+    return T.tile_grid(X.raster(spark, d), *X.sizes(spark, d), 64, 1)
+
+
 # All levels in SQL: down from the whole image while a side is above 64 (three halvings reach that at every scale used).
 _LEVELS = f"""w2 AS (SELECT w//2 AS w, h//2 AS h FROM w), w3 AS (SELECT w//2 AS w, h//2 AS h FROM w2), w4 AS (SELECT w//2 AS w, h//2 AS h FROM w3), {_down_sql('raster', 'w', 'w', 'd1')}, {_down_sql('d1', 'w2', 'w2', 'd2')}, {_down_sql('d2', 'w3', 'w3', 'd3')},
     lv AS (SELECT 0 AS k, w AS lw, h AS lh FROM w UNION ALL SELECT 1, w2.w, w2.h FROM w2, w WHERE greatest(w.w, w.h)>64 UNION ALL SELECT 2, w3.w, w3.h FROM w3, w2 WHERE greatest(w2.w, w2.h)>64 UNION ALL SELECT 3, w4.w, w4.h FROM w4, w3 WHERE greatest(w3.w, w3.h)>64),
@@ -274,13 +278,13 @@ def t4t(spark, d):
 
 @query("t5_tile_paths", sql("raster", f"WITH {_LEVELS} SELECT level || '/' || col || '_' || row || '.jpg' AS deepzoom, level || '/' || row || '/' || col || '.jpg' AS google FROM gr"))
 def t5(spark, d):
-    a = T.tile_paths(_tiles(spark, d).drop("payload"), "deepzoom").withColumnRenamed("path", "deepzoom")
+    a = T.tile_paths(_grid(spark, d), "deepzoom").withColumnRenamed("path", "deepzoom")
     return T.tile_paths(a, "google").select("deepzoom", F.col("path").alias("google"))
 
 
 @query("t5_zoomify_paths", sql("raster", f"WITH {_LEVELS} SELECT level, col, row, 'TileGroup' || ((row_number() OVER (ORDER BY level, row, col) - 1) // 256) || '/' || level || '-' || col || '-' || row || '.jpg' AS path FROM gr"))
 def t5z(spark, d):
-    return T.tile_paths(_tiles(spark, d).drop("payload"), "zoomify").select("level", "col", "row", "path")
+    return T.tile_paths(_grid(spark, d), "zoomify").select("level", "col", "row", "path")
 
 
 @query("t6_padded_tiles", sql("raster", f"""WITH {_LEVELS}, cell AS (SELECT CAST(range % 64 AS INT) AS i, CAST(range // 64 AS INT) AS j FROM range(4096))
@@ -315,7 +319,7 @@ def t8(spark, d):
     '{{"tilesize":64,"overlap":1,"format":"jpg","width":' || w || ',"height":' || h || ',"nlevels":' || n_levels || '}}' AS tzi FROM n, w"""))
 def s14(spark, d):
     w, h = X.sizes(spark, d)
-    return T.pyramid_metadata(_tiles(spark, d).drop("payload"), w, h, 64, 1).drop("dataset")
+    return T.pyramid_metadata(_grid(spark, d), w, h, 64, 1).drop("dataset")
 
 
 # Robust normals, flattening and integration
