@@ -5,11 +5,15 @@ so no word ever passes a shuffle; what is dealt out are one hash and one word co
 
 Line rule: a line is normalised (A-Z and other capitals lowered, runs of white space to one space, trimmed, digit runs
 to one 0) and hashed. Its frequency is the number of distinct texts of its host that hold it, so that exact copies of one
-document count once. A line is removed when it is in more than ``line_share`` percent of the host's distinct texts, and in more
-than ``min_docs``; a document is rejected when more than ``max_removed`` percent of its words stand in removed lines.
+document count once. A line is removed when more than ``min_docs`` texts hold it, and these are more than ``line_share``
+percent of the host's distinct texts (it belongs to the host's pages) or more than ``max_docs`` (no author writes the same
+line so often, however large the host is). A document is depleted, and rejected, when more than ``max_removed`` percent of
+its words stand in removed lines, or fewer than ``min_words`` words, which the base rule asks for, are left.
 
 Cases: a null or empty text has zero words and fails the base rule; a null host is a host of its own; repeated rows give
-one result row each; an empty table gives an empty result; columns other than id, text and host are ignored.
+one result row each; a frequency equal to a limit is within it, and two lines of one normal form are one line; a text of any
+length is one row, whose lines are counted as hashes; an empty table gives an empty result; columns other than id, text and
+host are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +61,7 @@ def text_rules(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("words", "hashes", "places", "again")
 
 
-def line_rules(docs: DataFrame, *, line_share: int = 8, min_docs: int = 5, max_removed: int = 70, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
+def line_rules(docs: DataFrame, *, line_share: int = 8, min_docs: int = 5, max_docs: int = 1000, max_removed: int = 70, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, host): its statistics, removed_words, base_failed and kept."""
     spark = docs.sparkSession
     path = shared_dir(spark)
@@ -67,7 +71,7 @@ def line_rules(docs: DataFrame, *, line_share: int = 8, min_docs: int = 5, max_r
     lines = texts.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.line", "x.words")
     single = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     counted = single.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
-    counted = counted.join(sizes, "host").where(100 * F.col("n") > line_share * F.col("n_texts")).select("host", "line")
+    counted = counted.join(sizes, "host").where((100 * F.col("n") > line_share * F.col("n_texts")) | (F.col("n") > max_docs)).select("host", "line")
     salt = F.pmod(F.xxhash64("text_key"), F.lit(SALTS))
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     cut = lines.withColumn("salt", salt).join(counted.withColumn("salt", spread), ["host", "line", "salt"])
@@ -77,5 +81,5 @@ def line_rules(docs: DataFrame, *, line_share: int = 8, min_docs: int = 5, max_r
     gone = F.coalesce("removed_words", F.lit(0).cast("long"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (100 * gone <= max_removed * F.col("n_words"))).alias("kept"), gone.alias("removed_words"),
+        (~failed & (100 * gone <= max_removed * F.col("n_words")) & (F.col("n_words") - gone >= min_words)).alias("kept"), gone.alias("removed_words"),
     )

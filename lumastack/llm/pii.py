@@ -181,8 +181,6 @@ def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], li
                 mark = True
             if not (first.isdigit() or first.isalpha()):
                 continue
-            if letters and not mark and digits > 40:
-                break
             kinds = [0] if mark else []
             if number and not letters and first.isdigit():
                 kinds += [1] if groups == 4 and digits <= 12 else []

@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
                   FROM (SELECT host, t, unnest(string_split(t, chr(10))) AS l FROM texts) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
         sizes AS (SELECT host, count(*) AS n_texts FROM texts GROUP BY 1),
         freq AS (SELECT l.host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM lines GROUP BY 1, 2) l JOIN sizes s ON s.host = l.host
-                 WHERE n > 5 AND 100 * n > 8 * n_texts),
+                 WHERE n > 5 AND (100 * n > 8 * n_texts OR n > 1000)),
         cut AS (SELECT l.host, t, sum(nw) AS removed FROM lines l JOIN freq f ON f.host = l.host AND f.line = l.line GROUP BY 1, 2),
         s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
                      CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
@@ -171,7 +171,7 @@ SQL: dict[str, str] = {
               FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND 100 * coalesce(removed, 0) <= 70 * n_words AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
+               NOT base_failed AND 100 * coalesce(removed, 0) <= 70 * n_words AND n_words - coalesce(removed, 0) >= 10 AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
         FROM b LEFT JOIN cut ON cut.host = b.host AND cut.t = b.t
     """,
 }
