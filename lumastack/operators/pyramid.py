@@ -70,6 +70,44 @@ def pyramid(raster: DataFrame, width: int, height: int, side: int, checkpoint: b
     return out
 
 
+def _touched(v: str, n: int, size: int):
+    """Blocks of the half's outputs that read source ``v``: outputs i with 2i - 1 <= v <= 2i + 3, inside n // 2."""
+    low = F.greatest(F.lit(0), F.ceil((F.col(v) - 3) / 2)).cast("int")
+    high = F.least(F.lit(n // 2 - 1), F.floor((F.col(v) + 1) / 2)).cast("int")
+    return F.when(low <= high, F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def refresh_pyramid(pyramids: DataFrame, changed: DataFrame, width: int, height: int, side: int, *, size: int = SIZE // 2) -> tuple[DataFrame, DataFrame]:
+    """The pyramid after some pixels of the whole image have changed, and (dataset, level, x, y) of all that differ.
+
+    ``pyramids`` are the stored levels, ``changed`` the new values (dataset, x, y, r, g, b) of pixels that the image has. What
+    has changed in a level marks the blocks of the next one that read it; only these are made again, from the sources that
+    they read, and of them only pixels with another value mark blocks further on. All else is kept as it is.
+    """
+    sizes, rows = level_sizes(width, height, side), ["dataset", "x", "y", *CHANNELS]
+    block = ["dataset", "_bx", "_by"]
+    top = len(sizes) - 1
+    before = pyramids.where(F.col("level") == top).select(*rows)
+    other = lambda a, b: a.join(b.select("dataset", "x", "y", *(F.col(c).alias("_" + c) for c in CHANNELS)), ["dataset", "x", "y"]).where(" or ".join(f"{c} <> _{c}" for c in CHANNELS)).select(*rows)
+    fresh = stored(other(changed.select(*rows), before))
+    out, touched = None, None
+    for level in range(top, -1, -1):
+        now = before.join(fresh, ["dataset", "x", "y"], "left_anti").unionByName(fresh)
+        part, marks = now.withColumn("level", F.lit(level)), fresh.select("dataset", F.lit(level).alias("level"), "x", "y")
+        out, touched = (part, marks) if out is None else (out.unionByName(part), touched.unionByName(marks))
+        if not level:
+            break
+        w, h = sizes[level]
+        spread = lambda df, w=w, h=h: df.withColumn("_bx", F.explode(_touched("x", w, size))).withColumn("_by", F.explode(_touched("y", h, size)))
+        dirty = spread(fresh.select("dataset", "x", "y")).select(*block).distinct()
+        sources = spread(now).join(dirty, block, "left_semi").select(*rows).distinct()
+        own = lambda df: df.withColumns({"_bx": F.floor(F.col("x") / size).cast("int"), "_by": F.floor(F.col("y") / size).cast("int")})
+        made = own(downsample(sources, w, h, size=size)).join(dirty, block, "left_semi")
+        before = pyramids.where(F.col("level") == level - 1).select(*rows)
+        fresh = stored(other(made, before))
+    return out.select("dataset", "level", "x", "y", *CHANNELS), touched
+
+
 def tile_grid(datasets: DataFrame, width: int, height: int, side: int, overlap: int) -> DataFrame:
     """(dataset, plane, level, col, row, x0, y0, w, h) of all tiles of images of one size; no pixel is read."""
     rows = [(level, w, h) for level, (w, h) in enumerate(level_sizes(width, height, side))]

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.color import gray
 from ..operators import align as M
+from ..operators import archive as AR
 from ..operators import flatten as FL
 from ..operators import integrate as I
 from ..operators import lights as L
 from ..operators import pyramid as T
 from ..operators import robust as B
 from ..operators.grids import gaussian_blur
-from ..shared import shared_dir
+from ..shared import shared_dir, stored
 from ..sources import documents as D
 from ..sources import formats as FM
 from ..sources import images as IM
@@ -245,6 +246,21 @@ def t3(spark, d):
     return p.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(c("r") * (c("x") + 1) + c("g") * (c("y") + 1) + c("b")).alias("checksum"))
 
 
+_NEWER = "SELECT x, y, CASE WHEN x>=10 AND x<20 AND y>=5 AND y<12 THEN 255-r ELSE r END AS r, g, b FROM raster"
+
+
+@query("t3_refreshed_pyramid", sql("raster", f"""WITH newer AS ({_NEWER}), w2 AS (SELECT w//2 AS w, h//2 AS h FROM w), {_down_sql('newer', 'w', 'w', 'd1')}, {_down_sql('d1', 'w2', 'w2', 'd2')}
+    SELECT 2 AS level, count(*) AS n, CAST(sum(r*(x+1)+g*(y+1)+b) AS BIGINT) AS checksum FROM newer UNION ALL SELECT 1, count(*), CAST(sum(r*(x+1)+g*(y+1)+b) AS BIGINT) FROM d1 UNION ALL SELECT 0, count(*), CAST(sum(r*(x+1)+g*(y+1)+b) AS BIGINT) FROM d2"""))
+def t3_refreshed(spark, d):
+    """A patch of the image changes, and the stored pyramid follows."""
+    w, h = X.sizes(spark, d)
+    side = max(w, h) // 4 + 1
+    old = stored(T.pyramid(X.raster(spark, d), w, h, side))
+    patch = X.raster(spark, d).where("x >= 10 and x < 20 and y >= 5 and y < 12").withColumn("r", 255 - F.col("r"))
+    p, c = T.refresh_pyramid(old, patch, w, h, side, size=16)[0], F.col
+    return p.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(c("r") * (c("x") + 1) + c("g") * (c("y") + 1) + c("b")).alias("checksum"))
+
+
 def _tiles(spark, d, overlap: int = 1) -> DataFrame:
     w, h = X.sizes(spark, d)
     return T.cut_tiles(T.pyramid(X.raster(spark, d), w, h, 64), w, h, 64, overlap)
@@ -268,6 +284,19 @@ def t4(spark, d):
     return _tiles(spark, d).select("level", "col", "row", "x0", "y0", "w", "h", F.length("payload").alias("bytes"), F.md5("payload").alias("digest"))
 
 
+_T4 = SQL["t4_cut_tiles"]
+
+
+@query("t7_archive_bodies", _T4)
+def t7_bodies(spark, d):
+    """All tiles written as packed archives, and cut out of them again."""
+    path = shared_dir(spark)
+    tiles = _tiles(spark, d)
+    AR.write_archive(tiles, path, part_bytes=1 << 16)
+    back = AR.read_archive(spark, path).join(_grid(spark, d), ["dataset", "plane", "level", "col", "row"])
+    return back.select("level", "col", "row", "x0", "y0", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), F.length("payload").alias("bytes"), F.md5("payload").alias("digest"))
+
+
 @query("t4_top_tiles", sql("raster", """WITH t AS (SELECT CAST(c AS INT) AS col, CAST(q AS INT) AS row, CAST(greatest(0,c*64-1) AS INT) AS x0, CAST(greatest(0,q*64-1) AS INT) AS y0, CAST(least((c+1)*64+1,w)-greatest(0,c*64-1) AS INT) AS w, CAST(least((q+1)*64+1,h)-greatest(0,q*64-1) AS INT) AS h FROM w, range(20) a(c), range(20) b(q) WHERE c<(w+63)//64 AND q<(h+63)//64)
     SELECT col, row, x0, y0, w, h, CAST(3*w*h AS INT) AS bytes FROM t"""))
 def t4t(spark, d):

@@ -123,3 +123,23 @@ def test_nulls_repeats_and_strays(spark):
     got = {(r["x"], r["y"]): (r["s"], r["bad"]) for r in blocks.stencil(df, ["r", "z"], 2, 1, 1, lambda v, known: {"s": blocks.shifted(v["r"], 1, 0, 0).astype(float), "bad": np.isnan(blocks.shifted(v["z"], 1, 0, 0))}, "s double, bad boolean").collect()}
     assert got == {(0, 0): (0.0, False), (1, 0): (4.0, True)}
     assert blocks.stencil(df.limit(0), ["r"], 2, 1, 1, lambda v, known: {"s": v["r"]}, "s double").count() == 0
+
+
+@pytest.mark.parametrize(("w", "h", "size"), [(37, 26, 4), (16, 41, 8)])
+def test_a_pyramid_kept_up_to_date(spark, w, h, size):
+    from lumastack.shared import stored
+
+    image = RNG.integers(0, 256, (2, h, w, 3))
+    table = lambda a: spark.createDataFrame([("ab"[d], x, y, *map(int, a[d, y, x])) for d in (0, 1) for y in range(h) for x in range(w)], "dataset string, x int, y int, r int, g int, b int")
+    old = stored(pyramid.pyramid(table(image), w, h, 5))
+    newer = image.copy()
+    newer[0, 3:6, 2:7] = 255 - newer[0, 3:6, 2:7]
+    newer[0, h - 1, w - 1] = 255 - newer[0, h - 1, w - 1]
+    patch = [("a", x, y, *map(int, newer[0, y, x])) for y in range(h) for x in range(w) if y < 8 or (newer[0, y, x] != image[0, y, x]).any()]  # most of these are as they were
+    got, touched = pyramid.refresh_pyramid(old, spark.createDataFrame(patch, "dataset string, x int, y int, r int, g int, b int"), w, h, 5, size=size)
+    want = pyramid.pyramid(table(newer), w, h, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    marks = {(r["dataset"], r["level"], r["x"], r["y"]) for r in touched.collect()}
+    changed = want.subtract(old.select(*want.columns)).select("dataset", "level", "x", "y").collect()
+    assert marks == {tuple(r) for r in changed} and {d for d, *_ in marks} == {"a"}
+    assert len([m for m in marks if m[1] == pyramid.n_levels(w, h, 5) - 1]) == 16  # of the whole image 15 and a corner have changed
