@@ -1,7 +1,7 @@
 """The documents of captures as Spark data sources: ``spark.read.format("light_list").load(folder)`` and others.
 
-``register(spark)`` makes the formats known: ``light_list``, ``dome_lights``, ``project_images``, ``header_lights`` and
-``legacy_planes``. A file is a dataset, named by its folder ``dataset=...`` or by itself. Schemas are fixed, nothing is
+``register(spark)`` makes the formats known: ``light_list``, ``dome_lights``, ``project_images``, ``header_lights``,
+``legacy_planes``, and ``photo_metadata`` of ``photos``. A file is a dataset, named by its folder ``dataset=...`` or by itself. Schemas are fixed, nothing is
 inferred. Files are dealt to partitions by size, and filters on ``dataset`` choose files before any is opened; filters on
 ``light_id`` (or on ``x`` and ``y``) are applied as a file is read. Pushing needs spark.sql.python.filterPushdown.enabled,
 which ``register`` sets. Files are read through Arrow's file systems, so a path may be a local one or a URI that these know.
@@ -48,6 +48,7 @@ class Reader(DataSourceReader):
     """Reads the files of a folder, or one file; subclasses give the columns of one document."""
 
     numbers: tuple[str, ...] = ("light_id",)
+    head: int | None = None  # bytes of a file that are read; all if None
 
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.names = schema.names
@@ -72,7 +73,7 @@ class Reader(DataSourceReader):
         top = store.get_file_info(root)
         found = [top] if top.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
         hidden = lambda p: any(x[:1] in "._" for x in PurePosixPath(p).relative_to(root).parts)
-        files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not hidden(f.path))
+        files = sorted((f.path, min(f.size, self.head or f.size)) for f in found if f.type == fs.FileType.File and not hidden(f.path))
         out, held, size = [], [], 0
         for path, n in files:
             name = dataset_of(path)
@@ -88,7 +89,7 @@ class Reader(DataSourceReader):
         store, _ = self._opened()
         for name, path in partition.files:
             with store.open_input_stream(path) as f:
-                data = f.read()
+                data = f.read(self.head) if self.head else f.read()
             try:
                 columns = self.columns(data)
             except (ValueError, KeyError, TypeError, IndexError, json.JSONDecodeError) as e:
@@ -227,6 +228,8 @@ FORMATS = (LightLists, DomeLights, ProjectImages, HeaderLights, LegacyPlanes)
 
 def register(spark: SparkSession) -> None:
     """Make the formats known to a session, and let it push filters into them."""
+    from .photos import PhotoMetadata
+
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for f in FORMATS:
+    for f in (*FORMATS, PhotoMetadata):
         spark.dataSource.register(f)

@@ -109,7 +109,7 @@ def parse_legacy(name: str, data: bytes) -> tuple[dict, np.ndarray]:
 
     Terms are in internal order with r, g, b in each; LRGB has r, g, b and then six luma terms. Scales and biases are a term's.
     """
-    if data.startswith(b"#HSH") or b"\n3\n" in data[:40]:
+    if data.startswith(b"#HSH") or (not data.startswith(b"PTM_") and b"\n3\n" in data[:40]):
         at = data.index(b"\n") + 1
         (kind,), at = _numbers(data, at, 1)
         (w, h, _), at = _numbers(data, at, 3)
