@@ -25,6 +25,7 @@ else all that is left is.
 Cases: a null or empty page and one without main text give an empty string; unclosed, crossed and cut tags are closed as
 they stand; a null url is a host of its own; repeated rows give a row each and count once; other columns are ignored;
 an empty table gives an empty result. Pages of any length and depth are read whole, in memory that grows with their length.
+An importance that equals a limit is not below it.
 Near copies that differ in few blocks are pages of their own, and the blocks that they share count on each.
 """
 
@@ -58,23 +59,6 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 NEVER = set("head nav footer aside form button dialog menu label input".split()) | RAW
 NEVER_NAMES = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer masthead menu modal nav navbar navigation newsletter notice pagination popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar".split())
 MAIN = {"article", "main"}
-
-
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
-
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
-
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
-
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
-
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
-
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 

@@ -11,8 +11,9 @@ it stays in range; the short last block keeps its place) maps j mod B to; blocks
 Only the table of sources, of at most ``MAX_SOURCES`` rows (checked), reaches the driver and the tasks.
 
 Cases: a null or empty text has size 0 and is never taken; a null source is a source of its own and comes last; a source
-without words has the target 0; repeated rows are documents of their own; an empty table gives an empty result; columns
-other than those named are carried along only by ``mixed_documents``.
+without words has the target 0; repeated rows and ties in the id are documents of their own; a very long text is cut into
+blocks like any other, and only its number of words is held; an empty table gives an empty result; columns other than those
+named are carried along only by ``mixed_documents``.
 """
 
 from __future__ import annotations

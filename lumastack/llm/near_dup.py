@@ -17,7 +17,9 @@ with that chance each, fewer than one in 100,000 is lost so (fewer than 48 of 80
 
 Cases: a null, empty or blank text has no shingles, is linked with nothing and is its own group; a text shorter than the
 shingle has one shingle, its whole sequence; repeated rows of one doc_id give one result row for each; a null doc_id is
-returned as its own group with a null component. Columns other than the id and text columns are ignored.
+returned as its own group with a null component. Of equal sets, and of a group, the least doc_id stands for all. A very long
+text is read in slices, and its whole set is compared. Columns other than the id and text columns are ignored, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

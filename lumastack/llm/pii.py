@@ -15,7 +15,8 @@ span, and, as examples of no span, cut short, with a wrong check digit or with p
 same texts that no pattern touches. Without such texts a prior that asks for strict forms is used.
 
 Offsets are code points, ends exclusive. Cases: a null or empty text has no spans; texts of any length are scanned in linear
-time; equal texts have equal spans; repeated rows give a row each; other columns are ignored; an empty table gives an empty
+time; equal texts have equal spans; of segmentations with equal scores the one
+with fewer spans, then the first found, counts; repeated rows give a row each; other columns are ignored; an empty table gives an empty
 result.
 """
 

@@ -6,7 +6,8 @@ the identity. A score is the logistic of the difference of the log densities plu
 Mahalanobis distance by a Cholesky factor that is computed once. All labelled training rows count: their sums and sums of
 products are aggregated by Spark, and only these few numbers reach the driver.
 
-Cases: a null or empty text has the vector of zeros and a score as any other; without training rows of both classes every
+Cases: a null or empty text has the vector of zeros and a score as any other; a text of any length has one vector, made in a
+slice of its own; equal vectors have equal scores, and a score of exactly the threshold is 1; without training rows of both classes every
 score is the share of class 1 (0.5 without any); labels with a null doc_id or a label other than 0 or 1 are not used; a
 doc_id that is repeated gives a row each, and each counts with each of its labels; other columns are ignored.
 """

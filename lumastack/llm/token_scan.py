@@ -8,7 +8,8 @@ before it and the last end id before it, which stitches the documents that cross
 
 Cases: null and empty texts are documents of no ids; an empty file or table has no documents; ids after the last end id
 are one document more, not ``closed``; repeated rows and ties in the id are documents of their own, in the order of their
-ids' hashes; null ids come first; other columns are ignored. Files are read whole by one task each, so writers bound them.
+ids' hashes; null ids come first; a very long text is one document of as
+many ids, over as many blocks as it takes; other columns are ignored. Files are read whole by one task each, so writers bound them.
 """
 
 from __future__ import annotations
