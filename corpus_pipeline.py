@@ -1,6 +1,11 @@
 """A corpus pipeline: quality, near duplicates, personal data, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next.
+
+Cases: a null or empty text is scored as any other, and if it stays it is near nothing, holds no personal data, is never
+taken by the mix and so ends there; a null doc_id is never held as a near duplicate; of equal rows one stays; ties between
+near duplicates go to the least doc_id; a very long text passes every stage whole; columns beyond those of documents, with
+whatever names, are left out at the first stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
