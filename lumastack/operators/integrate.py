@@ -341,8 +341,8 @@ def integrate_bilateral(normals: DataFrame, width: int, height: int, k: float =
         removed(spark, old)
         return out, new
 
+    largest = 0.0  # change of a height in any sweep so far: about the range of heights
     for turn in range(rounds if k > 0 else 1):
-        before = None
         for sweep in range(sweeps if many else 1):
             kept = shared_dir(spark)
             moved = stored(state.groupBy(*keys).applyInArrow(exchanged(sweep == 0), schema), kept)
@@ -357,9 +357,9 @@ def integrate_bilateral(normals: DataFrame, width: int, height: int, k: float =
                 moved, kept = replaced(moved.unionByName(nodes).groupBy(*keys).applyInArrow(swept, schema), kept)
             removed(spark, path)
             state, path = moved, kept
-            changes = [r["change"] for r in span(state).collect()]
-            before = max(before or 0.0, max(changes, default=0.0))
-            if max(changes, default=0.0) <= exact * before:
+            change = max((r["change"] for r in span(state).collect()), default=0.0)
+            largest = max(largest, change)
+            if change <= exact * largest:
                 break
     return _heights(plan, state, path)
 
