@@ -494,7 +494,8 @@ def test_oracle(spark, name):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{d}/{table}.parquet'")
     want = con.sql(SQL[name])
     got = QUERIES[name](spark, d).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
