@@ -111,6 +111,14 @@ def border(spark: SparkSession, d: str, noise: float = 0.001) -> DataFrame:
     return table(spark, d, "customer").select(F.lit("d").alias("dataset"), F.col("c_nationkey").cast("int").alias("sphere_id"), (100 + r * F.cos(t)).alias("x"), (80 + r * F.sin(t)).alias("y"))
 
 
+def turned_border(spark: SparkSession, d: str) -> DataFrame:
+    """Border points of turned ellipses, one for each nation: axes 60 + k and 30 + k / 2, turned by 10 + 6 k degrees."""
+    k, t = F.col("c_nationkey"), F.col("c_custkey") * 0.7
+    u, v, a = (60 + k) * F.cos(t), (30 + k / 2) * F.sin(t), F.radians(10.0 + 6 * k)
+    x, y = 100 + k + u * F.cos(a) - v * F.sin(a), 80 - k + u * F.sin(a) + v * F.cos(a)
+    return table(spark, d, "customer").select(F.lit("d").alias("dataset"), k.cast("int").alias("sphere_id"), x.alias("x"), y.alias("y"))
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of 64 lights, from the embeddings."""
     v = F.transform("embedding", lambda e: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(127.5 + 255 * e.cast("double")))))

@@ -162,6 +162,12 @@ def a14(spark, d):
     return e.select("sphere_id", "n", (F.round(F.round((F.col("major") + F.col("minor")) / 2, 1), 1) + 0.0).alias("major"))
 
 
+@query("a14_turned_ellipses", """SELECT CAST(c_nationkey AS INT) AS sphere_id, count(*) AS n, CASE WHEN count(*) >= 5 THEN 100.0::DOUBLE + c_nationkey END AS cx, CASE WHEN count(*) >= 5 THEN 80.0::DOUBLE - c_nationkey END AS cy,
+    CASE WHEN count(*) >= 5 THEN 60.0::DOUBLE + c_nationkey END AS major, CASE WHEN count(*) >= 5 THEN 30.0::DOUBLE + c_nationkey / 2.0::DOUBLE END AS minor, CASE WHEN count(*) >= 5 THEN 10.0::DOUBLE + 6 * c_nationkey END AS angle FROM customer GROUP BY c_nationkey""")
+def a14_turned(spark, d):
+    return rounded(L.fit_ellipse(X.turned_border(spark, d)).drop("dataset"), digits=3)
+
+
 # Alignment: windows of 40 x 20 pixels that tile the image, each a dataset; the other image is the same, two right and one up.
 
 def _windows(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -221,8 +227,8 @@ def m5(spark, d):
 
 def _down_sql(src: str, w: str, h: str, name: str) -> str:
     tap = "(VALUES (-2,1),(-1,4),(0,6),(1,4),(2,1)) t(o,k)"
-    x = f"{name}x AS (SELECT CAST(i AS INT) AS x, y, (sum(k*r)+8)//16 AS r, (sum(k*g)+8)//16 AS g, (sum(k*b)+8)//16 AS b FROM {w} ww, range(400) q(i), {tap}, {src} s WHERE i < ww.w//2 AND s.x=greatest(0,least(2*i+1+o,ww.w-1)) GROUP BY i, y)"
-    y = f"{name} AS (SELECT x, CAST(i AS INT) AS y, CAST((sum(k*r)+8)//16 AS INT) AS r, CAST((sum(k*g)+8)//16 AS INT) AS g, CAST((sum(k*b)+8)//16 AS INT) AS b FROM {h} hh, range(400) q(i), {tap}, {name}x s WHERE i < hh.h//2 AND s.y=greatest(0,least(2*i+1+o,hh.h-1)) GROUP BY x, i)"
+    x = f"{name}x AS (SELECT CAST(i AS INT) AS x, y, (sum(k*r)+8)//16 AS r, (sum(k*g)+8)//16 AS g, (sum(k*b)+8)//16 AS b FROM {w} ww, (SELECT unnest(range((SELECT greatest(w, h) FROM {w}))) AS i) q, {tap}, {src} s WHERE i < ww.w//2 AND s.x=greatest(0,least(2*i+1+o,ww.w-1)) GROUP BY i, y)"
+    y = f"{name} AS (SELECT x, CAST(i AS INT) AS y, CAST((sum(k*r)+8)//16 AS INT) AS r, CAST((sum(k*g)+8)//16 AS INT) AS g, CAST((sum(k*b)+8)//16 AS INT) AS b FROM {h} hh, (SELECT unnest(range((SELECT greatest(w, h) FROM {h}))) AS i) q, {tap}, {name}x s WHERE i < hh.h//2 AND s.y=greatest(0,least(2*i+1+o,hh.h-1)) GROUP BY x, i)"
     return f"{x}, {y}"
 
 
@@ -270,11 +276,13 @@ def _grid(spark, d) -> DataFrame:
     return T.tile_grid(X.raster(spark, d), *X.sizes(spark, d), 64, 1)
 
 
-# All levels in SQL: down from the whole image while a side is above 64 (three halvings reach that at every scale used).
-_LEVELS = f"""w2 AS (SELECT w//2 AS w, h//2 AS h FROM w), w3 AS (SELECT w//2 AS w, h//2 AS h FROM w2), w4 AS (SELECT w//2 AS w, h//2 AS h FROM w3), {_down_sql('raster', 'w', 'w', 'd1')}, {_down_sql('d1', 'w2', 'w2', 'd2')}, {_down_sql('d2', 'w3', 'w3', 'd3')},
-    lv AS (SELECT 0 AS k, w AS lw, h AS lh FROM w UNION ALL SELECT 1, w2.w, w2.h FROM w2, w WHERE greatest(w.w, w.h)>64 UNION ALL SELECT 2, w3.w, w3.h FROM w3, w2 WHERE greatest(w2.w, w2.h)>64 UNION ALL SELECT 3, w4.w, w4.h FROM w4, w3 WHERE greatest(w3.w, w3.h)>64),
-    gr AS (SELECT k, CAST((SELECT max(k) FROM lv) - k AS INT) AS level, lw, lh, CAST(c AS INT) AS col, CAST(q AS INT) AS row FROM lv, range(20) a(c), range(20) b(q) WHERE c<(lw+63)//64 AND q<(lh+63)//64),
-    px AS (SELECT 0 AS k, x, y, r, g, b FROM raster UNION ALL SELECT 1, x, y, r, g, b FROM d1 UNION ALL SELECT 2, x, y, r, g, b FROM d2 UNION ALL SELECT 3, x, y, r, g, b FROM d3)"""
+# All levels in SQL: down from the whole image while a side is above 64 (six halvings, so for sides up to 4,096).
+_HALVES = range(2, 8)
+_TILES = "(SELECT unnest(range((SELECT greatest(w, h)//64+1 FROM w))) AS {0})"
+_LEVELS = f"""{', '.join(f"w{k} AS (SELECT w//2 AS w, h//2 AS h FROM {f'w{k - 1}' if k > 2 else 'w'})" for k in _HALVES)}, {', '.join(_down_sql('raster' if k == 2 else f'd{k - 2}', *(['w' if k == 2 else f'w{k - 1}'] * 2), f'd{k - 1}') for k in _HALVES)},
+    lv AS (SELECT 0 AS k, w AS lw, h AS lh FROM w {' '.join(f"UNION ALL SELECT {k - 1}, a.w, a.h FROM w{k} a, {f'w{k - 1}' if k > 2 else 'w'} b WHERE greatest(b.w, b.h)>64" for k in _HALVES)}),
+    gr AS (SELECT k, CAST((SELECT max(k) FROM lv) - k AS INT) AS level, lw, lh, CAST(c AS INT) AS col, CAST(q AS INT) AS row FROM lv, {_TILES.format('c')} a, {_TILES.format('q')} b WHERE c<(lw+63)//64 AND q<(lh+63)//64),
+    px AS (SELECT 0 AS k, x, y, r, g, b FROM raster {' '.join(f"UNION ALL SELECT {k - 1}, x, y, r, g, b FROM d{k - 1}" for k in _HALVES)})"""
 _HEX = "format('{:02x}{:02x}{:02x}', r, g, b)"
 
 
@@ -297,7 +305,7 @@ def t7_bodies(spark, d):
     return back.select("level", "col", "row", "x0", "y0", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), F.length("payload").alias("bytes"), F.md5("payload").alias("digest"))
 
 
-@query("t4_top_tiles", sql("raster", """WITH t AS (SELECT CAST(c AS INT) AS col, CAST(q AS INT) AS row, CAST(greatest(0,c*64-1) AS INT) AS x0, CAST(greatest(0,q*64-1) AS INT) AS y0, CAST(least((c+1)*64+1,w)-greatest(0,c*64-1) AS INT) AS w, CAST(least((q+1)*64+1,h)-greatest(0,q*64-1) AS INT) AS h FROM w, range(20) a(c), range(20) b(q) WHERE c<(w+63)//64 AND q<(h+63)//64)
+@query("t4_top_tiles", sql("raster", """WITH t AS (SELECT CAST(c AS INT) AS col, CAST(q AS INT) AS row, CAST(greatest(0,c*64-1) AS INT) AS x0, CAST(greatest(0,q*64-1) AS INT) AS y0, CAST(least((c+1)*64+1,w)-greatest(0,c*64-1) AS INT) AS w, CAST(least((q+1)*64+1,h)-greatest(0,q*64-1) AS INT) AS h FROM w, (SELECT unnest(range((SELECT greatest(w, h)//64+1 FROM w))) AS c) a, (SELECT unnest(range((SELECT greatest(w, h)//64+1 FROM w))) AS q) b WHERE c<(w+63)//64 AND q<(h+63)//64)
     SELECT col, row, x0, y0, w, h, CAST(3*w*h AS INT) AS bytes FROM t"""))
 def t4t(spark, d):
     w, h = X.sizes(spark, d)
@@ -695,6 +703,12 @@ def s12t(spark, d):
     return SF.height_tiles(X.heights(spark, d), 32).select("col", "row", "n", F.length("payload").alias("bytes"))
 
 
+@query("s12_read_tiles", sql("heights", "SELECT x, y, round(CAST(CAST(z AS FLOAT) AS DOUBLE), 5) + 0.0 AS z FROM heights"))
+def s12_read(spark, d):
+    """All heights packed into tiles of 4-byte floats, and read out of them again."""
+    return rounded(SF.tile_heights(SF.height_tiles(X.heights(spark, d), 32), *X.height_size(spark, d), 32).drop("dataset"), digits=5)
+
+
 @query("s13_mesh_vertices", sql("heights", f"SELECT CAST(y*w+x AS BIGINT) AS vertex, {R('(x-(w-1)/2.0::DOUBLE)*2')} AS vx, {R('((h-1-y)-(h-1)/2.0::DOUBLE)*2')} AS vy, {R('-z*2')} AS vz, {R('x/CAST(w-1 AS DOUBLE)')} AS s, {R('(h-1-y)/CAST(h-1 AS DOUBLE)')} AS t FROM heights, hw"))
 def s13(spark, d):
     return rounded(SF.mesh(X.heights(spark, d), *X.height_size(spark, d), 2.0)[0].drop("dataset"))

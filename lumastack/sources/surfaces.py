@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +46,23 @@ def height_tiles(heights: DataFrame, side: int = 256) -> DataFrame:
     return rows.agg(F.collect_list(F.struct(place, "z")).alias("px")).select("dataset", "col", "row", F.size("px").alias("n"), pack("px").alias("payload"))
 
 
+def tile_heights(tiles: DataFrame, width: int, height: int, side: int = 256) -> DataFrame:
+    """(dataset, x, y, z) of the tiles of ``height_tiles``: all pixels of the grid that a tile covers, those that it lacked as 0."""
+    kind = tiles.schema["dataset"].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                z = np.frombuffer(batch.column("payload")[i].as_buffer(), "<f4")
+                col, row = (batch.column(c)[i].as_py() for c in ("col", "row"))
+                at = np.arange(side * side)
+                at = at[(col * side + at % side < width) & (row * side + at // side < height)]
+                x, y = (col * side + at % side).astype(np.int32), (row * side + at // side).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("dataset").slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))), pa.array(x), pa.array(y), pa.array(z[at].astype(float))], ["dataset", "x", "y", "z"])
+
+    return tiles.select("dataset", "col", "row", "payload").mapInArrow(task, f"dataset {kind}, x int, y int, z double")
+
+
 def mesh(heights: DataFrame, width: int, height: int, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) of a height grid: centred, y up, z away, with texture coordinates; two triangles a cell."""
     p = (F.col("y") * width + F.col("x")).cast("long")
