@@ -66,7 +66,9 @@ class Reader(DataSourceReader):
                 yield f
 
     def _opened(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path if ":/" in self.path else f"file://{self.path}")
+        if self.path.startswith("file:") or ":/" not in self.path:  # file:/a, file:///a or a itself
+            return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", self.path)
+        return fs.FileSystem.from_uri(self.path)
 
     def partitions(self) -> list[Files]:
         store, root = self._opened()
