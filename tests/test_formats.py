@@ -75,3 +75,23 @@ def test_legacy_files(spark, tmp_path):
     (tmp_path / "d.ptm").write_bytes(images.write_legacy(rows, head, "ptm").first()["content"])
     got = spark.read.format("legacy_planes").load(str(tmp_path)).where("y = 1").collect()
     assert {(r["x"], r["y"]): r["q"] for r in got} == {(x, 1): q[1, x].tolist() for x in range(4)}
+
+
+@pytest.mark.parametrize("fmt", ["ptm", "hsh"])
+def test_legacy_files_in_pieces(spark, fmt):
+    """No row holds a whole file, and pieces are read wherever they are cut."""
+    q = np.random.default_rng(2).integers(0, 256, (7, 5, 18))
+    rows = spark.createDataFrame([("d", x, y, q[y, x].tolist()) for y in range(7) for x in range(5)], "dataset string, x int, y int, q array<int>").repartition(3)
+    head = spark.createDataFrame([("d", 5, 7, [1.0 + i for i in range(6)], [i / 255 for i in range(6)])], "dataset string, width int, height int, scale array<double>, bias array<double>")
+    pieces = images.legacy_pieces(rows, head, fmt, band=10)
+    made = sorted((r["at"], bytes(r["content"])) for r in pieces.collect())
+    assert len(made) == (13 if fmt == "ptm" else 5) and max(len(c) for _, c in made[1:]) <= 10 * 18
+    data = bytes(images.write_legacy(rows, head, fmt).first()["content"])
+    assert data == b"".join(c for _, c in made) and (images.parse_legacy("d", data)[1] == q).all()
+    cuts = [0, len(made[0][1]) + 3, *range(len(made[0][1]) + 50, len(data), 71), len(data)]
+    again = spark.createDataFrame([("d", a, data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "dataset string, at long, content binary")
+    for table in (pieces, again):
+        found, px = images.legacy_piece_tables(table, band=15)
+        assert found.first()["scale"] == [1.0 + i for i in range(6)]
+        got = {(r["x"], r["y"]): r["q"] for r in px.collect()}
+        assert got == {(x, y): q[y, x].tolist() for y in range(7) for x in range(5)}
