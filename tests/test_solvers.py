@@ -444,3 +444,36 @@ def test_least_absolute_deviations_cannot_be_improved(spark):
         v, n = (np.array(r["r"]) + r["g"] + r["b"]) / 3, got[r["dataset"], r["x"], r["y"]]
         cost = lambda m: min(np.abs(v - (L @ m) * a).sum() for a in v / (L @ m))  # noqa: B023, E731
         assert all(cost(n) <= cost((m := n + rng.normal(0, 0.01, 3)) / np.linalg.norm(m)) + 1e-3 for _ in range(20))
+
+
+def test_pixels_of_packed_samples(spark):
+    """Pixels of samples in any order, with repeats, nulls, places below 0 and lights beyond the last, against a plain version."""
+    rng = np.random.default_rng(4)
+    pick = lambda v: None if rng.random() < 0.1 else v
+    rows = [(pick("d"), int(rng.integers(-1, 5)), int(rng.integers(-300, 300)) // 100 * 100, pick(int(rng.integers(-3, 3))), *(pick(float(v)) for v in rng.integers(0, 3, 3))) for _ in range(4000)]
+    samples = spark.createDataFrame(rows, "dataset string, light_id int, x int, y long, r double, g double, b double").repartition(5)
+    found: dict = {}
+    below = lambda v: [(c is not None, c or 0.0) for c in v]
+    for name, light, x, y, *v in rows:
+        lights = found.setdefault((name, x, y), {})
+        if light not in lights or below(v) > below(lights[light]):
+            lights[light] = v
+    for incomplete in ("drop", "null"):
+        out = stack.to_pixels(samples, 6, incomplete=incomplete)
+        assert [f.dataType.simpleString() for f in out.schema] == ["string", "int", "bigint", *["array<double>"] * 3]
+        got = {(r["dataset"], r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in out.collect()}
+        want = {}
+        for key, lights in found.items():
+            if incomplete == "null":
+                want[key] = tuple([lights.get(i, (None,) * 3)[c] for i in range(6)] for c in range(3))
+            elif len(lights) == 6:
+                want[key] = tuple([lights[i][c] for i in sorted(lights)] for c in range(3))
+        assert got == want and len(want)
+
+
+def test_pixels_shuffle_their_values_alone(spark):
+    """Tasks pack what they read: a few rows a block are dealt out, none a pixel."""
+    samples = X.stack(spark, SMALL)
+    plan = stack.to_pixels(samples, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert stack.to_pixels(samples, 16).count() == 1500
