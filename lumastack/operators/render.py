@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.algebra import listed, matmul, sorted_eigh, stacked
+from ..functions.algebra import listed, sorted_eigh, stacked
 from ..functions.color import ycbcr_to_rgb, ycc_to_rgb
 from .blocks import shifted, stencil
 
@@ -79,24 +80,37 @@ def error_map(samples: DataFrame, rendered: DataFrame) -> DataFrame:
     return _squares(samples, rendered).groupBy("dataset", "x", "y").agg(F.sqrt(F.sum("d2") / (3 * F.count(F.lit(1)))).alias("error"))
 
 
-def pixel_errors(rows: DataFrame, weights: np.ndarray, lights: list[int] | None = None) -> DataFrame:
+def _mapped_errors(rows: DataFrame, columns: list[str], errors_of: Callable[..., np.ndarray]) -> DataFrame:
+    """(dataset, x, y, d2) by one map over the rows: a column function would be evaluated anew by every filter that Spark infers."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d2 = listed(errors_of(*(stacked(batch.column(c)) for c in columns)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("dataset", "x", "y")), d2], ["dataset", "x", "y", "d2"])
+
+    kept = rows.select("dataset", "x", "y", *columns)
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
+    return kept.mapInArrow(task, ", ".join([*(f"{c} {kinds[c]}" for c in ("dataset", "x", "y")), "d2 array<double>"]))
+
+
+def pixel_errors(rows: DataFrame, weights: np.ndarray, lights: list[int] | None = None, *, fit: np.ndarray | None = None) -> DataFrame:
     """(dataset, x, y, d2): squared errors of rgb renderings under each light, summed over the channels, inside the pixel's row.
 
     ``rows`` hold a pixel's values and its coefficients (x, y, r, g, b, c), ``weights`` the terms of each of ``lights``, which
-    are the places of the values compared; nothing is joined or shuffled.
+    are the places of the values compared; nothing is joined or shuffled. With ``fit`` the coefficients are the values of
+    r, g and b end to end times it, made on the way.
     """
     places = list(range(len(weights))) if lights is None else lights
 
-    @F.arrow_udf("array<double>")
-    def errors(r: pa.Array, g: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        if not len(c):
-            return pa.array([], pa.list_(pa.float64()))
-        seen = np.stack([stacked(v)[:, places] for v in (r, g, b)], axis=2)
-        drawn = weights @ stacked(c).reshape(len(c), -1, 3)
+    def errors(*v: np.ndarray) -> np.ndarray:
+        c = np.hstack(v) @ fit if fit is not None else v[3]
+        seen = np.stack([u[:, places] for u in v[:3]], axis=2)
+        drawn = weights @ c.reshape(len(c), -1, 3)
         d = seen - np.clip(np.trunc(np.round(drawn, 9)), 0, 255)
-        return listed((d * d).sum(axis=2))
+        return (d * d).sum(axis=2)
 
-    return rows.select("dataset", "x", "y", errors(*CHANNELS, "c").alias("d2"))
+    return _mapped_errors(rows, [*CHANNELS, *(["c"] if fit is None else [])], errors)
 
 
 def light_errors(errors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,8 +142,7 @@ def leave_one_out(pixels: DataFrame, lights: np.ndarray, basis: str, n: int, k:
     full = np.zeros((3 * len(lights), 3 * n))
     for c in range(3):  # the fit on the other lights, with no weight on light k
         full[np.ix_([c * len(lights) + i for i in rest], range(c, 3 * n, 3))] = pinv(weights_of(lights[rest], basis, n)).T
-    rows = pixels.select("dataset", "x", "y", *CHANNELS, matmul(list(CHANNELS), full).alias("c"))
-    whole = light_errors(pixel_errors(rows, weights_of(lights[[k]], basis, n), [k]))[1]
+    whole = light_errors(pixel_errors(pixels, weights_of(lights[[k]], basis, n), [k], fit=full))[1]
     x, y = float(lights[k, 0]), float(lights[k, 1])
     told = {"type": F.lit(basis), "colorspace": F.lit("rgb"), "nplanes": F.lit(3 * n), "k": F.lit(k), "elevation": F.lit(math.asin(min(1.0, math.hypot(x, y)))), "lx": F.lit(x), "ly": F.lit(y)}
     return whole.withColumns(told)
@@ -159,15 +172,12 @@ def leave_each_out(pixels: DataFrame, lights: np.ndarray, basis: str, n: int) ->
 
     every = left_out(weights_of(lights, basis, n))
 
-    @F.arrow_udf("array<double>")
-    def errors(r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
-        if not len(r):
-            return pa.array([], pa.list_(pa.float64()))
-        seen = np.stack([stacked(v) for v in (r, g, b)], axis=2)
+    def errors(*v: np.ndarray) -> np.ndarray:
+        seen = np.stack(v, axis=2)
         d = seen - np.clip(np.trunc(np.round(every @ seen, 9)), 0, 255)
-        return listed((d * d).sum(axis=2))
+        return (d * d).sum(axis=2)
 
-    rows = light_errors(pixels.select("dataset", "x", "y", errors(*CHANNELS).alias("d2")))[0].withColumnRenamed("light_id", "k")
+    rows = light_errors(_mapped_errors(pixels, list(CHANNELS), errors))[0].withColumnRenamed("light_id", "k")
     facts = [(k, math.asin(min(1.0, math.hypot(x, y))), float(x), float(y)) for k, (x, y, _) in enumerate(lights.tolist())]
     told = pixels.sparkSession.createDataFrame(facts, "k int, elevation double, lx double, ly double")
     return rows.join(F.broadcast(told), "k").select("dataset", F.lit(basis).alias("type"), F.lit("rgb").alias("colorspace"), F.lit(3 * n).alias("nplanes"), "k", "elevation", "lx", "ly", "mse", "psnr", "rmse")
