@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.algebra import gram, listed, matmul, pinv, sorted_eigh, stacked
+from ..functions.algebra import gram, grams, listed, matmul, pinv, sorted_eigh, stacked
 
 CHANNELS = ("r", "g", "b")
 PTM_ORDER = [5, 3, 4, 0, 2, 1]  # fixed value: the file order of polynomial terms
@@ -189,7 +189,10 @@ def sample_pixels(pixels: DataFrame, width: int, height: int, ram_mb: float, dim
 def covariance(pixels: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(mean, covariance / (n - 1)) of the rows' lists end to end."""
     shift = 127.5  # the middle of the values, so that little cancels
-    n, total, second = gram(pixels, columns, shift)
+    return _moments(*gram(pixels, columns, shift), shift)
+
+
+def _moments(n: float, total: np.ndarray, second: np.ndarray, shift: float) -> tuple[np.ndarray, np.ndarray]:
     mean = total / max(n, 1)
     return mean + shift, (second - n * np.outer(mean, mean)) / max(n - 1, 1)
 
@@ -210,11 +213,13 @@ def to_ycc_pixels(pixels: DataFrame) -> DataFrame:
 
 
 def pca_basis_ycc(pixels: DataFrame, planes: tuple[int, int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(mean, eigenvectors) of luma and of the two differences, with so many planes each."""
-    rows = to_ycc_pixels(pixels)
+    """(mean, eigenvectors) of luma and of the two differences, with so many planes each; one pass over the pixels."""
+    shift, names = 127.5, ("yl", "co", "cg")
+    parts = F.explode(F.array(*(F.struct(F.lit(c).alias("dataset"), F.col(c).alias("v")) for c in names))).alias("e")
+    found = grams(to_ycc_pixels(pixels).select(parts).select("e.*"), ["v"], lambda _, v: v - shift)
     out = []
-    for c, n in zip(("yl", "co", "cg"), planes, strict=True):
-        mean, cov = covariance(rows, [c])
+    for c, n in zip(names, planes, strict=True):
+        mean, cov = _moments(*found.get(c, (0.0, np.zeros(0), np.zeros((0, 0)))), shift)
         out.append((mean, sorted_eigh(cov)[1][:, :n].T))
     return out
 
