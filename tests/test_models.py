@@ -52,3 +52,22 @@ def test_projection_in_one_row(spark):
         parts = [basis @ (u - mean) for u, (mean, basis) in zip((t + cg / 2, co, cg), bases, strict=True)]
         want = [parts[c][p] for c, p in fit.ycc_plane_order(planes)]
         assert np.allclose(got[r["dataset"], r["x"], r["y"]], want, atol=1e-6)
+
+
+def test_errors_are_mapped_once(spark):
+    """A task holds one Python worker for the errors, whatever Spark infers from what follows."""
+    px = X.pixels(spark, SMALL)
+    for df in (render.leave_one_out(px, L, "ptm", 6, 5), render.leave_each_out(px, L, "ptm", 6)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 3  # the packing of samples, pixels, and the errors
+
+
+def test_bases_of_all_channels_in_one_pass(spark, monkeypatch):
+    px, passes = X.pixels(spark, SMALL), []
+    grams = fit.grams
+    monkeypatch.setattr(fit, "grams", lambda *a: passes.append(1) or grams(*a))
+    got = fit.pca_basis_ycc(px, (5, 2, 2))
+    assert len(passes) == 1
+    for c, (mean, basis), n in zip(("yl", "co", "cg"), got, (5, 2, 2), strict=True):
+        m, cov = fit.covariance(fit.to_ycc_pixels(px), [c])
+        assert np.allclose(mean, m) and np.allclose(basis @ cov @ basis.T, np.diag(np.linalg.eigvalsh(cov)[::-1][:n]), atol=1e-6)
