@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,6 +104,10 @@ def normals_sbl(pixels: DataFrame, lights: np.ndarray, *, prior: float = 1.0, ri
     return batched(pixels, solve)
 
 
+#: Rounds of robust PCA that are made again from stored rows.
+REMADE = 32
+
+
 def _shrunk(m: np.ndarray, t: float) -> np.ndarray:
     return np.sign(m) * np.maximum(np.abs(m) - t, 0)
 
@@ -109,15 +115,18 @@ def _shrunk(m: np.ndarray, t: float) -> np.ndarray:
 def normals_rpca(pixels: DataFrame, lights: np.ndarray, *, rounds: int = 100, tol: float = 1e-6, rho: float = 1.5) -> DataFrame:
     """Least squares on the low-rank part of each dataset's pixels x lights matrix (robust PCA, inexact augmented Lagrangian).
 
-    A pixel's rows of the low-rank part and the multipliers stay beside it. A round takes the sparse part by soft thresholds,
-    and the lights x lights second moments of what is left, whose eigenvectors give the singular vectors; only a matrix and a
-    distance for each dataset reach the driver. State is written to the shared folder each round. Each dataset has its own
-    penalty and stops by itself; its result does not depend on the others.
+    Only the matrix is stored: what a round makes of a pixel's row follows from the row and from a small matrix and a penalty
+    for each round before it, so a task makes these rounds again as it reads. A round takes the sparse part by soft thresholds,
+    and the lights x lights second moments of what is left, whose eigenvectors give the singular vectors; only a matrix for
+    each dataset, which holds the distance too, reaches the driver. After ``REMADE`` rounds the rows are stored as they are
+    then, so that work a round is bounded. Each dataset has its own penalty and stops by itself; its result does not depend
+    on the others.
     """
     spark = pixels.sparkSession
     n = len(lights)
     third = F.zip_with(F.zip_with("r", "g", lambda a, b: a + b), "b", lambda a, b: (a + b) / 3)
-    state = pixels.select("dataset", "x", "y", third.alias("d"))
+    path = shared_dir(spark)
+    state = stored(pixels.select("dataset", "x", "y", third.alias("d")), path)
     tops = {r["dataset"]: r["m"] for r in state.groupBy("dataset").agg(F.max(F.array_max(F.transform("d", F.abs))).alias("m")).collect()}
     facts = {}
     for name, (rows, _, second) in grams(state, ["d"], lambda _, d: d).items():
@@ -125,62 +134,67 @@ def normals_rpca(pixels: DataFrame, lights: np.ndarray, *, rounds: int = 100, to
         facts[name] = {"lam": lam, "mu": 1.25 / max(sigma, 1e-12), "most": 1.25e7 / max(sigma, 1e-12), "size": float(np.sqrt(np.trace(second))), "scale": max(sigma, tops[name] / lam, 1e-12)}
     if not facts:
         return batched(pixels, lambda v: np.zeros((len(v), 3)))
-    schema = "dataset string, x int, y int, d array<double>, a array<double>, m array<double>, gap double"
-
-    def written(part, d, a, m, gap):
-        keys = [part.column(c).combine_chunks() for c in ("dataset", "x", "y")]
-        return pa.RecordBatch.from_arrays([*keys, listed(d), listed(a), listed(m), pa.array(gap)], ["dataset", "x", "y", "d", "a", "m", "gap"])
-
-    def start(batches):
-        for batch in batches:
-            for name, part in by_dataset(batch):
-                d = stacked(part.column("d"))
-                yield written(part, d, np.zeros_like(d), d / facts[name]["scale"], np.zeros(len(d)))
-
-    path = shared_dir(spark)
-    state = stored(state.mapInArrow(start, schema), path)
+    schema = "dataset string, x int, y int, d array<double>, a array<double>, m array<double>, gap array<double>"
+    columns = ["d"]
+
+    def left(d: np.ndarray, a: np.ndarray, m: np.ndarray, mu: float, lam: float) -> np.ndarray:
+        return d - _shrunk(d - a + m / mu, lam / mu) + m / mu
+
+    def remaking(done: dict[str, list], lams: dict[str, float], scales: dict[str, float]) -> Callable:
+        """What the rounds ``done`` (penalty, matrix) make of stored rows: (d, a, m, squared distance of the last)."""
+
+        def made(name: str, d: np.ndarray, a: np.ndarray | None = None, m: np.ndarray | None = None, gap: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+            if a is None:
+                a, m, gap = np.zeros_like(d), d / scales[name], np.zeros((len(d), 1))
+            for mu, keep in done[name]:
+                t = left(d, a, m, mu, lams[name])
+                a = t @ keep
+                z = t - m / mu - a  # d - e - a
+                m, gap = m + mu * z, (z * z).sum(axis=1, keepdims=True)
+            return d, a, m, gap
+
+        return made
+
+    done: dict[str, list] = {name: [] for name in facts}
+    lams, scales = ({name: f[c] for name, f in facts.items()} for c in ("lam", "scale"))
+    now = lambda: remaking({name: list(r) for name, r in done.items()}, lams, scales)
     live = set(facts)
-    for _ in range(rounds):
-        now = {name: (facts[name]["mu"], facts[name]["lam"]) for name in live}
-
-        def left(name, d, a, m, now=now):
-            mu, lam = now[name]
-            return d - _shrunk(d - a + m / mu, lam / mu) + m / mu
-
-        keep = {}
-        for name, (_, _, second) in grams(state.where(F.col("dataset").isin(sorted(live))), ["d", "a", "m"], left).items():
-            values, vectors = np.linalg.eigh(second)
-            s, mu = np.sqrt(np.maximum(values, 0)), now[name][0]
-            keep[name] = vectors @ np.diag(np.where(s > 1 / mu, 1 - 1 / (mu * np.maximum(s, 1e-300)), 0)) @ vectors.T
-
-        def step(batches, now=now, keep=keep, left=left):
-            for batch in batches:
-                for name, part in by_dataset(batch):
-                    if name not in keep:
-                        yield from part.to_batches()
-                        continue
-                    d, a, m = (stacked(part.column(c)) for c in ("d", "a", "m"))
-                    t, mu = left(name, d, a, m), now[name][0]
-                    a = t @ keep[name]
-                    z = t - m / mu - a  # d - e - a
-                    yield written(part, d, a, m + mu * z, (z * z).sum(axis=1))
-
-        new = shared_dir(spark)
-        state = stored(state.mapInArrow(step, schema), new)
-        removed(spark, path)
-        path = new
-        for r in state.where(F.col("dataset").isin(sorted(live))).groupBy("dataset").agg(F.sum("gap").alias("gap")).collect():
-            f = facts[r["dataset"]]
-            f["mu"] = min(f["mu"] * rho, f["most"])
-            if np.sqrt(r["gap"]) < tol * f["size"]:
-                live.discard(r["dataset"])
+    for turn in range(rounds):
+
+        def moments(name: str, *v: np.ndarray, made: Callable = now(), mus: dict = {name: f["mu"] for name, f in facts.items()}) -> np.ndarray:
+            d, a, m, gap = made(name, *v)
+            return np.hstack((left(d, a, m, mus[name], lams[name]), np.sqrt(gap)))
+
+        for name, (_, _, second) in grams(state.where(F.col("dataset").isin(sorted(live))), columns, moments).items():
+            f = facts[name]
+            if turn and np.sqrt(second[n, n]) < tol * f["size"]:
+                live.discard(name)
+                continue
+            values, vectors = np.linalg.eigh(second[:n, :n])
+            s, mu = np.sqrt(np.maximum(values, 0)), f["mu"]
+            done[name].append((mu, vectors @ np.diag(np.where(s > 1 / mu, 1 - 1 / (mu * np.maximum(s, 1e-300)), 0)) @ vectors.T))
+            f["mu"] = min(mu * rho, f["most"])
         if not live:
             break
+        if turn % REMADE == REMADE - 1 and turn < rounds - 1:
+
+            def kept(batches: Iterator[pa.RecordBatch], made: Callable = now(), read: tuple[str, ...] = tuple(columns)) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for name, part in by_dataset(batch):
+                        values = made(name, *(stacked(part.column(c)) for c in read))
+                        keys = [part.column(c).combine_chunks() for c in ("dataset", "x", "y")]
+                        yield pa.RecordBatch.from_arrays([*keys, *map(listed, values)], ["dataset", "x", "y", "d", "a", "m", "gap"])
+
+            new = shared_dir(spark)
+            state = stored(state.mapInArrow(kept, schema), new)
+            removed(spark, path)
+            path, columns, done = new, ["d", "a", "m", "gap"], {name: [] for name in facts}
     solver = pinv(lights).T
+    last, read = now(), list(columns)
 
-    def normals(batches):
+    def normals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield normal_rows(batch, _unit(stacked(batch.column("a")) @ solver))
+            for name, part in by_dataset(batch):
+                yield normal_rows(part, _unit(last(name, *(stacked(part.column(c)) for c in read))[1] @ solver))
 
-    return state.select("dataset", "x", "y", "a").mapInArrow(normals, NORMALS)
+    return state.mapInArrow(normals, NORMALS)
