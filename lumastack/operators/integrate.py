@@ -393,7 +393,8 @@ def integrate_tiled(normals: DataFrame, width: int, height: int, *, tile: int =
     step = tile - 2 * pad
     cols, rows = max(1, -(-(width - 2 * pad) // step)), max(1, -(-(height - 2 * pad) // step))
     span = lambda v, n: F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(v) - tile + 1) / step)).cast("int"), F.least(F.lit(n - 1), F.floor(F.col(v) / step)).cast("int")))
-    dealt = normals.join(scaffold, ["dataset", "x", "y"]).select("dataset", "x", "y", "nx", "ny", "nz", "z").withColumn("col", span("x", cols)).withColumn("row", span("y", rows))
+    # the scaffold has a row a pixel, though Spark takes it to be as small as the coarse grid: it must not be broadcast
+    dealt = normals.join(scaffold.hint("merge"), ["dataset", "x", "y"]).select("dataset", "x", "y", "nx", "ny", "nz", "z").withColumn("col", span("x", cols)).withColumn("row", span("y", rows))
 
     def ramp(n: int, before: bool, after: bool) -> np.ndarray:
         t = np.ones(n)

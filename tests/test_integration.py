@@ -79,3 +79,11 @@ def test_narrow_and_empty_grids(spark):
             got[r["y"], r["x"]] = r["z"]
         assert abs(got - plain_bilateral(n, 0.0)).max() < 1e-3
     assert integrate.integrate_bilateral(_table(spark, {"d": n}).limit(0), 7, 6).count() == 0
+
+
+def test_scaffold_is_not_broadcast(spark):
+    """It has a row a pixel, whatever size Spark takes it to have."""
+    out = integrate.integrate_tiled(_table(spark, {"d": _field(26, 22)}), 26, 22, tile=16, pad=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [dataset" in plan
+    assert out.count() == 26 * 22
