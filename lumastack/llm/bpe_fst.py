@@ -29,6 +29,8 @@ from .chunked import ChunkEncoder, text_groups
 
 NEVER = 1 << 60
 STATES = 1_500_000
+#: Tables of a task whose worker serves other jobs too.
+TASK_STATES, TASK_CHUNKS = 120_000, 80_000
 
 
 def read_ranks(text: str) -> dict[bytes, int]:
@@ -112,7 +114,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > min(2_000_000, 2 * self.limit):
                 self.fits.clear()
             self.fits[key] = good
         return self.fits[key]
@@ -276,7 +278,8 @@ def code_digests(docs: DataFrame, ranks: str, pattern: str, *, block: int = 4096
 def _encoded(ranks: str, pattern: str) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(ranks) as f:  # small caches of this task's own: other jobs' tasks follow in the same worker
-            _, chunks = made(f.read(), pattern, 300_000, 200_000)
+            _, chunks = made(f.read(), pattern, TASK_STATES, TASK_CHUNKS)
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker held
         for batch in batches:
             for row, texts in text_groups(batch):
                 ids, cuts = chunks.encode_column(texts)

@@ -239,3 +239,14 @@ def test_html_blocks():
 
 def test_hash_of_no_spans():
     assert hashlib.sha256(pii._joined([]).encode()).hexdigest().startswith("e3b0c442")
+
+
+def test_pairs_kept_are_bounded_by_the_limit():
+    """A small transducer keeps few pairs too, and still encodes as the merges do."""
+    with open(P.path("byte_bpe_50k.tiktoken")) as f:
+        ranks = bpe_fst.read_ranks(f.read())
+    fst, rng = bpe_fst.Transducer(ranks, 50), np.random.default_rng(3)
+    for _ in range(300):
+        piece = bytes(rng.integers(97, 123, 12).astype(np.uint8))
+        assert [fst.of[i] for i in fst.encode(piece)] == (bpe_fst.merged(ranks, piece) if piece not in ranks else [piece])
+    assert len(fst.fits) <= 101
