@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from .grids import fft2
 from .normals import resize_grid, resize_normals
 
 TILE, PAD, LAMBDA = 512, 32, 0.05
+#: Weights that differ by no more than this are solved for as even ones first.
+SPREAD = 100.0
 
 
 def integrate_fft(normals: DataFrame, width: int, height: int, scale: str = "true") -> DataFrame:
@@ -84,8 +87,48 @@ def _poured(fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=16)
+def _modes(n: int, low: bool, high: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvectors (columns) and eigenvalues of unit steps along ``n`` pixels, held beyond the first, the last, both or neither."""
+    i, j = np.arange(n)[:, None], np.arange(n)[None]
+    if low and high:
+        angle = np.pi * (j + 1) / (n + 1)
+        v = np.sin(angle * (i + 1))
+    else:
+        angle = np.pi * (j + 0.5) / (n + 0.5) if low or high else np.pi * j / n
+        v = np.cos(angle * (i + 0.5))
+        v = v[::-1] if low else v
+    return np.ascontiguousarray(v / np.sqrt((v * v).sum(axis=0))), 2 - 2 * np.cos(angle[0])
+
+
+def _even(edges: tuple[np.ndarray, ...], free: np.ndarray, strength: float) -> Callable[[np.ndarray], np.ndarray] | None:
+    """The inverse of the stencil with the mean weights, on the rectangle of free pixels; None if the weights differ too much."""
+    ys, xs = np.flatnonzero(free.any(axis=1)), np.flatnonzero(free.any(axis=0))
+    if not len(ys) or not free[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1].all():
+        return None
+    y, x = slice(ys[0], ys[-1] + 1), slice(xs[0], xs[-1] + 1)
+    used = edges[0][y, max(x.start - 1, 0) : x.stop], edges[2][max(y.start - 1, 0) : y.stop, x]
+    weights = [e for e in used if e.size]
+    if not weights or max(e.max() for e in weights) > SPREAD * min(e.min() for e in weights):
+        return None
+    mx, my = (float(e.mean()) if e.size else 0.0 for e in used)
+    (vx, lx), (vy, ly) = _modes(len(xs), bool(x.start), x.stop < free.shape[1]), _modes(len(ys), bool(y.start), y.stop < free.shape[0])
+    values = my * ly[:, None] + mx * lx[None] + strength
+    inverse = np.where(values > 1e-14 * values.max(), 1 / np.maximum(values, 1e-300), 0)  # a constant is left alone if nothing holds it
+
+    def solve(r: np.ndarray) -> np.ndarray:
+        out = np.zeros(r.shape)
+        out[y, x] = vy @ (inverse * (vy.T @ r[y, x] @ vx)) @ vx.T
+        return out
+
+    return solve
+
+
 def _relaxed(z: np.ndarray, edges: tuple[np.ndarray, ...], steps: int, pull: np.ndarray | None = None, strength: float = 0.0, free: np.ndarray | None = None) -> np.ndarray:
-    """Least-squares heights by conjugate gradients on the stencil, with its diagonal as preconditioner; only ``free`` pixels move."""
+    """Least-squares heights by conjugate gradients on the stencil; only ``free`` pixels move.
+
+    The preconditioner is the stencil with even weights, or its diagonal where weights differ by more than ``SPREAD``.
+    """
     ex, fx, ey, fy = edges
     free = np.ones(z.shape, bool) if free is None else free
     diagonal = np.zeros(z.shape) + (strength if pull is not None else 0)
@@ -94,6 +137,7 @@ def _relaxed(z: np.ndarray, edges: tuple[np.ndarray, ...], steps: int, pull: np.
     diagonal[1:] += ey
     diagonal[:-1] += ey
     scale = np.where(free, 1 / np.maximum(diagonal, 1e-300), 0)
+    near = _even(edges, free, strength if pull is not None else 0.0) or (lambda v: scale * v)
 
     def apply(v: np.ndarray) -> np.ndarray:
         out = _poured(ex * (v[:, 1:] - v[:, :-1]), ey * (v[1:] - v[:-1]))
@@ -104,7 +148,7 @@ def _relaxed(z: np.ndarray, edges: tuple[np.ndarray, ...], steps: int, pull: np.
         b = b + strength * pull
     z = z.copy()
     r = np.where(free, b - apply(z), 0)
-    d = scale * r
+    d = near(r)
     rr, goal = float((r * d).sum()), 1e-18 * max(float((scale * b * b).sum()), 1e-30)
     for _ in range(steps):
         if rr <= goal:
@@ -113,8 +157,9 @@ def _relaxed(z: np.ndarray, edges: tuple[np.ndarray, ...], steps: int, pull: np.
         alpha = rr / max(float((d * ad).sum()), 1e-300)
         z += alpha * d
         r -= alpha * ad
-        new = float((r * scale * r).sum())
-        d = scale * r + new / rr * d
+        s = near(r)
+        new = float((r * s).sum())
+        d = s + new / rr * d
         rr = new
     return z
 
@@ -149,16 +194,21 @@ class _Plan:
         x, y = col * self.block, row * self.block
         return max(0, x - margin), max(0, y - margin), min(self.width, x + self.block + margin), min(self.height, y + self.block + margin)
 
+    @property
+    def gap(self) -> int:
+        """Pixels between coarse nodes."""
+        return max(1, self.block // 4)
+
     @property
     def counts(self) -> tuple[int, int]:
         return -(-self.width // self.block), -(-self.height // self.block)
 
     def hats(self, n: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the coarse nodes on an axis of ``n`` pixels that reach into a..b-1, and their values there."""
-        nodes = np.unique([*range(0, n, self.block), n - 1])
+        nodes = np.unique([*range(0, n, self.gap), n - 1])
         at = np.arange(a, b)
-        values = np.stack([np.interp(at, nodes, np.arange(len(nodes)) == i) for i in range(max(0, a // self.block - 1), min(len(nodes), b // self.block + 3))])
-        first = max(0, a // self.block - 1)
+        first = max(0, a // self.gap - 1)
+        values = np.stack([np.interp(at, nodes, np.arange(len(nodes)) == i) for i in range(first, min(len(nodes), b // self.gap + 3))])
         hit = values.any(axis=1)
         return first + np.flatnonzero(hit), values[hit]
 
@@ -201,13 +251,12 @@ def _assembled(plan: _Plan, b: dict, renew: bool) -> dict:
     (ix, hx), (iy, hy) = plan.hats(plan.width, left, right), plan.hats(plan.height, top, bottom)
     mine = np.zeros(z.shape, bool)
     mine[ys, xs] = True
-    matrix, rhs = np.zeros((len(ix) * len(iy),) * 2), np.zeros(len(ix) * len(iy))
+    matrix, rhs = np.zeros((len(iy), len(iy), len(ix), len(ix))), np.zeros((len(iy), len(ix)))
+    pairs = lambda g: (g[:, None] * g[None]).reshape(len(g) ** 2, g.shape[1])
     for e, f, step, own, gx, gy in ((ex, fx, dx, mine[:, :-1], np.diff(hx), hy), (ey, fy, dy, mine[:-1], hx, np.diff(hy))):
-        at = np.nonzero(own)
-        g = (gy[:, at[0]][:, None] * gx[:, at[1]][None]).reshape(len(rhs), -1)
-        matrix += (g * e[at]) @ g.T
-        rhs += g @ (f - e * step)[at]
-    b["nodes"], b["matrix"], b["rhs"] = (iy[:, None] * (plan.counts[0] + 1) + ix).ravel(), matrix.ravel(), rhs
+        matrix += (pairs(gy) @ (e * own) @ pairs(gx).T).reshape(matrix.shape)
+        rhs += gy @ ((f - e * step) * own) @ gx.T
+    b["nodes"], b["matrix"], b["rhs"] = (iy[:, None] * (-(-plan.width // plan.gap) + 1) + ix).ravel(), matrix.transpose(0, 2, 1, 3).ravel(), rhs.ravel()
     return b
 
 
@@ -243,7 +292,7 @@ def _rows_of(plan: _Plan, b: dict, strips: bool) -> list[dict]:
 
 def _coarse(table: pa.Table) -> list[dict]:
     """The coarse system of a dataset, a small matrix a block, solved by conjugate gradients; each block gets its nodes' values."""
-    rows = table.select(["col", "row", "nodes", "matrix", "rhs"]).to_pylist()
+    rows = table.to_pylist()
     ids, at = np.unique(np.concatenate([r["nodes"] for r in rows]), return_inverse=True)
     parts, i = [], 0
     b, diagonal = np.zeros(len(ids)), np.zeros(len(ids))
@@ -258,7 +307,7 @@ def _coarse(table: pa.Table) -> list[dict]:
     def apply(v: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids))
         for own, m in parts:
-            np.add.at(out, own, m @ v[own])
+            out[own] += m @ v[own]
         return out
 
     scale = np.where(diagonal > 0, 1 / np.maximum(diagonal, 1e-300), 0)
@@ -277,18 +326,18 @@ def _coarse(table: pa.Table) -> list[dict]:
         z, r = z + alpha * d, r - alpha * ad
         new = float(r @ (scale * r))
         d, rr = scale * r + new / rr * d, new
-    return [{"col": row["col"], "row": row["row"], "kind": 2, "rhs": z[own]} for row, (own, _) in zip(rows, parts, strict=True)]
+    return [{"col": row["col"], "row": row["row"], "at": z[own]} for row, (own, _) in zip(rows, parts, strict=True)]
 
 
-def integrate_bilateral(normals: DataFrame, width: int, height: int, k: float = 0.0, *, block: int = TILE, overlap: int = PAD, rounds: int = 10, tol: float = 1e-5, steps: int = 500, sweeps: int = 60, exact: float = 3e-5) -> DataFrame:
+def integrate_bilateral(normals: DataFrame, width: int, height: int, k: float = 0.0, *, block: int = TILE, overlap: int = 2 * PAD, rounds: int = 10, tol: float = 1e-5, steps: int = 500, sweeps: int = 60, exact: float = 3e-5) -> DataFrame:
     """Heights with mean 0 of grids of any size: one-sided differences on both sides of every pixel, weighted by nz.
 
     With k > 0 the sides are weighed anew, by ``side_weights``, in up to ``rounds`` rounds, until the energy of all datasets
     changes by less than ``tol``. The least squares of a round are solved in blocks that overlap: a sweep solves each block
     with its overlap, held at the heights that its neighbours sent, and before that a coarse system with a node at each
-    block's corner moves all blocks against each other. Sweeps end when no height changes by more than ``exact`` of the
-    range. A block with its window is the largest group; the coarse system has some dozen numbers a block. State is written
-    to the shared folder. A grid of one block takes the same path, in which one sweep is enough.
+    quarter of a block's sides moves all blocks against each other: what it does not reach is shorter than a block, and dies
+    within the overlap. Sweeps end when no height changes by more than ``exact`` of the range. A block with its window is the
+    largest group; the coarse system has some dozen nodes a block. State is written to the shared folder, and shuffled once a sweep. A grid of one block takes the same path, in which one sweep is enough.
     """
     overlap = min(overlap, block - 2)
     plan = _Plan(width, height, block, overlap, k, steps)
@@ -322,11 +371,17 @@ def integrate_bilateral(normals: DataFrame, width: int, height: int, k: float =
 
         return one
 
-    def swept(key: tuple, t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        b = _opened(plan, rows)
-        nodes = next((r["rhs"] for r in rows if r["kind"] == 2), None)
-        return table(key[0], _rows_of(plan, _corrected(plan, b, np.array(nodes)), True) if b else [])
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
+                rows = _rows_of(plan, _corrected(plan, _opened(plan, [r]), np.array(r["at"])), True)
+                yield from table(batch.column("dataset")[i], rows).to_batches()
+
+    def solved(key: tuple, t: pa.Table) -> pa.Table:
+        rows = _coarse(t)
+        columns = [pa.repeat(key[0].cast(arrow.field(0).type), len(rows)), pa.array([r["col"] for r in rows], pa.int32()), pa.array([r["row"] for r in rows], pa.int32())]
+        return pa.table([*columns, pa.array([r["at"] for r in rows], pa.list_(pa.float64()))], names=["_d", "_c", "_r", "at"])
 
     axis = lambda n: Axis.near(n, block, overlap + 2)
     fields = normals.select("dataset", "x", "y", *(F.col(c).cast("double").alias(c) for c in ("nx", "ny", "nz")))
@@ -353,8 +408,10 @@ def integrate_bilateral(normals: DataFrame, width: int, height: int, k: float =
                     return _heights(plan, state, path)
                 energy = now
             if many:
-                nodes = moved.groupBy("dataset").applyInArrow(lambda key, t: table(key[0], _coarse(t)), schema)
-                moved, kept = replaced(moved.unionByName(nodes).groupBy(*keys).applyInArrow(swept, schema), kept)
+                system = moved.select(*keys, "nodes", "matrix", "rhs").groupBy("dataset")
+                nodes = system.applyInArrow(solved, f"_d {kind.simpleString()}, _c int, _r int, at array<double>")
+                here = F.col("dataset").eqNullSafe(F.col("_d")) & (F.col("col") == F.col("_c")) & (F.col("row") == F.col("_r"))
+                moved, kept = replaced(moved.join(F.broadcast(nodes), here).drop("_d", "_c", "_r").mapInArrow(swept, schema), kept)
             removed(spark, path)
             state, path = moved, kept
             change = max((r["change"] for r in span(state).collect()), default=0.0)

@@ -87,3 +87,29 @@ def test_scaffold_is_not_broadcast(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [dataset" in plan
     assert out.count() == 26 * 22
+
+
+@pytest.mark.parametrize(("spread", "steps", "near"), [(1.5, 15, 1e-6), (1e6, 2000, 1e-3)])
+@pytest.mark.parametrize("held", [(0, 0, 0, 0), (2, 2, 2, 2), (0, 2, 2, 0)])
+def test_a_window_is_solved_in_few_steps(spread, steps, near, held):
+    """Held at any sides, in a dozen steps where weights differ little; by the diagonal where they differ much."""
+    rng, (h, w) = np.random.default_rng(3), (96, 80)
+    true = rng.normal(size=(h, w)).cumsum(axis=0)
+    ex, ey = (spread ** rng.random(s) for s in ((h, w - 1), (h - 1, w)))
+    free = np.zeros((h, w), bool)
+    free[held[0] : h - held[1], held[2] : w - held[3]] = True
+    edges = ex, ex * np.diff(true, axis=1), ey, ey * np.diff(true, axis=0)
+    z = integrate._relaxed(np.where(free, 0.0, true), edges, steps, free=free) - true
+    z -= 0 if any(held) else z.mean()
+    assert abs(z).max() < near * np.ptp(true)
+
+
+def test_coarse_nodes_lie_within_blocks(spark):
+    """A grid of many blocks is right after few sweeps."""
+    w, h = 20, 160
+    n = _field(w, h)
+    got = np.zeros((h, w))
+    for r in integrate.integrate_bilateral(_table(spark, {"d": n}), w, h, block=16, overlap=4, sweeps=3).collect():
+        got[r["y"], r["x"]] = r["z"]
+    want = integrate.solve_grid(n, steps=5000)
+    assert abs(got - (want - want.mean())).max() < 1e-2
