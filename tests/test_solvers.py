@@ -1,6 +1,7 @@
 """Properties of the solvers and of what SQL cannot express."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -480,6 +481,19 @@ def test_pixels_shuffle_their_values_alone(spark):
     assert stack.to_pixels(samples, 16).count() == 1500
 
 
+def test_packed_samples_are_squeezed(spark):
+    """Values that come again anywhere in a part take little of the shuffle: here each pixel, after 500 others (64 KB a channel)."""
+    at, light = np.repeat(np.arange(1 << 14), 16), np.tile(np.arange(16), 1 << 14)
+    v = np.random.default_rng(8).random((500, 16))[at % 500, light]
+    rows = pa.table({"dataset": pa.array(["d"] * len(at)), "x": at % 128, "y": at // 128, "light_id": light, "r": v, "g": v * 0.8, "b": v * 0.6})
+    parts = list(stack._packed(128)(iter(rows.to_batches(max_chunksize=10_000))))
+    size = sum(c.nbytes for b in parts for c in b.columns if c.type == pa.binary())
+    assert size < 24 * len(at) / 10 and sum(b.num_rows for b in parts) == 1
+    got = {(r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in stack.to_pixels(spark.createDataFrame(rows), 16).collect()}
+    want = v.reshape(-1, 16)
+    assert len(got) == 1 << 14 and all(np.array_equal(got[k % 128, k // 128], want[k] * np.array([[1], [0.8], [0.6]])) for k in range(1 << 14))
+
+
 def test_rounds_of_robust_pca_are_made_again(spark, monkeypatch):
     """Rows are stored once, not each round, and rounds that start from stored rows give the same normals."""
     px = X.pixels(spark, SMALL, specular=True)
