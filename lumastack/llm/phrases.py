@@ -1,19 +1,21 @@
-"""Phrases of two and three words, mined level by level with broadcast double-array tries.
+"""Phrases of two and three words, mined level by level with double-array tries.
 
-A text is lower-cased (A-Z), cut into pieces at punctuation and line ends, and pieces into words. Four passes read it:
+A text is lower-cased (A-Z), cut into pieces at punctuation and line ends, and pieces into words. Three passes read it,
+however many candidates there are:
 
 1. words are counted for each language; those below ``min_count`` can be in no frequent phrase;
-2. neighbours that are both frequent give the candidates of two words, by sums that tasks have added up beforehand;
-3. a trie of these is broadcast, and where it accepts at a word and at the next one, three words are a candidate: both of
-   their pairs are frequent, so no frequent phrase is lost;
-4. a trie of all candidates is broadcast. NumPy moves the states of all text positions from level to level at once, counts
-   the states that accept, and the counts of all tasks are summed. These are the counts that everything after uses.
+2. neighbours that are both frequent are runs of two words;
+3. three words are a run where both of their pairs are frequent, so no frequent phrase is lost.
+
+Frequent words and pairs are broadcast as bits (``Seen``), which let a few others through: these fall short later. Tasks add
+up the runs they meet and deal them out by all their words. A task adds up its share in buckets; runs in buckets that reach
+``min_count`` are its candidates. It builds a trie of them, moves the states of all runs from level to level at once and
+counts the states that accept. These are the counts that everything after uses. No trie leaves its task.
 
 A trie is a double array over the numbers of its own words: from state s the word c leads to base[s] + c if check there is
-s. A trie has about ``MAX_PART`` candidates; more are dealt, by hash, to several tries, each with a pass of its own, and pass
-2 then takes words as they come when the frequent ones are more than ``MAX_WORDS`` (pass 3: any third word when the pairs
-need several tries), which finds more candidates and the same phrases. Words are compared by 64-bit hashes that include
-their language; their strings come from pass 1.
+s. A trie has about ``MAX_PART`` candidates at most; more are dealt, by hash, to several. Pass 2 takes words as they come
+when the frequent ones are more than ``MAX_WORDS``, which finds more runs and the same phrases. Words are compared by 64-bit
+hashes that include their language; their strings come from pass 1.
 
 Cases: a null or empty text has no words; a null language is ``und``; repeated rows count each time; phrases of equal score
 and count go by their bytes; an empty table gives an empty result; a text of any length is one text, cut nowhere but at
@@ -25,7 +27,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ from ..shared import removed, shared_dir, stored
 from .textops import LOWER, mix64, span_hashes, text_slices, word_spans
 
 MAX_WORDS, MAX_PART, HELD, SALTS, LOOK, SLICE = 8_000_000, 2_000_000, 500_000, 32, 8192, 600_000
+#: Words of the texts for each task that counts runs, which has at most as many rows: a position starts one run, and tasks add up.
+SHARE = 2_000_000
+#: Powers of two: the bits of ``Seen`` at most, and those that one task makes.
+MOST_BITS, PIECE_BITS = 30, 20
 #: Bytes between pieces, and those between words of a piece besides.
 BREAK = np.zeros(256, bool)
 BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -81,22 +86,23 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array
 
 
 def _distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places and sums of the distinct keys."""
-    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
-    return first, np.bincount(back, weights=counts, minlength=len(first)).astype(np.int64)
+    """Places of the distinct keys, by ascending key, and their sums."""
+    order = np.argsort(keys)
+    ascending = keys[order]
+    first = np.flatnonzero(np.append(True, ascending[1:] != ascending[:-1]))[: len(keys)]
+    return order[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
 
 
 class _Sums:
-    """Counts of hash tuples, added up in a task until they are ``HELD``, then passed on."""
+    """Counts of runs of ``width`` words, added up in a task until they are ``HELD``, then passed on to ``shares`` tasks."""
 
-    def __init__(self, width: int):
+    def __init__(self, width: int, shares: int):
         self.width, self.parts, self.held = width, [], 0
+        self.bounds = np.array([-(-(p << 64) // shares) for p in range(1, shares)], np.uint64)
 
-    def add(self, columns: list[np.ndarray], counts: np.ndarray | None = None) -> None:
-        counts = np.ones(len(columns[0]), np.int64) if counts is None else counts
-        first, total = _distinct(_joint(columns), counts)
-        self.parts.append([*(c[first] for c in columns), total])
-        self.held += len(first)
+    def add(self, columns: list[np.ndarray]) -> None:
+        self.parts.append([*columns, np.ones(len(columns[0]), np.int64)])
+        self.held += len(columns[0])
 
     def merged(self) -> list[np.ndarray]:
         columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)] if self.parts else [np.zeros(0, np.uint64)] * self.width + [np.zeros(0, np.int64)]
@@ -112,6 +118,14 @@ class _Sums:
         self.parts, self.held = [columns], len(columns[0])
         return self.held > HELD // 2
 
+    def rows(self) -> pa.RecordBatch:
+        """(share, runs): what is held, a row a share, by ranges of keys."""
+        columns = self.merged()
+        cuts = [0, *np.searchsorted(_joint(columns[:-1]), self.bounds).tolist(), len(columns[-1])]
+        table = np.stack([c.view(np.uint64) for c in columns])
+        own = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([table[:, cuts[i] : cuts[i + 1]].tobytes() for i in own], pa.binary())], ["share", "runs"])
+
 
 def _joint(columns: list[np.ndarray]) -> np.ndarray:
     h = columns[0]
@@ -127,7 +141,19 @@ def _rows(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*arrays, pa.array(columns[-1])], ["h1", "h2", "h3", "n"])
 
 
-_SUMS = "h1 long, h2 long, h3 long, n long"
+_SUMS, _RUNS = "h1 long, h2 long, h3 long, n long", "share int, runs binary"
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The strings of byte spans; bytes that are no UTF-8 are replaced."""
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    own = data[np.repeat(starts - offsets[:-1], ends - starts) + np.arange(offsets[-1])]
+    out = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(own))
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        out = pa.array([own[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
+    return out
 
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +170,11 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for words, langs in _slices(batches):
         if not len(words.hashes):
             continue
-        names = langs.cast(pa.string()).to_pylist()
-        for row, n in enumerate(np.bincount(words.rows, minlength=len(names)).tolist()):
-            total[names[row]] = total.get(names[row], 0) + n
-        _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        text, a, b = words.data.tobytes(), words.starts[first].tolist(), words.ends[first].tolist()
-        held.append((words.hashes[first], np.bincount(back), pa.array([names[r] for r in words.rows[first].tolist()], pa.string()), pa.array([text[i:j].decode("utf-8", "replace") for i, j in zip(a, b, strict=True)], pa.string())))
+        langs = langs.cast(pa.string())
+        for name, n in zip(langs.to_pylist(), np.bincount(words.rows, minlength=len(langs)).tolist(), strict=True):
+            total[name] = total.get(name, 0) + n
+        first, n = _distinct(words.hashes, np.ones(len(words.hashes), np.int64))
+        held.append((words.hashes[first], n, langs.take(pa.array(words.rows[first])), _strings(words.data, words.starts[first], words.ends[first])))
         size += len(first)
         if size > HELD:
             yield out()
@@ -160,19 +185,61 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.string()), pa.nulls(len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "word", "hash", "n"])
 
 
-def _pairs(frequent: np.ndarray | None) -> Callable:
+@dataclass
+class Seen:
+    """Two bits for each of some hashes: all of these pass, and one or two in a hundred of the others."""
+
+    bits: np.ndarray
+    power: int  # of two, the number of bits
+
+    @staticmethod
+    def places(hashes: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - power)
+        return (hashes >> shift).astype(np.int64), (mix64(hashes) >> shift).astype(np.int64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self.places(hashes, self.power):
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _seen(rows: DataFrame, columns: list[str], n: int) -> Broadcast:
+    """The ``Seen`` of ``n`` rows of hashes, made in pieces by tasks; only its bits reach the driver."""
+    power = min(max((16 * n).bit_length(), PIECE_BITS), MOST_BITS)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in Seen.places(_joint([batch.column(c).to_numpy().view(np.uint64) for c in columns]), power):
+                yield pa.RecordBatch.from_arrays([pa.array((at >> PIECE_BITS).astype(np.int32)), pa.array((at & (1 << PIECE_BITS) - 1).astype(np.int32))], ["piece", "at"])
+
+    def piece(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PIECE_BITS, np.uint8)
+        bits[table.column("at").to_numpy()] = 1
+        return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    made = rows.select(*columns).mapInArrow(places, "piece int, at int").groupBy("piece").applyInArrow(piece, "piece int, bits binary").toArrow()
+    bits = np.zeros((1 << power - PIECE_BITS, 1 << PIECE_BITS - 3), np.uint8)
+    for i, b in zip(made.column("piece").to_pylist(), made.column("bits"), strict=True):
+        bits[i] = np.frombuffer(b.as_buffer(), np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(Seen(bits.ravel(), power))
+
+
+def _pairs(frequent: Broadcast | None, shares: int) -> Callable:
+    """Two words that follow each other, both of them in ``frequent``."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(2)
+        sums = _Sums(2, shares)
         for words, _ in _slices(batches):
             h, good = words.hashes, words.joined
             if frequent is not None:
-                known = member(frequent, h) >= 0
+                known = frequent.value.has(h)
                 good = good & known & np.append(known[1:], False)
             at = np.flatnonzero(good)
             sums.add([h[at], h[at + 1]])
             if sums.full():
-                yield _rows(sums.merged())
-        yield _rows(sums.merged())
+                yield sums.rows()
+        yield sums.rows()
 
     return task
 
@@ -195,10 +262,20 @@ class Trie:
     check: np.ndarray
     accepts: np.ndarray  # number of the candidate that ends in a state, or -1
 
+    def _codes(self, hashes: np.ndarray) -> np.ndarray:
+        at = member(self.words, hashes)
+        return np.where(at >= 0, self.numbers[at], -1) if len(self.words) else at
+
+    def _step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states that words lead to from others, or -1."""
+        to = self.base[state].astype(np.int64) + code
+        good = (to > 0) & (to < len(self.check))
+        good[good] = self.check[to[good]] == state[good]
+        return np.where(good, to, -1)
+
     def states(self, words: Words, levels: int = 3) -> Iterator[np.ndarray]:
         """For each level the state of every position after so many words from there, or -1."""
-        at = member(self.words, words.hashes)
-        code = np.where(at >= 0, self.numbers[at], -1) if len(self.words) else at
+        code = self._codes(words.hashes)
         state = np.where(code >= 0, code + 1, -1)
         yield state
         for level in range(1, levels):
@@ -206,14 +283,22 @@ class Trie:
             after = np.full(len(state), -1)
             live = np.flatnonzero((state[: max(last, 0)] >= 0) & words.joined[level - 1 : level - 1 + max(last, 0)])
             live = live[code[live + level] >= 0]
-            to = self.base[state[live]].astype(np.int64) + code[live + level]
-            good = (to > 0) & (to < len(self.check))
-            live, to = live[good], to[good]
-            good = self.check[to] == state[live]
-            after[live[good]] = to[good]
+            after[live] = self._step(state[live], code[live + level])
             state = after
             yield state
 
+    def walked(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The state after all words of each run, or -1; ``columns`` holds their first words, their second ones and so on."""
+        state = self._codes(columns[0])
+        state = np.where(state >= 0, state + 1, -1)
+        for column in columns[1:]:
+            code = self._codes(column)
+            live = np.flatnonzero((state >= 0) & (code >= 0))
+            after = np.full(len(state), -1)
+            after[live] = self._step(state[live], code[live])
+            state = after
+        return state
+
 
 def _placed(base: np.ndarray, check: np.ndarray, parents: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Give the children (parent state, word number), sorted by both, their slots: the larger families first, by first fit."""
@@ -277,81 +362,79 @@ def build_trie(candidates: np.ndarray, sizes: np.ndarray) -> Trie:
     return Trie(words, numbers, base, check, accepts)
 
 
-def _triples(shared: Broadcast, whole: bool) -> Callable:
-    """Three words of which the trie accepts the first two, and the last two if it is the ``whole`` of the pairs."""
+def _triples(pairs: Broadcast, shares: int) -> Callable:
+    """Three words that follow each other, both of whose pairs are in ``pairs``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, (trie, _) = _Sums(3), shared.value
+        sums = _Sums(3, shares)
         for words, _ in _slices(batches):
-            *_, pair = trie.states(words, 2)
-            good = np.zeros(len(pair), bool)
-            good[:-1] = (pair[:-1] >= 0) & words.joined[1:]
-            if whole:
-                good[:-1] &= pair[1:] >= 0
+            h, good = words.hashes, words.joined.copy()
             at = np.flatnonzero(good)
-            h = words.hashes
+            good[at] = pairs.value.has(_joint([h[at], h[at + 1]]))
+            at = np.flatnonzero(good[:-1] & good[1:])
             sums.add([h[at], h[at + 1], h[at + 2]])
             if sums.full():
-                yield _rows(sums.merged())
-        yield _rows(sums.merged())
+                yield sums.rows()
+        yield sums.rows()
 
     return task
 
 
-def _counts(shared: Broadcast) -> Callable:
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, codes = shared.value
-        total = np.zeros(len(trie.accepts), np.int64)
-        for words, _ in _slices(batches):
-            for state in trie.states(words):
-                total += np.bincount(state[state >= 0], minlength=len(total))
-        at = np.flatnonzero((total > 0) & (trie.accepts >= 0))
-        own = codes[trie.accepts[at]]
-        hashes = [pa.array(trie.words[own[:, i]].view(np.int64), mask=own[:, i] < 0) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*hashes, pa.array(total[at])], ["h1", "h2", "h3", "n"])
-
-    return task
+def trie_counts(columns: list[np.ndarray], counts: np.ndarray, least: int) -> list[np.ndarray]:
+    """The distinct runs whose counts sum to ``least`` or more, and the sums, by a trie of those that can: buckets of runs tell."""
+    keys = _joint(columns)
+    bucket = (keys & np.uint64((1 << len(keys).bit_length()) - 1)).astype(np.int64)  # low bits: the high ones tell shares
+    live = np.flatnonzero(np.bincount(bucket, weights=counts)[bucket] >= least) if len(keys) else bucket
+    columns, counts = [c[live] for c in columns], counts[live]
+    first = np.unique(keys[live], return_index=True)[1]
+    candidates = np.zeros((len(first), 3), np.uint64)
+    for i, c in enumerate(columns):
+        candidates[:, i] = c[first]
+    trie = build_trie(candidates, np.full(len(first), len(columns)))
+    total = np.bincount(trie.walked(columns), weights=counts, minlength=len(trie.accepts)).astype(np.int64)
+    at = np.flatnonzero((total >= least) & (trie.accepts >= 0))
+    return [*(candidates[trie.accepts[at], i] for i in range(len(columns))), total[at]]
 
 
-def _tries(candidates: DataFrame, n: int, max_part: int) -> Iterator[Broadcast]:
-    """Broadcast tries of a share of the stored ``candidates`` (h1, h2, h3) each, with the places of their words in the trie's table."""
-    parts = max(1, -(-n // max_part))
-    for p in range(parts):
-        rows = candidates.where(F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(parts)) == p).select("h1", "h2", "h3").toArrow()
-        hashes = np.stack([rows.column(i).fill_null(0).to_numpy().view(np.uint64) for i in range(3)], axis=1) if rows.num_rows else np.zeros((0, 3), np.uint64)
-        sizes = 3 - sum((rows.column(i).is_null().to_numpy().astype(np.int64) for i in range(3)), np.zeros(rows.num_rows, np.int64))
-        trie = build_trie(hashes, sizes)
-        codes = np.where(np.arange(3) < sizes[:, None], np.searchsorted(trie.words, hashes), -1).astype(np.int32)
-        yield candidates.sparkSession.sparkContext.broadcast((trie, codes))
+def _counted(width: int, least: int, max_part: int) -> Callable:
+    """The runs of ``width`` words that reach ``least``; all rows of a share are in one task, which has some millions of runs."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(b.as_buffer(), np.uint64).reshape(width + 1, -1) for batch in batches for b in batch.column("runs")]
+        if not held:
+            return
+        table = np.concatenate(held, axis=1)
+        held, (*hashes, counts) = None, table
+        parts = -(-len(counts) // max_part)
+        part = mix64(_joint(hashes)) % np.uint64(parts)
+        for p in range(parts):
+            own = part == p
+            yield _rows(trie_counts([h[own] for h in hashes], counts[own].view(np.int64), least))
 
-def _summed(df: DataFrame, at_least: int) -> DataFrame:
-    """Sums of at least ``at_least``; tasks have added up what they met, so rows are dealt out as they are, not held again."""
-    return df.repartition("h1", "h2", "h3").groupBy("h1", "h2", "h3").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
+    return task
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def _frequent(runs: DataFrame, width: int, least: int, shares: int, max_part: int) -> DataFrame:
+    return runs.repartitionById(shares, F.col("share")).mapInArrow(_counted(width, least, max_part), _SUMS)
 
 
 def phrases(docs: DataFrame, *, min_count: int = 10, top: int = 2000, max_words: int = MAX_WORDS, max_part: int = MAX_PART) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases by score."""
     spark = docs.sparkSession
     texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    paths = [shared_dir(spark) for _ in range(4)]
+    paths = [shared_dir(spark) for _ in range(3)]
 
-    words = texts.mapInArrow(_counted_words, "lang string, word string, hash long, n long").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
+    words = texts.mapInArrow(_counted_words, "lang string, word string, hash long, n long")
+    words = words.repartition("lang", "word", "hash").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))  # tasks have added up what they met
     words = stored(words.where(F.col("word").isNull() | (F.col("n") >= min_count)), paths[0])
     known = words.where(F.col("word").isNotNull())
-    frequent = np.sort(known.select("hash").toArrow().column(0).to_numpy().view(np.uint64)) if known.count() <= max_words else None
-
-    pairs = stored(_summed(texts.mapInArrow(_pairs(frequent), _SUMS), min_count), paths[1])
-    n_pairs = pairs.count()
-    several = n_pairs > max_part
-    triples = stored(_summed(_union([texts.mapInArrow(_triples(t, not several), _SUMS) for t in _tries(pairs, n_pairs, max_part)]), min_count), paths[2])
-    candidates = pairs.unionByName(triples)
-    counted = [texts.mapInArrow(_counts(t), _SUMS) for t in _tries(candidates, n_pairs + triples.count(), max_part)]
-    found = stored(_summed(_union(counted), min_count), paths[3])
+    n_known, total = known.count(), words.where(F.col("word").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
+
+    frequent = _seen(known, ["hash"], n_known) if n_known <= max_words else None
+    pairs = stored(_frequent(texts.mapInArrow(_pairs(frequent, shares), _RUNS), 2, min_count, shares, max_part), paths[1])
+    triples = texts.mapInArrow(_triples(_seen(pairs, ["h1", "h2"], pairs.count()), shares), _RUNS)
+    found = pairs.unionByName(stored(_frequent(triples, 3, min_count, shares, max_part), paths[2]))
     out = stored(_ranked(found, words, top))
     removed(spark, *paths)
     return out

@@ -73,6 +73,32 @@ def test_phrases_without_candidates(spark, docs):
     assert phrases.phrases(docs, min_count=10**6).count() == 0
 
 
+def test_phrases_read_texts_three_times_however_many_tries(spark, docs, rows):
+    read = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    got = sorted(map(tuple, phrases.phrases(docs.select("text", "lang").mapInArrow(task, "text string, lang string"), min_count=6, top=50, max_part=7).collect()))
+    assert got == plain_phrases(rows, 6, 50)
+    assert read.value == 3 * len(rows)
+
+
+def test_tries_count_runs_that_reach_the_least_count():
+    rng = np.random.default_rng(3)
+    runs = rng.integers(0, 12, (3000, 3)).astype(np.uint64)
+    counts = rng.integers(1, 4, 3000)
+    for width in (2, 3):
+        want = Counter()
+        for r, n in zip(runs[:, :width].tolist(), counts.tolist(), strict=True):
+            want[tuple(r)] += n
+        *columns, n = phrases.trie_counts(list(runs[:, :width].T), counts, 6)
+        got = dict(zip(zip(*(c.tolist() for c in columns), strict=True), n.tolist(), strict=True))
+        assert got == {r: n for r, n in want.items() if n >= 6} and len(n) == len(got)
+
+
 def test_trie_holds_its_candidates_only():
     rng = np.random.default_rng(2)
     table = rng.integers(0, 60, (900, 3)).astype(np.uint64)
